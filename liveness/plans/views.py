@@ -174,6 +174,13 @@ def cat_calls(spark: SparkSession, d: str) -> DataFrame:
                     (F.col("o_orderpriority") == "1-URGENT").alias("in_test_file")))
 
 
+def cat_features(spark: SparkSession, d: str) -> DataFrame:
+    """Catalogue entities with the six model features attached."""
+    from ..operators.joins import attach_features
+    return attach_features(cat_entities(spark, d), cat_calls(spark, d), name="name",
+                           path="rel_path", callee="callee", in_test="in_test_file")
+
+
 # ----------------------------------------------------------------------------- SQL
 
 VIEW_SQL = {
@@ -241,10 +248,21 @@ VIEW_SQL = {
         CASE WHEN p_type = 'SMALL' THEN '_' WHEN p_type = 'PROMO' THEN '__' ELSE '' END || replace(p_name, ' ', '_') AS callee,
         o_orderpriority = '1-URGENT' AS in_test_file
         FROM lineitem JOIN part ON l_partkey = p_partkey JOIN orders ON l_orderkey = o_orderkey""",
+    "cat_counts": "SELECT callee, count(*) AS call_count FROM cat_calls GROUP BY callee",
+    "cat_tests": "SELECT DISTINCT callee FROM cat_calls WHERE in_test_file",
+    "cat_features": """SELECT e.*, CAST(COALESCE(c.call_count, 0) AS BIGINT) AS call_count,
+        CASE WHEN t.callee IS NOT NULL THEN 1 ELSE 0 END AS used_in_tests,
+        CASE WHEN starts_with(e.name, '_') THEN 0 ELSE 1 END AS is_exported,
+        CAST(length(e.rel_path) - length(replace(e.rel_path, '/', '')) AS INTEGER) AS file_depth
+        FROM cat_entities e LEFT JOIN cat_counts c ON c.callee = e.name
+        LEFT JOIN cat_tests t ON t.callee = e.name""",
 }
 
 # views that other views are built from
 VIEW_DEPS = {
+    "cat_counts": ["cat_calls"],
+    "cat_tests": ["cat_calls"],
+    "cat_features": ["cat_entities", "cat_counts", "cat_tests"],
     "scored_results": ["code_entities"],
     "explanations": ["expl_base"],
 }
