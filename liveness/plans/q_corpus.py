@@ -15,8 +15,11 @@ from ..operators.rollups import call_counts
 from ..session import materialize
 from .analyze import analyze_corpus
 from .corpus import corpus_files
+from . import views as V
 from .registry import query
 
+W = V.with_views
+
 _CACHE: dict = {}
 
 
@@ -34,48 +37,53 @@ def q_analyze_corpus(spark, d):
     return results
 
 
-@query("extract_entities")
+@query("extract_entities", W("SELECT path, name, entity_type, start_line, end_line FROM corpus_entities", "corpus_entities"))
 def q_extract_entities(spark, d):
     return X.entities_of(_extracted(spark, d)).select("path", "name", "entity_type", "start_line", "end_line")
 
 
-@query("extract_calls")
+@query("extract_calls", W("SELECT * FROM corpus_calls", "corpus_calls"))
 def q_extract_calls(spark, d):
     return X.calls_of(_extracted(spark, d))
 
 
-@query("call_counts_corpus")
+@query("call_counts_corpus", W("SELECT callee, count(*) AS call_count FROM corpus_calls GROUP BY callee", "corpus_calls"))
 def q_call_counts_corpus(spark, d):
     return call_counts(X.calls_of(_extracted(spark, d)))
 
 
-@query("cyclomatic_complexity")
+@query("cyclomatic_complexity", W("""SELECT path, name, start_line, cyclomatic_complexity
+FROM corpus_entities WHERE entity_type = 'function'""", "corpus_entities"))
 def q_cyclomatic_complexity(spark, d):
     return X.entities_of(_extracted(spark, d)).where(F.col("entity_type") == "function") \
         .select("path", "name", "start_line", "cyclomatic_complexity")
 
 
-@query("class_method_count")
+@query("class_method_count", W("""SELECT path, name, start_line, cyclomatic_complexity AS method_count
+FROM corpus_entities WHERE entity_type = 'class'""", "corpus_entities"))
 def q_class_method_count(spark, d):
     return X.entities_of(_extracted(spark, d)).where(F.col("entity_type") == "class") \
         .select("path", "name", "start_line", F.col("cyclomatic_complexity").alias("method_count"))
 
 
-@query("dynamic_call_risk")
+@query("dynamic_call_risk", W("SELECT path, name, start_line, dynamic_call_risk FROM corpus_entities", "corpus_entities"))
 def q_dynamic_call_risk(spark, d):
     return X.entities_of(_extracted(spark, d)).select("path", "name", "start_line", "dynamic_call_risk")
 
 
-@query("entity_snippet")
+@query("entity_snippet", W("""SELECT path, name, start_line, snippet,
+  split_part(trim(snippet), chr(10), 1) AS first_line FROM corpus_entities""", "corpus_entities"))
 def q_entity_snippet(spark, d):
     e = X.entities_of(_extracted(spark, d))
     return e.select("path", "name", "start_line", "snippet",
                     F.split(F.trim(F.col("snippet")), "\n").getItem(0).alias("first_line"))
 
 
-@query("parse_errors")
+@query("parse_errors", W("""SELECT DISTINCT rel_path AS path, 'SyntaxError' AS error_kind
+FROM corpus_items WHERE broken""", "corpus_items"))
 def q_parse_errors(spark, d):
-    return X.errors_of(_extracted(spark, d))
+    return X.errors_of(_extracted(spark, d)).select(
+        "path", F.substring_index("error", ":", 1).alias("error_kind"))
 
 
 @query("scan_files")
@@ -85,6 +93,7 @@ def q_scan_files(spark, d):
         "rel_path", "language", F.col("length"))
 
 
-@query("is_test_file")
+@query("is_test_file", W("""SELECT rel_path, contains(lower(rel_path), 'test_') OR contains(lower(rel_path), '_test')
+  OR contains(lower(rel_path), 'tests') OR contains(lower(rel_path), 'spec') AS is_test FROM corpus_files""", "corpus_files"))
 def q_is_test_file(spark, d):
     return corpus_files(spark, d).select("rel_path", S.is_test_file("rel_path").alias("is_test"))

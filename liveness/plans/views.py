@@ -37,7 +37,9 @@ def sessions(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _entity_id():
-    return (F.col("l_orderkey") * 10 + F.col("l_linenumber")).cast("long")
+    """60-bit id from md5 of the unique (order, line, part, supplier) key."""
+    key = F.concat_ws(":", *[F.col(c).cast("string") for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")])
+    return F.conv(F.substring(F.md5(key), 1, 15), 16, 10).cast("long")
 
 
 def code_entities(spark: SparkSession, d: str) -> DataFrame:
@@ -174,6 +176,20 @@ def cat_calls(spark: SparkSession, d: str) -> DataFrame:
                     (F.col("o_orderpriority") == "1-URGENT").alias("in_test_file")))
 
 
+DOC_EXT = {"en": ".py", "de": ".js", "es": ".ts", "fr": ".tsx"}
+
+
+def doc_files(spark: SparkSession, d: str) -> DataFrame:
+    """documents as a source tree: German documents sit below an excluded build/ dir."""
+    from ..sources.files import detect_language
+    ext = F.element_at(F.create_map(*[x for k, v in DOC_EXT.items() for x in (F.lit(k), F.lit(v))]),
+                       F.col("lang"))
+    path = F.concat(F.when(F.col("lang") == "de", "build/").otherwise(""), F.col("source"), F.lit("/"),
+                    F.col("lang"), F.lit("/doc_"), F.col("doc_id").cast("string"), ext)
+    docs = table(spark, d, "documents").select("doc_id", path.alias("path"), F.col("text").alias("content"))
+    return docs.withColumn("language", detect_language("path"))
+
+
 def cat_features(spark: SparkSession, d: str) -> DataFrame:
     """Catalogue entities with the six model features attached."""
     from ..operators.joins import attach_features
@@ -186,7 +202,7 @@ def cat_features(spark: SparkSession, d: str) -> DataFrame:
 VIEW_SQL = {
     "sessions": """SELECT o_orderkey AS id, 'proj/' || CAST(o_custkey AS VARCHAR) AS project_path,
         o_orderdate AS "timestamp", 1 AS total_files FROM orders""",
-    "code_entities": """SELECT l_orderkey * 10 + l_linenumber AS id, l_orderkey AS session_id,
+    "code_entities": """SELECT ('0x' || substr(md5(CAST(l_orderkey AS VARCHAR) || ':' || CAST(l_linenumber AS VARCHAR) || ':' || CAST(l_partkey AS VARCHAR) || ':' || CAST(l_suppkey AS VARCHAR)), 1, 15))::BIGINT AS id, l_orderkey AS session_id,
         'src/f' || CAST(l_suppkey AS VARCHAR) || '.py' AS file_name,
         'fn_' || CAST(l_partkey AS VARCHAR) AS entity_name,
         CASE WHEN l_linenumber = 1 THEN 'class' ELSE 'function' END AS entity_type,
@@ -199,7 +215,7 @@ VIEW_SQL = {
         SELECT entity_id * 2 AS id, * FROM expl_base
         UNION ALL
         SELECT entity_id * 2 + 1 AS id, * FROM expl_base WHERE _rf = 'R')""",
-    "expl_base": """SELECT l_orderkey * 10 + l_linenumber AS entity_id,
+    "expl_base": """SELECT ('0x' || substr(md5(CAST(l_orderkey AS VARCHAR) || ':' || CAST(l_linenumber AS VARCHAR) || ':' || CAST(l_partkey AS VARCHAR) || ':' || CAST(l_suppkey AS VARCHAR)), 1, 15))::BIGINT AS entity_id,
         'entity fn_' || CAST(l_partkey AS VARCHAR) || ' reviewed' AS summary,
         CASE WHEN l_linestatus = 'O' THEN 'High' ELSE 'Low' END AS risk_level,
         'score-only confidence' AS confidence_explanation, '' AS llm_reasoning,
@@ -210,7 +226,7 @@ VIEW_SQL = {
                   || CASE WHEN l_linestatus = 'O' THEN 'High' ELSE 'Low' END || '"}' END AS xai_json,
         l_shipdate AS "timestamp", l_returnflag AS _rf
         FROM lineitem WHERE l_returnflag IN ('A', 'R')""",
-    "feature_vectors": """SELECT l_orderkey * 10 + l_linenumber AS id, l_orderkey * 10 + l_linenumber AS entity_id,
+    "feature_vectors": """SELECT ('0x' || substr(md5(CAST(l_orderkey AS VARCHAR) || ':' || CAST(l_linenumber AS VARCHAR) || ':' || CAST(l_partkey AS VARCHAR) || ':' || CAST(l_suppkey AS VARCHAR)), 1, 15))::BIGINT AS id, ('0x' || substr(md5(CAST(l_orderkey AS VARCHAR) || ':' || CAST(l_linenumber AS VARCHAR) || ':' || CAST(l_partkey AS VARCHAR) || ':' || CAST(l_suppkey AS VARCHAR)), 1, 15))::BIGINT AS entity_id,
         CAST(round(l_quantity) AS INTEGER) - 1 AS call_count,
         CASE WHEN l_returnflag = 'N' THEN 1 ELSE 0 END AS is_exported,
         CASE WHEN l_returnflag = 'A' THEN 1 ELSE 0 END AS used_in_tests,
@@ -248,6 +264,11 @@ VIEW_SQL = {
         CASE WHEN p_type = 'SMALL' THEN '_' WHEN p_type = 'PROMO' THEN '__' ELSE '' END || replace(p_name, ' ', '_') AS callee,
         o_orderpriority = '1-URGENT' AS in_test_file
         FROM lineitem JOIN part ON l_partkey = p_partkey JOIN orders ON l_orderkey = o_orderkey""",
+    "doc_files": """SELECT doc_id, CASE WHEN lang = 'de' THEN 'build/' ELSE '' END || source || '/' || lang || '/doc_'
+        || CAST(doc_id AS VARCHAR) || CASE lang WHEN 'en' THEN '.py' WHEN 'de' THEN '.js' WHEN 'es' THEN '.ts'
+        WHEN 'fr' THEN '.tsx' END AS path, text AS content,
+        CASE lang WHEN 'en' THEN 'python' WHEN 'de' THEN 'javascript' WHEN 'es' THEN 'typescript'
+        WHEN 'fr' THEN 'typescriptreact' END AS language FROM documents""",
     "cat_counts": "SELECT callee, count(*) AS call_count FROM cat_calls GROUP BY callee",
     "cat_tests": "SELECT DISTINCT callee FROM cat_calls WHERE in_test_file",
     "cat_features": """SELECT e.*, CAST(COALESCE(c.call_count, 0) AS BIGINT) AS call_count,
@@ -270,6 +291,9 @@ VIEW_DEPS = {
 
 def with_views(body: str, *names: str) -> str:
     """``WITH`` clause defining the named views (and what they depend on) + ``body``."""
+    from .corpus import CORPUS_DEPS, CORPUS_SQL
+    VIEW_SQL.update(CORPUS_SQL)
+    VIEW_DEPS.update(CORPUS_DEPS)
     ordered: list[str] = []
 
     def add(n: str) -> None:
