@@ -148,6 +148,11 @@ def explanation_cache_hit(requests: DataFrame, cache: DataFrame, key: str = "con
     return requests.join(c, requests[key] == c["_ck"], "left").drop("_ck")
 
 
-def explanation_cache_miss(requests: DataFrame, cache: DataFrame, key: str = "content_key") -> DataFrame:
-    """Distinct requests (one per key) that are not in the cache."""
-    return requests.join(cache.select(key), key, "left_anti").dropDuplicates([key])
+def explanation_cache_miss(requests: DataFrame, cache: DataFrame, key: str = "content_key",
+                           order: list[str] | None = None) -> DataFrame:
+    """Requests not in the cache, one per key (the first by ``order``)."""
+    missing = requests.join(cache.select(key), key, "left_anti")
+    if not order:
+        return missing.dropDuplicates([key])
+    w = Window.partitionBy(key).orderBy(*order)
+    return missing.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
