@@ -33,7 +33,7 @@ def _extracted(spark, d):
 
 @query("analyze_corpus")
 def q_analyze_corpus(spark, d):
-    results, _errors = analyze_corpus(corpus_files(spark, d))
+    results, _errors = analyze_corpus(None, extracted=_extracted(spark, d))
     return results
 
 
