@@ -21,8 +21,10 @@ from pyspark.sql import functions as F
 from ..session import table
 from .views import _cat_name
 
-# line numbers repeat within an order; (line, part, supplier) is unique per order
-ITEM_ORDER = ["l_linenumber", "l_partkey", "l_suppkey"]
+# line numbers repeat within an order; ordering by every column a block depends on makes
+# the module text deterministic (rows tying on all of them produce identical blocks)
+ITEM_ORDER = ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_returnflag", "l_linestatus",
+              "l_discount", "l_tax"]
 
 PRIORITY_DIRS = {
     "1-URGENT": "tests/",
@@ -93,9 +95,9 @@ _REL_SQL = (f"{_DIR_SQL} || CASE WHEN o_orderpriority = '1-URGENT' THEN 'test_o'
             " || CAST(o_orderkey AS VARCHAR) || '.py'")
 
 CORPUS_SQL = {
-    "corpus_items": f"""SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_returnflag, l_linestatus, l_discount,
-        l_tax, o_orderstatus, o_orderpriority, {_REL_SQL} AS rel_path, {_NAME_SQL} AS name,
-        COALESCE(lag({_NAME_SQL}) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey), 'main') AS callee,
+    "corpus_items": f"""SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_returnflag,
+        l_linestatus, l_discount, l_tax, o_orderstatus, o_orderpriority, {_REL_SQL} AS rel_path, {_NAME_SQL} AS name,
+        COALESCE(lag({_NAME_SQL}) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_returnflag, l_linestatus, l_discount, l_tax), 'main') AS callee,
         l_linenumber = 1 AND o_orderstatus = 'F' AS is_class,
         l_linestatus = 'O' AND l_discount >= 0.08 AS is_dyn, l_tax = 0.0 AS has_deco,
         o_orderstatus = 'P' AND o_orderpriority = '5-LOW' AS broken
@@ -115,10 +117,10 @@ CORPUS_SQL = {
     "corpus_files": f"""SELECT '/corpus/' || rel_path AS path, rel_path, 'python' AS language,
         '\"\"\"module ' || CAST(l_orderkey AS VARCHAR) || '\"\"\"' || {_NL} || {_NL} || body
         || CASE WHEN broken THEN {_NL} || 'def broken(:' || {_NL} ELSE '' END AS content
-        FROM (SELECT l_orderkey, rel_path, broken, string_agg(block, {_NL} ORDER BY l_linenumber, l_partkey, l_suppkey) AS body
+        FROM (SELECT l_orderkey, rel_path, broken, string_agg(block, {_NL} ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_returnflag, l_linestatus, l_discount, l_tax) AS body
               FROM corpus_blocks GROUP BY l_orderkey, rel_path, broken)""",
     # first line of each block: 3 + sum of (lines + 1) of the blocks before it
-    "corpus_placed": f"""SELECT *, 3 + COALESCE(sum(n_lines + 1) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey
+    "corpus_placed": f"""SELECT *, 3 + COALESCE(sum(n_lines + 1) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_returnflag, l_linestatus, l_discount, l_tax
           ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS block_start
         FROM (SELECT *, length(block) - length(replace(block, {_NL}, '')) AS n_lines FROM corpus_blocks)""",
     "corpus_entities": f"""
