@@ -143,26 +143,25 @@ CONTRIB_TYPE = "array<struct<name:string,label:string,value:double,contribution:
 def feature_contributions(params: ModelParams) -> Column:
     """w_i * z_i per feature (rounded to 4), direction 'dead' if the unrounded value is
     positive else 'live', labelled, ranked by |contribution| descending with ties in
-    feature order."""
+    feature order.
+
+    Ranked with ``sort_array`` over structs led by (-|contribution|, feature index) -
+    natural struct order, no lambda comparator - and the sort keys are dropped with
+    ``arrays_zip`` of the wanted fields (no higher-order function)."""
     items = []
     for i, (w, f) in enumerate(zip(params.coef, params.features)):
         c = F.lit(w) * scaled(params.scaler, f)
+        rc = round_half_up(c, 4)
         items.append(F.struct(
-            F.lit(i).alias("idx"), F.lit(f).alias("name"),
-            F.lit(K.FEATURE_LABELS.get(f, f)).alias("label"),
-            F.col(f).cast("double").alias("value"),
-            round_half_up(c, 4).alias("contribution"),
-            F.when(c > 0, "dead").otherwise("live").alias("direction")))
-
-    def cmp(x, y):
-        ax, ay = F.abs(x["contribution"]), F.abs(y["contribution"])
-        return (F.when(ax > ay, -1).when(ax < ay, 1)
-                .when(x["idx"] < y["idx"], -1).when(x["idx"] > y["idx"], 1).otherwise(0))
-
-    ranked = F.array_sort(F.array(*items), cmp)
-    return F.transform(ranked, lambda s: F.struct(
-        s["name"].alias("name"), s["label"].alias("label"), s["value"].alias("value"),
-        s["contribution"].alias("contribution"), s["direction"].alias("direction")))
+            (-F.abs(rc)).alias("k"), F.lit(i).alias("idx"), F.lit(f).alias("name"),
+            F.lit(K.FEATURE_LABELS.get(f, f)).alias("label"), F.col(f).cast("double").alias("value"),
+            rc.alias("contribution"), F.when(c > 0, "dead").otherwise("live").alias("direction")))
+    arr = F.sort_array(F.array(*items))
+    return F.arrays_zip(*[arr.getField(x).alias(x) for x in ("name", "label", "value", "contribution", "direction")])
+
+
+def with_feature_contributions(df: DataFrame, params: ModelParams, out: str = "top_features") -> DataFrame:
+    return df.withColumn(out, feature_contributions(params))
 
 
 def save_model(params: ModelParams, spark, path: str) -> None:

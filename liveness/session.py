@@ -33,6 +33,7 @@ def build_session(master: str | None = None, app: str = "liveness",
         .config("spark.driver.memory", "8g")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
+        .config("spark.sql.codegen.maxFields", "1000")
         .config("spark.sql.files.maxPartitionBytes", str(32 * 1024 * 1024))
         .getOrCreate()
     )

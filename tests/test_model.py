@@ -61,7 +61,7 @@ def test_contributions_ranked(spark):
     df = spark.createDataFrame([(0, 1, 0, 0, 3, 1)], ", ".join(f"{f} long" for f in K.FEATURES))
     params = M.ModelParams(M.ScalerParams(list(K.FEATURES), [1.0] * 6, [1.0] * 6),
                            [1.0, 0.5, -2.0, 0.5, 0.25, 1.0], 0.0)
-    c = df.select(M.feature_contributions(params).alias("c")).first().c
+    c = M.with_feature_contributions(df, params, "c").first().c
     # z = x - 1 -> contributions -1, 0, +2, -0.5, +0.5, 0; equal |contribution| keeps feature order
     assert [x.name for x in c] == ["used_in_tests", "call_count", "dynamic_call_risk",
                                    "cyclomatic_complexity", "is_exported", "file_depth"]
