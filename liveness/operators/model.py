@@ -43,10 +43,13 @@ class ModelParams:
         return ModelParams(ScalerParams(**d["scaler"]), d["coef"], d["intercept"], d.get("meta", {}))
 
 
-# A default model for scoring without a training run: weights on the standardised
-# features, fitted by ``fit_logistic`` on the catalogue features of the sf0.1 driver
-# tables against ``rule_dead_score`` labels, then frozen. The scaler is always refitted
-# on the data being scored.
+# A default model for scoring without a training run. No trained coefficients are
+# published for the analysed tool, and ``rule_dead_score`` labels on the driver-derived
+# data are almost all positive (a fit on them degenerates to a large intercept), so
+# these weights on the standardised features are a hand-set prior: the signs follow
+# the rule score (fewer references, private, untested, no dynamic invocation, simple
+# and deeply nested code all push towards "unused"); the magnitudes are ours. Train
+# real weights with ``fit_logistic``. The scaler is always fitted on the data scored.
 DEFAULT_COEF = [-1.0, -0.8, -1.2, -0.6, -0.5, 0.4]
 DEFAULT_INTERCEPT = 0.3
 

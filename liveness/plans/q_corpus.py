@@ -31,10 +31,62 @@ def _extracted(spark, d):
     return _CACHE[key]
 
 
-@query("analyze_corpus")
+def _analyze_sql() -> str:
+    from .q_catalogue import REASONS_ALIVE_SQL, REASONS_DEAD_SQL
+    from .q_model import _contrib_sql, _logit_sql, _stats_sql, _z_sql
+    from .registry import snap_sql
+    pct = "CAST(trunc(conf_raw * 100) AS INTEGER)"
+    q = "''"  # an escaped quote inside SQL string literals
+    return W(f"""WITH feats AS (
+  SELECT e.path, e.name, e.entity_type, e.start_line, e.end_line, e.cyclomatic_complexity, e.dynamic_call_risk,
+    e.snippet, CAST(COALESCE(c.n, 0) AS BIGINT) AS call_count,
+    CASE WHEN t.callee IS NOT NULL THEN 1 ELSE 0 END AS used_in_tests,
+    CASE WHEN starts_with(e.name, '_') THEN 0 ELSE 1 END AS is_exported,
+    CAST(length(e.path) - length(replace(e.path, '/', '')) AS INTEGER) AS file_depth,
+    e.path || '#' || CAST(e.start_line AS VARCHAR) || '#' || e.name AS ekey
+  FROM corpus_entities e
+  LEFT JOIN (SELECT callee, count(*) AS n FROM corpus_calls GROUP BY callee) c ON c.callee = e.name
+  LEFT JOIN (SELECT DISTINCT callee FROM corpus_calls WHERE in_test_file) t ON t.callee = e.name),
+stats AS ({_stats_sql("feats")}), z AS ({_z_sql("feats")}),
+scored AS (SELECT *, 1.0 / (1.0 + exp(-{_logit_sql()})) AS conf_raw FROM z),
+contrib AS (SELECT ekey, string_agg(name || ':' || printf('%.4f', contribution), ';' ORDER BY rank) AS top_features
+  FROM (SELECT *, row_number() OVER (PARTITION BY ekey ORDER BY abs(contribution) DESC, idx) AS rank
+        FROM ({_contrib_sql("ekey")})) GROUP BY ekey)
+SELECT s.path, s.name, s.entity_type, s.start_line, s.end_line, s.call_count, s.is_exported, s.used_in_tests,
+  s.dynamic_call_risk, s.cyclomatic_complexity, s.file_depth, {snap_sql('conf_raw')} AS confidence,
+  CASE WHEN conf_raw >= 0.75 THEN 'danger' WHEN conf_raw >= 0.55 THEN 'warning'
+       WHEN conf_raw >= 0.35 THEN 'review' ELSE 'safe' END AS severity,
+  {REASONS_DEAD_SQL} AS reasons_dead, {REASONS_ALIVE_SQL} AS reasons_alive,
+  CASE WHEN conf_raw >= 0.75 THEN printf('{q}%s{q} is %d%% likely unused: strong signals.', s.name, {pct})
+       WHEN conf_raw >= 0.55 THEN printf('{q}%s{q} shows unused-code signals (%d%%); check before removing.', s.name, {pct})
+       WHEN conf_raw >= 0.35 THEN printf('{q}%s{q} has mixed signals (%d%%); review it by hand.', s.name, {pct})
+       ELSE printf('{q}%s{q} looks in use (%d%% dead confidence).', s.name, {pct}) END AS summary,
+  concat_ws('; ',
+    CASE WHEN call_count = 0 THEN printf('{q}%s{q} has no references', s.name)
+         WHEN call_count = 1 THEN printf('{q}%s{q} has a single reference', s.name)
+         ELSE printf('{q}%s{q} has %d references', s.name, call_count) END,
+    CASE WHEN is_exported = 0 THEN 'it is private' ELSE 'it is public' END,
+    CASE WHEN used_in_tests = 0 THEN 'no test references it' ELSE 'tests reference it' END,
+    CASE WHEN dynamic_call_risk = 1 THEN 'dynamic invocation found, do not remove blindly' END,
+    CASE WHEN cyclomatic_complexity <= 2 THEN printf('simple logic (complexity %d)', cyclomatic_complexity)
+         WHEN cyclomatic_complexity >= 8 THEN printf('complex logic (complexity %d)', cyclomatic_complexity)
+         ELSE printf('moderate complexity (%d)', cyclomatic_complexity) END)
+    || printf('. Dead-code confidence overall: %d%%.', {pct}) AS explanation,
+  c.top_features, s.snippet
+FROM scored s JOIN contrib c ON c.ekey = s.ekey""", "corpus_entities", "corpus_calls")
+
+
+@query("analyze_corpus", _analyze_sql())
 def q_analyze_corpus(spark, d):
+    """The flagship result, with the list columns flattened to text for comparison:
+    reasons joined by ' | ', ranked contributions as 'name:0.1234;...'."""
     results, _errors = analyze_corpus(None, extracted=_extracted(spark, d))
-    return results
+    return (results
+            .withColumn("reasons_dead", F.array_join("reasons_dead", " | "))
+            .withColumn("reasons_alive", F.array_join("reasons_alive", " | "))
+            .withColumn("top_features", F.array_join(F.transform(
+                "top_features", lambda x: F.concat(x["name"], F.lit(":"),
+                                                   F.format_string("%.4f", x["contribution"]))), ";")))
 
 
 @query("extract_entities", W("SELECT path, name, entity_type, start_line, end_line FROM corpus_entities", "corpus_entities"))

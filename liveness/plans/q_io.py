@@ -98,9 +98,21 @@ def q_append_removals(spark, d):
                                                              "confidence_score")
 
 
-@query("append_analysis")
+def _append_analysis_sql() -> str:
+    from .q_corpus import _analyze_sql
+    return ("SELECT path AS file_name, name AS entity_name, entity_type, start_line, end_line, "
+            "confidence AS confidence_score FROM (" + _analyze_sql() + ")")
+
+
+@query("append_analysis", _append_analysis_sql())
 def q_append_analysis(spark, d):
-    from .q_corpus import q_analyze_corpus
+    """Persist a run (four tables, ids hashed from natural keys and the run time), read
+    the entity table back; compared on its deterministic columns."""
+    from .analyze import analyze_corpus
+    from .q_corpus import _extracted
+    results, _ = analyze_corpus(None, extracted=_extracted(spark, d))
     root = new_stage_path(spark, "history")
-    IO.append_analysis(q_analyze_corpus(spark, d), root, project="corpus")
-    return spark.read.parquet(f"{root}/code_entities")
+    IO.append_analysis(results, root, project="corpus")
+    ents = spark.read.parquet(f"{root}/code_entities")
+    assert spark.read.parquet(f"{root}/analysis_sessions").count() == 1
+    return ents.select("file_name", "entity_name", "entity_type", "start_line", "end_line", "confidence_score")
