@@ -73,7 +73,64 @@ def q_symbol_named_in_text(spark, d):
     return joins.symbol_named_in_text(q, s, order=["entity_id"])
 
 
-@query("answer_questions")
+def _lit(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def _answers_sql() -> str:
+    pr = "CAST(floor({c} * 100 + 0.5) AS INTEGER)"
+    body = f"""WITH q AS (SELECT question_id, file_name, text, {INTENT_SQL} AS intent
+  FROM (SELECT *, lower(trim(text)) AS lq FROM ({Q_SQL}))),
+r AS (SELECT * FROM scored_results),
+cnt AS (SELECT file_name, count(*) AS total_symbols,
+  CAST(sum(CASE WHEN confidence >= 0.75 THEN 1 ELSE 0 END) AS BIGINT) AS danger_count,
+  CAST(sum(CASE WHEN confidence >= 0.55 AND confidence < 0.75 THEN 1 ELSE 0 END) AS BIGINT) AS warning_count,
+  CAST(sum(CASE WHEN confidence >= 0.35 AND confidence < 0.55 THEN 1 ELSE 0 END) AS BIGINT) AS review_count,
+  CAST(sum(CASE WHEN confidence < 0.35 THEN 1 ELSE 0 END) AS BIGINT) AS safe_count
+  FROM r GROUP BY file_name),
+m AS (SELECT q.question_id, min(r.entity_id) AS eid FROM q JOIN r ON r.file_name = q.file_name
+      AND contains(lower(q.text), lower(r.name)) WHERE q.intent = 'explain' GROUP BY q.question_id),
+qc AS (SELECT q.*, cnt.total_symbols, cnt.danger_count, cnt.warning_count, cnt.review_count, cnt.safe_count,
+         r.name AS sym_name, r.confidence AS sym_confidence
+       FROM q LEFT JOIN cnt ON cnt.file_name = q.file_name LEFT JOIN m ON m.question_id = q.question_id
+       LEFT JOIN r ON r.entity_id = m.eid),
+heads AS (SELECT question_id, intent, 0 AS item_no, CASE
+  WHEN intent = 'count' THEN CASE WHEN total_symbols IS NOT NULL THEN printf('%s: %d danger, %d warning, %d review, %d safe (%d symbols).',
+       file_name, danger_count, warning_count, review_count, safe_count, total_symbols) ELSE {_lit(QU.NO_RESULTS)} END
+  WHEN intent = 'removable' THEN CASE WHEN total_symbols IS NULL THEN {_lit(QU.NO_RESULTS)}
+       WHEN danger_count > 0 THEN printf('%d symbols are safe to remove (>= 75%% confidence).', danger_count)
+       ELSE {_lit("No symbol is confident enough (>= 75%) to remove without review.")} END
+  WHEN intent = 'explain' THEN CASE WHEN total_symbols IS NULL THEN {_lit(QU.NO_RESULTS)}
+       WHEN sym_name IS NOT NULL THEN printf('%s is %d%% likely dead.', sym_name, {pr.format(c='sym_confidence')})
+       ELSE {_lit("That symbol was not found; the symbols of this file follow.")} END
+  WHEN intent = 'summary' THEN CASE WHEN total_symbols IS NOT NULL THEN printf('Summary of %s: %d danger, %d warning, %d review, %d safe.',
+       file_name, danger_count, warning_count, review_count, safe_count) ELSE {_lit(QU.NO_RESULTS)} END
+  WHEN intent = 'help' THEN {_lit(QU.HELP_TEXT)}
+  WHEN intent = 'definition' THEN {_lit(QU.DEFINITION_TEXT)}
+  ELSE {_lit(QU.UNKNOWN_TEXT)} END AS text FROM qc),
+items AS (
+  SELECT qc.question_id, qc.intent, r.start_line AS o1, r.entity_id AS o2,
+    printf('%s - %d%% dead (L%d-%d)', r.name, {pr.format(c='r.confidence')}, r.start_line, r.end_line) AS text
+  FROM qc JOIN r ON r.file_name = qc.file_name
+  WHERE qc.total_symbols IS NOT NULL AND qc.intent = 'removable' AND r.confidence >= 0.75
+  UNION ALL
+  SELECT qc.question_id, qc.intent, r.start_line, r.entity_id, printf('%s - %d%%', r.name, {pr.format(c='r.confidence')})
+  FROM qc JOIN r ON r.file_name = qc.file_name
+  WHERE qc.total_symbols IS NOT NULL AND qc.intent = 'explain' AND qc.sym_name IS NULL
+  UNION ALL
+  SELECT question_id, intent, 0, rk, text FROM (
+    SELECT qc.question_id, qc.intent, printf('%s - %d%%', r.name, {pr.format(c='r.confidence')}) AS text,
+      row_number() OVER (PARTITION BY qc.question_id ORDER BY r.confidence DESC, r.entity_id) AS rk
+    FROM qc JOIN r ON r.file_name = qc.file_name
+    WHERE qc.total_symbols IS NOT NULL AND qc.intent = 'summary' AND r.confidence > 0.5) WHERE rk <= 5)
+SELECT * FROM heads
+UNION ALL
+SELECT question_id, intent, CAST(row_number() OVER (PARTITION BY question_id ORDER BY o1, o2) AS INTEGER), text
+FROM items"""
+    return W(body, "scored_results")
+
+
+@query("answer_questions", _answers_sql())
 def q_answer_questions(spark, d):
     return QU.answer_questions(_questions(spark, d), V.scored_results(spark, d))
 
