@@ -98,9 +98,14 @@ def symbol_at_line(symbols: DataFrame, probes: DataFrame, file_col: str = "file_
     cond = ((p[file_col] == s["_sf"]) & (p["_pb"] == s["_bucket"])
             & (F.col(f"sym_{start}") <= p[line]) & (p[line] <= F.col(f"sym_{end}")))
     joined = p.join(s, cond, "left")
-    w = Window.partitionBy(probe_id).orderBy(*[F.col(f"sym_{c}").asc_nulls_last() for c in order])
-    first = (joined.withColumn("_rn", F.row_number().over(w)).where("_rn = 1")
-             .drop("_rn", "_pb", "_sf", "_bucket"))
+    # first symbol per probe as a min_by aggregate (partial aggregation before the
+    # shuffle, so a probe hit by many symbols is reduced map-side); unmatched probes
+    # have a NULL ordering key and get NULL symbol columns
+    probe_cols = [c for c in probes.columns]
+    picked = joined.groupBy(*probe_cols).agg(F.min_by(
+        F.struct(*[F.col(f"sym_{c}").alias(f"sym_{c}") for c in sym_cols]),
+        F.struct(*[F.col(f"sym_{c}") for c in order])).alias("_m"))
+    first = picked.select(*probe_cols, *[F.col(f"_m.sym_{c}").alias(f"sym_{c}") for c in sym_cols])
     if min_conf is not None:
         hide = F.col(f"sym_{conf}") < min_conf
         for c in sym_cols:
@@ -135,9 +140,10 @@ def symbol_named_in_text(questions: DataFrame, symbols: DataFrame, file_col: str
     s = sym.select(F.col(file_col).alias("_sf"), F.col("_lname").alias("_sub2"),
                    *[F.col(c).alias(f"sym_{c}") for c in sym_cols])
     hits = cand.join(s, (cand[file_col] == s["_sf"]) & (cand["_sub"] == s["_sub2"]))
-    w = Window.partitionBy(qid).orderBy(*[F.col(f"sym_{c}") for c in order])
-    first = (hits.withColumn("_rn", F.row_number().over(w)).where("_rn = 1")
-             .select(qid, *[f"sym_{c}" for c in sym_cols]))
+    first = hits.groupBy(qid).agg(F.min_by(
+        F.struct(*[F.col(f"sym_{c}").alias(f"sym_{c}") for c in sym_cols]),
+        F.struct(*[F.col(f"sym_{c}") for c in order])).alias("_m")).select(
+        qid, *[F.col(f"_m.sym_{c}").alias(f"sym_{c}") for c in sym_cols])
     return questions.join(first, qid, "left")
 
 
@@ -151,8 +157,8 @@ def explanation_cache_hit(requests: DataFrame, cache: DataFrame, key: str = "con
 def explanation_cache_miss(requests: DataFrame, cache: DataFrame, key: str = "content_key",
                            order: list[str] | None = None) -> DataFrame:
     """Requests not in the cache, one per key (the first by ``order``)."""
+    from .ordering import first_seen
     missing = requests.join(cache.select(key), key, "left_anti")
     if not order:
         return missing.dropDuplicates([key])
-    w = Window.partitionBy(key).orderBy(*order)
-    return missing.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
+    return first_seen(missing, [key], order)

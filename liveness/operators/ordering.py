@@ -1,8 +1,15 @@
 """Row-order operators: latest per key, de-duplication, pagination, top-N, sorting.
 
-Per-key forms use partitioned windows (shuffle on the key only); global newest-N uses
-``orderBy().limit()`` which plans as TakeOrderedAndProject (per-partition top-N, no
-full sort)."""
+Skew rule: one key may hold a large share of all rows, so no operator here ranks a
+whole group inside one task when it only needs a few rows of it.
+
+* first / latest row per key: ``min_by`` / ``max_by`` aggregates - hash aggregation
+  with a map-side partial step, so a hot key is reduced before the shuffle;
+* top-n per group: two phases - rank inside (group, hash bucket) and keep n, then
+  rank the at most n x buckets survivors of each group - exact, because every row of
+  a group's top n is in the top n of its bucket;
+* global newest-n: ``orderBy().limit()``, planned as TakeOrderedAndProject.
+"""
 
 from __future__ import annotations
 
@@ -11,15 +18,40 @@ from pyspark.sql import functions as F
 
 from .. import constants as K
 
+SALT_BUCKETS = 64
+
 
 def _order(cols) -> list[Column]:
     return [F.col(c) if isinstance(c, str) else c for c in cols]
 
 
+def _pick(df: DataFrame, keys: list[str], order_struct: Column, agg) -> DataFrame:
+    rest = [c for c in df.columns if c not in keys]
+    row = F.struct(*[F.col(c) for c in rest])
+    return df.groupBy(*keys).agg(agg(row, order_struct).alias("_r")).select(
+        *keys, *[F.col(f"_r.{c}").alias(c) for c in rest])
+
+
 def latest_per_key(df: DataFrame, keys: list[str], order_desc: list[str]) -> DataFrame:
-    """Last write wins: newest row per key, ties broken by the later columns."""
-    w = Window.partitionBy(*keys).orderBy(*[F.col(c).desc() for c in order_desc])
-    return df.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
+    """Last write wins: the row with the greatest (order_desc...) per key."""
+    return _pick(df, keys, F.struct(*[F.col(c) for c in order_desc]), F.max_by)
+
+
+def first_seen(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """Keep the first row per key by the given (ascending) order."""
+    return _pick(df, keys, F.struct(*[F.col(c) for c in order]), F.min_by)
+
+
+def top_n_per_group(df: DataFrame, group: list[str], order: list, n: int, rank_col: str = "rank",
+                    salt_buckets: int = SALT_BUCKETS) -> DataFrame:
+    """The first ``n`` rows of each group by ``order`` with their 1-based rank."""
+    salt = F.pmod(F.xxhash64(*[F.col(c) for c in df.columns]), F.lit(salt_buckets))
+    w1 = Window.partitionBy(*group, "_salt").orderBy(*_order(order))
+    local = (df.withColumn("_salt", salt).withColumn("_r1", F.row_number().over(w1))
+             .where(F.col("_r1") <= n).drop("_r1"))
+    w2 = Window.partitionBy(*group).orderBy(*_order(order))
+    return (local.withColumn(rank_col, F.row_number().over(w2)).where(F.col(rank_col) <= n)
+            .drop("_salt"))
 
 
 def newest(df: DataFrame, n: int, ts: str = "timestamp", tie: str = "id",
@@ -32,8 +64,7 @@ def newest(df: DataFrame, n: int, ts: str = "timestamp", tie: str = "id",
 
 def newest_per_group(df: DataFrame, group: str, n: int, ts: str = "timestamp",
                      tie: str = "id") -> DataFrame:
-    w = Window.partitionBy(group).orderBy(F.col(ts).desc(), F.col(tie).desc())
-    return df.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
+    return top_n_per_group(df, [group], [F.col(ts).desc(), F.col(tie).desc()], n)
 
 
 def recent_sessions(sessions: DataFrame, project: str | None = None,
@@ -52,21 +83,14 @@ def recent_chat(chats: DataFrame, n: int = K.RECENT_CHATS) -> DataFrame:
     return newest(chats, n)
 
 
-def first_seen(df: DataFrame, keys: list[str], order: list) -> DataFrame:
-    """Keep the first row per key by the given order."""
-    w = Window.partitionBy(*keys).orderBy(*_order(order))
-    return df.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
-
-
 def paginate(df: DataFrame, order: list, page: int, per_page: int = 10,
              group: str | None = None) -> DataFrame:
     """Rows (page-1)*per_page ... of the ordered table (or of each group)."""
     start = (page - 1) * per_page
     if group is None:
         return df.orderBy(*_order(order)).offset(start).limit(per_page)
-    w = Window.partitionBy(group).orderBy(*_order(order))
-    return (df.withColumn("row_no", F.row_number().over(w))
-            .where((F.col("row_no") > start) & (F.col("row_no") <= start + per_page)))
+    top = top_n_per_group(df, [group], order, start + per_page, rank_col="row_no")
+    return top.where(F.col("row_no") > start)
 
 
 def sort_results(results: DataFrame, mode: str = "confidence", file_col: str = "file_name",
@@ -75,7 +99,8 @@ def sort_results(results: DataFrame, mode: str = "confidence", file_col: str = "
     """Dashboard order within each file: confidence desc / name asc / line asc.
 
     Adds ``sort_pos`` (1-based position within the file) so the order survives a
-    distributed write; name order is binary (code point), not locale-aware."""
+    distributed write; name order is binary (code point), not locale-aware. Positions
+    need every row of a file in order, so this is the one per-file window kept."""
     keys = {
         "confidence": [F.col(conf).desc()],
         "name": [F.col(name).asc()],
@@ -91,8 +116,7 @@ def top_suspects(results: DataFrame, n: int = K.TOP_SUSPECTS, file_col: str | No
     cand = results.where(F.col(conf) > K.PREDICT_DEAD_ABOVE)
     if file_col is None:
         return cand.orderBy(F.col(conf).desc(), F.col(tie).asc()).limit(n)
-    w = Window.partitionBy(file_col).orderBy(F.col(conf).desc(), F.col(tie).asc())
-    return cand.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
+    return top_n_per_group(cand, [file_col], [F.col(conf).desc(), F.col(tie).asc()], n)
 
 
 def top_features(contributions: Column, n: int) -> Column:

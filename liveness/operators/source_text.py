@@ -76,8 +76,8 @@ def regex_symbols(files: DataFrame, path: str = "rel_path", content: str = "cont
 
 def first_seen_symbols(symbols: DataFrame, path: str = "rel_path") -> DataFrame:
     """One row per (file, name): the first by (pattern order, position)."""
-    w = Window.partitionBy(path, "name").orderBy("pattern_no", "start_line")
-    return symbols.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
+    from .ordering import first_seen
+    return first_seen(symbols, [path, "name"], ["pattern_no", "start_line"])
 
 
 def _ranges_per_file(ranges: DataFrame, path: str, start: str, end: str) -> DataFrame:

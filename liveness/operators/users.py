@@ -31,7 +31,7 @@ def import_users(existing: DataFrame, legacy: DataFrame, order: str) -> tuple[Da
                         F.lit(True).alias("active"), F.lit(1).alias("_src"), F.col(order).alias("_ord"))
     old = existing.select("user_id", "name", "email", "active", F.lit(0).alias("_src"),
                           F.lit(None).cast(new.schema["_ord"].dataType).alias("_ord"))
-    w = Window.partitionBy("user_id").orderBy(F.col("_src").desc(), F.col("_ord").desc_nulls_last())
-    users = (old.unionByName(new).withColumn("_rn", F.row_number().over(w))
-             .where("_rn = 1").drop("_rn", "_src", "_ord"))
+    from .ordering import latest_per_key
+    # max over (source, order): legacy rows beat existing ones, later lines beat earlier
+    users = latest_per_key(old.unionByName(new), ["user_id"], ["_src", "_ord"]).drop("_src", "_ord")
     return users, legacy.agg(F.count(F.lit(1)).alias("imported"))

@@ -44,7 +44,7 @@ def q_run_pipeline(spark, d):
 @query("read_json_map", W("SELECT CAST(user_id AS VARCHAR) AS id, name, email, active FROM users", "users"))
 def q_read_json_map(spark, d):
     path = new_stage_path(spark, "users-json")
-    IO.write_json_map(V.users(spark, d), path, key="user_id", group="nation")
+    IO.write_json_map(V.users(spark, d), path, key="user_id", drop=("nation",))
     return IO.read_json_map(spark, path, "name:string,email:string,active:boolean")
 
 
