@@ -143,14 +143,7 @@ def score_entities(df: DataFrame, params: ModelParams, out: str = "confidence")
 CONTRIB_TYPE = "array<struct<name:string,label:string,value:double,contribution:double,direction:string>>"
 
 
-def feature_contributions(params: ModelParams) -> Column:
-    """w_i * z_i per feature (rounded to 4), direction 'dead' if the unrounded value is
-    positive else 'live', labelled, ranked by |contribution| descending with ties in
-    feature order.
-
-    Ranked with ``sort_array`` over structs led by (-|contribution|, feature index) -
-    natural struct order, no lambda comparator - and the sort keys are dropped with
-    ``arrays_zip`` of the wanted fields (no higher-order function)."""
+def _contribution_items(params: ModelParams) -> list[Column]:
     items = []
     for i, (w, f) in enumerate(zip(params.coef, params.features)):
         c = F.lit(w) * scaled(params.scaler, f)
@@ -159,12 +152,61 @@ def feature_contributions(params: ModelParams) -> Column:
             (-F.abs(rc)).alias("k"), F.lit(i).alias("idx"), F.lit(f).alias("name"),
             F.lit(K.FEATURE_LABELS.get(f, f)).alias("label"), F.col(f).cast("double").alias("value"),
             rc.alias("contribution"), F.when(c > 0, "dead").otherwise("live").alias("direction")))
-    arr = F.sort_array(F.array(*items))
-    return F.arrays_zip(*[arr.getField(x).alias(x) for x in ("name", "label", "value", "contribution", "direction")])
+    return items
+
+
+_CONTRIB_FIELDS = ("name", "label", "value", "contribution", "direction")
+
+
+def feature_contributions(params: ModelParams) -> Column:
+    """w_i * z_i per feature (rounded to 4), direction 'dead' if the unrounded value is
+    positive else 'live', labelled, ranked by |contribution| descending with ties in
+    feature order (single-Column form; ``with_feature_contributions`` is the staged,
+    cheaper form for wide plans)."""
+    arr = F.sort_array(F.array(*_contribution_items(params)))
+    return F.arrays_zip(*[arr.getField(x).alias(x) for x in _CONTRIB_FIELDS])
 
 
 def with_feature_contributions(df: DataFrame, params: ModelParams, out: str = "top_features") -> DataFrame:
-    return df.withColumn(out, feature_contributions(params))
+    """Adds ``out`` (see ``feature_contributions``). Ranked with ``sort_array`` over
+    structs led by (-|contribution|, feature index) - natural struct order, no lambda
+    comparator - staged as its own column so the sort is evaluated once per row, then
+    the sort keys are dropped with ``arrays_zip`` of the wanted fields."""
+    staged = df.withColumn("_sorted_contrib", F.sort_array(F.array(*_contribution_items(params))))
+    return staged.withColumn(out, F.arrays_zip(
+        *[F.col("_sorted_contrib").getField(x).alias(x) for x in _CONTRIB_FIELDS])).drop("_sorted_contrib")
+
+
+def contribution_rows(df: DataFrame, params: ModelParams, keys: list[str]) -> DataFrame:
+    """The ranked contributions as rows: (keys..., rank, name, label, value,
+    contribution, direction), six per input row.
+
+    Ranks are sums of pairwise comparisons of |contribution| (ties in feature order) and
+    the six per-feature structs are turned into rows with ``unpivot`` (an Expand node,
+    code-generated) - much cheaper than exploding a sorted array."""
+    n = len(params.features)
+    cs = [round_half_up(F.lit(w) * scaled(params.scaler, f), 4).alias(f"_c{i}")
+          for i, (w, f) in enumerate(zip(params.coef, params.features))]
+    dirs = [(F.lit(w) * scaled(params.scaler, f) > 0).alias(f"_d{i}")
+            for i, (w, f) in enumerate(zip(params.coef, params.features))]
+    base = df.select(*keys, *params.features, *cs, *dirs)
+    ranks = []
+    for i in range(n):
+        r = F.lit(1)
+        for j in range(n):
+            if j != i:
+                aj, ai = F.abs(F.col(f"_c{j}")), F.abs(F.col(f"_c{i}"))
+                r = r + F.when((aj > ai) if j > i else (aj >= ai), 1).otherwise(0)
+        ranks.append(r.cast("long").alias(f"_r{i}"))
+    base = base.select("*", *ranks)
+    structs = [F.struct(F.col(f"_r{i}").alias("rank"), F.lit(f).alias("name"),
+                        F.lit(K.FEATURE_LABELS.get(f, f)).alias("label"), F.col(f).cast("double").alias("value"),
+                        F.col(f"_c{i}").alias("contribution"),
+                        F.when(F.col(f"_d{i}"), "dead").otherwise("live").alias("direction")).alias(f"_s{i}")
+               for i, f in enumerate(params.features)]
+    wide = base.select(*keys, *structs)
+    return (wide.unpivot(keys, [f"_s{i}" for i in range(n)], "_feature", "_s")
+            .select(*keys, "_s.rank", "_s.name", "_s.label", "_s.value", "_s.contribution", "_s.direction"))
 
 
 def save_model(params: ModelParams, spark, path: str) -> None:
