@@ -185,7 +185,7 @@ REPLIES_SQL = """SELECT conv_id * 1000 + turn AS reply_id, 200 AS status,
   CASE WHEN role = 'system' THEN 'not json' ELSE
     CAST(to_json({'choices': [{'message': {'content': CAST(
       CASE WHEN turn = 1 THEN to_json({'risk_level': CASE WHEN length(text) > 500 THEN 'High' ELSE 'Low' END})
-           ELSE to_json({'summary': substring(text, 1, 60),
+           ELSE to_json({'summary': text,
                          'risk_level': CASE WHEN length(text) > 500 THEN 'High' ELSE 'Low' END,
                          'action': 'review'}) END AS VARCHAR)}}]}) AS VARCHAR) END AS body
 FROM conversations WHERE role <> 'user'"""
@@ -203,7 +203,7 @@ def _replies(spark, d):
     c = table(spark, d, "conversations").where(F.col("role") != "user")
     risk = F.when(F.length("text") > 500, "High").otherwise("Low")
     content = F.when(F.col("turn") == 1, F.to_json(F.struct(risk.alias("risk_level")))).otherwise(
-        F.to_json(F.struct(F.substring("text", 1, 60).alias("summary"), risk.alias("risk_level"),
+        F.to_json(F.struct(F.col("text").alias("summary"), risk.alias("risk_level"),
                            F.lit("review").alias("action"))))
     body = F.to_json(F.struct(F.array(F.struct(F.struct(content.alias("content")).alias("message"))).alias("choices")))
     return c.select((F.col("conv_id") * 1000 + F.col("turn")).alias("reply_id"), F.lit(200).alias("status"),
