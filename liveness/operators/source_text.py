@@ -39,36 +39,46 @@ def pattern_language(language) -> Column:
     return F.when(lang.isin("python", "typescript"), lang).otherwise(F.lit("javascript"))
 
 
+def _slot_extract(line: Column, lang: Column, k: int) -> tuple[Column, Column]:
+    """(name, kind) found by pattern slot ``k`` of the line's language; literal patterns
+    only, so each compiles once per task."""
+    name = None
+    kind = None
+    for lg, pats in SYMBOL_PATTERNS.items():
+        if k < len(pats):
+            pat, knd = pats[k]
+            hit = F.regexp_extract(line, pat, 1)
+            name = F.when(lang == lg, hit) if name is None else name.when(lang == lg, hit)
+            kind = F.when(lang == lg, F.lit(knd)) if kind is None else kind.when(lang == lg, F.lit(knd))
+    return name, kind
+
+
 def regex_symbols(files: DataFrame, path: str = "rel_path", content: str = "content",
                   language: str = "language", dedupe: bool = True) -> DataFrame:
     """Symbols found by the per-language line patterns: (path, name, kind,
     pattern_no, start_line, snippet). With ``dedupe`` a name is kept once per file, by
     (pattern order, position). Patterns are applied line by line, so a ``\\s`` that
-    would cross a line break in a whole-text match does not."""
-    lang = pattern_language(language)
-    lines = F.split(F.col(content), "\n", -1)
+    would cross a line break in a whole-text match does not.
+
+    One pass per file: every line yields one struct per pattern slot (a CASE on the
+    language picks the literal pattern), the per-line arrays are flattened and empty
+    or too-short names filtered out inside the row before a single explode."""
     n = max(len(v) for v in SYMBOL_PATTERNS.values())
-    per_pattern = []
-    for k in range(n):
-        pat = F.lit(None).cast("string")
-        kind = F.lit(None).cast("string")
-        for lg, pats in SYMBOL_PATTERNS.items():
-            if k < len(pats):
-                pat = F.when(lang == lg, F.lit(pats[k][0])).otherwise(pat)
-                kind = F.when(lang == lg, F.lit(pats[k][1])).otherwise(kind)
-        per_pattern.append(F.struct(F.lit(k).alias("pattern_no"), pat.alias("pat"), kind.alias("kind")))
-    base = files.select(path, lines.alias("_lines"), F.array(*per_pattern).alias("_pats"))
-    hits = base.select(
-        path, F.explode("_pats").alias("_p"), "_lines").where(F.col("_p.pat").isNotNull())
-    found = hits.select(
-        path, F.col("_p.pattern_no").alias("pattern_no"), F.col("_p.kind").alias("kind"),
-        F.posexplode(F.filter(
-            F.transform("_lines", lambda ln, i: F.struct(
-                (i + 1).alias("line_no"), F.call_function("regexp_extract", ln, F.col("_p.pat"), F.lit(1)).alias("name"),
-                F.trim(ln).alias("snippet"))),
-            lambda s: F.length(s["name"]) >= MIN_NAME_LENGTH)).alias("_i", "_m"))
-    out = found.select(path, F.col("_m.name").alias("name"), "kind", "pattern_no",
-                       F.col("_m.line_no").alias("start_line"), F.col("_m.snippet").alias("snippet"))
+    base = files.select(path, F.split(F.col(content), "\n", -1).alias("_lines"),
+                        pattern_language(language).alias("_lang"))
+
+    def per_line(ln, i):
+        slots = []
+        for k in range(n):
+            name, kind = _slot_extract(ln, F.col("_lang"), k)
+            slots.append(F.struct(F.lit(k).alias("pattern_no"), F.coalesce(name, F.lit("")).alias("name"),
+                                  kind.alias("kind"), (i + 1).alias("start_line"), F.trim(ln).alias("snippet")))
+        return F.array(*slots)
+
+    found = F.filter(F.flatten(F.transform("_lines", per_line)),
+                     lambda s: F.length(s["name"]) >= MIN_NAME_LENGTH)
+    out = base.select(path, F.explode(found).alias("_m")).select(
+        path, "_m.name", "_m.kind", "_m.pattern_no", "_m.start_line", "_m.snippet")
     if dedupe:
         out = first_seen_symbols(out, path)
     return out
