@@ -129,11 +129,18 @@ def q_top_suspects(spark, d):
     return ordering.top_suspects(_results(spark, d)).withColumn("rank", F.col("rank").cast("long"))
 
 
-@query("sort_results", W("""SELECT *, row_number() OVER (PARTITION BY file_name ORDER BY name, entity_id) AS sort_pos
+@query("sort_results", W("""SELECT *, row_number() OVER (PARTITION BY file_name ORDER BY name, entity_id) AS sort_pos,
+  row_number() OVER (PARTITION BY file_name ORDER BY confidence DESC, entity_id) AS pos_confidence,
+  row_number() OVER (PARTITION BY file_name ORDER BY start_line, entity_id) AS pos_line
 FROM scored_results""", "scored_results"))
 def q_sort_results(spark, d):
-    return ordering.sort_results(_results(spark, d), mode="name").withColumn(
-        "sort_pos", F.col("sort_pos").cast("long"))
+    r = _results(spark, d)
+    by_name = ordering.sort_results(r, mode="name")
+    by_conf = ordering.sort_results(by_name.withColumnRenamed("sort_pos", "_n"), mode="confidence") \
+        .withColumnRenamed("sort_pos", "pos_confidence")
+    by_line = ordering.sort_results(by_conf, mode="line").withColumnRenamed("sort_pos", "pos_line") \
+        .withColumnRenamed("_n", "sort_pos")
+    return by_line.select(*r.columns, *[F.col(c).cast("long").alias(c) for c in ("sort_pos", "pos_confidence", "pos_line")])
 
 
 PROBES_SQL = """SELECT event_id AS probe_id, 'src/f' || CAST(user_id AS VARCHAR) || '.py' AS file_name,
