@@ -41,6 +41,26 @@ def build_session(master: str | None = None, app: str = "liveness",
     return spark
 
 
+def _conf(spark: SparkSession, key: str) -> str | None:
+    try:
+        v = spark.sparkContext.getConf().get(key, None)
+        if v:
+            return v
+    except Exception:  # noqa: BLE001 - no SparkContext (e.g. Spark Connect)
+        pass
+    try:
+        return spark.conf.get(key, None)
+    except Exception:  # noqa: BLE001 - unset static conf raises on some versions
+        return None
+
+
+def default_parallelism(spark: SparkSession) -> int:
+    try:
+        return int(spark.sparkContext.defaultParallelism)
+    except Exception:  # noqa: BLE001 - no SparkContext (e.g. Spark Connect)
+        return int(_conf(spark, "spark.default.parallelism") or _conf(spark, "spark.sql.shuffle.partitions") or 8)
+
+
 def stage_root(spark: SparkSession) -> str:
     """Shared folder for written stages.
 
@@ -48,17 +68,15 @@ def stage_root(spark: SparkSession) -> str:
     (local tests) a private folder is created and registered as checkpoint dir.
     """
     global _LOCAL_STAGE_ROOT
-    conf_dir = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if not conf_dir:
-        try:
-            conf_dir = spark.conf.get("spark.checkpoint.dir")
-        except Exception:  # noqa: BLE001 - unset conf raises on some versions
-            conf_dir = None
+    conf_dir = _conf(spark, "spark.checkpoint.dir")
     if conf_dir:
         return conf_dir.rstrip("/")
     if _LOCAL_STAGE_ROOT is None:
         _LOCAL_STAGE_ROOT = tempfile.mkdtemp(prefix="liveness-stage-")
-        spark.sparkContext.setCheckpointDir(os.path.join(_LOCAL_STAGE_ROOT, "rdd"))
+        try:
+            spark.sparkContext.setCheckpointDir(os.path.join(_LOCAL_STAGE_ROOT, "rdd"))
+        except Exception:  # noqa: BLE001 - no SparkContext (e.g. Spark Connect)
+            pass
     return _LOCAL_STAGE_ROOT
 
 
