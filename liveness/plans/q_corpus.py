@@ -1,14 +1,14 @@
 """Queries over the derived source corpus: AST extraction and the flagship analysis.
 
-The AST pass is Python (rows-only check here); its output is checked against
-hand-computed fixtures in tests/ and, for the corpus, against SQL that recomputes what
-the generator wrote (``extract_calls`` / ``call_counts_corpus``)."""
+The corpus is generated from the tables, so what a correct parse must yield (entities,
+lines, complexity, snippets, calls) is recomputed in SQL from the same tables; the
+oracle SQL of the extraction queries and of ``analyze_corpus`` builds on that. The AST
+pass itself is also tested against brute-force definitions on fixture trees (tests/)."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from .. import constants as K
 from ..functions import scores as S
 from ..operators import extract as X
 from ..operators.rollups import call_counts

@@ -5,7 +5,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from .. import constants as K
 from ..functions import clean as C
 from ..functions import text as T
 from ..operators import ordering, rollups

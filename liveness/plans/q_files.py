@@ -5,12 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .. import constants as K
-from ..operators import extract as X
 from ..operators import source_text as ST
 from ..sources import files as FS
 from . import views as V
 from .corpus import corpus_files
-from .q_corpus import _extracted
 from .registry import query
 
 W = V.with_views

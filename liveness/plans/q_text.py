@@ -9,9 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from .. import constants as K
 from ..functions import text as T
-from ..functions.jsonx import parse_json_as, reply_content  # noqa: F401
 from ..operators import enrich as E
 from ..operators import joins
 from ..operators import questions as QU
