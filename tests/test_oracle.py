@@ -53,3 +53,12 @@ def test_entry_smoke(spark):
     from __spark_entry__ import entry
     df = entry(spark)
     assert df.count() > 0
+
+
+@pytest.mark.parametrize("name", ["fit_logistic", "save_load_model", "scan_files"])
+def test_rows_only_queries_produce_rows(spark, name):
+    from __spark_entry__ import queries
+    rows = queries()[name](spark, SMALL).collect()
+    assert rows
+    if name != "scan_files":
+        assert {r.feature for r in rows} >= {"call_count", "(intercept)"}
