@@ -93,20 +93,54 @@ def paginate(df: DataFrame, order: list, page: int, per_page: int = 10,
     return top.where(F.col("row_no") > start)
 
 
+def positions_within(df: DataFrame, group: str, order: list[Column], out: str = "pos",
+                     partitions: int | None = None) -> DataFrame:
+    """1-based position of each row within its group by ``order`` (which must be a
+    total order inside the group), without ranking a whole group in one task.
+
+    Rows are range-partitioned on (group, order) - a hot group is spread over several
+    ordered partitions - and sorted within partitions; the row's index inside its
+    partition comes from ``monotonically_increasing_id``. A small table of
+    (partition, group) counts gives each group's offset in every partition (a window
+    over at most #partitions rows per group); position = offset + local index.
+
+    The id-stamped rows are written once to the shared stage folder: the counts and
+    the join back must see the same partition ids, which two recomputations (with AQE
+    coalescing each shuffle read on its own) would not guarantee."""
+    from ..session import materialize
+    spark = df.sparkSession
+    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranged = df.repartitionByRange(n, F.col(group), *order).sortWithinPartitions(F.col(group), *order)
+    x = materialize(ranged.withColumn("__pw_pid", F.spark_partition_id())
+                    .withColumn("__pw_li", F.monotonically_increasing_id()
+                                - F.shiftleft(F.spark_partition_id().cast("long"), 33)), "positions")
+    stats = x.groupBy("__pw_pid", group).agg(F.min("__pw_li").alias("__pw_first"), F.count(F.lit(1)).alias("__pw_n"))
+    before = Window.partitionBy(group).orderBy("__pw_pid").rowsBetween(Window.unboundedPreceding, -1)
+    stats = stats.withColumn("__pw_off", F.coalesce(F.sum("__pw_n").over(before), F.lit(0)))
+    return (x.join(stats, ["__pw_pid", group])
+            .withColumn(out, (F.col("__pw_off") + F.col("__pw_li") - F.col("__pw_first") + 1).cast("int"))
+            .drop("__pw_pid", "__pw_li", "__pw_first", "__pw_n", "__pw_off"))
+
+
 def sort_results(results: DataFrame, mode: str = "confidence", file_col: str = "file_name",
                  name: str = "name", line: str = "start_line", conf: str = "confidence",
-                 tie: str = "entity_id") -> DataFrame:
+                 tie: str = "entity_id", skew_safe: bool = False) -> DataFrame:
     """Dashboard order within each file: confidence desc / name asc / line asc.
 
     Adds ``sort_pos`` (1-based position within the file) so the order survives a
-    distributed write; name order is binary (code point), not locale-aware. Positions
-    need every row of a file in order, so this is the one per-file window kept."""
+    distributed write; name order is binary (code point), not locale-aware. By default a
+    per-file window; ``skew_safe=True`` uses ``positions_within`` (range partitioning +
+    offsets, one staged write) so a file holding a large share of all rows is not
+    ranked in a single task."""
     keys = {
         "confidence": [F.col(conf).desc()],
         "name": [F.col(name).asc()],
         "line": [F.col(line).asc()],
     }[mode]
-    w = Window.partitionBy(file_col).orderBy(*keys, F.col(tie).asc())
+    order = [*keys, F.col(tie).asc()]
+    if skew_safe:
+        return positions_within(results, file_col, order, out="sort_pos")
+    w = Window.partitionBy(file_col).orderBy(*order)
     return results.withColumn("sort_pos", F.row_number().over(w))
 
 

@@ -44,3 +44,21 @@ def test_paginate_groups(spark):
     got = O.paginate(df, ["id"], page=3, per_page=5, group="g").where("g = 'hot'").select("id").collect()
     ids = sorted(r.id for r in df.where("g = 'hot'").select("id").collect())
     assert sorted(r.id for r in got) == ids[10:15]
+
+
+def test_positions_within_equals_row_number(spark):
+    df = spark.createDataFrame(_rows(5000, seed=11), "id long, g string, ts int, v double")
+    order = [F.col("ts").desc(), F.col("id").asc()]
+    got = O.positions_within(df, "g", order, out="pos", partitions=7).select("id", "pos").collect()
+    w = Window.partitionBy("g").orderBy(*order)
+    exp = df.withColumn("pos", F.row_number().over(w)).select("id", "pos").collect()
+    assert sorted(got) == sorted(exp)
+
+
+def test_sort_results_skew_safe_equals_window(spark):
+    from liveness.plans.views import scored_results
+    from conftest import SMALL
+    r = scored_results(spark, SMALL)
+    a = O.sort_results(r, mode="confidence", skew_safe=True).select("entity_id", "sort_pos").collect()
+    b = O.sort_results(r, mode="confidence").select("entity_id", "sort_pos").collect()
+    assert len(a) == r.count() and sorted(a) == sorted(b)
