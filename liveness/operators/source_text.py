@@ -107,28 +107,34 @@ def remove_line_ranges(files: DataFrame, ranges: DataFrame, path: str = "path",
     """Delete 1-based inclusive line ranges (overlaps merge) from each file's text.
 
     Returns (path, new_content, removed_lines). ``extra_lines=1`` reproduces the editor
-    behaviour that also deletes the line after the range. Ranges are grouped per file
-    (small: one entry per removed symbol) and joined to the file row; lines are filtered
-    inside the row."""
+    behaviour: the line after the range goes too, and when the deletion reaches the end
+    of the text the newline before it stays (the text keeps a final line break).
+    Ranges are grouped per file (small: one entry per removed symbol) and joined to the
+    file row; lines are filtered inside the row."""
     rp = _ranges_per_file(ranges, path, start, end)
     j = files.join(rp, path, "left")
     lines = F.split(F.col(content), "\n", -1)
     j = j.withColumn("_lines", lines).withColumn("_n", F.size("_lines"))
     rngs = F.coalesce(F.col("_ranges"), F.array().cast("array<struct<s:int,e:int>>"))
-    kept = F.filter("_lines", lambda ln, i: ~_in_ranges(i + 1, rngs, extra_lines, F.col("_n")))
+    j = j.withColumn("_kept", F.filter("_lines", lambda ln, i: ~_in_ranges(i + 1, rngs, extra_lines, F.col("_n"))))
+    kept = F.col("_kept")
+    if extra_lines > 0:
+        last_removed = _in_ranges(F.col("_n"), rngs, extra_lines, F.col("_n"))
+        kept = F.when(last_removed & (F.size("_kept") > 0), F.concat("_kept", F.array(F.lit("")))).otherwise(kept)
     return j.select(path, F.array_join(kept, "\n").alias("new_content"),
-                    (F.col("_n") - F.size(kept)).alias("removed_lines"))
+                    (F.col("_n") - F.size("_kept")).alias("removed_lines"))
 
 
 def removal_rows(files: DataFrame, ranges: DataFrame, path: str = "path", content: str = "content",
                  start: str = "start_line", end: str = "end_line", conf: str = "confidence",
-                 entity_id: str | None = None) -> DataFrame:
-    """Log rows for removals: the removed text of each range (lines start..end clipped
-    to the file), its confidence and entity id (0 when ad hoc)."""
+                 entity_id: str | None = None, extra_lines: int = 0) -> DataFrame:
+    """Log rows for removals: the removed text of each range (lines start..end, plus
+    ``extra_lines`` in editor mode, clipped to the file), its confidence and entity id
+    (0 when ad hoc)."""
     lines = F.split(F.col(content), "\n", -1)
     j = ranges.join(files.select(path, lines.alias("_lines")), path)
     lo = F.greatest(F.col(start), F.lit(1))
-    hi = F.least(F.col(end), F.size("_lines"))
+    hi = F.least(F.col(end) + extra_lines, F.size("_lines"))
     removed = F.when(hi >= lo, F.array_join(F.slice("_lines", lo, hi - lo + 1), "\n")).otherwise(F.lit(""))
     eid = F.col(entity_id).cast("long") if entity_id else F.lit(0).cast("long")
     return j.select(eid.alias("entity_id"), F.col(path).alias("file_name"), removed.alias("removed_code"),

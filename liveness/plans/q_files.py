@@ -81,7 +81,10 @@ def q_remove_line_ranges(spark, d):
 
 
 @query("remove_line_ranges_editor", W(f"""SELECT path,
-  array_to_string(list_filter(string_split(content, chr(10)), lambda x, i: NOT {_in_sql(1)}), chr(10)) AS new_content,
+  array_to_string(CASE WHEN (n >= n - 1 AND n <= least(n + 4, n))
+                         AND len(list_filter(string_split(content, chr(10)), lambda x, i: NOT {_in_sql(1)})) > 0
+    THEN list_append(list_filter(string_split(content, chr(10)), lambda x, i: NOT {_in_sql(1)}), '')
+    ELSE list_filter(string_split(content, chr(10)), lambda x, i: NOT {_in_sql(1)}) END, chr(10)) AS new_content,
   CAST(n - len(list_filter(string_split(content, chr(10)), lambda x, i: NOT {_in_sql(1)})) AS INTEGER) AS removed_lines
 FROM ({RANGES_SQL})""", "doc_files"))
 def q_remove_line_ranges_editor(spark, d):

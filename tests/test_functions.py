@@ -81,7 +81,16 @@ def test_remove_line_ranges(spark):
     assert exact["a.py"].new_content == "l1\nl5" and exact["a.py"].removed_lines == 4
     assert exact["b.py"].new_content == "x2\n"
     editor = {r.path: r for r in ST.remove_line_ranges(files, ranges, extra_lines=1).collect()}
-    assert editor["a.py"].new_content == "l1" and editor["b.py"].new_content == ""
+    # the deletion reaches the end: the newline before it stays
+    assert editor["a.py"].new_content == "l1\n" and editor["b.py"].new_content == ""
+    eof = spark.createDataFrame([("c.py", "a\nb\nx"), ("d.py", "a\nb\nx\n"), ("e.py", "a\nb")],
+                                "path string, content string")
+    er = spark.createDataFrame([("c.py", 3, 3), ("d.py", 3, 3), ("e.py", 1, 1)],
+                               "path string, start_line int, end_line int")
+    got = {r.path: r.new_content for r in ST.remove_line_ranges(eof, er, extra_lines=1).collect()}
+    assert got == {"c.py": "a\nb\n", "d.py": "a\nb\n", "e.py": ""}
+    logs_ed = ST.removal_rows(eof, er.withColumn("confidence", F.lit(0.9)), extra_lines=1).collect()
+    assert {r.file_name: r.removed_code for r in logs_ed} == {"c.py": "x", "d.py": "x\n", "e.py": "a\nb"}
     logs = ST.removal_rows(files, ranges.withColumn("confidence", F.lit(0.8))).collect()
     assert sorted(r.removed_code for r in logs if r.file_name == "a.py") == ["l2\nl3", "l3\nl4", "l6"]
 
