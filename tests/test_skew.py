@@ -62,3 +62,13 @@ def test_sort_results_skew_safe_equals_window(spark):
     a = O.sort_results(r, mode="confidence", skew_safe=True).select("entity_id", "sort_pos").collect()
     b = O.sort_results(r, mode="confidence").select("entity_id", "sort_pos").collect()
     assert len(a) == r.count() and sorted(a) == sorted(b)
+
+
+def test_answer_items_skew_safe_equals_default(spark):
+    from conftest import SMALL
+    from liveness.operators import questions as QU
+    from liveness.plans import views as V
+    from liveness.plans.q_text import _questions
+    a = QU.answer_questions(_questions(spark, SMALL), V.scored_results(spark, SMALL)).collect()
+    b = QU.answer_questions(_questions(spark, SMALL), V.scored_results(spark, SMALL), skew_safe=True).collect()
+    assert a and sorted(a) == sorted(b)
