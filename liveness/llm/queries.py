@@ -5,9 +5,18 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..session import table
+from .decontamination import contamination
 from .exact_dedup import exact_duplicates
+from .html_text import extract_main_text
+from .mixing import mix_sources
+from .near_dedup import near_duplicates
+from .pii import personal_data
+from .secrets import secret_scan
+from .toxicity import toxicity
+from .warc import round_trip
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -32,3 +41,65 @@ SELECT d.doc_id, g.keep_id, g.group_size, d.doc_id = g.keep_id AS kept, sha256(d
 FROM d JOIN g USING (t)""")
 def op10(spark, d):
     return exact_duplicates(table(spark, d, "documents"))
+
+
+#: Words of a text after lower-casing: runs of digits, letters and non-ASCII characters.
+_ALNUM = "regexp_extract_all({0}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+
+_OP9 = f"""WITH d AS (SELECT row_number() OVER () AS rid, doc_id, {_ALNUM.format(_FOLD.format("coalesce(text, '')"))} AS w FROM documents),
+b AS (SELECT item_id, {_ALNUM.format(_FOLD.format("coalesce(text, '')"))} AS w FROM benchmark),
+win AS (SELECT DISTINCT item_id, least(10, len(w)) AS size, w[i:i + least(10, len(w)) - 1] AS k
+        FROM b, unnest(range(1, len(w) - least(10, len(w)) + 2)) AS u(i) WHERE len(w) > 0),
+sizes AS (SELECT DISTINCT size FROM win),
+dw AS (SELECT rid, i, size, w[i:i + size - 1] AS k FROM d, sizes, unnest(range(1, len(w) - size + 2)) AS u(i)),
+occ AS (SELECT rid, i, win.size, item_id FROM dw JOIN win ON dw.k = win.k AND dw.size = win.size),
+hit AS (SELECT rid, count(DISTINCT p) AS n_hit FROM occ, unnest(range(i, i + size)) AS u(p) GROUP BY rid),
+it AS (SELECT rid, count(DISTINCT item_id) AS n_items,
+              sha256(string_agg(DISTINCT CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR))) AS items_sha256 FROM occ GROUP BY rid)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       coalesce(items_sha256, sha256('')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN hit USING (rid) LEFT JOIN it USING (rid)"""
+
+
+@query("op9_benchmark_decontamination", _OP9)
+def op9(spark, d):
+    found = contamination(table(spark, d, "documents"), table(spark, d, "benchmark"))
+    return found.drop("hit_starts", "hit_ends")
+
+
+@query("op2_minhash_near_dedup")
+def op2(spark, d):
+    return near_duplicates(table(spark, d, "documents"), width=2)
+
+
+@query("op4_mix_sources")
+def op4(spark, d):
+    return mix_sources(table(spark, d, "documents"))
+
+
+@query("op7_warc_archive")
+def op7(spark, d):
+    return round_trip(table(spark, d, "pages"))
+
+
+@query("op8_personal_data")
+def op8(spark, d):
+    found = personal_data(table(spark, d, "documents"))
+    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base", 256).alias("base_sha256"), "spans")
+
+
+@query("op1_secret_scan")
+def op1(spark, d):
+    repository = F.concat_ws("/", F.coalesce("source", F.lit("")), F.coalesce("lang", F.lit("")))
+    found = secret_scan(table(spark, d, "documents"), owner="source", repository=repository)
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base", 256).alias("base_sha256"), "spans", "n_copied", "n_live")
+
+
+@query("op3_html_main_text")
+def op3(spark, d):
+    return extract_main_text(table(spark, d, "pages"))
+
+
+@query("op5_toxicity_crf")
+def op5(spark, d):
+    return toxicity(table(spark, d, "documents"), table(spark, d, "labels"))
