@@ -1,10 +1,57 @@
-"""The corpus pipeline: five filtering and mixing stages over ``documents``."""
+"""The corpus pipeline over ``documents``: reject low quality, drop exact and near duplicates,
+drop documents with benchmark passages, mix the sources.
+
+Each stage takes (spark, docs, sf_dir), works on all that its predecessor kept, and is
+written as Parquet before the next one reads it. All but the last return the columns of
+``documents``; the last returns the mix."""
 
 from __future__ import annotations
 
-STAGES: list = []
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+from liveness.llm import decontamination, exact_dedup, mixing, near_dedup, quality
+from liveness.session import stage_root, table
+
+#: The mix is drawn by chance and the classifier is fitted: not for SQL. Tests compare with brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def reject_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return quality.drop_rejected(docs, table(spark, sf_dir, "labels"))
+
+
+def drop_exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return exact_dedup.drop_duplicates(docs)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return near_dedup.drop_near_duplicates(docs)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return decontamination.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mixing.mix_sources(docs)
+
+
+STAGES = [
+    ("quality classifier", reject_low_quality),
+    ("exact dedup", drop_exact_duplicates),
+    ("minhash near-dedup", drop_near_duplicates),
+    ("benchmark decontamination", drop_contaminated),
+    ("mixing sources", mix),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages in turn; each result is written to the shared folder and read again."""
+    root = f"{stage_root(spark)}/pipeline-{uuid.uuid4().hex[:12]}"
+    docs = table(spark, sf_dir, "documents")
+    for k, (_, stage) in enumerate(STAGES):
+        stage(spark, docs, sf_dir).write.parquet(f"{root}/{k}")
+        docs = spark.read.parquet(f"{root}/{k}")
+    return docs

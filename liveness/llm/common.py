@@ -20,11 +20,20 @@ SLICE_BYTES = 1 << 20
 
 # ------------------------------------------------------------------ staging
 
-def stage(df: DataFrame, name: str) -> DataFrame:
+#: Rows of a slim table (a few numbers and hashes) that one task writes, where their number is known.
+ROWS_PER_TASK = 100_000
+
+
+def stage(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
     """Write ``df`` to the shared folder of ``spark.checkpoint.dir`` and read it back:
-    the lineage ends there, and a lost executor costs a reread, not a recomputation."""
+    the lineage ends there, and a lost executor costs a reread, not a recomputation.
+
+    ``rows``: a bound of its rows, where known. Few rows are then written by few tasks; a
+    large table keeps the partitions it has, as their number is only ever lowered."""
     spark = df.sparkSession
     path = f"{stage_root(spark)}/llm-{name}-{uuid.uuid4().hex[:12]}"
+    if rows is not None:
+        df = df.coalesce(max(1, -(-rows // ROWS_PER_TASK)))
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

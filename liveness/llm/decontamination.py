@@ -94,7 +94,9 @@ def _matches(w, index: Windows, flags: np.ndarray) -> tuple[np.ndarray, np.ndarr
     at, k = lookup(index.prefix, flags, w.hash)
     many = index.begin[k + 1] - index.begin[k]
     starts, which = [], []
-    cuts = np.searchsorted(np.cumsum(many), np.arange(0, int(many.sum()) + CHUNK, CHUNK)) if len(at) else []
+    reach = np.cumsum(many)
+    total = int(reach[-1]) if len(at) else 0
+    cuts = np.unique([0, *np.searchsorted(reach, np.arange(CHUNK, total, CHUNK), side="right"), len(at)])
     owner = w.owner[at]
     for lo, hi in zip(cuts[:-1], cuts[1:]):
         m = many[lo:hi]
@@ -217,7 +219,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` without a benchmark window, all columns. Rows that share an id
-    with a contaminated row go too."""
+    with a contaminated row go too; rows without an id stay."""
     found = stage(contamination(docs, benchmark, id_col, text_col).where("contaminated")
                   .select(F.col(id_col).alias("__leak")).distinct(), "leaks")
-    return docs.join(found, F.col(id_col).eqNullSafe(F.col("__leak")), "left_anti")
+    return docs.join(found, F.col(id_col) == F.col("__leak"), "left_anti")

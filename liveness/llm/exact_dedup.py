@@ -23,7 +23,7 @@ BLOCK_ROWS = 1 << 18
 #: Bits of a fingerprint. Of N different texts about N / 2^48 of each are suspected without need.
 FINGERPRINT_BITS = 48
 #: Doc ids of suspects that may be broadcast (16 bytes each); beyond, their texts come by a shuffle join.
-BROADCAST_IDS = 1 << 21
+BROADCAST_IDS = 1 << 19
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -149,7 +149,7 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     bit = F.expr("shiftright(cast(conv(hex(substring(bits, ord div 8 + 1, 1)), 16, 10) as int), ord % 8) & 1") == 1
     rows = sent.where(F.col("code").isNull()).select("row_id", "id", "digest", "block", "owner", "ord", "twice")
     rows = stage(rows.join(answers, ["block", "owner"])
-                 .select("row_id", "id", "digest", (F.col("twice") | bit).alias("suspect")), "suspects")
+                 .select("row_id", "id", "digest", (F.col("twice") | bit).alias("suspect")), "suspects", sent.count())
     suspects = rows.where("suspect")
 
     # byte verification: the texts of suspects only, grouped by their bytes
@@ -177,16 +177,17 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 def drop_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that ``exact_duplicates`` keeps, all columns.
 
-    Ids are taken to identify rows; of rows that repeat an id and text one stays."""
-    found = stage(exact_duplicates(docs, id_col, text_col), "kept")
+    Ids are taken to identify rows; of rows that repeat an id and text one stays. Rows
+    without an id stay, as they cannot be told apart."""
+    found = stage(exact_duplicates(docs, id_col, text_col).where(F.col(id_col).isNotNull()), "kept")
     lost = found.where("not kept").select(F.col(id_col).alias("__lost")).distinct()
     again = found.groupBy(id_col).agg(F.count(F.lit(1)).alias("__n")).where("__n > 1").select(F.col(id_col).alias("__again"))
-    single = docs.join(lost, F.col(id_col).eqNullSafe(F.col("__lost")), "left_anti")
+    single = docs.join(lost, F.col(id_col) == F.col("__lost"), "left_anti")
     # ids on several rows: by id and text
     kept = found.where("kept").select(F.col(id_col).alias("__id"), F.col("text_sha256").alias("__sha")).distinct()
     norm = F.sha2(F.translate(F.coalesce(F.col(text_col), F.lit("")), UPPER, LOWER), 256)
-    several = (docs.join(again, F.col(id_col).eqNullSafe(F.col("__again")), "left_semi").withColumn("__text_sha", norm)
-               .join(kept, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__text_sha") == F.col("__sha")), "left_semi")
+    several = (docs.join(again, F.col(id_col) == F.col("__again"), "left_semi").withColumn("__text_sha", norm)
+               .join(kept, (F.col(id_col) == F.col("__id")) & (F.col("__text_sha") == F.col("__sha")), "left_semi")
                .dropDuplicates([id_col, "__text_sha"]).drop("__text_sha"))
-    single = single.join(again, F.col(id_col).eqNullSafe(F.col("__again")), "left_anti")
+    single = single.join(again, F.col(id_col) == F.col("__again"), "left_anti")
     return single.unionByName(several)

@@ -42,7 +42,7 @@ reply respond search share sharing sidebar signup skip social sponsor sponsored
 widget widgets""".split())
 ARTICLE_NAMES = frozenset("articlebody".split())
 
-_TAG = re.compile(r"""<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<!--(.*?)-->|<[!?][^>]*>|<!--.*""", re.S)
+_TAG = re.compile(r"""<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<!--.*?(?:-->|\Z)|<[!?][^>]*>""", re.S)
 _LOOSE = re.compile(r"<(/?)([A-Za-z][A-Za-z0-9:-]*)([^>]*)>")
 _ATTRIBUTE = re.compile(r"""(class|id|role|itemprop|hidden|aria-hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 _NAME = re.compile(r"[A-Za-z]+")

@@ -130,8 +130,10 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         reach *= block
         chance = F.shiftrightunsigned(F.xxhash64("id", "size", F.lit(seed), F.lit(level)), 11) / F.lit(float(1 << 53))
         blocks = F.ceil(F.col("n_docs") / reach)
-        dealt = now.withColumn("u", chance).withColumn("block", F.pmod(F.xxhash64("id", "size", F.lit(seed + 1)), blocks))
-        item = F.struct("u", "id", "size", "p")
+        # three independent hashes: the block, the turn inside it, and the chance of each step
+        dealt = (now.withColumn("u", chance).withColumn("turn", F.xxhash64("id", "size", F.lit(seed), F.lit(level), F.lit("turn")))
+                 .withColumn("block", F.pmod(F.xxhash64("id", "size", F.lit(seed), F.lit(level), F.lit("block")), blocks)))
+        item = F.struct("turn", "id", "size", "p", "u")
         grouped = (dealt.groupBy(*of_source, "block").agg(F.array_sort(F.collect_list(item)).alias("items"))
                    .withColumn("items", F.transform("items", lambda x: F.struct(x["id"].alias("id"), x["size"].alias("size"),
                                                                                 x["p"].alias("p"), x["u"].alias("u"))))

@@ -27,7 +27,9 @@ NOT_BEYOND = 38
 #: Sets smaller than this are similar by 0.8 only when equal.
 SMALLEST = 4
 #: Ids whose texts may be picked out by broadcasting them (16 bytes each); beyond, by a shuffle join.
-BROADCAST_IDS = 1 << 21
+BROADCAST_IDS = 1 << 19
+#: Rows with whole sets count as so many slim ones when tasks are dealt.
+_WIDE = 16
 
 _draw = np.random.default_rng(77)
 _TIMES = (_draw.integers(0, 1 << 31, HASHES, dtype=np.uint32) << np.uint32(1)) | np.uint32(1)
@@ -148,22 +150,25 @@ def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _confirm(pairs: DataFrame, classes: DataFrame, source: DataFrame, width: int, percent: int) -> DataFrame:
     """The pairs (a, b) of classes whose full sets are similar. ``pairs`` is staged."""
+    n = pairs.count()
     sized = classes.select("cid", "n_shingles", "sig")
     a = sized.select(F.col("cid").alias("a"), F.col("n_shingles").alias("na"), F.col("sig").alias("sa"))
     b = sized.select(F.col("cid").alias("b"), F.col("n_shingles").alias("nb"), F.col("sig").alias("sb"))
     close = (pairs.join(a, "a").join(b, "b")
              .where((F.col("na") * 100 >= F.col("nb") * percent) & (F.col("nb") * 100 >= F.col("na") * percent))
              .select("a", "b", "sa", "sb").mapInArrow(_near, "a long, b long"))
-    close = stage(close, "close")
+    close = stage(close, "close", n)
     named = stage(close.select(F.col("a").alias("cid")).unionByName(close.select(F.col("b").alias("cid"))).distinct()
-                  .join(classes.select("cid", "min_id", "set_key"), "cid"), "named")
+                  .join(classes.select("cid", "min_id", "set_key"), "cid"), "named", 2 * n)
     ids = named.select("min_id").distinct()
-    if named.count() <= BROADCAST_IDS:
+    few = named.count() <= BROADCAST_IDS
+    if few:
         ids = F.broadcast(ids)
     texts = source.join(ids, F.col("id").eqNullSafe(F.col("min_id")), "left_semi").select("text")
-    sets = (texts.mapInArrow(_sets(width), "set_key binary, shingles binary").join(named.select("set_key", "cid"), "set_key")
-            .dropDuplicates(["cid"]).select("cid", "shingles"))
-    sets = stage(sets, "sets")
+    names = named.select("set_key", "cid")
+    # a set may come from several rows of one id, or copies of one text: any of them will do
+    sets = texts.mapInArrow(_sets(width), "set_key binary, shingles binary").join(F.broadcast(names) if few else names, "set_key")
+    sets = stage(sets.dropDuplicates(["cid"]).select("cid", "shingles"), "sets", _WIDE * n)
     met = (close.join(sets.select(F.col("cid").alias("a"), F.col("shingles").alias("x")), "a")
            .join(sets.select(F.col("cid").alias("b"), F.col("shingles").alias("y")), "b"))
     return met.select("a", "b", "x", "y").mapInArrow(_linked(percent), "a long, b long")
@@ -190,43 +195,65 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     rows = stage(source.mapInArrow(_signed(width), "id long, n_shingles long, set_key binary, sig binary")
                  .withColumn("row_id", F.monotonically_increasing_id()), "signatures")
+    n_rows = rows.count()
     classes = stage(rows.where("n_shingles > 0").groupBy("set_key", "n_shingles")
                     .agg(F.min("row_id").alias("cid"), F.min("id").alias("min_id"), F.count(F.lit(1)).alias("n_rows"),
-                         F.min("sig").alias("sig")), "classes")
+                         F.min("sig").alias("sig")), "classes", n_rows)
     keys = stage(classes.where(F.col("n_shingles") >= SMALLEST).select("cid", "sig")
                  .mapInArrow(_keys, "key long, cid long"), "keys")
-    hubs = stage(keys.groupBy("key").agg(F.min("cid").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1"), "hubs")
-    shared = stage(join_by_count(keys, hubs, "key", "n").where("hub is not null"), "shared")
+    n_keys = keys.count()
+    hubs = stage(keys.groupBy("key").agg(F.min("cid").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1"), "hubs", n_keys)
+    shared = stage(join_by_count(keys, hubs, "key", "n").where("hub is not null"), "shared", n_keys)
 
-    pairs = stage(shared.where("cid != hub").select(F.col("cid").alias("a"), F.col("hub").alias("b")).distinct(), "pairs")
-    links = stage(_confirm(pairs, classes, source, width, percent), "links")
-    found = stage(components(links), "components")
+    pairs = stage(shared.where("cid != hub").select(F.col("cid").alias("a"), F.col("hub").alias("b")).distinct(), "pairs", n_keys)
+    links = stage(_confirm(pairs, classes, source, width, percent), "links", _WIDE * pairs.count())
+    found = stage(components(links), "components", n_rows)
 
     # classes that share a key and are not in one component yet
     sized = classes.select("cid", F.col("n_shingles").alias("n"))
     placed = stage(shared.join(found, F.col("cid") == F.col("node"), "left")
-                   .select("key", "cid", "hub", F.coalesce("root", "cid").alias("root")), "placed")
+                   .select("key", "cid", "hub", F.coalesce("root", "cid").alias("root")), "placed", n_keys)
     split = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("key")
-    open_ = stage(placed.join(split, "key").join(sized, "cid"), "open")
+    open_ = stage(placed.join(split, "key").join(sized, "cid"), "open", n_keys)
     one = open_.select("key", F.col("cid").alias("a"), F.col("root").alias("ra"), F.col("n").alias("na"), "hub")
     two = open_.select("key", F.col("cid").alias("b"), F.col("root").alias("rb"), F.col("n").alias("nb"))
     more = (one.join(two, "key")
             .where((F.col("a") > F.col("b")) & (F.col("ra") != F.col("rb")) & (F.col("b") != F.col("hub"))
                    & (F.col("na") * 100 >= F.col("nb") * percent) & (F.col("nb") * 100 >= F.col("na") * percent))
             .select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti"))
-    more = stage(more, "more")
-    late = stage(_confirm(more, classes, source, width, percent), "late")
-    found = stage(components(links.unionByName(late)), "components")
+    more = stage(more, "more", n_keys)
+    if not more.isEmpty():
+        late = stage(_confirm(more, classes, source, width, percent), "late", _WIDE * more.count())
+        if not late.isEmpty():
+            stars = found.select(F.col("node").alias("a"), F.col("root").alias("b"))
+            found = stage(components(stars.unionByName(late)), "components", n_rows)
 
     # classes to components, rows to classes
     root = stage(found.join(classes.select(F.col("cid").alias("node"), "min_id"), "node")
-                 .groupBy("root").agg(F.min("min_id").alias("component_id"), F.count(F.lit(1)).alias("n")), "roots")
+                 .groupBy("root").agg(F.min("min_id").alias("component_id"), F.count(F.lit(1)).alias("n")), "roots", n_rows)
     of_class = join_by_count(found, root, "root", "n").select(F.col("node").alias("cid"), "component_id")
     classes = stage(classes.join(of_class, "cid", "left")
                     .select("set_key", F.col("cid").alias("class_id"), F.coalesce("component_id", "min_id").alias("component_id"),
-                            "n_rows"), "classes")
+                            "n_rows"), "classes", n_rows)
     full = join_by_count(rows.where("n_shingles > 0").select("id", "n_shingles", "set_key"), classes, "set_key", "n_rows")
     empty = rows.where("n_shingles = 0").select("id", "n_shingles", "set_key", F.col("row_id").alias("class_id"),
                                                 F.col("id").alias("component_id"))
     return full.unionByName(empty).select(F.col("id").alias(id_col), "n_shingles", "component_id",
                                           F.col("id").eqNullSafe(F.col("component_id")).alias("kept"), "class_id")
+
+
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5,
+                         percent: int = 80) -> DataFrame:
+    """``docs`` with one row of each near-duplicate group, that of the smallest id; all columns.
+
+    Ids are taken to identify rows; of rows that repeat an id and text one stays. Rows
+    without an id stay, as they cannot be told apart."""
+    found = stage(near_duplicates(docs, id_col, text_col, width, percent).where(F.col(id_col).isNotNull()), "groups")
+    lost = found.where("not kept").select(F.col(id_col).alias("__lost")).distinct()
+    again = found.where("kept").groupBy(id_col).agg(F.count(F.lit(1)).alias("__n")).where("__n > 1") \
+        .select(F.col(id_col).alias("__again"))
+    same = lambda c: F.col(id_col) == F.col(c)
+    kept = docs.join(lost, same("__lost"), "left_anti")
+    single = kept.join(again, same("__again"), "left_anti")
+    several = kept.join(again, same("__again"), "left_semi").dropDuplicates([id_col, text_col])
+    return single.unionByName(several)

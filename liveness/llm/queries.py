@@ -14,6 +14,7 @@ from .html_text import extract_main_text
 from .mixing import mix_sources
 from .near_dedup import near_duplicates
 from .pii import personal_data
+from .quality import quality
 from .secrets import secret_scan
 from .toxicity import toxicity
 from .warc import round_trip
@@ -103,3 +104,8 @@ def op3(spark, d):
 @query("op5_toxicity_crf")
 def op5(spark, d):
     return toxicity(table(spark, d, "documents"), table(spark, d, "labels"))
+
+
+@query("op6_quality_cotraining")
+def op6(spark, d):
+    return quality(table(spark, d, "documents"), table(spark, d, "labels"))

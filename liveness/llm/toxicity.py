@@ -25,8 +25,8 @@ FIT_ROWS, FIT_CHARS = 4000, 20_000
 PREFIXES = (4, 5, 6)
 #: A toxic feature is in this share of toxic documents (copies counted once), ...
 SUPPORT, LEAST_SUPPORT = 0.01, 4
-#: ... and this many times as frequent there as in clean ones.
-RATIO = 30.0
+#: ... and this many times as frequent there as in clean ones; less for texts without strong features.
+RATIO, WEAK_RATIO = 30.0, 5.0
 STRETCH = 24
 #: Text bytes whose chains are run side by side in a task.
 LOCKSTEP_BYTES = 1 << 24
@@ -55,7 +55,7 @@ class Model:
     weights: np.ndarray = field(default_factory=lambda: np.zeros(0))
     bias: float = -8.0
     moves: np.ndarray = field(default_factory=lambda: np.zeros((2, 2)))  # log potentials, from and to
-    document: np.ndarray = field(default_factory=lambda: np.array([-6.0, 0.0, 0.0]))  # constant, log1p(sum), maximum
+    document: np.ndarray = field(default_factory=lambda: np.array([-6.0, 0, 0, 0, 0]))  # of ``evidence``
 
     def index(self, f: np.ndarray) -> np.ndarray:
         """Place of each feature among the keys, or len(keys)."""
@@ -77,8 +77,13 @@ class Model:
         return self.bias + np.append(self.weights, 0.0)[self.index(features(w))].sum(axis=1)
 
     def score(self, total: np.ndarray, most: np.ndarray) -> np.ndarray:
-        c = self.document
-        return 1 / (1 + np.exp(-(c[0] + c[1] * np.log1p(total) + c[2] * most)))
+        return 1 / (1 + np.exp(-(evidence(total, most) @ self.document)))
+
+
+def evidence(total: np.ndarray, most: np.ndarray) -> np.ndarray:
+    """Columns of the document's calibration: a constant, the first and the second expected
+    toxic token, how many there are, the surest one."""
+    return np.stack([np.ones(len(total)), np.minimum(total, 1), np.clip(total - 1, 0, 1), np.log1p(total), most], axis=1)
 
 
 # ------------------------------------------------------------------ forward-backward
@@ -146,18 +151,30 @@ def _lexicon(w: Words, f: np.ndarray, toxic: np.ndarray) -> np.ndarray:
         _, one = np.unique(mix(flat) ^ by, return_index=True)
         return np.unique(flat[one], return_counts=True)
 
-    n_toxic, n_clean = len(np.unique(group[toxic])), len(np.unique(group[~toxic]))
-    if not n_toxic or not n_clean:
-        return np.zeros(0, np.uint64)
-    keys, n = support(toxic, None)
-    often = n >= max(LEAST_SUPPORT, SUPPORT * n_toxic)
-    keys, n = keys[often], n[often]
-    if not len(keys):
+    def shared(rows: np.ndarray, ratio: float) -> np.ndarray:
+        """Features in enough of ``rows`` that are ``ratio`` times as frequent there as in clean texts."""
+        n_rows, n_clean = len(np.unique(group[rows])), len(np.unique(group[~toxic]))
+        if not n_rows or not n_clean:
+            return np.zeros(0, np.uint64)
+        keys, n = support(rows, None)
+        often = n >= max(LEAST_SUPPORT, SUPPORT * n_rows)
+        keys, n = keys[often], n[often]
+        if not len(keys):
+            return keys
+        found, m = support(~toxic, keys)
+        clean = np.zeros(len(keys))
+        clean[np.searchsorted(keys, found)] = m
+        return keys[(n / n_rows) / ((clean + 0.5) / n_clean) >= ratio]
+
+    keys = shared(toxic, RATIO)
+    # weaker features only for toxic texts that have no two tokens with a strong one
+    held = np.isin(f, keys).any(axis=1) if len(keys) else np.zeros(len(w.hash), bool)
+    left = toxic & (np.bincount(owner[held], minlength=len(toxic)) < 2)
+    if not left.any():
         return keys
-    found, m = support(~toxic, keys)
-    clean = np.zeros(len(keys))
-    clean[np.searchsorted(keys, found)] = m
-    return keys[(n / n_toxic) / ((clean + 0.5) / n_clean) >= RATIO]
+    seen, n = support(left, None)
+    weak = shared(toxic, WEAK_RATIO)
+    return np.union1d(keys, np.intersect1d(weak, seen[n >= LEAST_SUPPORT]))
 
 
 def _stretches(w: Words, at: np.ndarray, tagged: np.ndarray, toxic: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -173,7 +190,7 @@ def _stretches(w: Words, at: np.ndarray, tagged: np.ndarray, toxic: np.ndarray)
     return at[pos], tagged[pos] & toxic[owner[pos]] & exists, exists
 
 
-def _fit_chain(model: Model, at: np.ndarray, label: np.ndarray, exists: np.ndarray, rounds: int = 80) -> None:
+def _fit_chain(model: Model, at: np.ndarray, label: np.ndarray, exists: np.ndarray, rounds: int = 120) -> None:
     """Maximum likelihood with a small penalty: gradients by forward-backward over all
     stretches, steps by Adam. Stretches are packed to their existing tokens."""
     n, k = len(model.keys), at.shape[2]
@@ -199,7 +216,7 @@ def _fit_chain(model: Model, at: np.ndarray, label: np.ndarray, exists: np.ndarr
         pair = np.exp(moves).reshape(-1)[:, None] * np.stack([np.ones(len(later)), ahead, forward[later - 1], forward[later - 1] * ahead])
         expected = (pair / pair.sum(axis=0)).sum(axis=1)
         g[n + 1:] = np.bincount((2 * y[later - 1] + y[later]).astype(np.int64), minlength=4) - expected
-        g = g / len(y) - 1e-4 * par
+        g = g - 0.02 * par
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         par = par + 0.1 * (m / (1 - 0.9 ** r)) / (np.sqrt(v / (1 - 0.99 ** r)) + 1e-8)
     model.weights, model.bias, model.moves = par[:n], float(par[n]), par[n + 1:].reshape(2, 2)
@@ -239,7 +256,7 @@ def fit(texts: pa.Array, toxic: np.ndarray) -> Model:
         _fit_chain(model, *_stretches(w, at, tagged, toxic))
     emission = model.bias + np.append(model.weights, 0.0)[at].sum(axis=1)
     total, most = _totals(marginals(emission, w.first, model.moves), w.first)
-    model.document = _logistic(np.stack([np.ones(len(total)), np.log1p(total), most], axis=1), toxic.astype(float))
+    model.document = _logistic(evidence(total, most), toxic.astype(float), penalty=0.1)
     return model
 
 
