@@ -174,6 +174,60 @@ def _confirm(pairs: DataFrame, classes: DataFrame, source: DataFrame, width: int
     return met.select("a", "b", "x", "y").mapInArrow(_linked(percent), "a long, b long")
 
 
+def _components_of(shared: DataFrame, classes: DataFrame, source: DataFrame, width: int, percent: int) -> DataFrame:
+    """(node, root) of the classes that are linked, from ``shared`` (key, cid, size: keys that
+    several classes have).
+
+    In rounds, every key with classes of several components gets a hub, one of its classes by
+    hash, another one each round, and every class of another component is compared with it:
+    one pair per entry of the index at most. What is linked becomes one component. When a
+    round links nothing more, the classes of different components that still share a key and
+    have not met are compared with each other, so that no link is lost."""
+    spark = shared.sparkSession
+    n = shared.count()
+    found = spark.createDataFrame([], "node long, root long")
+    tested = spark.createDataFrame([], "a long, b long")
+    fits = lambda x, y: (F.col(x) * 100 >= F.col(y) * percent) & (F.col(y) * 100 >= F.col(x) * percent)
+    pair = [F.greatest("cid", "other").alias("a"), F.least("cid", "other").alias("b")]
+    turn, last = 0, False
+    while True:
+        placed = shared if turn == 0 else shared.join(found, F.col("cid") == F.col("node"), "left")
+        root = F.col("cid") if turn == 0 else F.coalesce("root", "cid")
+        placed = placed.select("key", "cid", "size", root.alias("root"))
+        # after the first round only keys with several components
+        if turn:
+            several = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("key")
+            placed = stage(placed.join(several, "key"), "placed", n)
+            shared = placed.drop("root")
+            n = shared.count()
+            if not n:
+                break
+        if last:
+            one, two = placed, placed.select("key", F.col("cid").alias("other"), F.col("size").alias("other_size"), F.col("root").alias("other_root"))
+            pairs = one.join(two, "key").where((F.col("cid") > F.col("other")) & (F.col("root") != F.col("other_root")) & fits("size", "other_size"))
+        else:
+            chance = F.xxhash64("cid", F.when(F.lit(turn > 0), F.col("key")), F.lit(turn))
+            hubs = placed.groupBy("key").agg(F.min(F.struct(chance.alias("h"), F.col("cid").alias("other"), F.col("size").alias("other_size"),
+                                                            F.col("root").alias("other_root"))).alias("hub"))
+            hubs = stage(hubs.select("key", "hub.other", "hub.other_size", "hub.other_root"), "hubs", n)
+            pairs = placed.join(hubs, "key").where((F.col("root") != F.col("other_root")) & fits("size", "other_size"))
+        pairs = stage(pairs.select(*pair).distinct().join(tested, ["a", "b"], "left_anti"), "pairs", n)
+        links = stage(_confirm(pairs, classes, source, width, percent), "links", _WIDE * pairs.count())
+        if links.isEmpty():
+            if last:
+                break
+            last = True
+        else:
+            stars = found.select(F.col("node").alias("a"), F.col("root").alias("b"))
+            found = components(stage(links.unionByName(stars), "links", n))
+            found = stage(found, "components", n)
+            if last:
+                break
+        tested = tested.unionByName(pairs)
+        turn += 1
+    return found
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5,
                     percent: int = 80) -> DataFrame:
     """One row per row of ``docs``: ``<id_col>``, ``n_shingles``, ``component_id``, ``kept``, ``class_id``.
@@ -188,10 +242,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     if there is no other. Repeated rows are one class and have equal results. No rows give no
     rows. Other columns are not read.
 
-    Copies meet as one class, so a group of any size is one entry of the index. Under each key
-    all classes are first compared with the smallest one only; what is linked then is one
-    component, and only classes of different components that still share a key are compared
-    with each other."""
+    Copies meet as one class, so a group of any size is one entry of the index. Under a key,
+    classes are compared with a hub, not with each other, as long as that links any."""
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     rows = stage(source.mapInArrow(_signed(width), "id long, n_shingles long, set_key binary, sig binary")
                  .withColumn("row_id", F.monotonically_increasing_id()), "signatures")
@@ -202,31 +254,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     keys = stage(classes.where(F.col("n_shingles") >= SMALLEST).select("cid", "sig")
                  .mapInArrow(_keys, "key long, cid long"), "keys")
     n_keys = keys.count()
-    hubs = stage(keys.groupBy("key").agg(F.min("cid").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1"), "hubs", n_keys)
-    shared = stage(join_by_count(keys, hubs, "key", "n").where("hub is not null"), "shared", n_keys)
-
-    pairs = stage(shared.where("cid != hub").select(F.col("cid").alias("a"), F.col("hub").alias("b")).distinct(), "pairs", n_keys)
-    links = stage(_confirm(pairs, classes, source, width, percent), "links", _WIDE * pairs.count())
-    found = stage(components(links), "components", n_rows)
-
-    # classes that share a key and are not in one component yet
-    sized = classes.select("cid", F.col("n_shingles").alias("n"))
-    placed = stage(shared.join(found, F.col("cid") == F.col("node"), "left")
-                   .select("key", "cid", "hub", F.coalesce("root", "cid").alias("root")), "placed", n_keys)
-    split = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("key")
-    open_ = stage(placed.join(split, "key").join(sized, "cid"), "open", n_keys)
-    one = open_.select("key", F.col("cid").alias("a"), F.col("root").alias("ra"), F.col("n").alias("na"), "hub")
-    two = open_.select("key", F.col("cid").alias("b"), F.col("root").alias("rb"), F.col("n").alias("nb"))
-    more = (one.join(two, "key")
-            .where((F.col("a") > F.col("b")) & (F.col("ra") != F.col("rb")) & (F.col("b") != F.col("hub"))
-                   & (F.col("na") * 100 >= F.col("nb") * percent) & (F.col("nb") * 100 >= F.col("na") * percent))
-            .select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti"))
-    more = stage(more, "more", n_keys)
-    if not more.isEmpty():
-        late = stage(_confirm(more, classes, source, width, percent), "late", _WIDE * more.count())
-        if not late.isEmpty():
-            stars = found.select(F.col("node").alias("a"), F.col("root").alias("b"))
-            found = stage(components(stars.unionByName(late)), "components", n_rows)
+    often = stage(keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").withColumn("often", F.lit(True)), "often", n_keys)
+    sized = classes.select("cid", F.col("n_shingles").alias("size"))
+    shared = join_by_count(keys, often, "key", "n").where("often").drop("often")
+    shared = stage(shared.join(sized, "cid"), "shared", n_keys)
+    found = _components_of(shared, classes, source, width, percent)
 
     # classes to components, rows to classes
     root = stage(found.join(classes.select(F.col("cid").alias("node"), "min_id"), "node")
