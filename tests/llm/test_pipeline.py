@@ -47,9 +47,7 @@ def test_every_stage_against_brute_force(spark):
         frame = spark.createDataFrame(out.collect(), out.schema)
 
 
-def test_run_and_empty_documents(spark):
-    got = corpus_pipeline.run(spark, SMALL)
-    assert got.count() > 0 and {"doc_id", "size", "target", "taken"} <= set(got.columns)
+def test_empty_documents(spark):
     frame = docs(spark, [])
     for _, stage in corpus_pipeline.STAGES:
         frame = stage(spark, frame, SMALL)
