@@ -36,12 +36,14 @@ FEATURE_LABELS = {
 # name markers, first in this list order wins
 DEPRECATED_MARKERS = ["old", "unused", "deprecated", "legacy", "temp", "todo", "backup", "bak"]
 # the six-marker boolean variant used for mock biasing
-DEPRECATED_MARKERS_SHORT = ["old", "unused", "deprecated", "legacy", "temp", "todo"]
 
 # substrings (of the lower-cased file name or directory) marking a test file
 TEST_PATTERNS = ["test_", "_test", "tests", "spec"]
 
 # call targets (plain names) that make an entity's invocation dynamic
+# names of the syntax nodes that add one to a function's complexity
+DECISION_NODES = ["If", "For", "While", "And", "Or", "ExceptHandler", "With", "Assert", "ListComp", "SetComp", "DictComp",
+                  "GeneratorExp"]
 DYNAMIC_NAMES = ["eval", "exec", "getattr", "setattr", "globals", "locals", "__import__", "importlib"]
 
 # directory names excluded from a workspace scan

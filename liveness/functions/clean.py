@@ -31,31 +31,48 @@ def sanitize_text(col) -> Column:
     return F.upper(F.regexp_replace(_c(col), r"(?U)^\s+|\s+$", ""))
 
 
+#: Digit strings are read as whole numbers of up to this many digits; longer ones are kept as text beside.
+VALUE_TYPE, VALUE_DIGITS = "decimal(38,0)", 38
+
+
+def _overlong(c: Column) -> Column:
+    return c.rlike(r"\A0*[1-9][0-9]{%d,}\z" % VALUE_DIGITS)
+
+
 def clean_value(df: DataFrame, col: str = "value") -> Column:
     """Digit strings -> integer (unclamped); integers -> clamped to [0, 1000]
     (booleans count as integers); anything else -> -1; null tokens -> NULL.
 
-    A digit string too long for BIGINT also gives -1 (documented difference)."""
+    The integer is a DECIMAL(38,0); a digit string longer than that gives NULL here and is
+    kept as it is by ``quarantined_value``."""
     dtype = df.schema[col].dataType
     c = F.col(col)
+    error = F.lit(K.VALUE_ERROR).cast(VALUE_TYPE)
     if isinstance(dtype, StringType):
-        as_int = F.try_cast(c, "bigint") if hasattr(F, "try_cast") else F.expr(f"try_cast(`{col}` AS BIGINT)")
-        val = F.when(c.rlike("^[0-9]+$"), F.coalesce(as_int, F.lit(K.VALUE_ERROR).cast("bigint"))) \
-            .otherwise(F.lit(K.VALUE_ERROR).cast("bigint"))
-        return F.when(is_null_token(c), F.lit(None).cast("bigint")).otherwise(val)
+        digits = F.regexp_replace(c, r"\A0+(?=[0-9])", "").cast(VALUE_TYPE)
+        return F.when(is_null_token(c) | _overlong(c), F.lit(None).cast(VALUE_TYPE)).when(
+            c.rlike(r"\A[0-9]+\z"), digits).otherwise(error)
     if isinstance(dtype, (IntegralType, BooleanType)):
         v = c.cast("bigint")
-        return F.least(F.greatest(v, F.lit(K.VALUE_MIN)), F.lit(K.VALUE_MAX)).cast("bigint")
-    return F.when(c.isNull(), F.lit(None).cast("bigint")).otherwise(F.lit(K.VALUE_ERROR).cast("bigint"))
+        return F.least(F.greatest(v, F.lit(K.VALUE_MIN)), F.lit(K.VALUE_MAX)).cast(VALUE_TYPE)
+    return F.when(c.isNull(), F.lit(None).cast(VALUE_TYPE)).otherwise(error)
+
+
+def quarantined_value(df: DataFrame, col: str = "value") -> Column:
+    """The digit strings that are too long for ``clean_value``; NULL for every other value."""
+    if not isinstance(df.schema[col].dataType, StringType):
+        return F.lit(None).cast("string")
+    return F.when(_overlong(F.col(col)), F.col(col))
 
 
 def clean_records(df: DataFrame, value: str = "value", status: str = "status") -> DataFrame:
-    """Null tokens -> NULL everywhere; ``status`` sanitised; ``value`` cleaned; other
-    columns unchanged. One projection, no shuffle."""
+    """Null tokens -> NULL everywhere; ``status`` sanitised; ``value`` cleaned, with digit strings
+    too long for it in ``<value>_quarantine``; other columns unchanged. One projection, no shuffle."""
     out = []
     for f in df.schema.fields:
         if f.name == value:
             out.append(clean_value(df, value).alias(value))
+            out.append(quarantined_value(df, value).alias(f"{value}_quarantine"))
         elif f.name == status:
             s = F.col(status)
             out.append(F.when(is_null_token(s), F.lit(None).cast("string")).otherwise(sanitize_text(s)).alias(status))
@@ -68,20 +85,42 @@ def clean_records(df: DataFrame, value: str = "value", status: str = "status") -
 
 # --- arithmetic formulas ----------------------------------------------------------
 
+def _floor_div(a: Column, b: Column) -> Column:
+    """Quotient rounded down, as a whole number; whole operands are divided as whole numbers.
+    NULL for a divisor of 0."""
+    whole = F.call_function("div", a - _modulo(a, b), F.nullif(b, F.lit(0)))
+    real = F.typeof(a).isin("float", "double") | F.typeof(b).isin("float", "double")
+    return F.when(real, F.floor(F.try_divide(a, b)).cast("bigint")).otherwise(whole.cast("bigint"))
+
+
+def _modulo(a: Column, b: Column) -> Column:
+    """Remainder with the sign of the divisor; NULL for a divisor of 0."""
+    d = F.nullif(b, F.lit(0))
+    return F.try_mod(F.try_mod(a, d) + d, d)
+
+
+def _power(a: Column, b: Column) -> Column:
+    """NULL where the power is not a real, finite number: 0 to a negative power, a negative
+    base with a fraction, or an overflow."""
+    p = F.pow(a, b)
+    return F.when((a == 0) & (b < 0), F.lit(None)).when(F.isnan(p) | (F.abs(p) == float("inf")), F.lit(None)).otherwise(p)
+
+
 _BINOPS = {
     ast.Add: lambda a, b: F.try_add(a, b),
     ast.Sub: lambda a, b: F.try_subtract(a, b),
     ast.Mult: lambda a, b: F.try_multiply(a, b),
     ast.Div: lambda a, b: F.try_divide(a.cast("double"), b.cast("double")),
-    ast.FloorDiv: lambda a, b: F.floor(F.try_divide(a.cast("double"), b.cast("double"))),
-    ast.Pow: lambda a, b: F.pow(a, b),
+    ast.FloorDiv: _floor_div,
+    ast.Mod: _modulo,
+    ast.Pow: _power,
 }
 
 
 def formula_column(formula: str, context: dict[str, Column]) -> Column:
     """Compile an arithmetic formula over named columns into a Column.
 
-    Allowed: numbers, names from ``context``, + - * / // ** and unary +/-. Anything
+    Allowed: numbers, names from ``context``, + - * / // % ** and unary +/-. Anything
     else (calls, attributes, unknown names) is rejected here, before any data is read;
     a formula that fails at run time (overflow, division by zero, NULL input) gives
     NULL for that row. Nothing is evaluated with ``eval``."""

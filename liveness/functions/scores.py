@@ -80,19 +80,17 @@ def deprecated_marker(name) -> Column:
                       F.lit(None).cast("string"))
 
 
-def has_deprecated_marker_short(name) -> Column:
-    return F.lower(_c(name)).rlike("|".join(K.DEPRECATED_MARKERS_SHORT))
-
-
 def file_depth(rel_path) -> Column:
     """Number of '/' separators in the root-relative path."""
     p = F.regexp_replace(_c(rel_path), r"\\", "/")
     return (F.length(p) - F.length(F.regexp_replace(p, "/", ""))).cast("int")
 
 
-def is_test_file(path) -> Column:
-    """Any test pattern in the lower-cased path (file name or any directory)."""
-    p = F.lower(_c(path))
+def is_test_file(path, absolute: str | None = None) -> Column:
+    """Any test pattern in the lower-cased path (file name or any directory). By default the
+    path below the root decides; with ``absolute`` (the root's own path) its directories count
+    too, so below /x/tests/ every file is a test."""
+    p = F.lower(_c(path) if absolute is None else F.concat(F.lit(absolute.rstrip("/") + "/"), _c(path)))
     return reduce(lambda a, b: a | b, [p.contains(t) for t in K.TEST_PATTERNS])
 
 

@@ -1,8 +1,9 @@
 """Joins: feature attachment, history detail, range and substring look-ups, cache.
 
 No join here relies on a forced broadcast: sides are left to Catalyst's size-checked
-``autoBroadcastJoinThreshold`` and AQE (which also splits skewed partitions, e.g. a
-very common callee name). The two non-equi look-ups are rewritten as equi-joins."""
+``autoBroadcastJoinThreshold`` and AQE. AQE splits a skewed partition only where both
+sides come straight from a shuffle, so the feature join reads a written usage table. The
+two non-equi look-ups are rewritten as equi-joins."""
 
 from __future__ import annotations
 
@@ -30,17 +31,23 @@ def attach_test_usage(entities: DataFrame, test_names: DataFrame, name: str = "n
             .withColumn(out, F.col("_t").isNotNull().cast("int")).drop("_t"))
 
 
+def attach_usage(entities: DataFrame, usage: DataFrame, name: str = "name", callee: str = "callee") -> DataFrame:
+    """``call_count`` and ``used_in_tests`` of each entity in one left join with
+    ``rollups.callee_usage`` on the bare name; names without a reference get 0."""
+    u = usage.select(F.col(callee).alias("_callee"), F.col("call_count").alias("_n"), F.col("in_tests").alias("_t"))
+    return (entities.join(u, F.col(name) == F.col("_callee"), "left")
+            .withColumn("call_count", F.coalesce("_n", F.lit(0)).cast("long"))
+            .withColumn("used_in_tests", F.coalesce("_t", F.lit(0)).cast("int")).drop("_callee", "_n", "_t"))
+
+
 def attach_features(entities: DataFrame, calls: DataFrame, name: str = "name",
                     path: str = "rel_path", callee: str = "callee",
                     in_test: str = "in_test_file") -> DataFrame:
     """Call count, test usage, export flag and file depth for each entity."""
     from ..functions.scores import file_depth
-    from .rollups import call_counts, test_called_names
-    counts = call_counts(calls, callee)
-    tests = test_called_names(calls, callee, in_test)
-    out = attach_call_count(entities, counts, name, callee)
-    out = attach_test_usage(out, tests, name, callee)
-    return (out.withColumn("is_exported", is_exported(name))
+    from .rollups import callee_usage
+    return (attach_usage(entities, callee_usage(calls, callee, in_test), name, callee)
+            .withColumn("is_exported", is_exported(name))
             .withColumn("file_depth", file_depth(path)))
 
 
@@ -115,24 +122,26 @@ def symbol_at_line(symbols: DataFrame, probes: DataFrame, file_col: str = "file_
 def symbol_named_in_text(questions: DataFrame, symbols: DataFrame, file_col: str = "file_name",
                          qid: str = "question_id", text: str = "text", name: str = "name",
                          order: list | None = None) -> DataFrame:
-    """For each question: the first symbol of its file (by ``order``) whose lower-cased
-    name occurs in the lower-cased question.
-
-    A name is made of identifier characters, so any occurrence lies inside one maximal
-    run of such characters in the question. Every substring of each run, up to the
-    longest name of that file, is joined to the names on (file, substring): an exact
-    rewrite of the substring test as an equi-join, with no question x symbol pairs."""
-    order = order or ["entity_id"]
-    sym = (symbols.where(F.length(F.col(name)) > 0)
-           .withColumn("_lname", F.lower(F.col(name))))
-    max_len = sym.groupBy(file_col).agg(F.max(F.length("_lname")).alias("_maxlen"))
-    q = questions.select(qid, file_col, F.lower(F.col(text)).alias("_lq")).join(max_len, file_col)
-    runs = q.select(qid, file_col, "_maxlen",
-                    F.explode(F.split("_lq", r"[^\p{L}\p{N}\p{M}\p{Pc}]+")).alias("_run"))
-    runs = runs.where(F.length("_run") > 0).withColumn("_len", F.length("_run"))
-    pos = runs.withColumn("_i", F.explode(F.sequence(F.lit(1), F.col("_len"))))
-    subs = pos.withColumn(
-        "_k", F.explode(F.sequence(F.lit(1), F.least(F.col("_maxlen"), F.col("_len") - F.col("_i") + 1))))
+    """For each question: the first symbol of its file whose lower-cased name occurs in the
+    lower-cased question. "First" is by ``order``: start line, then id, if the symbols have a
+    start line, else id.
+
+    A name is made of identifier characters, so any occurrence lies inside one maximal run of
+    such characters in the question. Symbols are first reduced to one per (file, lower-cased
+    name); then the substrings of each run, of the lengths that names of that file have, are
+    joined on (file, substring). So a name repeated any number of times in a file meets a
+    question once, and the join's output is at most one row per distinct name found."""
+    from .ordering import first_seen
+    order = order or [c for c in ("start_line", "entity_id") if c in symbols.columns]
+    sym = first_seen(symbols.where(F.length(F.col(name)) > 0).withColumn("_lname", F.lower(F.col(name))),
+                     [file_col, "_lname"], order)
+    lengths = sym.groupBy(file_col).agg(F.collect_set(F.length("_lname")).alias("_lengths"))  # distinct name lengths
+    q = questions.select(qid, file_col, F.lower(F.col(text)).alias("_lq")).join(lengths, file_col)
+    runs = q.select(qid, file_col, "_lengths",
+                    F.explode(F.array_distinct(F.split("_lq", r"[^\p{L}\p{N}\p{M}\p{Pc}]+"))).alias("_run"))
+    runs = runs.where(F.length("_run") > 0).select(qid, file_col, "_run", F.explode("_lengths").alias("_k")) \
+        .where(F.col("_k") <= F.length("_run"))
+    subs = runs.withColumn("_i", F.explode(F.sequence(F.lit(1), F.length("_run") - F.col("_k") + 1)))
     cand = subs.select(qid, file_col, F.substring(F.col("_run"), F.col("_i"), F.col("_k")).alias("_sub")) \
         .distinct()
     sym_cols = [c for c in symbols.columns if c != file_col]

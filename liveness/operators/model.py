@@ -71,8 +71,19 @@ def split_train_test(df: DataFrame, key: str, train_percent: int = K.TRAIN_PERCE
 
 
 def shuffle_rows(df: DataFrame, key: str, seed: int = K.SPLIT_SEED) -> DataFrame:
-    """Seeded permutation: order by a hash of (seed, key)."""
-    return df.orderBy(F.xxhash64(F.lit(seed), F.col(key)), F.col(key))
+    """Seeded permutation: order by a hash of (seed, key), ties by key."""
+    return df.orderBy(_shuffle_key(key, seed), F.col(key))
+
+
+def _shuffle_key(key: str, seed: int) -> Column:
+    return F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")))
+
+
+def shuffle_positions(df: DataFrame, key: str, seed: int = K.SPLIT_SEED) -> DataFrame:
+    """The same permutation as a column: 1-based ``position`` (no task sees all rows)."""
+    from .ordering import positions_within
+    placed = positions_within(df.withColumn("__all", F.lit(0)), "__all", [_shuffle_key(key, seed), F.col(key)], out="position")
+    return placed.withColumn("position", F.col("position").cast("long")).drop("__all")
 
 
 def fit_scaler(df: DataFrame, features: list[str] = K.FEATURES) -> ScalerParams:
@@ -158,17 +169,9 @@ def _contribution_items(params: ModelParams) -> list[Column]:
 _CONTRIB_FIELDS = ("name", "label", "value", "contribution", "direction")
 
 
-def feature_contributions(params: ModelParams) -> Column:
-    """w_i * z_i per feature (rounded to 4), direction 'dead' if the unrounded value is
-    positive else 'live', labelled, ranked by |contribution| descending with ties in
-    feature order (single-Column form; ``with_feature_contributions`` is the staged,
-    cheaper form for wide plans)."""
-    arr = F.sort_array(F.array(*_contribution_items(params)))
-    return F.arrays_zip(*[arr.getField(x).alias(x) for x in _CONTRIB_FIELDS])
-
-
 def with_feature_contributions(df: DataFrame, params: ModelParams, out: str = "top_features") -> DataFrame:
-    """Adds ``out`` (see ``feature_contributions``). Ranked with ``sort_array`` over
+    """Adds ``out``: w_i * z_i per feature (rounded to 4), direction 'dead' if the unrounded value
+    is positive else 'live', labelled, by |contribution| descending, ties in feature order. Ranked with ``sort_array`` over
     structs led by (-|contribution|, feature index) - natural struct order, no lambda
     comparator - staged as its own column so the sort is evaluated once per row, then
     the sort keys are dropped with ``arrays_zip`` of the wanted fields."""

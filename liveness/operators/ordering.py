@@ -122,26 +122,41 @@ def positions_within(df: DataFrame, group: str, order: list[Column], out: str =
             .drop("__pw_pid", "__pw_li", "__pw_first", "__pw_n", "__pw_off"))
 
 
+def running_sums(df: DataFrame, order: list[Column], cols: list[str], partitions: int | None = None) -> DataFrame:
+    """Adds ``cum_<c>`` (sum of ``c`` up to and including the row, by ``order``) and ``all_<c>``
+    for each column, without one task that sees all rows: rows are range-partitioned and
+    summed within partitions, and only the partitions' totals are put in sequence."""
+    from ..session import materialize
+    spark = df.sparkSession
+    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    x = materialize(df.repartitionByRange(n, *order).sortWithinPartitions(*order)
+                    .withColumn("__rs_pid", F.spark_partition_id()), "running")
+    totals = x.groupBy("__rs_pid").agg(*[F.sum(c).alias(c) for c in cols])
+    before = Window.orderBy("__rs_pid").rowsBetween(Window.unboundedPreceding, -1)   # at most n rows
+    every = Window.partitionBy(F.lit(1))
+    totals = totals.select("__rs_pid", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"__rs_{c}") for c in cols],
+                           *[F.sum(c).over(every).alias(f"all_{c}") for c in cols])
+    inside = Window.partitionBy("__rs_pid").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    return (x.select("*", *[F.sum(c).over(inside).alias(f"cum_{c}") for c in cols]).join(totals, "__rs_pid")
+            .select(*df.columns, *[(F.col(f"cum_{c}") + F.col(f"__rs_{c}")).alias(f"cum_{c}") for c in cols],
+                    *[f"all_{c}" for c in cols]))
+
+
 def sort_results(results: DataFrame, mode: str = "confidence", file_col: str = "file_name",
                  name: str = "name", line: str = "start_line", conf: str = "confidence",
-                 tie: str = "entity_id", skew_safe: bool = False) -> DataFrame:
+                 tie: str = "entity_id") -> DataFrame:
     """Dashboard order within each file: confidence desc / name asc / line asc.
 
     Adds ``sort_pos`` (1-based position within the file) so the order survives a
-    distributed write; name order is binary (code point), not locale-aware. By default a
-    per-file window; ``skew_safe=True`` uses ``positions_within`` (range partitioning +
-    offsets, one staged write) so a file holding a large share of all rows is not
-    ranked in a single task."""
+    distributed write; name order is binary (code point), not locale-aware. Positions come
+    from ``positions_within``, so a file with a large share of all rows is not ranked in
+    one task."""
     keys = {
         "confidence": [F.col(conf).desc()],
         "name": [F.col(name).asc()],
         "line": [F.col(line).asc()],
     }[mode]
-    order = [*keys, F.col(tie).asc()]
-    if skew_safe:
-        return positions_within(results, file_col, order, out="sort_pos")
-    w = Window.partitionBy(file_col).orderBy(*order)
-    return results.withColumn("sort_pos", F.row_number().over(w))
+    return positions_within(results, file_col, [*keys, F.col(tie).asc()], out="sort_pos")
 
 
 def top_suspects(results: DataFrame, n: int = K.TOP_SUSPECTS, file_col: str | None = "file_name",
@@ -151,8 +166,3 @@ def top_suspects(results: DataFrame, n: int = K.TOP_SUSPECTS, file_col: str | No
     if file_col is None:
         return cand.orderBy(F.col(conf).desc(), F.col(tie).asc()).limit(n)
     return top_n_per_group(cand, [file_col], [F.col(conf).desc(), F.col(tie).asc()], n)
-
-
-def top_features(contributions: Column, n: int) -> Column:
-    """First ``n`` entries of an already ranked contribution array."""
-    return F.slice(contributions, 1, n)

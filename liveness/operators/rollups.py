@@ -4,7 +4,7 @@ All are hash aggregates with map-side partial aggregation; none collects a group
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import constants as K
@@ -21,6 +21,15 @@ def call_counts(calls: DataFrame, callee: str = "callee", by_file: str | None =
     return calls.groupBy(*keys).agg(F.count(F.lit(1)).alias("call_count"))
 
 
+def callee_usage(calls: DataFrame, callee: str = "callee", in_test: str = "in_test_file") -> DataFrame:
+    """Per bare callee name: references (``call_count``) and whether a test file has one
+    (``in_tests``), in one aggregate, written once: a plain table on the right side of the
+    feature join lets AQE split the partition of a hot name."""
+    from ..session import materialize
+    return materialize(calls.groupBy(callee).agg(F.count(F.lit(1)).alias("call_count"),
+                                                 F.max(F.col(in_test).cast("int")).alias("in_tests")), "usage")
+
+
 def test_called_names(calls: DataFrame, callee: str = "callee",
                       in_test: str = "in_test_file") -> DataFrame:
     return calls.where(F.col(in_test)).select(F.col(callee).alias(callee)).distinct()
@@ -72,24 +81,26 @@ def project_summary(sessions: DataFrame, entities: DataFrame, project: str | Non
     Bands are re-derived from the stored (rounded) score. With ``project`` given, the
     filter is pushed into both scans and one row is returned (zeros when empty).
     """
+    c = F.col(conf)
+    of_sessions = [F.count(F.lit(1)).alias("total_sessions")]
+    of_entities = [
+        F.count(F.lit(1)).alias("total_entities"),
+        F.avg(c).alias("avg_raw"),
+        _count_if(c >= K.DANGER_AT).alias("danger_count"),
+        _count_if((c >= K.WARNING_AT) & (c < K.DANGER_AT)).alias("warning_count"),
+        _count_if((c >= K.REVIEW_AT) & (c < K.WARNING_AT)).alias("review_count"),
+        _count_if(c < K.REVIEW_AT).alias("safe_count"),
+    ]
     if project is not None:
         sessions = sessions.where(F.col(project_col) == project)
-    s_agg = sessions.groupBy(project_col).agg(F.count(F.lit(1)).alias("total_sessions"))
-    c = F.col(conf)
-    e_agg = (
-        entities.join(sessions.select(F.col(session_key).alias(entity_session), project_col),
-                      entity_session)
-        .groupBy(project_col)
-        .agg(
-            F.count(F.lit(1)).alias("total_entities"),
-            F.avg(c).alias("avg_raw"),
-            _count_if(c >= K.DANGER_AT).alias("danger_count"),
-            _count_if((c >= K.WARNING_AT) & (c < K.DANGER_AT)).alias("warning_count"),
-            _count_if((c >= K.REVIEW_AT) & (c < K.WARNING_AT)).alias("review_count"),
-            _count_if(c < K.REVIEW_AT).alias("safe_count"),
-        )
-    )
-    out = s_agg.join(e_agg, project_col, "left").select(
+    ids = sessions.select(F.col(session_key).alias(entity_session), project_col)
+    held = entities.join(ids, entity_session)
+    if project is None:
+        both = (sessions.groupBy(project_col).agg(*of_sessions)
+                .join(held.groupBy(project_col).agg(*of_entities), project_col, "left"))
+    else:  # one row, also for a project without sessions: aggregates without keys
+        both = sessions.agg(*of_sessions).crossJoin(held.agg(*of_entities)).withColumn(project_col, F.lit(project))
+    return both.select(
         project_col,
         F.col("total_sessions").cast("long").alias("total_sessions"),
         F.coalesce("total_entities", F.lit(0)).cast("long").alias("total_entities"),
@@ -97,7 +108,6 @@ def project_summary(sessions: DataFrame, entities: DataFrame, project: str | Non
         *[F.coalesce(n, F.lit(0)).cast("long").alias(n)
           for n in ("danger_count", "warning_count", "review_count", "safe_count")],
     )
-    return out
 
 
 def average_column(records: DataFrame, col: str, group_by: str | None = None) -> DataFrame:
@@ -148,47 +158,34 @@ def classification_metrics(scored: DataFrame, label: str = "label",
     )
 
 
-def roc_curve(scored: DataFrame, label: str = "label", score: str = "score",
-              digits: int = 4) -> DataFrame:
-    """(threshold, fpr, tpr) per distinct score, scores snapped to ``digits`` decimals.
-
-    Rows are first reduced to one per distinct score (<= 10^digits + 1 rows, a bound
-    independent of the data size); only that bounded table goes through the
-    cumulative window, so the single-partition window is safe at any scale.
-    """
-    s = round_half_up(F.col(score), digits)
-    per = scored.groupBy(s.alias("threshold")).agg(
+def _per_score(scored: DataFrame, label: str, score: str) -> DataFrame:
+    """Positives and negatives per distinct score, with running totals from the highest down."""
+    from .ordering import running_sums
+    per = scored.groupBy(F.col(score).cast("double").alias("threshold")).agg(
         _count_if(F.col(label) == 1).alias("pos"), _count_if(F.col(label) != 1).alias("neg"))
-    w = Window.orderBy(F.desc("threshold")).rowsBetween(Window.unboundedPreceding, 0)
-    wall = Window.partitionBy(F.lit(1))
-    return (
-        per.withColumn("cum_pos", F.sum("pos").over(w))
-        .withColumn("cum_neg", F.sum("neg").over(w))
-        .withColumn("all_pos", F.sum("pos").over(wall))
-        .withColumn("all_neg", F.sum("neg").over(wall))
-        .select(
-            "threshold",
-            round_half_up(F.coalesce(F.try_divide(F.col("cum_neg").cast("double"),
-                                                  F.nullif(F.col("all_neg"), F.lit(0))), F.lit(0.0)), 6).alias("fpr"),
-            round_half_up(F.coalesce(F.try_divide(F.col("cum_pos").cast("double"),
-                                                  F.nullif(F.col("all_pos"), F.lit(0))), F.lit(0.0)), 6).alias("tpr"),
-        )
-    )
+    return running_sums(per, [F.col("threshold").desc()], ["pos", "neg"])
 
 
-def roc_auc(scored: DataFrame, label: str = "label", score: str = "score", digits: int = 4) -> DataFrame:
-    """Area under the ROC curve (trapezoids; tied scores count half) over snapped scores.
+def roc_curve(scored: DataFrame, label: str = "label", score: str = "score") -> DataFrame:
+    """(threshold, fpr, tpr) for every distinct score, and the start point (infinity, 0, 0).
 
-    Equals the Mann-Whitney statistic: sum over score bins of neg * (pos_above + pos/2),
-    divided by P*N. Computed from the bounded per-score table.
-    """
-    s = round_half_up(F.col(score), digits)
-    per = scored.groupBy(s.alias("threshold")).agg(
-        _count_if(F.col(label) == 1).alias("pos"), _count_if(F.col(label) != 1).alias("neg"))
-    w = Window.orderBy(F.desc("threshold")).rowsBetween(Window.unboundedPreceding, -1)
-    with_above = per.withColumn("pos_above", F.coalesce(F.sum("pos").over(w), F.lit(0)))
-    return with_above.agg(
-        F.sum(F.col("neg") * (F.col("pos_above") + F.col("pos") / 2.0)).alias("num"),
+    One row per score after a partially aggregated group-by; running totals over range
+    partitions, so neither many distinct scores nor one hot score is one task's work."""
+    share = lambda part, whole: round_half_up(F.coalesce(F.try_divide(
+        F.col(part).cast("double"), F.nullif(F.col(whole), F.lit(0))), F.lit(0.0)), 6)
+    curve = _per_score(scored, label, score).select(
+        "threshold", share("cum_neg", "all_neg").alias("fpr"), share("cum_pos", "all_pos").alias("tpr"))
+    start = scored.sparkSession.range(1).select(
+        F.lit(float("inf")).alias("threshold"), F.lit(0.0).alias("fpr"), F.lit(0.0).alias("tpr"))
+    return start.unionByName(curve)
+
+
+def roc_auc(scored: DataFrame, label: str = "label", score: str = "score") -> DataFrame:
+    """Area under the ROC curve (trapezoids; tied scores count half) over all distinct scores:
+    the sum over scores of neg * (positives above + pos / 2), divided by P * N."""
+    per = _per_score(scored, label, score)
+    return per.agg(
+        F.sum(F.col("neg") * (F.col("cum_pos") - F.col("pos") / 2.0)).alias("num"),
         F.sum("pos").alias("p"), F.sum("neg").alias("n"),
-    ).select(round_half_up(F.coalesce(F.try_divide(F.col("num"), (F.col("p") * F.col("n")).cast("double")),
+    ).select(round_half_up(F.coalesce(F.try_divide(F.col("num"), F.col("p").cast("double") * F.col("n")),
                                       F.lit(0.0)), 6).alias("auc"))

@@ -72,7 +72,7 @@ def regex_symbols(files: DataFrame, path: str = "rel_path", content: str = "cont
         for k in range(n):
             name, kind = _slot_extract(ln, F.col("_lang"), k)
             slots.append(F.struct(F.lit(k).alias("pattern_no"), F.coalesce(name, F.lit("")).alias("name"),
-                                  kind.alias("kind"), (i + 1).alias("start_line"), F.trim(ln).alias("snippet")))
+                                  kind.alias("kind"), (i + 1).alias("start_line"), F.regexp_replace(ln, r"(?U)^\s+|\s+$", "").alias("snippet")))
         return F.array(*slots)
 
     found = F.filter(F.flatten(F.transform("_lines", per_line)),
@@ -90,15 +90,25 @@ def first_seen_symbols(symbols: DataFrame, path: str = "rel_path") -> DataFrame:
     return first_seen(symbols, [path, "name"], ["pattern_no", "start_line"])
 
 
-def _ranges_per_file(ranges: DataFrame, path: str, start: str, end: str) -> DataFrame:
-    return ranges.groupBy(path).agg(
-        F.collect_list(F.struct(F.col(start).alias("s"), F.col(end).alias("e"))).alias("_ranges"))
+def _merged(ranges: Column, n_lines: Column, extra: int) -> Column:
+    """Sorted, clipped, overlapping or adjacent (s, e) ranges folded into one sequence of
+    disjoint ones; linear after the sort."""
+    clipped = F.transform(ranges, lambda r: F.struct(F.greatest(r["s"], F.lit(1)).alias("s"),
+                                                     F.least(r["e"] + extra, n_lines).alias("e")))
+    sorted_ = F.array_sort(F.filter(clipped, lambda r: r["s"] <= r["e"]))
+    none = F.array().cast("array<struct<s:int,e:int>>")
 
+    def fold(acc: Column, r: Column) -> Column:
+        open_ = acc["open"]
+        joins = r["s"] <= open_["e"] + 1
+        grown = F.struct(open_["s"].alias("s"), F.greatest(open_["e"], r["e"]).alias("e"))
+        return (F.when(open_.isNull(), F.struct(acc["done"].alias("done"), r.alias("open")))
+                .when(joins, F.struct(acc["done"].alias("done"), grown.alias("open")))
+                .otherwise(F.struct(F.array_append(acc["done"], open_).alias("done"), r.alias("open"))))
 
-def _in_ranges(i, rngs, extra: int, n_lines) -> Column:
-    """1-based line ``i`` inside any range; ranges extended by ``extra`` lines and
-    clipped to the text."""
-    return F.exists(rngs, lambda r: (i >= r["s"]) & (i <= F.least(r["e"] + extra, n_lines)))
+    start = F.struct(none.alias("done"), F.lit(None).cast("struct<s:int,e:int>").alias("open"))
+    return F.aggregate(sorted_, start, fold, lambda acc: F.when(acc["open"].isNull(), acc["done"]).otherwise(
+        F.array_append(acc["done"], acc["open"])))
 
 
 def remove_line_ranges(files: DataFrame, ranges: DataFrame, path: str = "path",
@@ -109,19 +119,24 @@ def remove_line_ranges(files: DataFrame, ranges: DataFrame, path: str = "path",
     Returns (path, new_content, removed_lines). ``extra_lines=1`` reproduces the editor
     behaviour: the line after the range goes too, and when the deletion reaches the end
     of the text the newline before it stays (the text keeps a final line break).
-    Ranges are grouped per file (small: one entry per removed symbol) and joined to the
-    file row; lines are filtered inside the row."""
-    rp = _ranges_per_file(ranges, path, start, end)
-    j = files.join(rp, path, "left")
-    lines = F.split(F.col(content), "\n", -1)
-    j = j.withColumn("_lines", lines).withColumn("_n", F.size("_lines"))
-    rngs = F.coalesce(F.col("_ranges"), F.array().cast("array<struct<s:int,e:int>>"))
-    j = j.withColumn("_kept", F.filter("_lines", lambda ln, i: ~_in_ranges(i + 1, rngs, extra_lines, F.col("_n"))))
-    kept = F.col("_kept")
+    A file's distinct ranges are merged inside its row and the text between them is sliced
+    out, so the work is linear in lines plus ranges."""
+    rp = ranges.select(F.col(path).alias("_path"), F.col(start).cast("int").alias("s"), F.col(end).cast("int").alias("e")) \
+        .distinct().groupBy("_path").agg(F.collect_list(F.struct("s", "e")).alias("_ranges"))
+    j = files.join(rp, F.col(path) == F.col("_path"), "left")
+    j = j.withColumn("_lines", F.split(F.col(content), "\n", -1)).withColumn("_n", F.size("_lines"))
+    given = F.coalesce(F.col("_ranges"), F.array().cast("array<struct<s:int,e:int>>"))
+    j = j.withColumn("_cut", _merged(given, F.col("_n"), extra_lines))
+    # kept stretches: before the first cut, between cuts, after the last
+    froms = F.concat(F.array(F.lit(1)), F.transform("_cut", lambda r: r["e"] + 1))
+    tos = F.concat(F.transform("_cut", lambda r: r["s"] - 1), F.array(F.col("_n")))
+    kept = F.flatten(F.zip_with(froms, tos, lambda a, b: F.slice(F.col("_lines"), a, F.greatest(b - a + 1, F.lit(0)))))
+    j = j.withColumn("_kept", kept)
+    out = F.col("_kept")
     if extra_lines > 0:
-        last_removed = _in_ranges(F.col("_n"), rngs, extra_lines, F.col("_n"))
-        kept = F.when(last_removed & (F.size("_kept") > 0), F.concat("_kept", F.array(F.lit("")))).otherwise(kept)
-    return j.select(path, F.array_join(kept, "\n").alias("new_content"),
+        last_removed = F.coalesce(F.try_element_at(F.col("_cut"), F.lit(-1))["e"] >= F.col("_n"), F.lit(False))
+        out = F.when((F.size("_cut") > 0) & last_removed & (F.size("_kept") > 0), F.concat("_kept", F.array(F.lit("")))).otherwise(out)
+    return j.select(path, F.array_join(out, "\n").alias("new_content"),
                     (F.col("_n") - F.size("_kept")).alias("removed_lines"))
 
 

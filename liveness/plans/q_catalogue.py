@@ -92,14 +92,9 @@ def q_is_private_name(spark, d):
     return V.cat_entities(spark, d).select("entity_id", "name", S.is_private_name("name").alias("is_private"))
 
 
-SHORT_MARKERS = "|".join(K.DEPRECATED_MARKERS_SHORT)
-
-
-@query("deprecated_marker", W(f"""SELECT entity_id, name, {MARKER_SQL} AS marker,
-  regexp_matches(lower(name), '{SHORT_MARKERS}') AS has_marker_short FROM cat_entities""", "cat_entities"))
+@query("deprecated_marker", W(f"""SELECT entity_id, name, {MARKER_SQL} AS marker FROM cat_entities""", "cat_entities"))
 def q_deprecated_marker(spark, d):
-    return V.cat_entities(spark, d).select("entity_id", "name", S.deprecated_marker("name").alias("marker"),
-                                           S.has_deprecated_marker_short("name").alias("has_marker_short"))
+    return V.cat_entities(spark, d).select("entity_id", "name", S.deprecated_marker("name").alias("marker"))
 
 
 @query("file_depth", W("""SELECT entity_id, rel_path,

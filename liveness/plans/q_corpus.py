@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from ..functions import scores as S
 from ..operators import extract as X
 from ..operators.rollups import call_counts
-from ..session import materialize
+from ..session import materialize, new_stage_path
+from ..sources.files import write_tree
 from .analyze import analyze_corpus
 from .corpus import corpus_files
 from . import views as V
@@ -20,15 +21,9 @@ from .registry import query
 
 W = V.with_views
 
-_CACHE: dict = {}
-
-
 def _extracted(spark, d):
-    """The extraction stage of a corpus, written once per (session, tables)."""
-    key = (id(spark), d)
-    if key not in _CACHE:
-        _CACHE[key] = materialize(X.extract(corpus_files(spark, d)), "extract")
-    return _CACHE[key]
+    """The extraction stage of a corpus: parsed and written anew by every query."""
+    return materialize(X.extract(corpus_files(spark, d)), "extract")
 
 
 def _analyze_sql() -> str:
@@ -67,11 +62,11 @@ SELECT s.path, s.name, s.entity_type, s.start_line, s.end_line, s.call_count, s.
          ELSE printf('{q}%s{q} has %d references', s.name, call_count) END,
     CASE WHEN is_exported = 0 THEN 'it is private' ELSE 'it is public' END,
     CASE WHEN used_in_tests = 0 THEN 'no test references it' ELSE 'tests reference it' END,
-    CASE WHEN dynamic_call_risk = 1 THEN 'dynamic invocation found, do not remove blindly' END,
+    CASE WHEN dynamic_call_risk = 1 THEN 'it may be invoked by name at run time' END,
     CASE WHEN cyclomatic_complexity <= 2 THEN printf('simple logic (complexity %d)', cyclomatic_complexity)
          WHEN cyclomatic_complexity >= 8 THEN printf('complex logic (complexity %d)', cyclomatic_complexity)
          ELSE printf('moderate complexity (%d)', cyclomatic_complexity) END)
-    || printf('. Dead-code confidence overall: %d%%.', {pct}) AS explanation,
+    || printf(' [score %d of 100]', {pct}) AS explanation,
   c.top_features, s.snippet
 FROM scored s JOIN contrib c ON c.ekey = s.ekey""", "corpus_entities", "corpus_calls")
 
@@ -138,14 +133,37 @@ def q_parse_errors(spark, d):
         "path", F.substring_index("error", ":", 1).alias("error_kind"))
 
 
-@query("scan_files")
+#: Modules of this many orders in sequence make one file of the written tree.
+ORDERS_PER_FILE = 512
+
+
+@query("scan_files", W(f"""SELECT rel_path, 'py' AS ext, 'python' AS language, CAST(strlen(content) AS BIGINT) AS length,
+  sha256(content) AS content_sha256 FROM (
+    SELECT parent || 'pkg' || CAST(o // {ORDERS_PER_FILE} AS VARCHAR) || '.py' AS rel_path,
+      string_agg(content, chr(10) ORDER BY o) AS content
+    FROM (SELECT content, regexp_replace(rel_path, '[^/]+$', '') AS parent,
+                 CAST(regexp_extract(rel_path, '([0-9]+)[.]py$', 1) AS BIGINT) AS o FROM corpus_files)
+    WHERE NOT contains(parent, '/legacy/') GROUP BY parent, o // {ORDERS_PER_FILE})""", "corpus_files"))
 def q_scan_files(spark, d):
+    """Write the derived modules as a tree of files, scan it back; one directory is excluded."""
     from ..sources.files import scan_files
-    return scan_files(spark, d, extensions=["parquet"]).select(
-        "rel_path", "language", F.col("length"))
+    root = new_stage_path(spark, "tree")
+    o = F.regexp_extract("rel_path", r"([0-9]+)\.py$", 1).cast("long")
+    files = (corpus_files(spark, d).select("content", F.regexp_replace("rel_path", "[^/]+$", "").alias("parent"), o.alias("o"))
+             .withColumn("pkg", F.floor(F.col("o") / ORDERS_PER_FILE))
+             .groupBy("parent", "pkg").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o", "content"))),
+                                                                    lambda x: x["content"]), "\n").alias("content"))
+             .withColumn("rel_path", F.concat("parent", F.lit("pkg"), F.col("pkg").cast("string"), F.lit(".py"))))
+    write_tree(files, root)
+    return scan_files(spark, root, exclude=["legacy"]).select(
+        "rel_path", "ext", "language", "length", F.sha2("content", 256).alias("content_sha256"))
 
 
 @query("is_test_file", W("""SELECT rel_path, contains(lower(rel_path), 'test_') OR contains(lower(rel_path), '_test')
-  OR contains(lower(rel_path), 'tests') OR contains(lower(rel_path), 'spec') AS is_test FROM corpus_files""", "corpus_files"))
+  OR contains(lower(rel_path), 'tests') OR contains(lower(rel_path), 'spec') AS is_test, true AS below_specs,
+  contains(lower(rel_path), 'test_') OR contains(lower(rel_path), '_test') OR contains(lower(rel_path), 'tests')
+    OR contains(lower(rel_path), 'spec') AS below_src FROM corpus_files""", "corpus_files"))
 def q_is_test_file(spark, d):
-    return corpus_files(spark, d).select("rel_path", S.is_test_file("rel_path").alias("is_test"))
+    return corpus_files(spark, d).select("rel_path", S.is_test_file("rel_path").alias("is_test"),
+                                         S.is_test_file("rel_path", absolute="/data/Specs/x").alias("below_specs"),
+                                         S.is_test_file("rel_path", absolute="/data/src/").alias("below_src"))

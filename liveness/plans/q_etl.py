@@ -24,7 +24,9 @@ def nt(c: str) -> str:
 
 CLEAN_SQL = f"""SELECT CASE WHEN {nt('id')} THEN NULL ELSE id END AS id,
   CASE WHEN {nt('value')} THEN NULL WHEN regexp_full_match(value, '[0-9]+')
-       THEN COALESCE(TRY_CAST(value AS BIGINT), -1) ELSE -1 END AS value,
+       THEN CASE WHEN length(ltrim(value, '0')) > 38 THEN NULL ELSE CAST(value AS DECIMAL(38,0)) END
+       ELSE CAST(-1 AS DECIMAL(38,0)) END AS value,
+  CASE WHEN regexp_full_match(value, '[0-9]+') AND length(ltrim(value, '0')) > 38 THEN value END AS value_quarantine,
   CASE WHEN {nt('status')} THEN NULL ELSE upper(trim(status)) END AS status,
   CASE WHEN {nt('props')} THEN NULL ELSE props END AS props,
   CASE WHEN {nt('user_id')} THEN NULL ELSE user_id END AS user_id
@@ -56,10 +58,10 @@ def q_clean_records(spark, d):
     return _clean(spark, d)
 
 
-@query("evaluate_formula", W(f"""SELECT id, value * CAST(user_id AS BIGINT) + 2 AS result FROM ({CLEAN_SQL})""",
+@query("evaluate_formula", W(f"""SELECT id, CAST(value AS BIGINT) * CAST(user_id AS BIGINT) + 2 AS result FROM ({CLEAN_SQL})""",
                              "raw_records"))
 def q_evaluate_formula(spark, d):
-    c = _clean(spark, d).withColumn("uid", F.col("user_id").cast("bigint"))
+    c = _clean(spark, d).withColumn("uid", F.col("user_id").cast("bigint")).withColumn("value", F.col("value").cast("bigint"))
     return C.evaluate_formula(c, "x * y + 2", {"x": "value", "y": "uid"}).select("id", "result")
 
 
@@ -74,7 +76,7 @@ def q_average_column(spark, d):
 @query("group_sum", W(f"SELECT status, CAST(sum(value) AS BIGINT) AS sum_value FROM ({CLEAN_SQL}) GROUP BY status",
                       "raw_records"))
 def q_group_sum(spark, d):
-    return rollups.group_sum(_clean(spark, d), "status", "value")
+    return rollups.group_sum(_clean(spark, d), "status", "value").withColumn("sum_value", F.col("sum_value").cast("bigint"))
 
 
 @query("format_date_text", """SELECT event_id, replace(strftime(ts, '%Y/%m/%d'), '/', '-') AS day FROM events""")
@@ -168,7 +170,7 @@ existing AS (SELECT substr(md5(email), 1, 8) AS user_id, name, email, active FRO
 allrows AS (
   SELECT user_id, name, email, active, 0 AS src, NULL::BIGINT AS ord FROM existing
   UNION ALL SELECT substr(md5(email), 1, 8), name, email, true, 1, line_no FROM legacy)
-SELECT user_id, name, email, active FROM (
+SELECT user_id, name, email, active, (SELECT count(*) FROM legacy) AS imported FROM (
   SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY src DESC, ord DESC NULLS LAST) AS rn FROM allrows)
 WHERE rn = 1""", "users"))
 def q_import_users(spark, d):
@@ -176,5 +178,5 @@ def q_import_users(spark, d):
     existing = u.where(F.col("nation") < 12).select(T.short_hash_id("email").alias("user_id"), "name", "email",
                                                     "active")
     legacy = U.parse_legacy_csv(_legacy_lines(spark, d), order="line_no")
-    users, _count = U.import_users(existing, legacy, "line_no")
-    return users
+    users, imported = U.import_users(existing, legacy, "line_no")
+    return users.crossJoin(imported)  # one row

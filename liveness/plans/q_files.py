@@ -9,6 +9,7 @@ from ..operators import source_text as ST
 from ..sources import files as FS
 from . import views as V
 from .corpus import corpus_files
+from ..session import table
 from .registry import query
 
 W = V.with_views
@@ -35,7 +36,7 @@ def q_exclude_dirs(spark, d):
   SELECT *, row_number() OVER (PARTITION BY {EXT_SQL} ORDER BY path) AS rn FROM doc_files)
 WHERE rn <= {K.MAX_FILES_PER_EXTENSION}""", "doc_files"))
 def q_cap_per_extension(spark, d):
-    return FS.cap_per_extension(_docs(spark, d), path="path").select("doc_id", "path")
+    return FS.cap_per_extension(_docs(spark, d), K.MAX_FILES_PER_EXTENSION, path="path").select("doc_id", "path")
 
 
 @query("count_source_files", W(f"SELECT count(*) AS source_files FROM doc_files WHERE {EXT_SQL} = 'py'",
@@ -116,7 +117,7 @@ def _regex_sql(dedupe: bool) -> str:
     parts = []
     for k, (pat, kind) in enumerate(ST.SYMBOL_PATTERNS["python"]):
         parts.append(f"""SELECT rel_path, regexp_extract(line, '{pat}', 1) AS name, '{kind}' AS kind,
-  {k} AS pattern_no, CAST(line_no AS INTEGER) AS start_line, trim(line) AS snippet FROM lines""")
+  {k} AS pattern_no, CAST(line_no AS INTEGER) AS start_line, regexp_replace(line, '^\\s+|\\s+$', '', 'g') AS snippet FROM lines""")
     body = " UNION ALL ".join(parts)
     sql = f"WITH lines AS ({CORPUS_LINES_SQL}), m AS ({body}) SELECT * FROM m WHERE length(name) >= 2"
     if dedupe:
@@ -135,3 +136,53 @@ def q_regex_symbols(spark, d):
 @query("first_seen_symbols", _regex_sql(True))
 def q_first_seen_symbols(spark, d):
     return ST.regex_symbols(corpus_files(spark, d), dedupe=True)
+
+
+# Script sources from the parts: a line per shape that the JavaScript and TypeScript patterns
+# know, indented or not, with tabs and carriage returns around it.
+SCRIPT_LINES = ["export async function {n}(a) {{", "function {n}<T>(a) {{", "export class {n} extends B {{", "\texport class x{n}\r",
+                "export const {n} = async (a) => 1", "const {n}: Kind = (b) => 2\r", "const {n} = async x => y =>", "const {n} = x => 3",
+                "  private async {n}(q) {{", " static  {n}(q) {{\t", "def {n}(x):", "class a"]
+SCRIPT_LANGUAGES = ["javascript", "typescript", "javascriptreact", "typescriptreact", "go"]
+
+
+def _scripts(spark, d):
+    p = table(spark, d, "part")
+    name = F.replace(F.replace("p_name", F.lit(" "), F.lit("_")), F.lit("#"), F.lit(""))
+    lines = [F.concat(*[F.col("n") if i % 2 else F.lit(t) for i, t in enumerate(_pieces(x))]) for x in SCRIPT_LINES]
+    lang = F.element_at(F.array(*[F.lit(x) for x in SCRIPT_LANGUAGES]), (F.col("p_size") % len(SCRIPT_LANGUAGES) + 1).cast("int"))
+    return (p.withColumn("n", name).select(
+        F.concat(F.lit("web/part_"), F.col("p_partkey").cast("string")).alias("rel_path"), lang.alias("language"),
+        F.concat_ws("\n", *[F.when((F.col("p_partkey") + k) % 3 != 0, x) for k, x in enumerate(lines)]).alias("content")))
+
+
+def _pieces(line: str) -> list[str]:
+    """Literal parts and name slots of a line in turn."""
+    left, _, right = line.format(n="\0").partition("\0")
+    return [left, "n", right] if "\0" in line.format(n="\0") else [left]
+
+
+def _scripts_sql() -> str:
+    def text(x):
+        return " || ".join("n" if i % 2 else "'" + t.replace("\t", "' || chr(9) || '").replace("\r", "' || chr(13) || '") + "'"
+                           for i, t in enumerate(_pieces(x)))
+    rows = " UNION ALL ".join(f"SELECT k, lang, {i} AS i, {text(x)} AS line FROM parts WHERE (k + {i}) % 3 <> 0"
+                              for i, x in enumerate(SCRIPT_LINES))
+    found = []
+    for lang, patterns in ST.SYMBOL_PATTERNS.items():
+        for no, (pat, kind) in enumerate(patterns):
+            found.append(f"""SELECT rel_path, regexp_extract(line, '{pat}', 1) AS name, '{kind}' AS kind, {no} AS pattern_no,
+  start_line, regexp_replace(line, '^\\s+|\\s+$', '', 'g') AS snippet FROM lines WHERE base = '{lang}'""")
+    langs = "[" + ", ".join(f"'{x}'" for x in SCRIPT_LANGUAGES) + "]"
+    return f"""WITH parts AS (SELECT p_partkey AS k, {langs}[p_size % {len(SCRIPT_LANGUAGES)} + 1] AS lang,
+  replace(replace(p_name, ' ', '_'), '#', '') AS n FROM part),
+lines AS (SELECT 'web/part_' || CAST(k AS VARCHAR) AS rel_path, line,
+  CASE WHEN replace(lang, 'react', '') IN ('python', 'typescript') THEN replace(lang, 'react', '') ELSE 'javascript' END AS base,
+  CAST(row_number() OVER (PARTITION BY k ORDER BY i) AS INTEGER) AS start_line FROM ({rows}))
+SELECT * FROM ({' UNION ALL '.join(found)}) WHERE length(name) >= 2"""
+
+
+@query("regex_symbols_scripts", _scripts_sql())
+def q_regex_symbols_scripts(spark, d):
+    """The JavaScript and TypeScript patterns, by language and for languages without their own."""
+    return ST.regex_symbols(_scripts(spark, d), dedupe=False)

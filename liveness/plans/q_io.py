@@ -5,12 +5,17 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from .. import constants as K
 from ..functions import clean as C
+from ..operators.joins import entities_for_session
+from ..operators.ordering import recent_chat, recent_removals
+from ..operators.rollups import project_summary
 from ..session import new_stage_path
 from ..sources import io as IO
 from . import views as V
+from .corpus import corpus_files
 from .q_etl import CLEAN_SQL
-from .registry import query
+from .registry import query, snap_sql
 
 W = V.with_views
 
@@ -34,11 +39,11 @@ def q_read_records_csv(spark, d):
     return IO.read_records_csv(spark, _records_csv(spark, d))
 
 
-@query("run_pipeline", W(f"SELECT id, value, status FROM ({CLEAN_SQL})", "raw_records"))
+@query("run_pipeline", W(f"SELECT id, value, value_quarantine, status FROM ({CLEAN_SQL})", "raw_records"))
 def q_run_pipeline(spark, d):
     out = new_stage_path(spark, "pipeline-out")
     ok = run_pipeline(spark, _records_csv(spark, d), out)
-    return spark.read.parquet(out) if ok else spark.createDataFrame([], "id string, value bigint, status string")
+    return spark.read.parquet(out) if ok else spark.createDataFrame([], "id string, value decimal(38,0), value_quarantine string, status string")
 
 
 @query("read_json_map", W("SELECT CAST(user_id AS VARCHAR) AS id, name, email, active FROM users", "users"))
@@ -48,14 +53,14 @@ def q_read_json_map(spark, d):
     return IO.read_json_map(spark, path, "name:string,email:string,active:boolean")
 
 
-@query("write_table_if_any", W("SELECT count(*) AS written_rows FROM cat_features", "cat_features"))
+@query("write_table_if_any", W("SELECT * FROM cat_features", "cat_features"))
 def q_write_table_if_any(spark, d):
     from .q_catalogue import features
     path = new_stage_path(spark, "table")
     ok = IO.write_table_if_any(features(spark, d), path)
     empty_ok = IO.write_table_if_any(features(spark, d).where(F.lit(False)), new_stage_path(spark, "empty"))
     assert ok and not empty_ok
-    return spark.read.parquet(path).agg(F.count(F.lit(1)).alias("written_rows"))
+    return spark.read.parquet(path)
 
 
 @query("write_training_csv", W("SELECT entity_id, call_count, is_exported, used_in_tests, dynamic_call_risk, "
@@ -71,48 +76,85 @@ def q_write_training_csv(spark, d):
     return spark.read.option("header", True).schema(schema).csv(path)
 
 
-@query("emit_results_json", W("SELECT id AS entity_id, file_name, confidence_score FROM code_entities",
-                              "code_entities"))
+@query("emit_results_json", W("""SELECT 1 AS session_id, id AS entity_id, file_name, confidence_score, start_line,
+  CASE WHEN confidence_score >= 0.5 THEN ['high', entity_name] ELSE [] END AS reasons,
+  entity_type AS kind, CASE WHEN end_line % 2 = 0 THEN NULL ELSE end_line END AS end_line FROM code_entities""", "code_entities"))
 def q_emit_results_json(spark, d):
+    """Nested results (a list, a struct, nulls) through the JSON sink and back."""
     path = new_stage_path(spark, "results-json")
-    res = V.code_entities(spark, d).select(F.col("id").alias("entity_id"), "file_name", "confidence_score")
+    res = V.code_entities(spark, d).select(
+        F.col("id").alias("entity_id"), "file_name", "confidence_score",
+        F.when(F.col("confidence_score") >= 0.5, F.array(F.lit("high"), F.col("entity_name")))
+        .otherwise(F.array().cast("array<string>")).alias("reasons"),
+        F.struct(F.col("entity_type").alias("kind"), F.col("start_line"),
+                 F.when(F.col("end_line") % 2 != 0, F.col("end_line")).alias("end_line")).alias("symbol"))
     IO.emit_results_json(res, path, session_id=1)
     back = spark.read.text(path).select(F.from_json(
-        "value", "session_id int, result struct<entity_id:bigint,file_name:string,confidence_score:double>").alias("j"))
-    return back.select("j.result.*")
+        "value", "session_id int, result struct<entity_id:bigint,file_name:string,confidence_score:double,"
+                 "reasons:array<string>,symbol:struct<kind:string,start_line:int,end_line:int>>").alias("j"))
+    return back.select("j.session_id", "j.result.*").select("session_id", "entity_id", "file_name", "confidence_score", "reasons", "symbol.*")
 
 
-@query("append_chat", W("SELECT query, response, context_file FROM chat_history", "chat_history"))
+@query("append_chat", W(f"""SELECT query, response, context_file, "timestamp" FROM chat_history
+ORDER BY "timestamp" DESC LIMIT {K.RECENT_CHATS}""", "chat_history"))
 def q_append_chat(spark, d):
+    """Append all questions with their answers, then read the newest back through the history query."""
     root = new_stage_path(spark, "history")
-    IO.append_chat(V.chat_history(spark, d).drop("timestamp"), root)
-    return spark.read.parquet(f"{root}/chat_history").select("query", "response", "context_file")
+    IO.append_chat(V.chat_history(spark, d).drop("id"), root)
+    return recent_chat(spark.read.parquet(f"{root}/chat_history")).select("query", "response", "context_file", "timestamp")
 
 
-@query("append_removals", W("SELECT entity_id, file_name, removed_code, confidence_score FROM removal_logs",
-                            "removal_logs"))
+@query("append_removals", W(f"""SELECT entity_id, file_name, removed_code, confidence_score, "timestamp" FROM removal_logs
+ORDER BY "timestamp" DESC, id DESC LIMIT {K.RECENT_REMOVALS}""", "removal_logs"))
 def q_append_removals(spark, d):
     root = new_stage_path(spark, "history")
-    IO.append_removals(V.removal_logs(spark, d).drop("id"), root)
-    return spark.read.parquet(f"{root}/removal_logs").select("entity_id", "file_name", "removed_code",
-                                                             "confidence_score")
+    IO.append_removals(V.removal_logs(spark, d), root)
+    return recent_removals(spark.read.parquet(f"{root}/removal_logs")).select(
+        "entity_id", "file_name", "removed_code", "confidence_score", "timestamp")
 
 
-def _append_analysis_sql() -> str:
-    from .q_corpus import _analyze_sql
-    return ("SELECT path AS file_name, name AS entity_name, entity_type, start_line, end_line, "
-            "confidence AS confidence_score FROM (" + _analyze_sql() + ")")
-
-
-@query("append_analysis", _append_analysis_sql())
-def q_append_analysis(spark, d):
-    """Persist a run (four tables, ids hashed from natural keys and the run time), read
-    the entity table back; compared on its deterministic columns."""
+def _history(spark, d):
+    """The history tables after one run over the corpus, and its session id."""
     from .analyze import analyze_corpus
     from .q_corpus import _extracted
     results, _ = analyze_corpus(None, extracted=_extracted(spark, d))
     root = new_stage_path(spark, "history")
-    IO.append_analysis(results, root, project="corpus")
-    ents = spark.read.parquet(f"{root}/code_entities")
-    assert spark.read.parquet(f"{root}/analysis_sessions").count() == 1
-    return ents.select("file_name", "entity_name", "entity_type", "start_line", "end_line", "confidence_score")
+    session = IO.append_analysis(results, root, project="corpus", total_files=corpus_files(spark, d))
+    return {n: spark.read.parquet(f"{root}/{n}") for n in
+            ("analysis_sessions", "code_entities", "feature_vectors", "explanations")}, session
+
+
+def _appended_sql(body: str) -> str:
+    from .q_corpus import _analyze_sql
+    return body.format(run="(" + _analyze_sql() + ")")
+
+
+@query("append_analysis", _appended_sql("""SELECT path AS file_name, name AS entity_name, entity_type, start_line, end_line,
+  confidence AS confidence_score, explanation AS explanation_summary, '' AS risk_level, call_count, is_exported, used_in_tests,
+  CAST(dynamic_call_risk AS DOUBLE) AS dynamic_call_risk, cyclomatic_complexity, file_depth, explanation AS xai_summary
+FROM {run}"""))
+def q_append_analysis(spark, d):
+    """Persist a run, then read its session back through the history join: the four tables link."""
+    h, session = _history(spark, d)
+    back = entities_for_session(h["code_entities"], h["explanations"], h["feature_vectors"], session_id=session)
+    return back.select("file_name", "entity_name", "entity_type", "start_line", "end_line", "confidence_score",
+                       "explanation_summary", "risk_level", "call_count", "is_exported", "used_in_tests", "dynamic_call_risk",
+                       "cyclomatic_complexity", "file_depth",
+                       F.try_variant_get("xai_explanation", "$.summary", "string").alias("xai_summary"))
+
+
+@query("project_summary_of_run", _appended_sql(f"""SELECT 'corpus' AS project_path, CAST(1 AS BIGINT) AS total_sessions,
+  count(*) AS total_entities, {snap_sql('avg(confidence)')} AS avg_confidence,
+  CAST(count(*) FILTER (confidence >= 0.75) AS BIGINT) AS danger_count,
+  CAST(count(*) FILTER (confidence >= 0.55 AND confidence < 0.75) AS BIGINT) AS warning_count,
+  CAST(count(*) FILTER (confidence >= 0.35 AND confidence < 0.55) AS BIGINT) AS review_count,
+  CAST(count(*) FILTER (confidence < 0.35) AS BIGINT) AS safe_count,
+  (SELECT CAST(count(DISTINCT l_orderkey) AS INTEGER) FROM lineitem) AS total_files FROM {{run}}
+UNION ALL SELECT 'never analysed', 0, 0, 0.0, 0, 0, 0, 0, 0"""))
+def q_project_summary_of_run(spark, d):
+    """Summaries of the project just persisted and of one without sessions (a row of zeros)."""
+    h, _ = _history(spark, d)
+    one = lambda p: project_summary(h["analysis_sessions"], h["code_entities"], project=p)
+    files = h["analysis_sessions"].agg(F.sum("total_files").cast("int").alias("total_files"))
+    return (one("corpus").crossJoin(files)
+            .unionByName(one("never analysed").withColumn("total_files", F.lit(0))))

@@ -173,12 +173,19 @@ def q_symbol_at_line(spark, d):
 
 @query("normalize_results", W("""SELECT ce.name || '_' || CAST(ce.start_line AS VARCHAR) AS id, ce.name,
   CASE WHEN ce.kind = 'class' THEN 'class' ELSE 'function' END AS kind, ce.start_line, ce.end_line,
-  ce.confidence, COALESCE(e.summary, '') AS summary, COALESCE(e.xai_json, '') AS explanation
+  ce.confidence, CASE WHEN ce.confidence >= 0.5 THEN ['high', ce.kind] ELSE [] END AS reasons_dead,
+  CASE WHEN ce.confidence < 0.5 THEN ['low'] ELSE [] END AS reasons_alive,
+  COALESCE(e.summary, '') AS summary, COALESCE(e.xai_json, '') AS explanation,
+  CASE WHEN ce.end_line % 4 = 0 THEN '' ELSE 'def ' || ce.name || '():' END AS snippet
 FROM scored_results ce LEFT JOIN explanations e ON e.entity_id = ce.entity_id""",
                               "scored_results", "explanations"))
 def q_normalize_results(spark, d):
+    """Lists and snippets that are there, empty or missing."""
     from ..operators.results import normalize_results
-    r = _results(spark, d)
+    r = _results(spark, d).withColumns({
+        "reasons_dead": F.when(F.col("confidence") >= 0.5, F.array(F.lit("high"), F.col("kind"))),
+        "reasons_alive": F.when(F.col("confidence") < 0.5, F.array(F.lit("low"))).otherwise(F.array().cast("array<string>")),
+        "snippet": F.when(F.col("end_line") % 4 != 0, F.concat(F.lit("def "), "name", F.lit("():\n    pass")))})
     e = V.explanations(spark, d).select(F.col("entity_id").alias("_eid"), "summary",
                                         F.col("xai_json").alias("explanation"))
     raw = r.join(e, r.entity_id == e._eid, "left")

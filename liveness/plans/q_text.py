@@ -75,62 +75,91 @@ def _lit(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
 
+#: What the results of the checked answers carry beside the score (Spark here, SQL below).
+def _detailed_results(spark, d):
+    r = V.scored_results(spark, d)
+    none = F.array().cast("array<string>")
+    return r.withColumns({
+        "summary": F.when(F.col("start_line") % 3 != 0, F.concat(F.col("name"), F.lit(" of "), F.col("file_name"))),
+        "explanation": F.when(F.col("start_line") % 5 != 0, F.concat(F.lit("lines "), F.col("start_line").cast("string"),
+                                                                     F.lit(" to "), F.col("end_line").cast("string"))).otherwise(""),
+        "reasons_dead": F.when(F.col("confidence") >= 0.5, F.array(F.lit("score is high"), F.concat(F.lit("a "), F.col("kind")))),
+        "reasons_alive": F.when(F.col("confidence") < 0.5, F.array(F.lit("score is low"))).otherwise(none),
+        "top_features": F.array(F.struct(F.lit("Lines").alias("label"), (F.col("end_line") - F.col("start_line")).cast("int").alias("value"),
+                                         F.round(F.col("confidence"), 4).alias("contribution"),
+                                         F.when(F.col("confidence") >= 0.5, "dead").otherwise("live").alias("direction")))})
+
+
+def _analysed_files(spark, d):
+    return V.scored_results(spark, d).groupBy("file_name").agg(
+        F.lit("python").alias("language"), F.concat(F.lit("run "), F.count(F.lit(1)).cast("string")).alias("analyzed_at"),
+        F.max("end_line").cast("int").alias("duration_ms"))
+
+
 def _answers_sql() -> str:
     pr = "CAST(floor({c} * 100 + 0.5) AS INTEGER)"
     body = f"""WITH q AS (SELECT question_id, file_name, text, {INTENT_SQL} AS intent
   FROM (SELECT *, lower(trim(text)) AS lq FROM ({Q_SQL}))),
-r AS (SELECT * FROM scored_results),
-cnt AS (SELECT file_name, count(*) AS total_symbols,
-  CAST(sum(CASE WHEN confidence >= 0.75 THEN 1 ELSE 0 END) AS BIGINT) AS danger_count,
-  CAST(sum(CASE WHEN confidence >= 0.55 AND confidence < 0.75 THEN 1 ELSE 0 END) AS BIGINT) AS warning_count,
-  CAST(sum(CASE WHEN confidence >= 0.35 AND confidence < 0.55 THEN 1 ELSE 0 END) AS BIGINT) AS review_count,
-  CAST(sum(CASE WHEN confidence < 0.35 THEN 1 ELSE 0 END) AS BIGINT) AS safe_count
+r AS (SELECT *, CASE WHEN start_line % 3 <> 0 THEN name || ' of ' || file_name END AS summary,
+  CASE WHEN start_line % 5 <> 0 THEN 'lines ' || start_line || ' to ' || end_line ELSE '' END AS explanation FROM scored_results),
+cnt AS (SELECT file_name, count(*) AS total_symbols, max(end_line) AS last_line,
+  count(*) FILTER (confidence >= 0.75) AS danger_count, count(*) FILTER (confidence >= 0.55 AND confidence < 0.75) AS warning_count,
+  count(*) FILTER (confidence >= 0.35 AND confidence < 0.55) AS review_count, count(*) FILTER (confidence < 0.35) AS safe_count
   FROM r GROUP BY file_name),
-m AS (SELECT q.question_id, min(r.entity_id) AS eid FROM q JOIN r ON r.file_name = q.file_name
-      AND contains(lower(q.text), lower(r.name)) WHERE q.intent = 'explain' GROUP BY q.question_id),
-qc AS (SELECT q.*, cnt.total_symbols, cnt.danger_count, cnt.warning_count, cnt.review_count, cnt.safe_count,
-         r.name AS sym_name, r.confidence AS sym_confidence
-       FROM q LEFT JOIN cnt ON cnt.file_name = q.file_name LEFT JOIN m ON m.question_id = q.question_id
-       LEFT JOIN r ON r.entity_id = m.eid),
+m AS (SELECT question_id, r.* EXCLUDE (file_name) FROM q JOIN r ON r.file_name = q.file_name AND contains(lower(q.text), lower(r.name))
+      WHERE q.intent = 'explain' QUALIFY row_number() OVER (PARTITION BY question_id ORDER BY start_line, entity_id) = 1),
+qc AS (SELECT q.*, cnt.* EXCLUDE (file_name), m.name AS sym_name, m.confidence AS sym_confidence
+       FROM q LEFT JOIN cnt ON cnt.file_name = q.file_name LEFT JOIN m ON m.question_id = q.question_id),
 heads AS (SELECT question_id, intent, 0 AS item_no, CASE
-  WHEN intent = 'count' THEN CASE WHEN total_symbols IS NOT NULL THEN printf('%s: %d danger, %d warning, %d review, %d safe (%d symbols).',
-       file_name, danger_count, warning_count, review_count, safe_count, total_symbols) ELSE {_lit(QU.NO_RESULTS)} END
-  WHEN intent = 'removable' THEN CASE WHEN total_symbols IS NULL THEN {_lit(QU.NO_RESULTS)}
+  WHEN intent IN ('count', 'removable', 'explain', 'summary') AND total_symbols IS NULL THEN {_lit(QU.NO_RESULTS)}
+  WHEN intent = 'count' THEN printf('%s: %d danger, %d warning, %d review, %d safe (%d symbols).',
+       file_name, danger_count, warning_count, review_count, safe_count, total_symbols)
+  WHEN intent = 'removable' THEN CASE
        WHEN danger_count > 0 THEN printf('%d symbols are safe to remove (>= 75%% confidence).', danger_count)
        ELSE {_lit("No symbol is confident enough (>= 75%) to remove without review.")} END
-  WHEN intent = 'explain' THEN CASE WHEN total_symbols IS NULL THEN {_lit(QU.NO_RESULTS)}
+  WHEN intent = 'explain' THEN CASE
        WHEN sym_name IS NOT NULL THEN printf('%s is %d%% likely dead.', sym_name, {pr.format(c='sym_confidence')})
        ELSE {_lit("That symbol was not found; the symbols of this file follow.")} END
-  WHEN intent = 'summary' THEN CASE WHEN total_symbols IS NOT NULL THEN printf('Summary of %s: %d danger, %d warning, %d review, %d safe.',
-       file_name, danger_count, warning_count, review_count, safe_count) ELSE {_lit(QU.NO_RESULTS)} END
+  WHEN intent = 'summary' THEN printf('Summary of %s: %d danger, %d warning, %d review, %d safe.',
+       file_name, danger_count, warning_count, review_count, safe_count)
   WHEN intent = 'help' THEN {_lit(QU.HELP_TEXT)}
   WHEN intent = 'definition' THEN {_lit(QU.DEFINITION_TEXT)}
   ELSE {_lit(QU.UNKNOWN_TEXT)} END AS text FROM qc),
-items AS (
-  SELECT qc.question_id, qc.intent, r.start_line AS o1, r.entity_id AS o2,
-    printf('%s - %d%% dead (L%d-%d)', r.name, {pr.format(c='r.confidence')}, r.start_line, r.end_line) AS text
-  FROM qc JOIN r ON r.file_name = qc.file_name
-  WHERE qc.total_symbols IS NOT NULL AND qc.intent = 'removable' AND r.confidence >= 0.75
-  UNION ALL
-  SELECT qc.question_id, qc.intent, r.start_line, r.entity_id, printf('%s - %d%%', r.name, {pr.format(c='r.confidence')})
-  FROM qc JOIN r ON r.file_name = qc.file_name
-  WHERE qc.total_symbols IS NOT NULL AND qc.intent = 'explain' AND qc.sym_name IS NULL
-  UNION ALL
-  SELECT question_id, intent, 0, rk, text FROM (
-    SELECT qc.question_id, qc.intent, printf('%s - %d%%', r.name, {pr.format(c='r.confidence')}) AS text,
-      row_number() OVER (PARTITION BY qc.question_id ORDER BY r.confidence DESC, r.entity_id) AS rk
-    FROM qc JOIN r ON r.file_name = qc.file_name
-    WHERE qc.total_symbols IS NOT NULL AND qc.intent = 'summary' AND r.confidence > 0.5) WHERE rk <= 5)
+known AS (SELECT * FROM qc WHERE total_symbols IS NOT NULL),
+details AS (SELECT question_id, 'explain' AS intent, unnest(lines) AS text, unnest(range(1, len(lines) + 1)) AS item_no FROM (
+  SELECT question_id, list_filter([summary, explanation], lambda x: COALESCE(x, '') <> '')
+    || CASE WHEN confidence >= 0.5 THEN ['for removal: score is high', 'for removal: a ' || kind] ELSE [] END
+    || CASE WHEN confidence < 0.5 THEN ['against: score is low'] ELSE [] END
+    || [printf('Lines = %d (%s, %.4f)', end_line - start_line, CASE WHEN confidence >= 0.5 THEN 'dead' ELSE 'live' END,
+               round(confidence, 4))] AS lines FROM m)),
+top AS (SELECT file_name, name, confidence, row_number() OVER (PARTITION BY file_name ORDER BY confidence DESC, entity_id) AS rk
+        FROM r WHERE confidence > 0.5)
 SELECT * FROM heads
 UNION ALL
-SELECT question_id, intent, CAST(row_number() OVER (PARTITION BY question_id ORDER BY o1, o2) AS INTEGER), text
-FROM items"""
+SELECT question_id, intent, CAST(row_number() OVER (PARTITION BY question_id ORDER BY start_line, entity_id) AS INTEGER),
+  printf('%s - %d%% dead (L%d-%d)', r.name, {pr.format(c='r.confidence')}, start_line, end_line) || COALESCE(': ' || summary, '')
+FROM known JOIN r ON r.file_name = known.file_name WHERE intent = 'removable' AND r.confidence >= 0.75
+UNION ALL
+SELECT question_id, intent, CAST(row_number() OVER (PARTITION BY question_id ORDER BY start_line, entity_id) AS INTEGER),
+  printf('%s - %d%%', r.name, {pr.format(c='r.confidence')})
+FROM known JOIN r ON r.file_name = known.file_name WHERE intent = 'explain' AND sym_name IS NULL
+UNION ALL
+SELECT question_id, intent, CAST(item_no AS INTEGER), text FROM details
+UNION ALL
+SELECT question_id, intent, unnest([1, 2, 3]), unnest(['language: python', 'analysed: run ' || total_symbols, printf('duration: %d ms', last_line)])
+FROM known WHERE intent = 'summary'
+UNION ALL
+SELECT question_id, intent, CAST(rk + 3 AS INTEGER), printf('%s - %d%%', top.name, {pr.format(c='top.confidence')})
+FROM known JOIN top ON top.file_name = known.file_name WHERE intent = 'summary' AND rk <= 5
+UNION ALL
+SELECT question_id, intent, 4, {_lit(QU.NO_SUSPECTS)} FROM known
+WHERE intent = 'summary' AND file_name NOT IN (SELECT file_name FROM top)"""
     return W(body, "scored_results")
 
 
 @query("answer_questions", _answers_sql())
 def q_answer_questions(spark, d):
-    return QU.answer_questions(_questions(spark, d), V.scored_results(spark, d))
+    return QU.answer_questions(_questions(spark, d), _detailed_results(spark, d), files=_analysed_files(spark, d))
 
 
 # --- cache and keys ------------------------------------------------------------------
@@ -172,9 +201,28 @@ def q_explanation_cache_miss(spark, d):
 @query("build_prompts", W("""SELECT entity_id, 'Assess whether this code entity is unused. Entity: ' || name || ' ('
   || entity_type || '). Features: ' || printf('call_count=%d, is_exported=%d, used_in_tests=%d, dynamic_call_risk=%d, '
   || 'cyclomatic_complexity=%d, file_depth=%d', call_count, is_exported, used_in_tests, dynamic_call_risk,
-  cyclomatic_complexity, file_depth) || '.' AS prompt FROM cat_features""", "cat_features"))
+  cyclomatic_complexity, file_depth) || '. Model confidence: ' || printf('%.4f', file_depth / 8.0) || '. Second opinion: '
+  || CASE WHEN file_depth % 2 = 0 THEN '{"is_unused":' || CASE WHEN is_exported = 1 THEN 'true' ELSE 'false' END
+          || ',"reasoning":"depth ' || file_depth || '","key_observations":["x"]}' ELSE 'none' END
+  || '. Code: ' || CASE WHEN dynamic_call_risk = 1 THEN 'def ' || name || '(): ...' ELSE '' END AS prompt FROM cat_features""",
+                          "cat_features"))
 def q_build_prompts(spark, d):
-    return E.build_prompts(cat_features(spark, d)).select("entity_id", "prompt")
+    depth = F.col("file_depth")
+    opinion = F.when(depth % 2 == 0, F.struct(
+        (F.col("is_exported") == 1).alias("is_unused"), F.concat(F.lit("depth "), depth.cast("string")).alias("reasoning"),
+        F.array(F.lit("x")).alias("key_observations")))
+    f = (cat_features(spark, d).withColumn("confidence", depth / 8.0).withColumn("opinion", opinion)
+         .withColumn("snippet", F.when(F.col("dynamic_call_risk") == 1, F.concat(F.lit("def "), "name", F.lit("(): ...")))))
+    return E.build_prompts(f, snippet="snippet", conf="confidence", second_opinion="opinion").select("entity_id", "prompt")
+
+
+@query("content_key_struct", W("""SELECT entity_id, sha256('explain' || '{"call_count": ' || call_count || ', "name": "' || name
+  || '", "tags": ["' || entity_type || '", null]}') AS content_key FROM cat_features""", "cat_features"))
+def q_content_key_struct(spark, d):
+    """Keys of structs: fields by name whatever their order in the struct."""
+    f = cat_features(spark, d).select("entity_id", F.struct(
+        F.array(F.col("entity_type"), F.lit(None).cast("string")).alias("tags"), "name", "call_count").alias("s"))
+    return f.select("entity_id", T.content_key(F.lit("explain"), T.canonical_json(f, "s")).alias("content_key"))
 
 
 # --- provider replies --------------------------------------------------------------
@@ -185,14 +233,20 @@ REPLIES_SQL = """SELECT conv_id * 1000 + turn AS reply_id, 200 AS status,
       CASE WHEN turn = 1 THEN to_json({'risk_level': CASE WHEN length(text) > 500 THEN 'High' ELSE 'Low' END})
            ELSE to_json({'summary': text,
                          'risk_level': CASE WHEN length(text) > 500 THEN 'High' ELSE 'Low' END,
-                         'action': 'review'}) END AS VARCHAR)}}]}) AS VARCHAR) END AS body
+                         'confidence': turn / 8.0, 'confidence_explanation': 'turn ' || turn,
+                         'factors': [{'feature': 'turn', 'impact': 'low', 'description': 'position ' || turn}],
+                         'recommendation': 'keep', 'action': 'review'}) END AS VARCHAR)}}]}) AS VARCHAR) END AS body
 FROM conversations WHERE role <> 'user'"""
 
 PARSED_SQL = f"""SELECT reply_id, status, json_valid(content) IS TRUE AS parsed_ok,
   COALESCE(CASE WHEN json_valid(content) THEN json_extract_string(content, '$.summary') END, '') AS summary,
   COALESCE(CASE WHEN json_valid(content) THEN json_extract_string(content, '$.risk_level') END, 'Medium') AS risk_level,
   COALESCE(CASE WHEN json_valid(content) THEN json_extract_string(content, '$.action') END, 'review') AS action,
-  COALESCE(CASE WHEN json_valid(content) THEN json_extract_string(content, '$.llm_reasoning') END, '') AS llm_reasoning
+  COALESCE(CASE WHEN json_valid(content) THEN json_extract_string(content, '$.llm_reasoning') END, '') AS llm_reasoning,
+  CASE WHEN json_valid(content) THEN CAST(json_extract_string(content, '$.confidence') AS DOUBLE) END AS confidence,
+  COALESCE(CASE WHEN json_valid(content) THEN json_extract_string(content, '$.confidence_explanation') END, '') AS confidence_explanation,
+  COALESCE(CASE WHEN json_valid(content) THEN json_extract_string(content, '$.factors[0].description') END, '') AS factor,
+  COALESCE(CASE WHEN json_valid(content) THEN json_extract_string(content, '$.recommendation') END, '') AS recommendation
 FROM (SELECT *, CASE WHEN json_valid(body) THEN json_extract_string(body, '$.choices[0].message.content') END AS content
       FROM ({REPLIES_SQL}))"""
 
@@ -201,8 +255,11 @@ def _replies(spark, d):
     c = table(spark, d, "conversations").where(F.col("role") != "user")
     risk = F.when(F.length("text") > 500, "High").otherwise("Low")
     content = F.when(F.col("turn") == 1, F.to_json(F.struct(risk.alias("risk_level")))).otherwise(
-        F.to_json(F.struct(F.col("text").alias("summary"), risk.alias("risk_level"),
-                           F.lit("review").alias("action"))))
+        F.to_json(F.struct(F.col("text").alias("summary"), risk.alias("risk_level"), (F.col("turn") / 8.0).alias("confidence"),
+                           F.concat(F.lit("turn "), F.col("turn").cast("string")).alias("confidence_explanation"),
+                           F.array(F.struct(F.lit("turn").alias("feature"), F.lit("low").alias("impact"),
+                                            F.concat(F.lit("position "), F.col("turn").cast("string")).alias("description"))).alias("factors"),
+                           F.lit("keep").alias("recommendation"), F.lit("review").alias("action"))))
     body = F.to_json(F.struct(F.array(F.struct(F.struct(content.alias("content")).alias("message"))).alias("choices")))
     return c.select((F.col("conv_id") * 1000 + F.col("turn")).alias("reply_id"), F.lit(200).alias("status"),
                     F.when(F.col("role") == "system", F.lit("not json")).otherwise(body).alias("body"))
@@ -212,21 +269,50 @@ def _parsed(spark, d):
     return E.parse_responses(_replies(spark, d)).drop("body")
 
 
+def _flat(df):
+    """The first factor's description instead of the list of factors."""
+    return df.withColumn("factor", F.coalesce(F.try_element_at("factors", F.lit(1))["description"], F.lit(""))).drop("factors")
+
+
 @query("parse_responses", PARSED_SQL)
 def q_parse_responses(spark, d):
-    return _parsed(spark, d)
+    return _flat(_parsed(spark, d))
+
+
+OPINIONS_SQL = """SELECT conv_id * 1000 + turn AS reply_id, CASE turn % 3 WHEN 0 THEN NULL WHEN 1 THEN 'no json'
+  ELSE '{"is_unused": true, "reasoning": "seen ' || turn || '", "key_observations": ["a", "b"]}' END AS opinion
+FROM conversations WHERE role <> 'user'"""
+
+
+def _opinions(spark, d):
+    c = table(spark, d, "conversations").where(F.col("role") != "user")
+    text = F.when(F.col("turn") % 3 == 1, F.lit("no json")).when(F.col("turn") % 3 == 2, F.concat(
+        F.lit('{"is_unused": true, "reasoning": "seen '), F.col("turn").cast("string"), F.lit('", "key_observations": ["a", "b"]}')))
+    return E.parse_second_opinions(c.select((F.col("conv_id") * 1000 + F.col("turn")).alias("reply_id"), text.alias("opinion")), "opinion")
+
+
+@query("parse_second_opinions", f"""SELECT reply_id, CASE WHEN json_valid(opinion) THEN true END AS is_unused,
+  CASE WHEN json_valid(opinion) THEN json_extract_string(opinion, '$.reasoning') ELSE '' END AS reasoning,
+  CASE WHEN json_valid(opinion) THEN 2 ELSE 0 END AS observations FROM ({OPINIONS_SQL})""")
+def q_parse_second_opinions(spark, d):
+    return _opinions(spark, d).select("reply_id", "is_unused", "reasoning", F.size("key_observations").alias("observations"))
 
 
-@query("fallback_explanations", f"""SELECT reply_id, status, parsed_ok,
+@query("fallback_explanations", f"""SELECT p.reply_id, status, parsed_ok,
   CASE WHEN parsed_ok THEN summary ELSE 'Provider unavailable: ' || 'reply was not JSON' END AS summary,
   CASE WHEN parsed_ok THEN risk_level ELSE 'Medium' END AS risk_level,
   CASE WHEN parsed_ok THEN action ELSE 'review' END AS action,
-  CASE WHEN parsed_ok THEN llm_reasoning ELSE 'reply was not JSON' END AS llm_reasoning,
-  CASE WHEN parsed_ok THEN 'model explanation' ELSE 'score-only confidence' END AS confidence_explanation
-FROM ({PARSED_SQL})""")
+  CASE WHEN parsed_ok THEN llm_reasoning WHEN json_valid(opinion) THEN json_extract_string(opinion, '$.reasoning')
+       ELSE 'reply was not JSON' END AS llm_reasoning,
+  CASE WHEN parsed_ok THEN confidence ELSE 0.25 END AS confidence,
+  CASE WHEN parsed_ok THEN confidence_explanation ELSE 'score-only confidence' END AS confidence_explanation,
+  CASE WHEN parsed_ok THEN factor ELSE '' END AS factor,
+  CASE WHEN parsed_ok THEN recommendation ELSE 'Review manually.' END AS recommendation
+FROM ({PARSED_SQL}) p JOIN ({OPINIONS_SQL}) o ON o.reply_id = p.reply_id""")
 def q_fallback_explanations(spark, d):
-    p = _parsed(spark, d).withColumn("error", F.lit("reply was not JSON"))
-    return E.fallback_explanations(p, "error").drop("error")
+    p = (_parsed(spark, d).withColumn("error", F.lit("reply was not JSON")).withColumn("score", F.lit(0.25))
+         .join(_opinions(spark, d).select("reply_id", F.col("reasoning").alias("second")), "reply_id"))
+    return _flat(E.fallback_explanations(p, "error", second_opinion="second", conf="score")).drop("error", "second", "score")
 
 
 LOG_SQL = """SELECT event_id, CASE event_type WHEN 'error' THEN 429 WHEN 'purchase' THEN 402 WHEN 'signup' THEN 400

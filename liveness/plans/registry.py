@@ -34,10 +34,5 @@ def snap_sql(expr: str, digits: int = 4) -> str:
 
 def load_all() -> None:
     """Import the modules that register queries."""
-    from . import q_history, q_results  # noqa: F401
-    for mod in ("q_catalogue", "q_model", "q_corpus", "q_files", "q_text", "q_etl", "q_io", "q_stream"):
-        try:
-            __import__(f"{__package__}.{mod}")
-        except ModuleNotFoundError as exc:  # module not written yet
-            if mod not in str(exc):
-                raise
+    from . import (q_catalogue, q_corpus, q_etl, q_files, q_history, q_io, q_model, q_results,  # noqa: F401
+                   q_stream, q_text)

@@ -4,6 +4,7 @@ shared folder for lineage cuts (``spark.checkpoint.dir``)."""
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -64,13 +65,17 @@ def default_parallelism(spark: SparkSession) -> int:
 def stage_root(spark: SparkSession) -> str:
     """Shared folder for written stages.
 
-    Uses ``spark.checkpoint.dir`` when the cluster names one; only when it is unset
-    (local tests) a private folder is created and registered as checkpoint dir.
+    Uses ``spark.checkpoint.dir`` when the cluster names one. Only when it is unset and
+    Spark runs inside one process (``local[...]``, as in tests) a private folder is created
+    and registered as checkpoint dir; on a cluster executors would not see it, so that raises.
     """
     global _LOCAL_STAGE_ROOT
     conf_dir = _conf(spark, "spark.checkpoint.dir")
     if conf_dir:
         return conf_dir.rstrip("/")
+    master = _conf(spark, "spark.master") or ""
+    if not re.fullmatch(r"local(\[[^]]*\])?", master):
+        raise ValueError(f"set spark.checkpoint.dir to a folder that all executors share (master is {master!r})")
     if _LOCAL_STAGE_ROOT is None:
         _LOCAL_STAGE_ROOT = tempfile.mkdtemp(prefix="liveness-stage-")
         try:
@@ -96,5 +101,18 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def delete_path(spark: SparkSession, path: str) -> None:
+    """Remove a staged folder, through the file system that holds it."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def release(*frames: DataFrame) -> None:
+    """Delete the folders of staged tables once nothing reads them any more."""
+    for df in frames:
+        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            delete_path(df.sparkSession, folder)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")

@@ -1,6 +1,7 @@
 """Boundary values for bands, percents, reasons; the reference's own ETL cases; line
 removal; question routing."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from liveness.functions import clean as C
@@ -112,3 +113,47 @@ def test_symbol_named_in_text_matches_substrings(spark):
                               "file_name string, entity_id int, name string")
     out = {r.question_id: r.sym_name for r in symbol_named_in_text(q, s).collect()}
     assert out == {1: "get", 2: None, 3: "et"}
+
+
+def test_digit_strings_edges(spark):
+    rows = [("a", "12\n"), ("b", "9" * 38), ("c", "9" * 39), ("d", "0" * 50 + "7"), ("e", "99999999999999999999"), ("f", "\n12")]
+    out = {r.id: (r.value, r.value_quarantine) for r in
+           C.clean_records(spark.createDataFrame(rows, "id string, value string")).collect()}
+    assert out == {"a": (-1, None), "b": (int("9" * 38), None), "c": (None, "9" * 39), "d": (7, None),
+                   "e": (99999999999999999999, None), "f": (-1, None)}
+
+
+def test_formula_edges(spark):
+    df = spark.createDataFrame([(7, 2, 0), (-7, 2, 0), (2 ** 62 + 1, 3, 0)], "x long, y long, z long")
+    get = lambda f: [r.result for r in C.evaluate_formula(df, f, {"x": "x", "y": "y", "z": "z"}).collect()]
+    assert get("x // y") == [3, -4, (2 ** 62 + 1) // 3]
+    assert get("x % y") == [1, 1, (2 ** 62 + 1) % 3]
+    assert get("x % (0 - y)")[:2] == [-1, -1]
+    assert get("x // z") == get("x % z") == get("x / z") == get("z ** (0 - y)") == [None] * 3
+
+
+def test_canonical_json_ignores_field_order(spark):
+    from liveness.functions import text as T
+    df = spark.createDataFrame([(1, "a\"b")], "n int, s string")
+    a = df.select(F.struct("n", "s").alias("x"))
+    b = df.select(F.struct("s", "n").alias("x"))
+    ja, jb = (d.select(T.canonical_json(d, "x").alias("j")).first().j for d in (a, b))
+    assert ja == jb == '{"n": 1, "s": "a\\"b"}'
+
+
+def test_stage_folder_is_required_on_a_cluster():
+    from liveness import session as S
+
+    class Conf:
+        def get(self, key, default=None):
+            return {"spark.master": "spark://host:7077"}.get(key, default)
+
+    class Context:
+        def getConf(self):
+            return Conf()
+
+    class Session:
+        sparkContext, conf = Context(), Conf()
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        S.stage_root(Session())

@@ -12,7 +12,13 @@ PYTHON_NODES = ("BatchEvalPython", "ArrowEvalPython", "MapInArrow", "PythonMapIn
 # read back a staged extraction / a written sink)
 USES_PARSER = {"analyze_corpus", "extract_entities", "extract_calls", "call_counts_corpus",
                "cyclomatic_complexity", "class_method_count", "dynamic_call_risk", "entity_snippet",
-               "parse_errors", "stream_score_files", "append_analysis"}
+               "parse_errors", "stream_score_files", "append_analysis", "project_summary_of_run"}
+
+
+def _queries():
+    from liveness.plans.registry import QUERIES, load_all
+    load_all()
+    return QUERIES
 
 
 def _plan(df) -> str:
@@ -39,12 +45,10 @@ def test_filter_and_pruning_reach_scan(spark):
 
 
 def _native_names():
-    from __spark_entry__ import queries
-    return sorted(n for n in queries() if n not in USES_PARSER)
+    return sorted(n for n in _queries() if n not in USES_PARSER)
 
 
 @pytest.mark.parametrize("name", _native_names())
 def test_native_operators_have_no_python(spark, name):
-    from __spark_entry__ import queries
-    plan = _plan(queries()[name](spark, SMALL))
+    plan = _plan(_queries()[name](spark, SMALL))
     assert not any(node in plan for node in PYTHON_NODES), name

@@ -55,20 +55,59 @@ def test_positions_within_equals_row_number(spark):
     assert sorted(got) == sorted(exp)
 
 
-def test_sort_results_skew_safe_equals_window(spark):
+def test_sort_results_equals_window(spark):
     from liveness.plans.views import scored_results
     from conftest import SMALL
     r = scored_results(spark, SMALL)
-    a = O.sort_results(r, mode="confidence", skew_safe=True).select("entity_id", "sort_pos").collect()
-    b = O.sort_results(r, mode="confidence").select("entity_id", "sort_pos").collect()
+    a = O.sort_results(r, mode="confidence").select("entity_id", "sort_pos").collect()
+    w = Window.partitionBy("file_name").orderBy(F.col("confidence").desc(), F.col("entity_id"))
+    b = r.select("entity_id", F.row_number().over(w).alias("sort_pos")).collect()
     assert len(a) == r.count() and sorted(a) == sorted(b)
 
 
-def test_answer_items_skew_safe_equals_default(spark):
-    from conftest import SMALL
-    from liveness.operators import questions as QU
-    from liveness.plans import views as V
-    from liveness.plans.q_text import _questions
-    a = QU.answer_questions(_questions(spark, SMALL), V.scored_results(spark, SMALL)).collect()
-    b = QU.answer_questions(_questions(spark, SMALL), V.scored_results(spark, SMALL), skew_safe=True).collect()
-    assert a and sorted(a) == sorted(b)
+def test_running_sums_equal_window(spark):
+    df = spark.createDataFrame(_rows(4000, seed=7), "id long, g string, ts int, v double")
+    order = [F.col("ts").desc(), F.col("id")]
+    got = O.running_sums(df, order, ["id"], partitions=6).select("id", "cum_id", "all_id").collect()
+    w = Window.partitionBy(F.lit(1)).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    exp = df.select("id", F.sum("id").over(w), F.sum("id").over(Window.partitionBy(F.lit(1)))).collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, exp))
+
+
+def test_hot_name_is_split_in_the_feature_join(spark):
+    """A third of all entities under one name: no partition of the join is above twice the median."""
+    from liveness.operators.joins import attach_usage
+    from liveness.operators.rollups import callee_usage
+    from liveness.session import materialize
+    keep = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.advisoryPartitionSizeInBytes",
+                                           "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes",
+                                           "spark.sql.adaptive.skewJoin.skewedPartitionFactor", "spark.sql.shuffle.partitions")}
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        spark.conf.set("spark.sql.shuffle.partitions", "16")
+        spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "1m")
+        spark.conf.set("spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes", "1m")
+        spark.conf.set("spark.sql.adaptive.skewJoin.skewedPartitionFactor", "1.5")
+        ids = spark.range(0, 900_000, 1, 16)
+        name = F.when(F.col("id") % 3 == 0, F.lit("__init__")).otherwise(F.concat(F.lit("f"), (F.col("id") % 5000).cast("string")))
+        entities = materialize(ids.select("id", name.alias("name"), F.sha2(F.col("id").cast("string"), 256).alias("snippet")), "hot")
+        calls = ids.limit(200_000).select(name.alias("callee"), (F.col("id") % 2 == 0).alias("in_test_file"))
+        out = attach_usage(entities, callee_usage(calls))
+        rows = sorted(r["count"] for r in out.groupBy(F.spark_partition_id()).count().collect())
+        assert sum(rows) == 900_000
+        assert rows[-1] <= 2 * rows[len(rows) // 2]
+    finally:
+        for k, v in keep.items():
+            spark.conf.set(k, v)
+
+
+def test_a_repeated_name_meets_a_question_once(spark):
+    """100,000 symbols of one file share eight names; the look-up's join gives at most eight rows a question."""
+    from liveness.operators.joins import symbol_named_in_text
+    symbols = spark.range(100_000).select(F.lit("f").alias("file_name"), F.col("id").alias("entity_id"),
+                                          (F.lit(200_000) - F.col("id")).cast("int").alias("start_line"),
+                                          F.concat(F.lit("name"), (F.col("id") % 8).cast("string")).alias("name"))
+    q = spark.createDataFrame([(1, "f", "explain NAME3 or name5"), (2, "f", "nothing")], "question_id long, file_name string, text string")
+    got = {r.question_id: r.sym_entity_id for r in symbol_named_in_text(q, symbols).collect()}
+    # the first by start line: the largest id with name3 or name5
+    assert got == {1: 99_997, 2: None}
