@@ -72,6 +72,20 @@ def join_by_count(left: DataFrame, right: DataFrame, key: str, n: str) -> DataFr
             .unionByName(rest.join(cold, key, "left").select(*left.columns, *values)))
 
 
+#: Ids that may be broadcast (about 16 bytes each); beyond, rows are picked by a shuffle join.
+BROADCAST_IDS = 1 << 19
+
+
+def bounded(ids: DataFrame, limit: int | None = None) -> DataFrame:
+    """``ids`` (a staged table of ids), to be broadcast if it has few rows, else as it is."""
+    return F.broadcast(ids) if ids.count() <= (BROADCAST_IDS if limit is None else limit) else ids
+
+
+def drop_ids(docs: DataFrame, lost: DataFrame, id_col: str) -> DataFrame:
+    """The rows of ``docs`` whose id is not in ``lost`` (one column, staged). Rows without an id stay."""
+    return docs.join(bounded(lost), F.col(id_col) == F.col(lost.columns[0]), "left_anti")
+
+
 # ------------------------------------------------------------------ spans
 
 def span_text(spans: Column) -> Column:

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ALPHANUMERIC, stage, text_slices, words
+from .common import ALPHANUMERIC, drop_ids, stage, text_slices, words
 
 WIDTH = 10
 #: Item words of one block: a block's windows are broadcast together (about 100 bytes a
@@ -222,4 +222,4 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_
     with a contaminated row go too; rows without an id stay."""
     found = stage(contamination(docs, benchmark, id_col, text_col).where("contaminated")
                   .select(F.col(id_col).alias("__leak")).distinct(), "leaks")
-    return docs.join(found, F.col(id_col) == F.col("__leak"), "left_anti")
+    return drop_ids(docs, found, id_col)

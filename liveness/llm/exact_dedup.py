@@ -16,14 +16,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import join_by_count, shuffle_partitions, stage
+from . import common
+from .common import drop_ids, join_by_count, shuffle_partitions, stage
 
 #: Rows of a block at most: what a sender holds at once (about 60 bytes a row).
 BLOCK_ROWS = 1 << 18
 #: Bits of a fingerprint. Of N different texts about N / 2^48 of each are suspected without need.
 FINGERPRINT_BITS = 48
-#: Doc ids of suspects that may be broadcast (16 bytes each); beyond, their texts come by a shuffle join.
-BROADCAST_IDS = 1 << 19
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -154,7 +153,7 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     # byte verification: the texts of suspects only, grouped by their bytes
     ids = suspects.select("id").distinct().withColumnRenamed("id", "sid")
-    if suspects.count() <= BROADCAST_IDS:
+    if suspects.count() <= common.BROADCAST_IDS:
         ids = F.broadcast(ids)
     equal = (source.join(ids, F.col("id").eqNullSafe(F.col("sid")), "left_semi")
              .groupBy(F.translate(F.coalesce("text", F.lit("")), UPPER, LOWER).alias("norm"))
@@ -180,14 +179,16 @@ def drop_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Ids are taken to identify rows; of rows that repeat an id and text one stays. Rows
     without an id stay, as they cannot be told apart."""
     found = stage(exact_duplicates(docs, id_col, text_col).where(F.col(id_col).isNotNull()), "kept")
-    lost = found.where("not kept").select(F.col(id_col).alias("__lost")).distinct()
-    again = found.groupBy(id_col).agg(F.count(F.lit(1)).alias("__n")).where("__n > 1").select(F.col(id_col).alias("__again"))
-    single = docs.join(lost, F.col(id_col) == F.col("__lost"), "left_anti")
+    lost = stage(found.where("not kept").select(F.col(id_col).alias("__lost")).distinct(), "lost")
+    again = stage(found.groupBy(id_col).agg(F.count(F.lit(1)).alias("__n")).where("__n > 1")
+                  .select(F.col(id_col).alias("__again")), "again")
+    single = drop_ids(docs, lost, id_col)
+    if again.isEmpty():
+        return single
     # ids on several rows: by id and text
     kept = found.where("kept").select(F.col(id_col).alias("__id"), F.col("text_sha256").alias("__sha")).distinct()
     norm = F.sha2(F.translate(F.coalesce(F.col(text_col), F.lit("")), UPPER, LOWER), 256)
     several = (docs.join(again, F.col(id_col) == F.col("__again"), "left_semi").withColumn("__text_sha", norm)
                .join(kept, (F.col(id_col) == F.col("__id")) & (F.col("__text_sha") == F.col("__sha")), "left_semi")
                .dropDuplicates([id_col, "__text_sha"]).drop("__text_sha"))
-    single = single.join(again, F.col(id_col) == F.col("__again"), "left_anti")
-    return single.unionByName(several)
+    return drop_ids(single, again, id_col).unionByName(several)

@@ -15,7 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BETWEEN_SPACES, join_by_count, mix, runs_hash, stage, text_slices, words
+from . import common
+from .common import BETWEEN_SPACES, drop_ids, join_by_count, mix, runs_hash, stage, text_slices, words
 from .components import components
 
 HASHES, BITS, CHUNKS = 64, 16, 12
@@ -26,8 +27,8 @@ DISTANCE = 2 * CHUNKS - 1
 NOT_BEYOND = 38
 #: Sets smaller than this are similar by 0.8 only when equal.
 SMALLEST = 4
-#: Ids whose texts may be picked out by broadcasting them (16 bytes each); beyond, by a shuffle join.
-BROADCAST_IDS = 1 << 19
+#: Pairs left under all keys, as a share of the index's entries, that are compared without further rounds.
+FEW = 0.05
 #: Rows with whole sets count as so many slim ones when tasks are dealt.
 _WIDE = 16
 
@@ -161,7 +162,7 @@ def _confirm(pairs: DataFrame, classes: DataFrame, source: DataFrame, width: int
     named = stage(close.select(F.col("a").alias("cid")).unionByName(close.select(F.col("b").alias("cid"))).distinct()
                   .join(classes.select("cid", "min_id", "set_key"), "cid"), "named", 2 * n)
     ids = named.select("min_id").distinct()
-    few = named.count() <= BROADCAST_IDS
+    few = named.count() <= common.BROADCAST_IDS
     if few:
         ids = F.broadcast(ids)
     texts = source.join(ids, F.col("id").eqNullSafe(F.col("min_id")), "left_semi").select("text")
@@ -180,13 +181,16 @@ def _components_of(shared: DataFrame, classes: DataFrame, source: DataFrame, wid
 
     In rounds, every key with classes of several components gets a hub, one of its classes by
     hash, another one each round, and every class of another component is compared with it:
-    one pair per entry of the index at most. What is linked becomes one component. When a
-    round links nothing more, the classes of different components that still share a key and
-    have not met are compared with each other, so that no link is lost."""
+    one pair per entry of the index at most. What is linked becomes one component. When the
+    pairs that are left under all keys are few against the index, or a round links nothing
+    more, the classes of different components that still share a key and have not met are
+    compared with each other, so that no link is lost."""
     spark = shared.sparkSession
     n = shared.count()
-    found = spark.createDataFrame([], "node long, root long")
-    tested = spark.createDataFrame([], "a long, b long")
+    entries = HASHES * classes.count()
+    none = spark.range(0)
+    found = none.select(F.col("id").alias("node"), F.col("id").alias("root"))
+    tested = none.select(F.col("id").alias("a"), F.col("id").alias("b"))
     fits = lambda x, y: (F.col(x) * 100 >= F.col(y) * percent) & (F.col(y) * 100 >= F.col(x) * percent)
     pair = [F.greatest("cid", "other").alias("a"), F.least("cid", "other").alias("b")]
     turn, last = 0, False
@@ -196,12 +200,15 @@ def _components_of(shared: DataFrame, classes: DataFrame, source: DataFrame, wid
         placed = placed.select("key", "cid", "size", root.alias("root"))
         # after the first round only keys with several components
         if turn:
-            several = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("key")
-            placed = stage(placed.join(several, "key"), "placed", n)
-            shared = placed.drop("root")
-            n = shared.count()
+            several = stage(placed.groupBy("key", "root").agg(F.count(F.lit(1)).alias("c"))
+                            .groupBy("key").agg(F.count(F.lit(1)).alias("roots"), F.sum("c").alias("n"), F.sum(F.col("c") * F.col("c")).alias("q"))
+                            .where("roots > 1").select("key", "n", F.expr("(n * n - q) / 2").alias("across")), "several", n)
+            n, left = several.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("across"), F.lit(0))).first()
             if not n:
                 break
+            last = last or left <= FEW * entries  # few pairs, in proportion to the index: compare them all
+            placed = stage(placed.join(several.select("key"), "key"), "placed", n)
+            shared = placed.drop("root")
         if last:
             one, two = placed, placed.select("key", F.col("cid").alias("other"), F.col("size").alias("other_size"), F.col("root").alias("other_root"))
             pairs = one.join(two, "key").where((F.col("cid") > F.col("other")) & (F.col("root") != F.col("other_root")) & fits("size", "other_size"))
@@ -281,11 +288,11 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     Ids are taken to identify rows; of rows that repeat an id and text one stays. Rows
     without an id stay, as they cannot be told apart."""
     found = stage(near_duplicates(docs, id_col, text_col, width, percent).where(F.col(id_col).isNotNull()), "groups")
-    lost = found.where("not kept").select(F.col(id_col).alias("__lost")).distinct()
-    again = found.where("kept").groupBy(id_col).agg(F.count(F.lit(1)).alias("__n")).where("__n > 1") \
-        .select(F.col(id_col).alias("__again"))
-    same = lambda c: F.col(id_col) == F.col(c)
-    kept = docs.join(lost, same("__lost"), "left_anti")
-    single = kept.join(again, same("__again"), "left_anti")
-    several = kept.join(again, same("__again"), "left_semi").dropDuplicates([id_col, text_col])
-    return single.unionByName(several)
+    lost = stage(found.where("not kept").select(F.col(id_col).alias("__lost")).distinct(), "lost")
+    again = stage(found.where("kept").groupBy(id_col).agg(F.count(F.lit(1)).alias("__n")).where("__n > 1")
+                  .select(F.col(id_col).alias("__again")), "again")
+    kept = drop_ids(docs, lost, id_col)
+    if again.isEmpty():
+        return kept
+    several = kept.join(again, F.col(id_col) == F.col("__again"), "left_semi").dropDuplicates([id_col, text_col])
+    return drop_ids(kept, again, id_col).unionByName(several)

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BETWEEN_SPACES, byte_class, stage, text_slices, words
+from .common import BETWEEN_SPACES, byte_class, drop_ids, stage, text_slices, words
 
 #: The fit uses about this many labelled and this many unlabelled documents, chosen by hash
 #: of their id; counts come from the tables, scores are made for every document.
@@ -241,4 +241,4 @@ def drop_rejected(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id") ->
     """The rows of ``docs`` that ``quality`` accepts, all columns. Rows that share an id with a
     rejected row go too; rows without an id stay."""
     lost = stage(quality(docs, labels, id_col).where("not accepted").select(F.col(id_col).alias("__low")).distinct(), "rejected")
-    return docs.join(lost, F.col(id_col) == F.col("__low"), "left_anti")
+    return drop_ids(docs, lost, id_col)

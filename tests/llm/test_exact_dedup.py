@@ -59,7 +59,7 @@ def test_hot_text_is_one_entry_per_sender(spark):
 
 
 def test_shuffle_join_beyond_the_broadcast_bound(spark, monkeypatch):
-    monkeypatch.setattr(X, "BROADCAST_IDS", 0)
+    monkeypatch.setattr(X.common, "BROADCAST_IDS", 0)
     assert rows(X.exact_duplicates(docs(spark)), "doc_id", "keep_id", "group_size", "text_sha256") == brute(ROWS)
 
 
