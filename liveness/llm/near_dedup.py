@@ -241,7 +241,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Two rows are linked when their sets of ``width``-word shingles have 100 * intersection >=
     ``percent`` * union (``percent`` is 80 or more: the index is laid out for it). Rows with
-    equal sets are a class, ``class_id``. ``component_id`` is the smallest id that can be
+    equal sets are a class; ``class_id`` is its smallest id. ``component_id`` is the smallest id that can be
     reached over links, ``kept`` says that it is the row's own.
 
     Null, empty and blank texts have an empty set and are linked with nothing: each is its
@@ -272,10 +272,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                  .groupBy("root").agg(F.min("min_id").alias("component_id"), F.count(F.lit(1)).alias("n")), "roots", n_rows)
     of_class = join_by_count(found, root, "root", "n").select(F.col("node").alias("cid"), "component_id")
     classes = stage(classes.join(of_class, "cid", "left")
-                    .select("set_key", F.col("cid").alias("class_id"), F.coalesce("component_id", "min_id").alias("component_id"),
+                    .select("set_key", F.col("min_id").alias("class_id"), F.coalesce("component_id", "min_id").alias("component_id"),
                             "n_rows"), "classes", n_rows)
     full = join_by_count(rows.where("n_shingles > 0").select("id", "n_shingles", "set_key"), classes, "set_key", "n_rows")
-    empty = rows.where("n_shingles = 0").select("id", "n_shingles", "set_key", F.col("row_id").alias("class_id"),
+    empty = rows.where("n_shingles = 0").select("id", "n_shingles", "set_key", F.col("id").alias("class_id"),
                                                 F.col("id").alias("component_id"))
     return full.unionByName(empty).select(F.col("id").alias(id_col), "n_shingles", "component_id",
                                           F.col("id").eqNullSafe(F.col("component_id")).alias("kept"), "class_id")

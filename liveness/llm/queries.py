@@ -15,7 +15,7 @@ from .mixing import mix_sources
 from .near_dedup import near_duplicates
 from .pii import personal_data
 from .quality import quality
-from .secrets import secret_scan
+from .secrets import PLACEHOLDER, secret_scan
 from .toxicity import toxicity
 from .warc import round_trip
 
@@ -68,7 +68,22 @@ def op9(spark, d):
     return found.drop("hit_starts", "hit_ends")
 
 
-@query("op2_minhash_near_dedup")
+_OP2 = f"""WITH RECURSIVE d AS (SELECT row_number() OVER () AS rid, doc_id,
+  regexp_extract_all({_FOLD.format("coalesce(text, '')")}, '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT rid, sh FROM (SELECT rid, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) = 1 THEN [w]
+  ELSE list_transform(range(1, len(w)), lambda i: w[i:i + 1]) END) AS sh FROM d)),
+n AS (SELECT rid, count(*) AS n, list(sh ORDER BY sh) AS shingles FROM s GROUP BY rid),
+met AS (SELECT a.rid AS x, b.rid AS y, count(*) AS c FROM s a JOIN s b ON a.sh = b.sh AND a.rid < b.rid GROUP BY ALL),
+link AS (SELECT x, y FROM met JOIN n p ON p.rid = x JOIN n q ON q.rid = y WHERE 100 * c >= 80 * (p.n + q.n - c)),
+sides AS (SELECT x, y FROM link UNION SELECT y, x FROM link),
+reach AS (SELECT rid, rid AS other FROM d UNION SELECT reach.rid, sides.y FROM reach JOIN sides ON sides.x = reach.other),
+comp AS (SELECT reach.rid, min(d.doc_id) AS component_id FROM reach JOIN d ON d.rid = reach.other GROUP BY reach.rid),
+class AS (SELECT shingles, min(doc_id) AS class_id FROM n JOIN d USING (rid) GROUP BY shingles)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id AS kept, coalesce(class_id, doc_id) AS class_id
+FROM d JOIN comp USING (rid) LEFT JOIN n USING (rid) LEFT JOIN class USING (shingles)"""
+
+
+@query("op2_minhash_near_dedup", _OP2)
 def op2(spark, d):
     return near_duplicates(table(spark, d, "documents"), width=2)
 
@@ -78,7 +93,18 @@ def op4(spark, d):
     return mix_sources(table(spark, d, "documents"))
 
 
-@query("op7_warc_archive")
+#: Base32 of a SHA-1 in hexadecimal: five bits at a time, from the two digits that hold them.
+_BASE32 = """array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+  1 + ((CAST('0x' || substr({0}, (5 * i) // 4 + 1, 2) AS INTEGER) >> (3 - (5 * i) % 4)) & 31), 1)), '')"""
+
+_OP7 = f"""WITH p AS (SELECT page_id, regexp_replace(url, '[\\x00-\\x20\\x7F]', '%20', 'g') AS url, coalesce(html, '') AS h FROM pages),
+f AS (SELECT h, min(page_id) AS first FROM p GROUP BY h)
+SELECT page_id, url, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+  CAST(strlen(p.h) AS BIGINT) AS payload_bytes, {_BASE32.format("sha1(p.h)")} AS payload_digest,
+  CASE WHEN page_id <> first THEN first END AS refers_to FROM p JOIN f ON p.h = f.h"""
+
+
+@query("op7_warc_archive", _OP7)
 def op7(spark, d):
     return round_trip(table(spark, d, "pages"))
 
@@ -89,7 +115,45 @@ def op8(spark, d):
     return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base", 256).alias("base_sha256"), "spans")
 
 
-@query("op1_secret_scan")
+def _matches_sql(pattern: str, kind: str, group: int = 0, keep: str = "true") -> str:
+    """(rid, kind, start, from, end, value) of a pattern's matches, by the lengths of the texts between them."""
+    return f"""SELECT rid, '{kind}' AS kind, ends[i] - len(m[i]) AS start, ends[i] - len(v[i]) AS "from", ends[i] AS "end", v[i] AS value
+FROM (SELECT rid, m, v, list_transform(range(1, len(m) + 1), lambda i: list_sum(list_transform(b[1:i], lambda x: len(x)))
+        + list_sum(list_transform(m[1:i], lambda x: len(x)))) AS ends
+      FROM (SELECT rid, regexp_extract_all(t, '{pattern}') AS m, regexp_extract_all(t, '{pattern}', {group}) AS v,
+                   string_split_regex(t, '{pattern}') AS b FROM d WHERE regexp_matches(t, '{pattern}'))),
+     unnest(range(1, len(m) + 1)) AS u(i) WHERE {keep}"""
+
+
+def _either(word: str) -> str:
+    return "".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in word)
+
+
+_ASSIGN = "(" + "|".join(map(_either, ("password", "passwd", "secret", "token", "api_?key"))) + ")[\"\'\']?\\x20*[:=]\\x20*[\"\'\']?([A-Za-z0-9+/_.=-]+)"
+_TEXT_OF = """array_to_string(list_transform(list_sort(list({{'s': CAST("start" AS INTEGER), 'k': list_position(['assign', 'access', 'hex', 'copied', 'live'], kind),
+  'e': CAST("end" AS INTEGER), 'n': kind}}){0}), lambda x: x.n || ':' || x.s || ':' || x.e), ',')"""
+
+_OP1 = f"""WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t, coalesce(source, '') AS owner,
+  coalesce(source, '') || '/' || coalesce(lang, '') AS repository FROM documents),
+base AS ({_matches_sql(_ASSIGN, 'assign', 2, 'len(v[i]) >= 12')} UNION ALL {_matches_sql('AKIA[A-Z0-9]{14,}', 'access')}
+  UNION ALL {_matches_sql('[0-9a-f]{16,}', 'hex')}),
+bare AS ({_matches_sql('[A-Za-z0-9+/_.=-]{20,}', 'bare', 0, "regexp_full_match(m[i], '[A-Za-z0-9+/_-]+')")}),
+cand AS (SELECT DISTINCT rid, "from", "end", value, owner, repository
+  FROM (SELECT * FROM base UNION ALL SELECT * FROM bare WHERE regexp_matches(value, '[0-9]') AND regexp_matches(value, '[A-Za-z]')) JOIN d USING (rid)),
+held AS (SELECT value, count(DISTINCT owner) AS owners FROM cand GROUP BY value),
+more AS (SELECT rid, CASE WHEN owners >= 3 THEN 'copied' ELSE 'live' END AS kind, "from" AS "start", "end" FROM cand JOIN held USING (value)
+  WHERE owners >= 3 OR owners = 1 AND len(value) >= 12 AND len(list_distinct(string_split(value, ''))) >= 8 AND regexp_matches(value, '[0-9]')
+    AND regexp_matches(value, '[A-Za-z]') AND NOT regexp_matches(value, '{PLACEHOLDER}')),
+every AS (SELECT rid, kind, "start", "end" FROM base UNION ALL SELECT * FROM more),
+spans AS (SELECT rid, {_TEXT_OF.format("")} AS spans, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access,
+  count(*) FILTER (kind = 'hex') AS n_hex, count(*) FILTER (kind = 'copied') AS n_copied, count(*) FILTER (kind = 'live') AS n_live FROM every GROUP BY rid),
+plain AS (SELECT rid, {_TEXT_OF.format("")} AS base FROM base GROUP BY rid)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+  sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_copied, 0) AS n_copied, coalesce(n_live, 0) AS n_live
+FROM d LEFT JOIN spans USING (rid) LEFT JOIN plain USING (rid)"""
+
+
+@query("op1_secret_scan", _OP1)
 def op1(spark, d):
     repository = F.concat_ws("/", F.coalesce("source", F.lit("")), F.coalesce("lang", F.lit("")))
     found = secret_scan(table(spark, d, "documents"), owner="source", repository=repository)
