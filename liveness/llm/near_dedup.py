@@ -22,13 +22,15 @@ from .components import components
 HASHES, BITS, CHUNKS = 64, 16, 12
 #: Signatures within this distance are certain to meet under a key.
 DISTANCE = 2 * CHUNKS - 1
-#: Pairs that meet are confirmed on their sets unless they are further apart than this:
-#: at similarity 0.8 a distance of 13 is expected, 38 would be eight deviations off.
-NOT_BEYOND = 38
+#: Pairs that meet are confirmed on their sets unless they are further apart than this: at
+#: similarity 0.8 a distance of 13 is expected, 30 is more than five deviations off.
+NOT_BEYOND = 30
 #: Sets smaller than this are similar by 0.8 only when equal.
 SMALLEST = 4
-#: Pairs left under all keys, as a share of the index's entries, that are compared without further rounds.
-FEW = 0.05
+#: Rounds with hubs go on while this share of their pairs turns out to be linked.
+WORTH = 0.1
+#: Classes of one key that are compared in one group; more are split into blocks.
+BLOCK = 1024
 #: Rows with whole sets count as so many slim ones when tasks are dealt.
 _WIDE = 16
 
@@ -103,13 +105,14 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             continue
         sig = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint16).reshape(n, HASHES).astype(np.uint64)
         out = np.zeros((n, HASHES), np.uint64)
-        for k, (out_place, places) in enumerate(_chunk_places()):
-            h = np.full(n, np.uint64(out_place + 1))
+        for left_out, places in _chunk_places():
+            h = np.full(n, np.uint64(left_out + 1))
             for p in places:
                 h = h * np.uint64(0x9E3779B97F4A7C15) + sig[:, p] + np.uint64(1)
-            out[:, k] = mix(h)
+            out[:, left_out] = mix(h)
         yield pa.RecordBatch.from_arrays([pa.array(out.reshape(-1).view(np.int64)),
-                                          pa.array(np.repeat(batch.column(0).to_numpy(), HASHES))], names=["key", "cid"])
+                                          pa.array(np.repeat(batch.column(0).to_numpy(), HASHES)),
+                                          pa.array(np.tile(np.arange(HASHES, dtype=np.int32), n))], names=["key", "cid", "place"])
 
 
 def _sets(width: int):
@@ -147,6 +150,73 @@ def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield batch.select([0, 1]).filter(pa.array((x != y).sum(axis=1) <= NOT_BEYOND))
 
 
+_CHUNK_START = np.array([c[0] for c in np.array_split(np.arange(HASHES), CHUNKS)])
+
+
+def _first_place(differ: np.ndarray) -> np.ndarray:
+    """The first key that each pair shares, by the place it leaves out (``differ``: pairs x places;
+    HASHES if they share none): of the first chunk with one difference at most, that place."""
+    errors = np.add.reduceat(differ, _CHUNK_START, axis=1)
+    meets = errors <= 1
+    chunk = meets.argmax(axis=1)
+    row = np.arange(len(differ))
+    start = _CHUNK_START[chunk]
+    width = int(np.diff(np.append(_CHUNK_START, HASHES)).max())
+    inside = differ[row[:, None], np.minimum(start[:, None] + np.arange(width), HASHES - 1)]
+    place = np.where(errors[row, chunk] == 0, start, start + inside.argmax(axis=1))
+    return np.where(meets.any(axis=1), place, HASHES)
+
+
+def _across(percent: int):
+    """Pairs of two blocks of a key (or of one with itself), of different components and
+    similar size, not beyond ``NOT_BEYOND``; each pair under the first key it shares only.
+    Rows come sorted by (key, i, j); a group that goes on in the next batch waits for it."""
+    columns = ("key", "i", "j", "place", "cid", "size", "root", "block")
+
+    def pairs(g: dict, sig: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        i, j, here = g["i"][0], g["j"][0], g["place"][0]
+        cid, size, root = g["cid"], g["size"], g["root"]
+        right = np.flatnonzero(g["block"] == j)
+        for x in np.flatnonzero(g["block"] == i):
+            other = right[cid[right] > cid[x]] if i == j else right
+            other = other[(root[other] != root[x]) & (size[other] * 100 >= size[x] * percent) & (size[x] * 100 >= size[other] * percent)]
+            if len(other):
+                differ = sig[other] != sig[x]
+                near = differ.sum(axis=1) <= NOT_BEYOND
+                other = other[near][_first_place(differ[near]) == here] if near.any() else other[:0]
+                if len(other):
+                    yield np.maximum(cid[x], cid[other]), np.minimum(cid[x], cid[other])
+
+    def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, held_sig = None, None
+        for batch in _with_end(batches):
+            if batch is not None and batch.num_rows == 0:
+                continue
+            if batch is not None:
+                g = {c: batch.column(batch.schema.get_field_index(c)).to_numpy() for c in columns}
+                sig = np.frombuffer(b"".join(batch.column(batch.schema.get_field_index("sig")).to_pylist()), np.uint16).reshape(-1, HASHES)
+                if held is not None:
+                    g, sig = {c: np.concatenate([held[c], g[c]]) for c in columns}, np.concatenate([held_sig, sig])
+            elif held is None:
+                break
+            else:
+                g, sig = held, held_sig
+            turns = (np.diff(g["key"]) != 0) | (np.diff(g["i"]) != 0) | (np.diff(g["j"]) != 0)
+            edge = np.concatenate([[0], np.flatnonzero(turns) + 1, [len(g["key"])]])
+            whole = edge if batch is None else edge[:-1]
+            found = [p for lo, hi in zip(whole[:-1], whole[1:]) for p in pairs({c: v[lo:hi] for c, v in g.items()}, sig[lo:hi])]
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([p[k] for p in found])) for k in (0, 1)], names=["a", "b"])
+            held, held_sig = {c: v[whole[-1]:] for c, v in g.items()}, sig[whole[-1]:]
+    return across
+
+
+def _with_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:
+    """The batches, and None after the last."""
+    yield from batches
+    yield None
+
+
 # ------------------------------------------------------------------ links
 
 def _confirm(pairs: DataFrame, classes: DataFrame, source: DataFrame, width: int, percent: int) -> DataFrame:
@@ -181,55 +251,54 @@ def _components_of(shared: DataFrame, classes: DataFrame, source: DataFrame, wid
 
     In rounds, every key with classes of several components gets a hub, one of its classes by
     hash, another one each round, and every class of another component is compared with it:
-    one pair per entry of the index at most. What is linked becomes one component. When the
-    pairs that are left under all keys are few against the index, or a round links nothing
-    more, the classes of different components that still share a key and have not met are
-    compared with each other, so that no link is lost."""
+    one pair per entry of the index at most. What is linked becomes one component. When a
+    round links few of its pairs, the classes of different components that still share a key
+    are compared with each other by their signatures, in blocks of ``BLOCK``, and what is near
+    and has not met is confirmed, so that no link is lost."""
     spark = shared.sparkSession
     n = shared.count()
-    entries = HASHES * classes.count()
     none = spark.range(0)
     found = none.select(F.col("id").alias("node"), F.col("id").alias("root"))
     tested = none.select(F.col("id").alias("a"), F.col("id").alias("b"))
-    fits = lambda x, y: (F.col(x) * 100 >= F.col(y) * percent) & (F.col(y) * 100 >= F.col(x) * percent)
-    pair = [F.greatest("cid", "other").alias("a"), F.least("cid", "other").alias("b")]
+    fits = (F.col("size") * 100 >= F.col("other_size") * percent) & (F.col("other_size") * 100 >= F.col("size") * percent)
     turn, last = 0, False
     while True:
-        placed = shared if turn == 0 else shared.join(found, F.col("cid") == F.col("node"), "left")
         root = F.col("cid") if turn == 0 else F.coalesce("root", "cid")
-        placed = placed.select("key", "cid", "size", root.alias("root"))
-        # after the first round only keys with several components
-        if turn:
-            several = stage(placed.groupBy("key", "root").agg(F.count(F.lit(1)).alias("c"))
-                            .groupBy("key").agg(F.count(F.lit(1)).alias("roots"), F.sum("c").alias("n"), F.sum(F.col("c") * F.col("c")).alias("q"))
-                            .where("roots > 1").select("key", "n", F.expr("(n * n - q) / 2").alias("across")), "several", n)
-            n, left = several.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("across"), F.lit(0))).first()
+        placed = shared if turn == 0 else shared.join(found, F.col("cid") == F.col("node"), "left")
+        placed = placed.select("key", "place", "cid", "size", root.alias("root"))
+        if turn:  # from now on only keys with several components
+            several = (placed.groupBy("key", "root").agg(F.count(F.lit(1)).alias("c"))
+                       .groupBy("key").agg(F.count(F.lit(1)).alias("roots"), F.sum("c").alias("members")).where("roots > 1"))
+            placed = stage(placed.join(several.select("key", "members"), "key"), "placed", n)
+            shared, n = placed.drop("root", "members"), placed.count()
             if not n:
                 break
-            last = last or left <= FEW * entries  # few pairs, in proportion to the index: compare them all
-            placed = stage(placed.join(several.select("key"), "key"), "placed", n)
-            shared = placed.drop("root")
         if last:
-            one, two = placed, placed.select("key", F.col("cid").alias("other"), F.col("size").alias("other_size"), F.col("root").alias("other_root"))
-            pairs = one.join(two, "key").where((F.col("cid") > F.col("other")) & (F.col("root") != F.col("other_root")) & fits("size", "other_size"))
+            blocks = F.ceil(F.col("members") / BLOCK).cast("int")
+            dealt = (placed.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
+                     .withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+                     .withColumns({"i": F.least("block", "with"), "j": F.greatest("block", "with")})
+                     .join(classes.select("cid", "sig"), "cid")
+                     .select("key", "place", "cid", "size", "root", "block", "i", "j", "sig"))
+            pairs = (dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+                     .mapInArrow(_across(percent), "a long, b long"))
         else:
             chance = F.xxhash64("cid", F.when(F.lit(turn > 0), F.col("key")), F.lit(turn))
             hubs = placed.groupBy("key").agg(F.min(F.struct(chance.alias("h"), F.col("cid").alias("other"), F.col("size").alias("other_size"),
                                                             F.col("root").alias("other_root"))).alias("hub"))
             hubs = stage(hubs.select("key", "hub.other", "hub.other_size", "hub.other_root"), "hubs", n)
-            pairs = placed.join(hubs, "key").where((F.col("root") != F.col("other_root")) & fits("size", "other_size"))
-        pairs = stage(pairs.select(*pair).distinct().join(tested, ["a", "b"], "left_anti"), "pairs", n)
-        links = stage(_confirm(pairs, classes, source, width, percent), "links", _WIDE * pairs.count())
-        if links.isEmpty():
-            if last:
-                break
-            last = True
-        else:
+            pairs = (placed.join(hubs, "key").where((F.col("root") != F.col("other_root")) & fits)
+                     .select(F.greatest("cid", "other").alias("a"), F.least("cid", "other").alias("b")))
+        pairs = stage(pairs.distinct().join(tested, ["a", "b"], "left_anti"), "pairs", n)
+        n_pairs = pairs.count()
+        links = stage(_confirm(pairs, classes, source, width, percent), "links", _WIDE * n_pairs)
+        n_links = links.count()
+        if n_links:
             stars = found.select(F.col("node").alias("a"), F.col("root").alias("b"))
-            found = components(stage(links.unionByName(stars), "links", n))
-            found = stage(found, "components", n)
-            if last:
-                break
+            found = stage(components(stage(links.unionByName(stars), "links", n)), "components", n)
+        if last:
+            break
+        last = n_links < WORTH * max(n_pairs, 1)
         tested = tested.unionByName(pairs)
         turn += 1
     return found
@@ -259,7 +328,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                     .agg(F.min("row_id").alias("cid"), F.min("id").alias("min_id"), F.count(F.lit(1)).alias("n_rows"),
                          F.min("sig").alias("sig")), "classes", n_rows)
     keys = stage(classes.where(F.col("n_shingles") >= SMALLEST).select("cid", "sig")
-                 .mapInArrow(_keys, "key long, cid long"), "keys")
+                 .mapInArrow(_keys, "key long, cid long, place int"), "keys")
     n_keys = keys.count()
     often = stage(keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").withColumn("often", F.lit(True)), "often", n_keys)
     sized = classes.select("cid", F.col("n_shingles").alias("size"))

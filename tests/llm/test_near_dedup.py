@@ -67,6 +67,22 @@ def test_matches_brute_force(spark, width, seed):
     assert rows(got, "doc_id", "n_shingles", "component_id", "kept") == brute(data, width)
 
 
+def test_blocks_of_a_key_are_compared_with_each_other(spark, monkeypatch):
+    """After one round with hubs, all that is left goes through blocks of three classes."""
+    monkeypatch.setattr(N, "BLOCK", 3)
+    monkeypatch.setattr(N, "WORTH", 2.0)
+    data = corpus(9, 200)
+    assert rows(N.near_duplicates(docs(spark, data), width=2), "doc_id", "n_shingles", "component_id", "kept") == brute(data, 2)
+
+
+def test_first_shared_key():
+    r = np.random.default_rng(0)
+    differ = r.random((300, N.HASHES)) < 0.25
+    places = dict(N._chunk_places())
+    for row, got in zip(differ, N._first_place(differ)):
+        assert got == min((o for o, p in places.items() if not row[p].any()), default=N.HASHES)
+
+
 def test_links_between_classes_off_the_first_hub(spark):
     """A chain whose ends are far apart, and under one key classes that the hub is not linked with."""
     base = [f"w{i}" for i in range(100)]
