@@ -20,7 +20,7 @@ from .common import ALPHANUMERIC, _BYTE, _P, SLICE_BYTES, Words, mix, text_slice
 
 #: The fit reads this many labelled documents of each label at most (by hash of the id),
 #: of at most this many characters each. Scores read everything.
-FIT_ROWS, FIT_CHARS = 4000, 20_000
+FIT_ROWS, FIT_CHARS = 2500, 20_000
 #: Beginnings of words, in bytes, that are features beside the word itself.
 PREFIXES = (4, 5, 6)
 #: A toxic feature is in this share of toxic documents (copies counted once), ...
@@ -60,10 +60,10 @@ class Model:
     def index(self, f: np.ndarray) -> np.ndarray:
         """Place of each feature among the keys, or len(keys)."""
         if not len(self.keys):
-            return np.zeros(f.shape, np.int64)
+            return np.zeros(f.shape, np.int32)
         flags = np.zeros(1 << 16, bool)
         flags[(self.keys >> np.uint64(48)).astype(np.int64)] = True
-        out = np.full(f.shape, len(self.keys))
+        out = np.full(f.shape, len(self.keys), np.int32)
         maybe = flags[(f >> np.uint64(48)).astype(np.int64)]
         some = f[maybe]
         at = np.searchsorted(self.keys, some).clip(max=len(self.keys) - 1)
@@ -140,16 +140,23 @@ def _lexicon(w: Words, f: np.ndarray, toxic: np.ndarray) -> np.ndarray:
         group[full] = np.minimum.reduceat(mix(w.hash ^ np.uint64(0xABCDEF)), w.first[full])
 
     def support(rows: np.ndarray, known: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
-        token = rows[owner]
-        flat = f[token].reshape(-1)
-        by = np.repeat(group[owner[token]], f.shape[1])
-        ok = flat != 0
-        if known is not None:
-            at = np.searchsorted(known, flat).clip(max=len(known) - 1)
-            ok &= known[at] == flat
-        flat, by = flat[ok], by[ok]
-        _, one = np.unique(mix(flat) ^ by, return_index=True)
-        return np.unique(flat[one], return_counts=True)
+        token = np.flatnonzero(rows[owner])
+        by = group[owner[token]]
+        keys, counts = [], []
+        for column in f.T:  # the word, then each beginning: their hashes differ
+            flat = column[token]
+            ok = flat != 0
+            if known is not None:
+                at = np.searchsorted(known, flat).clip(max=len(known) - 1)
+                ok &= known[at] == flat
+            flat = flat[ok]
+            _, one = np.unique(mix(flat) ^ by[ok], return_index=True)
+            k, n = np.unique(flat[one], return_counts=True)
+            keys.append(k)
+            counts.append(n)
+        keys, counts = np.concatenate(keys), np.concatenate(counts)
+        order = np.argsort(keys)
+        return keys[order], counts[order]
 
     def shared(rows: np.ndarray, ratio: float) -> np.ndarray:
         """Features in enough of ``rows`` that are ``ratio`` times as frequent there as in clean texts."""
@@ -246,8 +253,16 @@ def fit(texts: pa.Array, toxic: np.ndarray) -> Model:
     model = Model()
     if not len(texts) or toxic.all() or not toxic.any():
         return model
-    w = words(texts, ALPHANUMERIC)
-    f = features(w)
+    hashes, found, counts = [], [], []
+    for piece in text_slices(iter([pa.RecordBatch.from_arrays([texts], names=["text"])]), "text"):
+        w = words(piece.column(0), ALPHANUMERIC)
+        hashes.append(w.hash)
+        found.append(features(w))
+        counts.append(w.count)
+    f = np.concatenate(found)
+    del found
+    none = np.zeros(0, np.int64)
+    w = Words(np.concatenate(hashes), np.concatenate([[0], np.cumsum(np.concatenate(counts))]), none, none, none, none)
     model.keys = _lexicon(w, f, toxic)
     at = model.index(f)
     del f
