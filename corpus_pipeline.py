@@ -12,7 +12,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from liveness.llm import decontamination, exact_dedup, mixing, near_dedup, quality
-from liveness.session import stage_root, table
+from liveness.llm.common import drop_all_stages
+from liveness.session import delete_path, stage_root, table
 
 #: The mix is drawn by chance and the classifier is fitted: not for SQL. Tests compare with brute force.
 ORACLE_SQL = None
@@ -48,10 +49,14 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages in turn; each result is written to the shared folder and read again."""
+    """All stages in turn; each result is written to the shared folder and read again. What a
+    stage left there, and its input, are deleted once its result is written."""
     root = f"{stage_root(spark)}/pipeline-{uuid.uuid4().hex[:12]}"
     docs = table(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{root}/{k}")
+        drop_all_stages(spark)
+        if k:
+            delete_path(spark, f"{root}/{k - 1}")
         docs = spark.read.parquet(f"{root}/{k}")
     return docs

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import stage_root
+from ..session import delete_path, stage_root
 
 #: Text bytes handled at once inside a task; the numpy work arrays take about 60 times this.
 SLICE_BYTES = 1 << 20
@@ -32,6 +32,7 @@ def stage(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
     large table keeps the partitions it has, as their number is only ever lowered."""
     spark = df.sparkSession
     path = f"{stage_root(spark)}/llm-{name}-{uuid.uuid4().hex[:12]}"
+    _staged.append(path)
     if rows is not None:
         df = df.coalesce(max(1, -(-rows // ROWS_PER_TASK)))
     df.write.parquet(path)
@@ -41,10 +42,18 @@ def stage(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
 def drop_stage(*frames: DataFrame) -> None:
     """Delete the folders of staged tables that are no longer needed."""
     for df in frames:
-        jvm = df.sparkSession._jvm
         for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-            path = jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+            delete_path(df.sparkSession, folder)
+
+
+_staged: list[str] = []  # folders this process has written, for ``drop_all_stages``
+
+
+def drop_all_stages(spark: SparkSession) -> None:
+    """Delete every folder ``stage`` has written. For jobs that have written their results:
+    tables that are still lazily derived from a staged one can no longer be computed."""
+    while _staged:
+        delete_path(spark, _staged.pop())
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
