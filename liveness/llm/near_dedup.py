@@ -167,48 +167,80 @@ def _first_place(differ: np.ndarray) -> np.ndarray:
     return np.where(meets.any(axis=1), place, HASHES)
 
 
-def _across(percent: int):
-    """Pairs of two blocks of a key (or of one with itself), of different components and
-    similar size, not beyond ``NOT_BEYOND``; each pair under the first key it shares only.
-    Rows come sorted by (key, i, j); a group that goes on in the next batch waits for it."""
-    columns = ("key", "i", "j", "place", "cid", "size", "root", "block")
-
-    def pairs(g: dict, sig: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        i, j, here = g["i"][0], g["j"][0], g["place"][0]
-        cid, size, root = g["cid"], g["size"], g["root"]
-        right = np.flatnonzero(g["block"] == j)
-        for x in np.flatnonzero(g["block"] == i):
-            other = right[cid[right] > cid[x]] if i == j else right
-            other = other[(root[other] != root[x]) & (size[other] * 100 >= size[x] * percent) & (size[x] * 100 >= size[other] * percent)]
-            if len(other):
-                differ = sig[other] != sig[x]
-                near = differ.sum(axis=1) <= NOT_BEYOND
-                other = other[near][_first_place(differ[near]) == here] if near.any() else other[:0]
+_PART = ("key", "i", "j", "place", "cid", "size", "root", "block")
+_PART_SQL = "key long, i int, j int, place int, cid long, size long, root long, block int"
+
+
+def _near_in_group(g: dict, sig: np.ndarray, percent: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Rows of a group (two blocks of a key, or one with itself) and the rows each is near: of
+    another component, of similar size, not beyond ``NOT_BEYOND``, under the first key they share."""
+    i, j, here = g["i"][0], g["j"][0], g["place"][0]
+    cid, size, root = g["cid"], g["size"], g["root"]
+    right = np.flatnonzero(g["block"] == j)
+    for x in np.flatnonzero(g["block"] == i):
+        other = right[cid[right] > cid[x]] if i == j else right
+        other = other[(root[other] != root[x]) & (size[other] * 100 >= size[x] * percent) & (size[x] * 100 >= size[other] * percent)]
+        if len(other):
+            differ = sig[other] != sig[x]
+            near = differ.sum(axis=1) <= NOT_BEYOND
+            if near.any():
+                other = other[near][_first_place(differ[near]) == here]
                 if len(other):
-                    yield np.maximum(cid[x], cid[other]), np.minimum(cid[x], cid[other])
+                    yield x, other
 
-    def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, held_sig = None, None
-        for batch in _with_end(batches):
-            if batch is not None and batch.num_rows == 0:
+
+def _by_group(batches: Iterator[pa.RecordBatch], use) -> Iterator[pa.RecordBatch]:
+    """``use(g, sig, table)`` of every group, from rows sorted by (key, i, j); a group that goes
+    on in the next batch waits for it."""
+    held: pa.Table | None = None
+    for batch in _with_end(batches):
+        if batch is not None:
+            if not batch.num_rows:
                 continue
-            if batch is not None:
-                g = {c: batch.column(batch.schema.get_field_index(c)).to_numpy() for c in columns}
-                sig = np.frombuffer(b"".join(batch.column(batch.schema.get_field_index("sig")).to_pylist()), np.uint16).reshape(-1, HASHES)
-                if held is not None:
-                    g, sig = {c: np.concatenate([held[c], g[c]]) for c in columns}, np.concatenate([held_sig, sig])
-            elif held is None:
-                break
-            else:
-                g, sig = held, held_sig
-            turns = (np.diff(g["key"]) != 0) | (np.diff(g["i"]) != 0) | (np.diff(g["j"]) != 0)
-            edge = np.concatenate([[0], np.flatnonzero(turns) + 1, [len(g["key"])]])
-            whole = edge if batch is None else edge[:-1]
-            found = [p for lo, hi in zip(whole[:-1], whole[1:]) for p in pairs({c: v[lo:hi] for c, v in g.items()}, sig[lo:hi])]
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([p[k] for p in found])) for k in (0, 1)], names=["a", "b"])
-            held, held_sig = {c: v[whole[-1]:] for c, v in g.items()}, sig[whole[-1]:]
-    return across
+            new = pa.Table.from_batches([batch])
+            held = new if held is None else pa.concat_tables([held, new])
+        elif held is None:
+            return
+        t = held.combine_chunks()
+        g = {c: t.column(c).to_numpy() for c in _PART}
+        turns = (np.diff(g["key"]) != 0) | (np.diff(g["i"]) != 0) | (np.diff(g["j"]) != 0)
+        edge = np.concatenate([[0], np.flatnonzero(turns) + 1, [len(g["key"])]])
+        whole = edge if batch is None else edge[:-1]
+        if len(whole) > 1:
+            sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint16).reshape(-1, HASHES)
+            for lo, hi in zip(whole[:-1], whole[1:]):
+                yield from use({c: v[lo:hi] for c, v in g.items()}, sig[lo:hi], t.slice(lo, hi - lo))
+        held = t.slice(whole[-1]) if whole[-1] < t.num_rows else None
+
+
+def _taking_part(percent: int):
+    """The rows of each group that are near another one."""
+    def use(g: dict, sig: np.ndarray, t: pa.Table) -> Iterator[pa.RecordBatch]:
+        used = np.zeros(len(sig), bool)
+        for x, other in _near_in_group(g, sig, percent):
+            used[x] = used[other] = True
+        if used.any():
+            yield from t.select(list(_PART)).filter(pa.array(used)).to_batches()
+
+    return lambda batches: _by_group(batches, use)
+
+
+def _linked_in_groups(percent: int):
+    """The links between rows of each group: what is near, confirmed on the full sets."""
+    def use(g: dict, sig: np.ndarray, t: pa.Table) -> Iterator[pa.RecordBatch]:
+        sets = [np.frombuffer(v.as_buffer(), np.uint64) for v in t.column("shingles")]
+        a, b = [], []
+        for x, others in _near_in_group(g, sig, percent):
+            for y in others:
+                at = np.searchsorted(sets[y], sets[x])
+                same = int((sets[y][np.minimum(at, len(sets[y]) - 1)] == sets[x]).sum())
+                if 100 * same >= percent * (len(sets[x]) + len(sets[y]) - same):
+                    a.append(max(g["cid"][x], g["cid"][y]))
+                    b.append(min(g["cid"][x], g["cid"][y]))
+        if a:
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    return lambda batches: _by_group(batches, use)
 
 
 def _with_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:
@@ -219,6 +251,20 @@ def _with_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | No
 
 # ------------------------------------------------------------------ links
 
+def _sets_of(cids: DataFrame, classes: DataFrame, source: DataFrame, width: int, n: int) -> DataFrame:
+    """(cid, shingles) of some classes (``n`` at most), from their texts, staged."""
+    named = stage(cids.join(classes.select("cid", "min_id", "set_key"), "cid"), "named", n)
+    ids = named.select("min_id").distinct()
+    few = named.count() <= common.BROADCAST_IDS
+    if few:
+        ids = F.broadcast(ids)
+    texts = source.join(ids, F.col("id").eqNullSafe(F.col("min_id")), "left_semi").select("text")
+    names = named.select("set_key", "cid")
+    # a set may come from several rows of one id, or copies of one text: any of them will do
+    sets = texts.mapInArrow(_sets(width), "set_key binary, shingles binary").join(F.broadcast(names) if few else names, "set_key")
+    return stage(sets.dropDuplicates(["cid"]).select("cid", "shingles"), "sets", _WIDE * n)
+
+
 def _confirm(pairs: DataFrame, classes: DataFrame, source: DataFrame, width: int, percent: int) -> DataFrame:
     """The pairs (a, b) of classes whose full sets are similar. ``pairs`` is staged."""
     n = pairs.count()
@@ -229,17 +275,8 @@ def _confirm(pairs: DataFrame, classes: DataFrame, source: DataFrame, width: int
              .where((F.col("na") * 100 >= F.col("nb") * percent) & (F.col("nb") * 100 >= F.col("na") * percent))
              .select("a", "b", "sa", "sb").mapInArrow(_near, "a long, b long"))
     close = stage(close, "close", n)
-    named = stage(close.select(F.col("a").alias("cid")).unionByName(close.select(F.col("b").alias("cid"))).distinct()
-                  .join(classes.select("cid", "min_id", "set_key"), "cid"), "named", 2 * n)
-    ids = named.select("min_id").distinct()
-    few = named.count() <= common.BROADCAST_IDS
-    if few:
-        ids = F.broadcast(ids)
-    texts = source.join(ids, F.col("id").eqNullSafe(F.col("min_id")), "left_semi").select("text")
-    names = named.select("set_key", "cid")
-    # a set may come from several rows of one id, or copies of one text: any of them will do
-    sets = texts.mapInArrow(_sets(width), "set_key binary, shingles binary").join(F.broadcast(names) if few else names, "set_key")
-    sets = stage(sets.dropDuplicates(["cid"]).select("cid", "shingles"), "sets", _WIDE * n)
+    both = close.select(F.col("a").alias("cid")).unionByName(close.select(F.col("b").alias("cid"))).distinct()
+    sets = _sets_of(both, classes, source, width, 2 * n)
     met = (close.join(sets.select(F.col("cid").alias("a"), F.col("shingles").alias("x")), "a")
            .join(sets.select(F.col("cid").alias("b"), F.col("shingles").alias("y")), "b"))
     return met.select("a", "b", "x", "y").mapInArrow(_linked(percent), "a long, b long")
@@ -254,7 +291,7 @@ def _components_of(shared: DataFrame, classes: DataFrame, source: DataFrame, wid
     one pair per entry of the index at most. What is linked becomes one component. When a
     round links few of its pairs, the classes of different components that still share a key
     are compared with each other by their signatures, in blocks of ``BLOCK``, and what is near
-    and has not met is confirmed, so that no link is lost."""
+    is confirmed there, so that no link is lost. Only links leave a block."""
     spark = shared.sparkSession
     n = shared.count()
     none = spark.range(0)
@@ -279,16 +316,23 @@ def _components_of(shared: DataFrame, classes: DataFrame, source: DataFrame, wid
                      .withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
                      .withColumns({"i": F.least("block", "with"), "j": F.greatest("block", "with")})
                      .join(classes.select("cid", "sig"), "cid")
-                     .select("key", "place", "cid", "size", "root", "block", "i", "j", "sig"))
-            pairs = (dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-                     .mapInArrow(_across(percent), "a long, b long"))
-        else:
-            chance = F.xxhash64("cid", F.when(F.lit(turn > 0), F.col("key")), F.lit(turn))
-            hubs = placed.groupBy("key").agg(F.min(F.struct(chance.alias("h"), F.col("cid").alias("other"), F.col("size").alias("other_size"),
-                                                            F.col("root").alias("other_root"))).alias("hub"))
-            hubs = stage(hubs.select("key", "hub.other", "hub.other_size", "hub.other_root"), "hubs", n)
-            pairs = (placed.join(hubs, "key").where((F.col("root") != F.col("other_root")) & fits)
-                     .select(F.greatest("cid", "other").alias("a"), F.least("cid", "other").alias("b")))
+                     .select(*_PART, "sig"))
+            part = stage(dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+                         .mapInArrow(_taking_part(percent), _PART_SQL), "part", n)
+            sets = _sets_of(part.select("cid").distinct(), classes, source, width, part.count())
+            late = (part.join(classes.select("cid", "sig"), "cid").join(sets, "cid").repartition("key", "i", "j")
+                    .sortWithinPartitions("key", "i", "j").mapInArrow(_linked_in_groups(percent), "a long, b long"))
+            links = stage(late, "links")
+            if not links.isEmpty():
+                stars = found.select(F.col("node").alias("a"), F.col("root").alias("b"))
+                found = stage(components(stage(links.unionByName(stars), "links", n)), "components", n)
+            break
+        chance = F.xxhash64("cid", F.when(F.lit(turn > 0), F.col("key")), F.lit(turn))
+        hubs = placed.groupBy("key").agg(F.min(F.struct(chance.alias("h"), F.col("cid").alias("other"), F.col("size").alias("other_size"),
+                                                        F.col("root").alias("other_root"))).alias("hub"))
+        hubs = stage(hubs.select("key", "hub.other", "hub.other_size", "hub.other_root"), "hubs", n)
+        pairs = (placed.join(hubs, "key").where((F.col("root") != F.col("other_root")) & fits)
+                 .select(F.greatest("cid", "other").alias("a"), F.least("cid", "other").alias("b")))
         pairs = stage(pairs.distinct().join(tested, ["a", "b"], "left_anti"), "pairs", n)
         n_pairs = pairs.count()
         links = stage(_confirm(pairs, classes, source, width, percent), "links", _WIDE * n_pairs)
@@ -296,8 +340,6 @@ def _components_of(shared: DataFrame, classes: DataFrame, source: DataFrame, wid
         if n_links:
             stars = found.select(F.col("node").alias("a"), F.col("root").alias("b"))
             found = stage(components(stage(links.unionByName(stars), "links", n)), "components", n)
-        if last:
-            break
         last = n_links < WORTH * max(n_pairs, 1)
         tested = tested.unionByName(pairs)
         turn += 1
