@@ -20,7 +20,7 @@ from .common import ALPHANUMERIC, _BYTE, _P, SLICE_BYTES, Words, mix, text_slice
 
 #: The fit reads this many labelled documents of each label at most (by hash of the id),
 #: of at most this many characters each. Scores read everything.
-FIT_ROWS, FIT_CHARS = 2500, 20_000
+FIT_ROWS, FIT_CHARS = 2500, 10_000
 #: Beginnings of words, in bytes, that are features beside the word itself.
 PREFIXES = (4, 5, 6)
 #: A toxic feature is in this share of toxic documents (copies counted once), ...
