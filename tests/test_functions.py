@@ -40,7 +40,7 @@ def test_reasons_and_texts(spark):
                   T.explanation_text("name", "confidence").alias("e")).first()
     assert len(r.d) == 8 and r.a == []
     assert "'old'" in r.d[6]          # first marker in list order, not position
-    assert "80%" in r.s and r.e.endswith("80%.")
+    assert "80%" in r.s and r.e.endswith("[score 80 of 100]")
 
 
 def test_reference_etl_cases(spark):
