@@ -1,9 +1,10 @@
 """Main text of web pages by line-block distribution.
 
 Markup is stripped to lines, one per block element. A line weighs as many characters as it
-has outside links; lines of menus, headers, footers, adverts, forms and comments weigh
-nothing, and where the page names its article, so does everything else. Weights are summed
-over sliding windows of lines; text is kept from where the sums surge to where they dive."""
+has outside links, lines of a named article (``article``, ``main``) more; menus, headers, footers,
+adverts, forms and comments weigh nothing. Weights are summed over sliding windows of lines; text is kept from
+where the sums surge to where they dive. Where a named article holds the largest surge, lines
+outside weigh nothing."""
 
 from __future__ import annotations
 
@@ -18,8 +19,10 @@ from pyspark.sql import functions as F
 
 from .common import text_slices
 
-#: Lines of a window, and the window's characters that make a surge on a page without a named article.
+#: Lines of a window, and the window's weight that makes a surge.
 WINDOW, SURGE = 3, 86
+#: Weight of a character outside links in a named article.
+BONUS = 2
 
 # ------------------------------------------------------------------ fixed values: elements and names
 
@@ -72,15 +75,15 @@ def _role(tag: str, attributes: str, inside: bool) -> str:
     return "article" if article else ""
 
 
-def lines(page: str) -> list[tuple[str, int, bool, bool]]:
-    """(text, characters inside links, boilerplate, inside an article) of every block with text,
-    in page order. White space is one blank; character references are decoded."""
-    out: list[tuple[str, int, bool, bool]] = []
+def lines(page: str) -> list[tuple[str, int, bool, int]]:
+    """(text, characters inside links, boilerplate, number of the outermost article or 0) of every
+    block with text, in page order. White space is one blank; character references are decoded."""
+    out: list[tuple[str, int, bool, int]] = []
     stack: list[tuple[str, str]] = []        # open elements and their roles
-    skip = article = link = 0
+    skip = article = link = part = 0
     words: list[str] = []
     linked = at = 0
-    state = (False, False)
+    state = (False, 0)
 
     def flush() -> None:
         nonlocal linked
@@ -101,7 +104,7 @@ def lines(page: str) -> list[tuple[str, int, bool, bool]]:
     def say(raw: str) -> None:
         nonlocal linked, state
         if raw and not any(n in SKIPPED for n, _ in stack[-1:]):
-            state = (skip > 0, article > 0)
+            state = (skip > 0, part if article else 0)
             text = html.unescape(raw)
             words.append(text)
             if link:
@@ -146,13 +149,14 @@ def lines(page: str) -> list[tuple[str, int, bool, bool]]:
                 close(next(i for i, (_, r) in enumerate(stack) if r == "skip"))
             stack.append((tag, role))
             skip += role == "skip"
+            part += role == "article" and not article
             article += role == "article"
             link += tag == "a"
     flush()
     return out
 
 
-def surges(weights: np.ndarray, window: int, least: int) -> np.ndarray:
+def _reach(weights: np.ndarray, window: int, least: int) -> np.ndarray:
     """Flags of the lines from a surge (a window's sum reaches ``least``) to the dive after it
     (a window's sum is 0)."""
     padded = np.concatenate([weights, np.zeros(window - 1, weights.dtype)])
@@ -161,7 +165,12 @@ def surges(weights: np.ndarray, window: int, least: int) -> np.ndarray:
     for i, s in enumerate(sums):
         inside = s > 0 if inside else s >= least
         keep[i] = inside
-    return keep & (weights > 0)
+    return keep
+
+
+def surges(weights: np.ndarray, window: int, least: int) -> np.ndarray:
+    """The lines of ``_reach`` that have a weight."""
+    return _reach(weights, window, least) & (weights > 0)
 
 
 def main_text(page: str, window: int = WINDOW, least: int = SURGE) -> str:
@@ -169,15 +178,37 @@ def main_text(page: str, window: int = WINDOW, least: int = SURGE) -> str:
     found = lines(page)
     if not found:
         return ""
-    named = any(article and not skip for _, _, skip, article in found)
-    size = np.array([0 if skip or named and not article else len(text) if named else len(text) - linked
-                     for text, linked, skip, article in found], np.int64)
-    keep = surges(size, window, 1 if named else least)
-    if not keep.any():  # a page too short to surge
+    part = np.array([0 if skip else article for _, _, skip, article in found])
+    size = np.array([0 if skip else (len(text) - linked) * (BONUS if article else 1) for text, linked, skip, article in found], np.int64)
+    keep = surges(size, window, least)
+    if part.any() and _names_the_story(size * keep if keep.any() else size, part):
+        inside = np.flatnonzero(part)  # skipped lines between are no dive
+        size = size[inside]
+        keep = np.zeros(len(found), bool)
+        # from dive to dive: short lines before a surge belong to it, as do linked ones (headings) within
+        keep[inside] = (_reach(size, window, least) | _reach(size[::-1], window, least)[::-1]) & ~_dives(size, window)
+        if not keep.any():
+            keep = part > 0
+    elif not keep.any():  # a page too short to surge
         keep = size > 0
     return "\n".join(t for (t, *_), k in zip(found, keep) if k)
 
 
+def _dives(weights: np.ndarray, window: int) -> np.ndarray:
+    """Flags of the lines in a sequence of at least ``window`` lines without weight."""
+    run = np.cumsum(np.concatenate([[0], np.diff((weights == 0).astype(int)) != 0]))
+    return (weights == 0) & (np.bincount(run)[run] >= window)
+
+
+def _names_the_story(weight: np.ndarray, part: np.ndarray) -> bool:
+    """Whether an article holds the largest surge. Outside, a surge ends at an article or a dive."""
+    here = np.flatnonzero((weight > 0) & (part == 0))
+    if not len(here):
+        return True
+    breaks = np.cumsum((weight == 0) | (part > 0))  # equal for lines without a break between them
+    return np.bincount(part, weight)[1:].max() >= np.bincount(breaks[here], weight[here]).max()
+
+
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for piece in text_slices(batches, "html"):
         texts = [main_text(v.as_py() or "") for v in piece.column(2)]

@@ -54,3 +54,26 @@ def test_table(spark):
     want = [(i, u, H.main_text(h or ""), len(H.main_text(h or ""))) for i, u, h in data]
     assert rows(got, "page_id", "url", "text", "n_chars") == sorted(want, key=repr)
     assert H.extract_main_text(spark.createDataFrame([], PAGES)).count() == 0
+
+
+STORY = "".join(f"<p>{LONG}</p>" for _ in range(4))
+
+
+def test_a_card_does_not_cost_the_story_outside_it():
+    page = f"<body><article><p>A related story in a card.</p></article><div>{STORY}</div></body>"
+    assert H.main_text(page).count(LONG) == 4
+    # a card between its paragraphs neither
+    half = f"<p>{LONG}</p>" * 2
+    assert H.main_text(f"<div>{half}</div><article><p>A card.</p></article><div>{half}</div>").count(LONG) == 4
+
+
+def test_an_article_with_the_largest_surge_is_the_page():
+    page = f"<div>{LONG}</div><main>{STORY}<div class=ad><p>a</p><p>b</p><p>c</p><p>d</p></div><p>The end.</p></main><div>{LONG}</div>"
+    assert H.main_text(page) == "\n".join([LONG] * 4 + ["The end."])
+
+
+def test_windows_decide_inside_an_article_too():
+    """A list of links is a dive; short lines and linked headings beside a surge stay."""
+    links = "".join(f"<p><a href={i}>Read this one too, number {i}</a></p>" for i in range(4))
+    page = f"<article><h1>T</h1><p>By A.</p><p>Today</p><p>Now</p>{STORY}<h2><a href=x>Next</a></h2>{STORY}{links}</article>"
+    assert H.main_text(page) == "\n".join(["T", "By A.", "Today", "Now", *[LONG] * 4, "Next", *[LONG] * 4])
