@@ -1,10 +1,11 @@
 """Main text of web pages by line-block distribution.
 
 Markup is stripped to lines, one per block element. A line weighs as many characters as it
-has outside links, lines of a named article (``article``, ``main``) more; menus, headers, footers,
-adverts, forms and comments weigh nothing. Weights are summed over sliding windows of lines; text is kept from
+has outside links, lines of a named article (``article``, ``main``) more; menus, headers, footers
+and forms weigh nothing. Weights are summed over sliding windows of lines; text is kept from
 where the sums surge to where they dive. Where a named article holds the largest surge, lines
-outside weigh nothing."""
+outside weigh nothing. Blocks whose class or id names an advert, comments and the like weigh
+nothing either, unless their own text surges and outweighs the rest of the page."""
 
 from __future__ import annotations
 
@@ -43,6 +44,15 @@ comments consent cookie cookies disqus dropdown footer footnav form header login
 navigation newsletter notice notices overlay pager pagination popup promo promoted promotion recommended related replies
 reply respond search share sharing sidebar signup skip social sponsor sponsored subscribe tagcloud teaser toolbar topbar
 widget widgets""".split())
+#: Those of them that never hold the story while there is other text: what readers or lawyers wrote, and adverts.
+NEVER = frozenset("""ad ads adv advert adverts advertisement advertising adsense comment comments consent cookie cookies disqus
+replies reply respond sponsor sponsored""".split())
+#: A compound with one of these says what a block lacks, goes with or is filed under, not what it is.
+MODIFIERS = frozenset("no not non without with has category tag tagged type format template".split())
+#: Words that add nothing to a name before them: ad-slot is an ad, share-price no share.
+PLAIN = frozenset("""area bar block body bottom box btn button buttons col column container content group holder icon
+icons inner item items left link links list main outer panel placeholder right row section slot text title top unit wrap
+wrapper zone""".split())
 ARTICLE_NAMES = frozenset("articlebody".split())
 
 _TAG = re.compile(r"""<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<!--.*?(?:-->|\Z)|<[!?][^>]*>""", re.S)
@@ -51,39 +61,52 @@ _ATTRIBUTE = re.compile(r"""(class|id|role|itemprop|hidden|aria-hidden)(?:\s*=\s
 _NAME = re.compile(r"[A-Za-z]+")
 
 
-def _role(tag: str, attributes: str, inside: bool) -> str:
-    """"article", "skip" (no text of the article) or "" of an element; ``inside`` an article."""
-    names: set[str] = set()
+def _named(token: str) -> str:
+    """The word of NAMES that a class or id is about, or "". Of a compound, its last word counts
+    (cookie-notice), but for PLAIN ones after it (ad-slot)."""
+    parts = _NAME.findall(token)
+    if MODIFIERS.intersection(parts):
+        return ""
+    while len(parts) > 1 and parts[-1] in PLAIN:
+        parts.pop()
+    if not parts or parts[-1] not in NAMES:
+        return ""
+    return next((x for x in parts if x in NEVER), parts[-1])
+
+
+def _role(tag: str, attributes: str, inside: bool) -> tuple[str, str]:
+    """"article", "skip" (no text of the article) or "" of an element ``inside`` an article, and the
+    word of NAMES it is called by, or ""."""
+    called = ""
     article = tag in ("article", "main")
     for m in _ATTRIBUTE.finditer(attributes) if attributes.strip() else ():
         key, value = m.group(1).lower(), (m.group(2) or "").strip("\"'").lower()
         if key in ("class", "id"):
-            for word in value.split():
-                names.update(_NAME.findall(word))
+            for name in map(_named, value.split()):
+                called = name if name in NEVER else called or name
         elif key == "role":
             article |= value in ("main", "article")
             if value in ROLES:
-                return "skip"
+                return "skip", ""
         elif key == "itemprop":
             article |= value in ARTICLE_NAMES
         elif value != "false":
-            return "skip"  # hidden
+            return "skip", ""  # hidden
     if tag in BOILERPLATE or tag == "header" and not inside:
-        return "skip"
-    if names & NAMES and tag not in ("body", "html", "main"):
-        return "skip"
-    return "article" if article else ""
+        return "skip", ""
+    return "article" if article else "", called if tag not in ("body", "html", "main") else ""
 
 
-def lines(page: str) -> list[tuple[str, int, bool, int]]:
-    """(text, characters inside links, boilerplate, number of the outermost article or 0) of every
-    block with text, in page order. White space is one blank; character references are decoded."""
-    out: list[tuple[str, int, bool, int]] = []
-    stack: list[tuple[str, str]] = []        # open elements and their roles
+def lines(page: str) -> list[tuple[str, int, bool, int, tuple[str, ...]]]:
+    """(text, characters inside links, boilerplate, number of the outermost article or 0, words of
+    NAMES that the blocks around are called by) of every block with text, in page order. White
+    space is one blank; character references are decoded."""
+    out: list[tuple[str, int, bool, int, tuple[str, ...]]] = []
+    stack: list[tuple[str, str, str]] = []   # open elements, their roles and names
     skip = article = link = part = 0
     words: list[str] = []
     linked = at = 0
-    state = (False, 0)
+    state = (False, 0, ())
 
     def flush() -> None:
         nonlocal linked
@@ -95,7 +118,7 @@ def lines(page: str) -> list[tuple[str, int, bool, int]]:
 
     def close(i: int) -> None:
         nonlocal skip, article, link
-        for name, role in stack[i:]:
+        for name, role, _ in stack[i:]:
             skip -= role == "skip"
             article -= role == "article"
             link -= name == "a"
@@ -103,8 +126,8 @@ def lines(page: str) -> list[tuple[str, int, bool, int]]:
 
     def say(raw: str) -> None:
         nonlocal linked, state
-        if raw and not any(n in SKIPPED for n, _ in stack[-1:]):
-            state = (skip > 0, part if article else 0)
+        if raw and not any(n in SKIPPED for n, *_ in stack[-1:]):
+            state = (skip > 0, part if article else 0, tuple(c for *_, c in stack if c))
             text = html.unescape(raw)
             words.append(text)
             if link:
@@ -141,13 +164,13 @@ def lines(page: str) -> list[tuple[str, int, bool, int]]:
             end = re.compile(rf"</{tag}\b[^>]*>" + ("|(?=<body\\b)" if tag == "head" else ""), re.I).search(page, at)
             at = end.end() if end else at
         elif tag not in VOID and not m.group(3).rstrip().endswith("/"):
-            role = _role(tag, m.group(3), article > 0)
+            role, called = _role(tag, m.group(3), article > 0)
             if tag == "p" and stack and stack[-1][0] == "p":
                 close(len(stack) - 1)
-            if role == "article" and skip and not any(r == "skip" and t in BOILERPLATE for t, r in stack):
+            if role == "article" and not called and not any(r == "skip" and t in BOILERPLATE for t, r, _ in stack):
                 # an unclosed notice does not swallow the article that follows it
-                close(next(i for i, (_, r) in enumerate(stack) if r == "skip"))
-            stack.append((tag, role))
+                close(next((i for i, (_, r, c) in enumerate(stack) if r == "skip" or c), len(stack)))
+            stack.append((tag, role, called))
             skip += role == "skip"
             part += role == "article" and not article
             article += role == "article"
@@ -178,8 +201,11 @@ def main_text(page: str, window: int = WINDOW, least: int = SURGE) -> str:
     found = lines(page)
     if not found:
         return ""
-    part = np.array([0 if skip else article for _, _, skip, article in found])
-    size = np.array([0 if skip else (len(text) - linked) * (BONUS if article else 1) for text, linked, skip, article in found], np.int64)
+    weight = np.array([0 if skip else (len(text) - linked) * (BONUS if article else 1)
+                       for text, linked, skip, article, _ in found], np.int64)
+    skipped = _skipped(found, weight, window, least)
+    part = np.array([0 if skip else article for (*_, article, _), skip in zip(found, skipped)])
+    size = np.where(skipped, 0, weight)
     keep = surges(size, window, least)
     if part.any() and _names_the_story(size * keep if keep.any() else size, part):
         inside = np.flatnonzero(part)  # skipped lines between are no dive
@@ -194,6 +220,27 @@ def main_text(page: str, window: int = WINDOW, least: int = SURGE) -> str:
     return "\n".join(t for (t, *_), k in zip(found, keep) if k)
 
 
+def _skipped(found: list[tuple[str, int, bool, int, tuple[str, ...]]], weight: np.ndarray, window: int, least: int) -> np.ndarray:
+    """Flags of boilerplate lines. A name is let go if the text of the blocks called by it surges and
+    outweighs the surges of the rest; for NEVER ones, if nothing else surges."""
+    skipped = np.array([skip for _, _, skip, _, _ in found])
+    names = [called for *_, called in found]
+    if not any(names):
+        return skipped
+    free = np.array([not called for called in names])
+    text_of = lambda lines: np.where(lines & ~skipped, weight, 0)
+    surging = lambda size: int(size[surges(size, window, least)].sum())
+    rest = surging(text_of(free))
+    own = {c: surging(text_of(np.array([x[-1:] == (c,) for x in names]))) for c in sorted({x[-1] for x in names if x})}
+    none = not text_of(free).any()  # then short texts count too
+    gone = set()
+    for c in sorted(own, key=lambda c: (c in NEVER, -own[c])):
+        if own[c] and (rest == 0 if c in NEVER else own[c] > rest) or none and not rest and c not in NEVER:
+            gone.add(c)
+            rest += own[c]
+    return skipped | np.array([not gone.issuperset(called) for called in names])
+
+
 def _dives(weights: np.ndarray, window: int) -> np.ndarray:
     """Flags of the lines in a sequence of at least ``window`` lines without weight."""
     run = np.cumsum(np.concatenate([[0], np.diff((weights == 0).astype(int)) != 0]))

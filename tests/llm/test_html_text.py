@@ -77,3 +77,22 @@ def test_windows_decide_inside_an_article_too():
     links = "".join(f"<p><a href={i}>Read this one too, number {i}</a></p>" for i in range(4))
     page = f"<article><h1>T</h1><p>By A.</p><p>Today</p><p>Now</p>{STORY}<h2><a href=x>Next</a></h2>{STORY}{links}</article>"
     assert H.main_text(page) == "\n".join(["T", "By A.", "Today", "Now", *[LONG] * 4, "Next", *[LONG] * 4])
+
+
+@pytest.mark.parametrize("around", ["article class='post category-social'", "article class=has-form", "div class='content no-sidebar'",
+                                    "div class=sidebar", "article class='post social'", "section id=widget-1"])
+def test_a_name_does_not_cost_the_story(around):
+    tag = around.split()[0]
+    page = f"<div class=ad>{LONG}</div><{around}>{STORY}<div class=comments><p>{LONG}!</p></div></{tag}><p>Short.</p>"
+    assert H.main_text(page).split("\n")[:4] == [LONG] * 4 and "!" not in H.main_text(page)
+    assert len(H.main_text(page).split("\n")) in (4, 5)
+
+
+def test_names_are_compared_whole():
+    page = f"<article>{STORY}<p class=share-price>Up by 3.</p><div class=share-buttons>Share</div><p class=ad-slot>Buy</p></article>"
+    assert H.main_text(page) == "\n".join([LONG] * 4 + ["Up by 3."])
+
+
+def test_a_name_holds_beside_a_larger_story():
+    page = f"<div>{STORY}</div><div class=sidebar><p>{LONG}?</p></div><section class=comment-list>{STORY * 3}</section>"
+    assert H.main_text(page) == "\n".join([LONG] * 4)
