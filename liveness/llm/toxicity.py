@@ -16,18 +16,22 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ALPHANUMERIC, _BYTE, _P, SLICE_BYTES, Words, mix, text_slices, words
+from .common import ALPHANUMERIC, _BYTE, _P, SLICE_BYTES, Words, bounded, mix, runs_hash, stage, text_slices, words
 
-#: The fit reads this many labelled documents of each label at most (by hash of the id),
-#: of at most this many characters each. Scores read everything.
-FIT_ROWS, FIT_CHARS = 2500, 10_000
+#: Chain and calibration are fitted to this many labelled documents of each label at most (by
+#: hash of the id), of any length, and at most this many stretches of one document. Lexicon and scores read everything.
+FIT_ROWS, FIT_STRETCHES = 2500, 16
 #: Beginnings of words, in bytes, that are features beside the word itself.
 PREFIXES = (4, 5, 6)
-#: A toxic feature is in this share of toxic documents (copies counted once), ...
-SUPPORT, LEAST_SUPPORT = 0.01, 4
+#: A toxic feature is in this many toxic documents (copies counted once), ...
+SUPPORT = 4
 #: ... and this many times as frequent there as in clean ones; less for texts without strong features.
 RATIO, WEAK_RATIO = 30.0, 5.0
 STRETCH = 24
+#: Words in sequence that tell the copies of a text.
+RUN = 5
+#: Features a task counts before it hands them on.
+COUNTED = 1 << 20
 #: Text bytes whose chains are run side by side in a task.
 LOCKSTEP_BYTES = 1 << 24
 
@@ -130,71 +134,159 @@ def marginals(emission: np.ndarray, first: np.ndarray, moves: np.ndarray) -> np.
 
 # ------------------------------------------------------------------ fit
 
-def _lexicon(w: Words, f: np.ndarray, toxic: np.ndarray) -> np.ndarray:
-    """Features that toxic documents share and clean ones lack. Copies of a document, told
-    by the smallest word hash, support a feature once."""
-    owner = w.owner
-    full = np.flatnonzero(w.count)
-    group = np.zeros(len(toxic), np.uint64)
-    if len(full):
-        group[full] = np.minimum.reduceat(mix(w.hash ^ np.uint64(0xABCDEF)), w.first[full])
-
-    def support(rows: np.ndarray, known: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
-        token = np.flatnonzero(rows[owner])
-        by = group[owner[token]]
-        keys, counts = [], []
-        for column in f.T:  # the word, then each beginning: their hashes differ
-            flat = column[token]
-            ok = flat != 0
-            if known is not None:
-                at = np.searchsorted(known, flat).clip(max=len(known) - 1)
-                ok &= known[at] == flat
-            flat = flat[ok]
-            _, one = np.unique(mix(flat) ^ by[ok], return_index=True)
-            k, n = np.unique(flat[one], return_counts=True)
-            keys.append(k)
-            counts.append(n)
-        keys, counts = np.concatenate(keys), np.concatenate(counts)
-        order = np.argsort(keys)
-        return keys[order], counts[order]
-
-    def shared(rows: np.ndarray, ratio: float) -> np.ndarray:
-        """Features in enough of ``rows`` that are ``ratio`` times as frequent there as in clean texts."""
-        n_rows, n_clean = len(np.unique(group[rows])), len(np.unique(group[~toxic]))
-        if not n_rows or not n_clean:
-            return np.zeros(0, np.uint64)
-        keys, n = support(rows, None)
-        often = n >= max(LEAST_SUPPORT, SUPPORT * n_rows)
-        keys, n = keys[often], n[often]
-        if not len(keys):
-            return keys
-        found, m = support(~toxic, keys)
-        clean = np.zeros(len(keys))
-        clean[np.searchsorted(keys, found)] = m
-        return keys[(n / n_rows) / ((clean + 0.5) / n_clean) >= ratio]
-
-    keys = shared(toxic, RATIO)
+def _unsigned(column: pa.Array) -> np.ndarray:
+    return column.to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+
+
+def _groups(w: Words) -> np.ndarray:
+    """Copies of a text are told by its smallest hash of ``RUN`` words in sequence, those of a shorter
+    one by all its words."""
+    out = np.zeros(len(w.count), np.uint64)
+    runs = runs_hash(w.hash, RUN)
+    own = w.owner[:len(runs)]
+    inside = np.arange(len(runs)) + RUN <= w.first[own + 1]
+    runs, own = runs[inside], own[inside]
+    if len(runs):
+        begins = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+        out[own[begins]] = np.minimum.reduceat(runs, begins)
+    for i in np.flatnonzero((w.count > 0) & (w.count < RUN)):
+        out[i] = mix(w.hash[w.first[i]:w.first[i + 1]]).sum()
+    return out
+
+
+def _copies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for piece in text_slices(batches, "text"):
+        group = _groups(words(piece.column(2), ALPHANUMERIC))
+        yield pa.RecordBatch.from_arrays([piece.column(1), pa.array(group.view(np.int64))], names=["y", "group"])
+
+
+def _counted(copied, known=None, strong=None):
+    """(feature, documents with it) of the texts of a task; a text with c copies counts 1 / c.
+    ``known``: only these features; ``strong``: only texts without two tokens that have one of those."""
+    def merged(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        k, at = np.unique(np.concatenate(keys), return_inverse=True)
+        return k, np.bincount(at, np.concatenate(counts), minlength=len(k))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, times = copied.value
+        keys, counts, size = [], [], 0
+        for piece in text_slices(batches, "text"):
+            w = words(piece.column(2), ALPHANUMERIC)
+            f, owner, weight = features(w), w.owner, np.ones(piece.num_rows)
+            if len(group):
+                g = _groups(w)
+                at = np.searchsorted(group, g).clip(max=len(group) - 1)
+                weight = np.where(group[at] == g, 1 / times[at], weight)
+            if strong is not None:
+                held = Model(strong.value).index(f).min(axis=1, initial=len(strong.value)) < len(strong.value)
+                left = np.bincount(owner[held], minlength=piece.num_rows) < 2
+                f, owner = f[left[owner]], owner[left[owner]]
+            for column in f.T:  # the word, then each beginning: their hashes differ
+                ok = column != 0
+                if known is not None:
+                    ok &= Model(known.value).index(column) < len(known.value)
+                _, one = np.unique(mix(column[ok]) ^ mix(owner[ok].astype(np.uint64) + np.uint64(1)), return_index=True)
+                if len(one):
+                    k, n = merged([column[ok][one]], [weight[owner[ok][one]]])
+                    keys.append(k)
+                    counts.append(n)
+                    size += len(k)
+            if size > COUNTED:
+                k, n = merged(keys, counts)
+                keys, counts, size = [k], [n], len(k)
+                if size > COUNTED // 2:
+                    yield _pairs(k, n)
+                    keys, counts, size = [], [], 0
+        if size:
+            yield _pairs(*merged(keys, counts))
+    return run
+
+
+def _pairs(keys: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(counts)], names=["feature", "n"])
+
+
+def _lexicon(texts: DataFrame) -> np.ndarray:
+    """Features that toxic documents share and clean ones lack, counted by Spark over all of
+    ``texts`` (lid, y, text)."""
+    context = texts.sparkSession.sparkContext
+    kinds = stage(texts.mapInArrow(_copies, "y int, group long").groupBy("y", "group").agg(F.count(F.lit(1)).alias("n")), "copies")
+    sizes = {r.y: r.n for r in kinds.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
+    none = np.zeros(0, np.uint64)
+    if not sizes.get(0) or not sizes.get(1):
+        return none
+    copied = {}
+    for y in (0, 1):
+        t = kinds.where((F.col("y") == y) & (F.col("n") > 1)).select("group", "n").toArrow()
+        g = _unsigned(t.column("group"))
+        copied[y] = context.broadcast((np.sort(g), t.column("n").to_numpy()[np.argsort(g)].astype(float)))
+
+    def counts(y: int, **only) -> DataFrame:
+        return (texts.where(F.col("y") == y).mapInArrow(_counted(copied[y], **only), "feature long, n double")
+                .groupBy("feature").agg(F.sum("n").alias("n")))
+
+    often = F.col("n") > SUPPORT - 1e-6  # the shares of copies do not add up to the last digit
+    toxic = stage(counts(1).where(often), "toxic-features")
+    known = context.broadcast(np.sort(_unsigned(toxic.select("feature").toArrow().column(0))))
+    ratio = (F.col("n") / sizes[1]) / ((F.coalesce("m", F.lit(0.0)) + 0.5) / sizes[0])
+    clean = counts(0, known=known).withColumnRenamed("n", "m")
+    found = (toxic.join(clean, "feature", "left").withColumn("ratio", ratio).where(F.col("ratio") >= WEAK_RATIO)
+             .select("feature", "ratio").toArrow())
+    weak, high = _unsigned(found.column("feature")), found.column("ratio").to_numpy() >= RATIO
+    keys = np.sort(weak[high])
     # weaker features only for toxic texts that have no two tokens with a strong one
-    held = np.isin(f, keys).any(axis=1) if len(keys) else np.zeros(len(w.hash), bool)
-    left = toxic & (np.bincount(owner[held], minlength=len(toxic)) < 2)
-    if not left.any():
+    rest = context.broadcast(np.sort(weak[~high]))
+    if not len(rest.value):
         return keys
-    seen, n = support(left, None)
-    weak = shared(toxic, WEAK_RATIO)
-    return np.union1d(keys, np.intersect1d(weak, seen[n >= LEAST_SUPPORT]))
+    more = counts(1, known=rest, strong=context.broadcast(keys)).where(often).select("feature").toArrow()
+    return np.union1d(keys, _unsigned(more.column(0)))
 
 
-def _stretches(w: Words, at: np.ndarray, tagged: np.ndarray, toxic: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Labelled stretches of ``STRETCH`` tokens: around tokens with a toxic feature, and
-    one from the middle of every text. Features (n, STRETCH, k), labels, and which tokens exist."""
+def _stretches(w: Words, at: np.ndarray, tagged: np.ndarray, toxic: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Labelled stretches of ``STRETCH`` tokens: around tokens with a toxic feature (spread over
+    the text if there are many), and one from the middle of every text. Features (n, STRETCH, k),
+    labels, which tokens exist, and the text of each."""
     middle = w.first[:-1] + w.count // 2
-    centre = np.unique(np.concatenate([np.flatnonzero(tagged) // (STRETCH // 2) * (STRETCH // 2) + STRETCH // 4, middle[w.count > 0]]))
-    centre = centre[centre < len(w.hash)]
     owner = w.owner
+    centre = np.unique(np.flatnonzero(tagged) // (STRETCH // 2) * (STRETCH // 2) + STRETCH // 4)
+    centre = centre[centre < len(w.hash)]
+    n = np.bincount(owner[centre], minlength=len(w.count))
+    turn = np.arange(len(centre)) - (np.cumsum(n) - n)[owner[centre]]
+    of, most = n[owner[centre]], FIT_STRETCHES - 1
+    centre = centre[(of <= most) | (turn * most // np.maximum(of, 1) != (turn - 1) * most // np.maximum(of, 1))]
+    centre = np.unique(np.concatenate([centre, middle[w.count > 0]]))
     pos = centre[:, None] - STRETCH // 2 + np.arange(STRETCH)
     exists = (pos >= w.first[owner[centre]][:, None]) & (pos < w.first[owner[centre] + 1][:, None])
     pos = pos.clip(0, len(w.hash) - 1)
-    return at[pos], tagged[pos] & toxic[owner[pos]] & exists, exists
+    return at[pos], tagged[pos] & toxic[owner[pos]] & exists, exists, owner[centre]
+
+
+def _sampled(model):
+    """The stretches of each text: features, labels and existing tokens as bytes."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = model.value
+        for piece in text_slices(batches, "text"):
+            w = words(piece.column(2), ALPHANUMERIC)
+            if not len(w.hash):
+                continue
+            at = m.index(features(w))
+            y = piece.column(1).to_numpy(zero_copy_only=False) == 1
+            got, label, exists, own = _stretches(w, at, (at < len(m.keys)).any(axis=1), y)
+            raw = [pa.array([x.tobytes() for x in v], pa.binary()) for v in (got.astype(np.int32), label, exists)]
+            yield pa.RecordBatch.from_arrays([piece.column(0).take(pa.array(own)), *raw], names=["lid", "at", "label", "exists"])
+    return run
+
+
+def _summed(model):
+    """Sum and maximum of the marginals of each text."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = model.value
+        for piece in text_slices(batches, "text"):
+            w = words(piece.column(2), ALPHANUMERIC)
+            total, most = _totals(marginals(m.emissions(w), w.first, m.moves), w.first)
+            yield pa.RecordBatch.from_arrays([piece.column(0), piece.column(1), pa.array(total), pa.array(most)],
+                                             names=["lid", "y", "total", "most"])
+    return run
 
 
 def _fit_chain(model: Model, at: np.ndarray, label: np.ndarray, exists: np.ndarray, rounds: int = 120) -> None:
@@ -248,33 +340,6 @@ def _totals(p: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return total, most
 
 
-def fit(texts: pa.Array, toxic: np.ndarray) -> Model:
-    """Fit from texts and their labels. Without texts of both labels, nothing is toxic."""
-    model = Model()
-    if not len(texts) or toxic.all() or not toxic.any():
-        return model
-    hashes, found, counts = [], [], []
-    for piece in text_slices(iter([pa.RecordBatch.from_arrays([texts], names=["text"])]), "text"):
-        w = words(piece.column(0), ALPHANUMERIC)
-        hashes.append(w.hash)
-        found.append(features(w))
-        counts.append(w.count)
-    f = np.concatenate(found)
-    del found
-    none = np.zeros(0, np.int64)
-    w = Words(np.concatenate(hashes), np.concatenate([[0], np.cumsum(np.concatenate(counts))]), none, none, none, none)
-    model.keys = _lexicon(w, f, toxic)
-    at = model.index(f)
-    del f
-    if len(model.keys):
-        tagged = (at < len(model.keys)).any(axis=1)
-        _fit_chain(model, *_stretches(w, at, tagged, toxic))
-    emission = model.bias + np.append(model.weights, 0.0)[at].sum(axis=1)
-    total, most = _totals(marginals(emission, w.first, model.moves), w.first)
-    model.document = _logistic(evidence(total, most), toxic.astype(float), penalty=0.1)
-    return model
-
-
 # ------------------------------------------------------------------ over a table
 
 def held_out(id_col: str) -> Column:
@@ -312,23 +377,41 @@ def _score(model):
 
 
 def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
-          fit_rows: int = FIT_ROWS, fit_chars: int = FIT_CHARS) -> Model:
-    """Fit on at most ``fit_rows`` documents of each label, of at most ``fit_chars`` characters,
-    the first by hash of their id; rows held out are never read. Ids with both labels count
-    as toxic; null labels are no labels."""
-    marked = (labels.select(F.col(id_col).alias("lid"), F.col(label_col).cast("int").alias("y"))
-              .where(F.col("y").isin(0, 1) & F.col("lid").isNotNull() & ~held_out("lid"))
-              .groupBy("lid").agg(F.max("y").alias("y")))
+          fit_rows: int = FIT_ROWS) -> Model:
+    """The lexicon from all labelled documents; chain and calibration from at most ``fit_rows`` of
+    each label, the first by hash of their id, whatever their length. Rows held out are never
+    read. Ids with both labels count as toxic; null labels are no labels. Without texts of both
+    labels, nothing is toxic."""
+    model, context = Model(), docs.sparkSession.sparkContext
+    marked = stage(labels.select(F.col(id_col).alias("lid"), F.col(label_col).cast("int").alias("y"))
+                   .where(F.col("y").isin(0, 1) & F.col("lid").isNotNull() & ~held_out("lid"))
+                   .groupBy("lid").agg(F.max("y").alias("y")), "labelled")
+    if marked.select("y").distinct().count() < 2:
+        return model
+    source = docs.select(F.col(id_col).alias("lid"), F.col(text_col).cast("string").alias("text"))
+    texts = source.join(bounded(marked), "lid").select("lid", "y", "text")
+    model.keys = _lexicon(texts)
+    present = stage(texts.select("lid", "y").distinct(), "labelled-documents")
     chosen = None
     for y in (0, 1):
-        part = marked.where(F.col("y") == y).orderBy(F.xxhash64("lid"), "lid").limit(fit_rows)
+        part = present.where(F.col("y") == y).orderBy(F.xxhash64("lid"), "lid").limit(fit_rows)
         chosen = part if chosen is None else chosen.unionByName(part)
-    sample = (docs.select(F.col(id_col).alias("lid"), F.col(text_col).cast("string").alias("text"))
-              .where(F.length("text") <= fit_chars).join(F.broadcast(chosen), "lid")  # 2 * fit_rows rows at most
-              .select("lid", "y", "text").dropDuplicates(["lid"]).toArrow().sort_by("lid"))
-    texts = sample.column("text").combine_chunks()
-    texts = texts.cast(pa.large_string())
-    return fit(texts, np.array(sample.column("y").to_pylist(), np.int64) == 1)
+    chosen = stage(chosen, "sample")  # 2 * fit_rows rows at most
+    if chosen.select("y").distinct().count() < 2:
+        return model
+    sample = source.join(F.broadcast(chosen), "lid").select("lid", "y", "text")
+    if len(model.keys):
+        got = (sample.mapInArrow(_sampled(context.broadcast(model)), "lid long, at binary, label binary, exists binary")
+               .distinct().toArrow().sort_by([(c, "ascending") for c in ("lid", "at", "label", "exists")]))
+        at, label, exists = (np.frombuffer(b"".join(got.column(c).to_pylist()), kind).reshape(got.num_rows, STRETCH, -1)
+                             for c, kind in (("at", np.int32), ("label", bool), ("exists", bool)))
+        _fit_chain(model, at, label[:, :, 0], exists[:, :, 0])
+    sums = (sample.mapInArrow(_summed(context.broadcast(model)), "lid long, y int, total double, most double")
+            .groupBy("lid", "y").agg(F.max(F.struct("total", "most")).alias("s"))
+            .select("lid", "y", "s.total", "s.most").toArrow().sort_by("lid"))
+    model.document = _logistic(evidence(sums.column("total").to_numpy(), sums.column("most").to_numpy()),
+                               sums.column("y").to_numpy().astype(float), penalty=0.1)
+    return model
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -338,7 +421,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     Scores depend on the text alone. Null and empty texts have the score of a text without
     toxic tokens. Null ids are not held out. Repeated rows give equal rows; no rows give no
     rows; without labels of both kinds nothing is predicted toxic. Other columns are not
-    read. The fit is bounded (see ``learn``); scoring is one pass without a shuffle."""
+    read. What the driver fits is bounded (see ``learn``); scoring is one pass without a shuffle."""
     model = docs.sparkSession.sparkContext.broadcast(learn(docs, labels, id_col, text_col))
     return (docs.select(F.col(id_col).cast("long").alias("id"), held_out(id_col).alias("held_out"),
                         F.col(text_col).cast("string").alias("text"))

@@ -96,3 +96,22 @@ def test_accuracy_on_held_out_documents(spark):
     hit = sum(r.predicted == 1 and r.toxic == 1 for r in got)
     # about six of the 97 are labelled toxic without a toxic word
     assert hit >= 0.9 * sum(r.toxic for r in got) and hit >= 0.95 * sum(r.predicted for r in got)
+
+
+def test_long_texts_are_learned_from(spark):
+    """All toxic labels are on texts of more than 10,000 characters."""
+    data, labels = corpus()
+    plain = " ".join(f"word{i % 300}" for i in range(1800))
+    data = [(i, f"{t} {plain}" if i % 5 == 0 else t, *rest) for i, t, *rest in data]
+    got = T.toxicity(docs(spark, data), spark.createDataFrame(labels, LABELS)).collect()
+    assert all(r.predicted == (r.doc_id % 5 == 0) for r in got if r.doc_id)
+
+
+def test_rare_toxic_words_of_a_large_corpus(spark):
+    """A word of 5 among 1,000 toxic documents (under 1 %) is found."""
+    texts = [(i, f"plain text number {i % 50} " + ("scumbag scumbag" if i % 2 else "and more"), "en", "a", 1) for i in range(2600)]
+    rare = [(9000 + i, f"plain text number {i} grumfel grumfel", "en", "a", 1) for i in range(60) if zlib.crc32(str(9000 + i).encode()) % 5][:5]
+    data = [(i, t + f" w{i} v{i}", *rest) for i, t, *rest in texts + rare]
+    labels = [(i, 1, int("scumbag" in t or "grumfel" in t)) for i, t, *_ in data]
+    got = T.toxicity(docs(spark, data + [(20000, "plain text number 7 grumfel grumfel", "en", "a", 1)]), spark.createDataFrame(labels, LABELS))
+    assert got.where("doc_id = 20000").first().predicted == 1
