@@ -18,6 +18,8 @@ WEIGHTS = (5, 2, 1)
 MOST_COPIES = 3
 #: Documents of a block of the reduction tree, on average (blocks are dealt by hash).
 BLOCK = 256
+#: Rows that agree in source, id and size are numbered in sequences of this many.
+TWINS = 1024
 
 
 def _let(value: Column, use) -> Column:
@@ -68,7 +70,7 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: i
 
 def _step(carry: Column, item: Column) -> Column:
     """Two fractional documents pass words until one is whole: struct(whole one, other one)."""
-    part = lambda x, p: F.struct(x["id"].alias("id"), x["size"].alias("size"), p.alias("p"), x["u"].alias("u"))
+    part = lambda x, p: F.struct(x["id"].alias("id"), x["size"].alias("size"), x["twin"].alias("twin"), p.alias("p"), x["u"].alias("u"))
     room = lambda x: (1 - x["p"]) * x["size"]
     held = lambda x: x["p"] * x["size"]
 
@@ -96,13 +98,27 @@ def _rounded(items: Column) -> Column:
         _step(acc["carry"], x), lambda s: F.struct(s["other"].alias("carry"), F.array_append(acc["done"], s["whole"]).alias("done"))))
 
 
+def _numbered(sizes: DataFrame) -> DataFrame:
+    """The rows of ``sizes`` (key, id, size) with ``twin``, which tells rows that agree in all three
+    apart. They are counted and written out anew, by many tasks where they are many."""
+    same = ["key", "id", "size"]
+    counted = stage(sizes.groupBy(*same).agg(F.count(F.lit(1)).alias("twins")), "twins")
+    begin = F.explode(F.sequence(F.lit(0).cast("long"), F.col("twins") - 1, F.lit(TWINS).cast("long")))
+    some = (counted.where("twins > 1").withColumn("begin", begin)
+            .repartition(shuffle_partitions(sizes.sparkSession), *same, "begin"))
+    last = F.least(F.col("begin") + TWINS, F.col("twins")) - 1
+    return (counted.where("twins = 1").select(*same, F.lit(0).cast("long").alias("twin"))
+            .unionByName(some.select(*same, F.explode(F.sequence("begin", last)).alias("twin"))))
+
+
 def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
                 weights: tuple[int, ...] = WEIGHTS, most: int = MOST_COPIES, block: int = BLOCK, seed: int = 7) -> DataFrame:
     """One row per row of ``docs``: ``<id_col>``, ``size``, ``source_size``, ``target``, ``taken``, ``copies``.
 
     ``size`` is the number of words between white space; ``taken = copies * size``, at most
     ``most`` times the size. The taken words of a source differ from its target by less than
-    its largest document. Chance comes from hashes of (id, size, seed): reruns agree.
+    its largest document. Chance comes from hashes of (id, size, seed), for rows that agree
+    in source, id and size also of their number among them: reruns agree.
 
     A null, empty or blank text has size 0 and 0 copies. Rows without a source are a source
     of their own, last in order. Ids may be null or repeat (rows that agree in id and size
@@ -116,10 +132,11 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     targets = stage(source_targets(sizes, weights, most).drop("source"), "targets")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     of_source = ["rank", "source_size", "target", "base", "n_docs"]
-    now = (join_by_count(sizes.select("id", "size", "key"), targets.withColumn("n_docs", F.col("n")), "key", "n")
+    rows = stage(_numbered(sizes.select("id", "size", "key")), "rows")
+    now = (join_by_count(rows, targets.withColumn("n_docs", F.col("n")), "key", "n")
            .withColumn("rate", rate).withColumn("base", F.least(F.floor("rate"), F.lit(most)).cast("long"))
            .withColumn("p", F.greatest(F.col("rate") - F.col("base"), F.lit(0.0)))
-           .select("id", "size", "p", *of_source))
+           .select("id", "size", "twin", "p", *of_source))
     now = stage(now, "shares")
     fractional = (F.col("p") > 0) & (F.col("p") < 1) & (F.col("size") > 0)
     settled = [now.where(~fractional)]
@@ -128,23 +145,24 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     level, reach = 0, 1
     while reach < most_docs:
         reach *= block
-        chance = F.shiftrightunsigned(F.xxhash64("id", "size", F.lit(seed), F.lit(level)), 11) / F.lit(float(1 << 53))
+        chance = F.shiftrightunsigned(F.xxhash64("id", "size", "twin", F.lit(seed), F.lit(level)), 11) / F.lit(float(1 << 53))
         blocks = F.ceil(F.col("n_docs") / reach)
         # three independent hashes: the block, the turn inside it, and the chance of each step
-        dealt = (now.withColumn("u", chance).withColumn("turn", F.xxhash64("id", "size", F.lit(seed), F.lit(level), F.lit("turn")))
-                 .withColumn("block", F.pmod(F.xxhash64("id", "size", F.lit(seed), F.lit(level), F.lit("block")), blocks)))
-        item = F.struct("turn", "id", "size", "p", "u")
+        dealt = (now.withColumn("u", chance).withColumn("turn", F.xxhash64("id", "size", "twin", F.lit(seed), F.lit(level), F.lit("turn")))
+                 .withColumn("block", F.pmod(F.xxhash64("id", "size", "twin", F.lit(seed), F.lit(level), F.lit("block")), blocks)))
+        item = F.struct("turn", "id", "size", "twin", "p", "u")
         grouped = (dealt.groupBy(*of_source, "block").agg(F.array_sort(F.collect_list(item)).alias("items"))
                    .withColumn("items", F.transform("items", lambda x: F.struct(x["id"].alias("id"), x["size"].alias("size"),
-                                                                                x["p"].alias("p"), x["u"].alias("u"))))
+                                                                                x["twin"].alias("twin"), x["p"].alias("p"), x["u"].alias("u"))))
                    .withColumn("r", _rounded(F.col("items")))
                    .select(*of_source, F.explode(F.array_append("r.done", F.col("r.carry"))).alias("x"))
-                   .select(F.col("x.id").alias("id"), F.col("x.size").alias("size"), F.col("x.p").alias("p"), *of_source))
+                   .select(F.col("x.id").alias("id"), F.col("x.size").alias("size"), F.col("x.twin").alias("twin"),
+                           F.col("x.p").alias("p"), *of_source))
         grouped = stage(grouped, f"level{level}")
         settled.append(grouped.where(~fractional))
         now = grouped.where(fractional)
         level += 1
-    last = F.shiftrightunsigned(F.xxhash64("id", "size", F.lit(seed), F.lit("last")), 11) / F.lit(float(1 << 53))
+    last = F.shiftrightunsigned(F.xxhash64("id", "size", "twin", F.lit(seed), F.lit("last")), 11) / F.lit(float(1 << 53))
     settled.append(now.withColumn("p", F.when(last < F.col("p"), 1.0).otherwise(0.0)))
     every = settled[0]
     for part in settled[1:]:

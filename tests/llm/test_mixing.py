@@ -89,3 +89,21 @@ def test_empty_and_wordless(spark):
     assert M.mix_sources(docs(spark, [])).count() == 0
     got = M.mix_sources(docs(spark, [(1, "", "en", "a", 0), (2, None, "en", None, 0)])).collect()
     assert {(r.size, r.target, r.taken) for r in got} == {(0, 0.0, 0)}
+
+
+def test_rows_that_agree_in_id_and_size_are_in_many_blocks(spark, monkeypatch):
+    """Copies of one text without an id do not meet in one block, and their words add up to the target."""
+    rounded = M._rounded
+    monkeypatch.setattr(M, "_rounded", lambda items: M.F.when(M.F.size(items) > 200, M.F.raise_error(M.F.lit("block"))).otherwise(rounded(items)))
+    data = [(None, "w " * 7, "en", "a", 1)] * 3000 + [(i, "w " * (1 + i % 9), "en", "b", 1) for i in range(3000)]
+    got = M.mix_sources(docs(spark, data), block=16).collect()
+    twins = [r for r in got if r.doc_id is None]
+    assert len(got) == 6000 and len(twins) == 3000 and all(r.size == 7 for r in twins)
+    assert abs(sum(r.taken for r in twins) - twins[0].target) <= 7
+
+
+def test_many_twins_are_numbered_once(spark):
+    sizes = spark.createDataFrame([("=a", None, 7)] * 2500 + [("=a", 1, 7), ("=b", None, 7)], "key string, id long, size long")
+    got = M._numbered(sizes).collect()
+    assert sorted(r.twin for r in got if r.key == "=a" and r.id is None) == list(range(2500))
+    assert len(got) == 2502 and {r.twin for r in got if r.key != "=a" or r.id} == {0}
