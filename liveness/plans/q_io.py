@@ -113,6 +113,22 @@ def q_append_removals(spark, d):
         "entity_id", "file_name", "removed_code", "confidence_score", "timestamp")
 
 
+@query("append_chat_rows", W('SELECT id, query, response, context_file, "timestamp" FROM chat_history', "chat_history"))
+def q_append_chat_rows(spark, d):
+    """Every appended row, with its id and time."""
+    root = new_stage_path(spark, "history")
+    IO.append_chat(V.chat_history(spark, d), root)
+    return spark.read.parquet(f"{root}/chat_history").select("id", "query", "response", "context_file", "timestamp")
+
+
+@query("append_removals_rows", W('SELECT id, entity_id, file_name, removed_code, confidence_score, "timestamp" FROM removal_logs',
+                                 "removal_logs"))
+def q_append_removals_rows(spark, d):
+    root = new_stage_path(spark, "history")
+    IO.append_removals(V.removal_logs(spark, d), root)
+    return spark.read.parquet(f"{root}/removal_logs").select("id", "entity_id", "file_name", "removed_code", "confidence_score", "timestamp")
+
+
 def _history(spark, d):
     """The history tables after one run over the corpus, and its session id."""
     from .analyze import analyze_corpus

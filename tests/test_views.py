@@ -14,3 +14,13 @@ def test_corpus_text_equals_sql(spark):
     sql = dict(con.execute(with_views("SELECT rel_path, content FROM corpus_files", "corpus_files")).fetchall())
     got = {r.rel_path: r.content for r in corpus_files(spark, SMALL).select("rel_path", "content").collect()}
     assert got == sql and len(got) > 100
+
+
+def test_appended_rows_all_come_back(spark):
+    from liveness.plans import views as V
+    from liveness.plans.registry import QUERIES, load_all
+    load_all()
+    large = SMALL.replace("sf0.001", "sf0.01")
+    for name, source in (("append_chat_rows", V.chat_history), ("append_removals_rows", V.removal_logs)):
+        back, want = QUERIES[name](spark, large), source(spark, large).count()
+        assert want > 50 and back.count() == want and {"id", "timestamp"} <= set(back.columns)
