@@ -9,6 +9,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -121,6 +122,33 @@ def text_slices(batches: Iterator[pa.RecordBatch], column: str,
             at = to
 
 
+def whole_groups(batches: Iterator[pa.RecordBatch], key: list[str]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """From rows sorted by ``key``: tables that hold every group they touch whole, and the
+    offsets where groups begin (and the last ends). A group that goes on in the next batch waits for it."""
+    def edges(t: pa.Table) -> np.ndarray:
+        turns = np.zeros(max(t.num_rows - 1, 0), bool)
+        for c in key:
+            v = t.column(c).combine_chunks()
+            turns |= pc.not_equal(v.slice(1), v.slice(0, len(v) - 1)).to_numpy(zero_copy_only=False)
+        return np.concatenate([[0], np.flatnonzero(turns) + 1, [t.num_rows]])
+
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        same = not held or all(held[-1].column(c)[-1] == batch.column(c)[-1] for c in key)
+        held.append(batch)
+        if same and all(batch.column(c)[0] == batch.column(c)[-1] for c in key):
+            continue  # one group so far
+        t = pa.Table.from_batches(held)
+        edge = edges(t)
+        yield t.slice(0, edge[-2]), edge[:-1]
+        held = t.slice(edge[-2]).combine_chunks().to_batches()
+    if held:
+        t = pa.Table.from_batches(held)
+        yield t, edges(t)
+
+
 def _offsets(texts: pa.Array) -> np.ndarray:
     kind = np.int64 if pa.types.is_large_string(texts.type) or pa.types.is_large_binary(texts.type) else np.int32
     return np.frombuffer(texts.buffers()[1], kind)[texts.offset:texts.offset + len(texts) + 1].astype(np.int64)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..session import table
 from .decontamination import contamination
+from .divergence import source_divergence
 from .exact_dedup import exact_duplicates
 from .html_text import extract_main_text
 from .mixing import mix_sources
@@ -16,6 +17,8 @@ from .near_dedup import near_duplicates
 from .pii import personal_data
 from .quality import quality
 from .secrets import PLACEHOLDER, secret_scan
+from .simhash import simhash_groups
+from .spelling import spelling_variants
 from .toxicity import toxicity
 from .warc import round_trip
 
@@ -173,3 +176,59 @@ def op5(spark, d):
 @query("op6_quality_cotraining")
 def op6(spark, d):
     return quality(table(spark, d, "documents"), table(spark, d, "labels"))
+
+
+@query("op11_simhash_near_dedup")
+def op11(spark, d):
+    return simhash_groups(table(spark, d, "documents"))
+
+
+#: CRC-32 of a string's UTF-8 bytes, with the table of its polynomial computed by rule (``tab.t``).
+_CRC = """xor(list_reduce(list_transform(range(strlen({0})), lambda i: CAST('0x' || substr(hex({0}), 2 * i + 1, 2) AS UBIGINT)),
+    lambda c, b: xor(c >> 8, t[CAST(xor(c, b) & 255 AS BIGINT) + 1]), CAST(4294967295 AS UBIGINT)), CAST(4294967295 AS UBIGINT))"""
+
+_OP12 = f"""WITH RECURSIVE tab AS (SELECT list_transform(range(256), lambda x: list_reduce(range(8),
+    lambda c, y: CASE WHEN c & 1 = 1 THEN xor(c >> 1, CAST(3988292384 AS UBIGINT)) ELSE c >> 1 END, CAST(x AS UBIGINT))) AS t),
+r AS (SELECT doc_id, run, count(*) AS c FROM (SELECT doc_id, unnest(regexp_extract_all({_FOLD.format("coalesce(text, '')")}, '[a-z\u00C0-\u00FF]+')) AS run
+  FROM documents) WHERE length(run) >= 5 GROUP BY ALL),
+h AS (SELECT run, c, CAST({_CRC.format("s")} AS BIGINT) AS h FROM (SELECT run, c, coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run AS s FROM r), tab),
+w AS (SELECT CASE WHEN h % 97 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, c FROM h),
+v AS (SELECT word, CAST(sum(c) AS BIGINT) AS n FROM w WHERE length(word) >= 5 GROUP BY word HAVING sum(c) >= 3),
+pat AS (SELECT word, substr(word, 1, i) || '*' || substr(word, i + 2) AS p FROM v, unnest(range(length(word))) AS u(i)),
+less AS (SELECT DISTINCT word, substr(word, 1, i) || substr(word, i + 2) AS p FROM v, unnest(range(length(word))) AS u(i)),
+near AS (SELECT a.word AS x, b.word AS y FROM pat a JOIN pat b ON a.p = b.p AND a.word <> b.word
+  UNION SELECT less.word, v.word FROM less JOIN v ON less.p = v.word UNION SELECT v.word, less.word FROM less JOIN v ON less.p = v.word),
+best AS (SELECT x AS word, count(*) AS n_near, arg_min(y, struct_pack(m := -n, y := y)) AS y, max(n) AS n_y FROM near JOIN v ON v.word = y GROUP BY x),
+f AS (SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN n_y >= 2 * v.n THEN y END AS form, CASE WHEN n_y >= 2 * v.n THEN n_y END AS form_n
+  FROM v LEFT JOIN best USING (word)),
+path AS (SELECT word, word AS root, form AS next FROM f UNION ALL SELECT path.word, f.word, f.form FROM path JOIN f ON f.word = path.next)
+SELECT f.word, f.form, path.root, f.n, f.n_near, f.form_n FROM f JOIN path ON path.word = f.word AND path.next IS NULL"""
+
+
+@query("op12_spelling_variants", _OP12)
+def op12(spark, d):
+    return spelling_variants(table(spark, d, "documents"))
+
+
+_SHARE = "1 + (CAST(1000000000 AS HUGEINT) * ({0} + 5)) // ({1} + 5 * v)"
+
+_OP13 = f"""WITH d AS (SELECT row_number() OVER () AS rid, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+  regexp_extract_all({_FOLD.format("coalesce(text, '')")}, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+c AS (SELECT lang, source, term, count(*) AS n, count(DISTINCT rid) AS docs FROM (SELECT rid, lang, source, unnest(w) AS term FROM d) GROUP BY ALL),
+kept AS (SELECT lang, term, sum(n) AS n FROM c GROUP BY ALL HAVING sum(docs) >= 30),
+v AS (SELECT lang, count(*) AS v, sum(n) AS total FROM kept GROUP BY lang),
+g AS (SELECT DISTINCT lang, source FROM d),
+dense AS (SELECT g.lang, g.source, term, coalesce(c.n, 0) AS n, kept.n AS n_lang FROM g JOIN kept USING (lang) LEFT JOIN c USING (lang, source, term)),
+share AS (SELECT lang, source, term, dense.n, {_SHARE.format("dense.n", "t.total")} AS p, {_SHARE.format("n_lang", "v.total")} AS q
+  FROM dense JOIN (SELECT lang, source, sum(n) AS total FROM dense GROUP BY ALL) t USING (lang, source) JOIN v USING (lang)),
+pair AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value FROM share a JOIN share b USING (lang, term) GROUP BY ALL),
+f AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(value, 0) AS BIGINT) AS value
+    FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN pair ON pair.lang = a.lang AND pair.source = a.source AND pair.item = b.source
+  UNION ALL SELECT lang, source, 'term', term, CAST(p - q AS BIGINT) FROM share WHERE n > 0 AND p > q),
+ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM f)
+SELECT lang, source, part, item, value, rank FROM ranked WHERE part = 'pair' OR rank <= 50"""
+
+
+@query("op13_source_divergence", _OP13)
+def op13(spark, d):
+    return source_divergence(table(spark, d, "documents"))
