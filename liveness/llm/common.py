@@ -3,13 +3,17 @@ vectorised tokenizer that works on whole Arrow batches."""
 
 from __future__ import annotations
 
+import pickle
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,7 +37,8 @@ def stage(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
     large table keeps the partitions it has, as their number is only ever lowered."""
     spark = df.sparkSession
     path = f"{stage_root(spark)}/llm-{name}-{uuid.uuid4().hex[:12]}"
-    _staged.append(path)
+    if (own := _staged.get()) is not None:
+        own.append(path)
     if rows is not None:
         df = df.coalesce(max(1, -(-rows // ROWS_PER_TASK)))
     df.write.parquet(path)
@@ -47,14 +52,38 @@ def drop_stage(*frames: DataFrame) -> None:
             delete_path(df.sparkSession, folder)
 
 
-_staged: list[str] = []  # folders this process has written, for ``drop_all_stages``
+_staged: ContextVar[list[str] | None] = ContextVar("staged", default=None)
 
 
-def drop_all_stages(spark: SparkSession) -> None:
-    """Delete every folder ``stage`` has written. For jobs that have written their results:
-    tables that are still lazily derived from a staged one can no longer be computed."""
-    while _staged:
-        delete_path(spark, _staged.pop())
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Folders that ``stage`` writes inside the block are deleted at its end: for jobs that have written
+    their results by then. What other queries of the session have staged stays."""
+    own: list[str] = []
+    token = _staged.set(own)
+    try:
+        yield
+    finally:
+        _staged.reset(token)
+        for path in own:
+            delete_path(spark, path)
+
+
+class Shared:
+    """A value that every task needs, broadcast as bytes that bring their classes along: executors
+    need no copy of the package, which a plain broadcast of an object of it would ask for."""
+
+    def __init__(self, spark: SparkSession, value):
+        self._sent = spark.sparkContext.broadcast(cloudpickle.dumps(value))
+
+    def __getstate__(self):
+        return {"_sent": self._sent}
+
+    @property
+    def value(self):
+        if "_value" not in self.__dict__:
+            self._value = pickle.loads(self._sent.value)
+        return self._value
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ALPHANUMERIC, drop_ids, stage, text_slices, words
+from .common import ALPHANUMERIC, Shared, drop_ids, stage, text_slices, words
 
 WIDTH = 10
 #: Item words of one block: a block's windows are broadcast together (about 100 bytes a
@@ -199,7 +199,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
                       .groupBy("word").agg(F.sum("n").alias("n")).toArrow().to_pylist()):
                 counts[r["word"]] = r["n"]
         index.choose(counts)
-        parts.append(source.mapInArrow(_search(spark.sparkContext.broadcast(index), blocks > 1), _FOUND_SQL))
+        parts.append(source.mapInArrow(_search(Shared(spark, index), blocks > 1), _FOUND_SQL))
     if blocks == 1:
         found = parts[0]
     else:

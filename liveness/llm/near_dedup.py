@@ -346,7 +346,7 @@ def _components_of(shared: DataFrame, classes: DataFrame, source: DataFrame, wid
     return found
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5,
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 2,
                     percent: int = 80) -> DataFrame:
     """One row per row of ``docs``: ``<id_col>``, ``n_shingles``, ``component_id``, ``kept``, ``class_id``.
 
@@ -392,7 +392,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                                           F.col("id").eqNullSafe(F.col("component_id")).alias("kept"), "class_id")
 
 
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5,
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 2,
                          percent: int = 80) -> DataFrame:
     """``docs`` with one row of each near-duplicate group, that of the smallest id; all columns.
 

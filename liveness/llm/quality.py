@@ -4,22 +4,26 @@ Both are calibrated on labelled documents set aside, and their calibrated views
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BETWEEN_SPACES, byte_class, drop_ids, stage, text_slices, words
+from .common import BETWEEN_SPACES, Shared, byte_class, drop_ids, stage, text_slices, words
 
-#: The fit uses about this many labelled and this many unlabelled documents, chosen by hash
-#: of their id; counts come from the tables, scores are made for every document.
-FIT_ROWS, POOL_ROWS = 20_000, 20_000
-ROUNDS = 5
+#: The fit uses about this many labelled documents, chosen by hash of their id, and all that have no label.
+FIT_ROWS = 20_000
+#: Rounds of exchanged labels, and Newton steps at most (a pass over the views each) after each of them.
+ROUNDS, STEPS = 5, 6
 #: How sure a view must be to label a document for the other, and the share of the pool it may label a round.
 SURE, SHARE = 0.95, 0.1
+#: How sure a view is, in bins of its logit.
+_LEAST, _BIN, BINS = float(np.log(SURE / (1 - SURE))), 1 / 64, 2048
 #: One labelled document in so many is set aside for calibration.
 ASIDE = 5
 #: With fewer of a label set aside, all labelled documents calibrate.
@@ -63,7 +67,7 @@ def _bucket(values: pa.Array, n: int) -> np.ndarray:
     """One-hot of a stable hash of each string; nulls are the last column."""
     out = np.zeros((len(values), n + 1))
     for i, v in enumerate(values.to_pylist()):
-        out[i, n if v is None else int.from_bytes(v.encode()[-8:], "big") % 1_000_003 % n] = 1
+        out[i, n if v is None else zlib.crc32(v.encode()) % n] = 1
     return out
 
 
@@ -99,26 +103,37 @@ class Logistic:
         return self.coefficients[0] + ((x - self.shift) / self.scale) @ self.coefficients[1:]
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, penalty: float = 1.0) -> Logistic:
-    """Newton steps; the penalty spares the constant."""
-    shift, scale = x.mean(axis=0), x.std(axis=0)
-    scale = np.where(scale > 1e-9, scale, 1.0)
-    z = np.concatenate([np.ones((len(x), 1)), (x - shift) / scale], axis=1)
-    ridge = np.diag([1e-6] + [penalty] * x.shape[1])
-    c = np.zeros(z.shape[1])
-    for _ in range(30):
-        p = _sigmoid(z @ c)
-        step = np.linalg.solve((z * (weight * p * (1 - p))[:, None]).T @ z + ridge, z.T @ (weight * (y - p)) - ridge @ c)
-        c = c + step
-        if np.abs(step).max() < 1e-6:
-            break
-    return Logistic(shift, scale, c)
-
-
 def _sigmoid(a: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(a, -30, 30)))
 
 
+def newton_sums(model: Logistic, x: np.ndarray, y: np.ndarray, weight: float | np.ndarray) -> np.ndarray:
+    """What a Newton step needs of some rows, as one vector: curvature, then gradient."""
+    z = np.concatenate([np.ones((len(x), 1)), (x - model.shift) / model.scale], axis=1)
+    p = _sigmoid(model.logit(x))
+    return np.concatenate([((z * (weight * p * (1 - p))[:, None]).T @ z).reshape(-1), z.T @ (weight * (y - p))])
+
+
+def newton_step(model: Logistic, sums: np.ndarray, penalty: float = 1.0) -> float:
+    """Moves the model by one step; the penalty spares the constant. Returns the size of the step."""
+    c = model.coefficients
+    ridge = np.diag([1e-6] + [penalty] * (len(c) - 1))
+    step = np.linalg.solve(sums[:-len(c)].reshape(len(c), len(c)) + ridge, sums[-len(c):] - ridge @ c)
+    model.coefficients = c + step
+    return float(np.abs(step).max())
+
+
+def fit_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, shift: np.ndarray | None = None,
+                 scale: np.ndarray | None = None) -> Logistic:
+    if shift is None:
+        shift, scale = x.mean(axis=0), x.std(axis=0)
+    model = Logistic(shift, np.where(scale > 1e-9, scale, 1.0), np.zeros(x.shape[1] + 1))
+    for _ in range(30):
+        if newton_step(model, newton_sums(model, x, y, weight)) < 1e-6:
+            break
+    return model
+
+
 @dataclass
 class Model:
     content: Logistic
@@ -132,37 +147,125 @@ class Model:
         return _sigmoid(a), _sigmoid(b), _sigmoid(self.combine.logit(np.stack([a, b], axis=1)))
 
 
-def cotrain(content: np.ndarray, meta: np.ndarray, y: np.ndarray, aside: np.ndarray, pool_content: np.ndarray,
-            pool_meta: np.ndarray, rounds: int = ROUNDS) -> Model:
-    """Co-training on labelled rows (``y``; those ``aside`` only calibrate) and a pool without labels."""
-    seed = ~aside
-    views, pools = (content, meta), (pool_content, pool_meta)
-    rate = y[seed].mean()
-    given = [np.full(len(pool_content), -1) for _ in views]  # the label each view got from the other
-    told = []
+# ------------------------------------------------------------------ co-training
+
+@dataclass
+class Round:
+    """Both views' models of a round, and how sure (signed logit) each must be to give label 0 or 1."""
+    models: list[Logistic]
+    cuts: list[list[float]]  # by view, by label
 
-    def fitted(v: int) -> Logistic:
-        got = given[v] >= 0
-        return fit_logistic(np.concatenate([views[v][seed], pools[v][got]]), np.concatenate([y[seed], given[v][got]]),
-                            np.concatenate([np.ones(seed.sum()), np.full(got.sum(), 0.5)]))
 
-    models = [fitted(0), fitted(1)]
-    for _ in range(rounds if len(pool_content) else 0):
-        sizes = []
+def given_labels(rounds: list[Round], views: tuple[np.ndarray, np.ndarray]) -> list[np.ndarray]:
+    """The label (-1: none) that each view was given for some rows by the other one. It follows from the
+    rounds' models and cuts alone, so no state of a row is kept anywhere."""
+    given = [np.full(len(views[0]), -1) for _ in views]
+    for r in rounds:
         for v in (0, 1):
-            p = _sigmoid(models[v].logit(pools[v]))
-            free = given[1 - v] < 0
-            n = 0
-            for label, sure, share in ((1, p, rate), (0, 1 - p, 1 - rate)):
-                at = np.flatnonzero(free & (sure >= SURE))
-                at = at[np.argsort(-sure[at], kind="stable")][:int(np.ceil(SHARE * share * len(p)))]
-                given[1 - v][at] = label
-                n += len(at)
-            sizes.append(n)
-        told.append((sizes[0], sizes[1]))
-        models = [fitted(0), fitted(1)]
-        if not any(sizes):
+            free, logit = given[1 - v] < 0, r.models[v].logit(views[v])
+            for label, sure in ((0, -logit), (1, logit)):
+                given[1 - v][free & (sure >= r.cuts[v][label])] = label
+    return given
+
+
+def moments(views) -> np.ndarray:
+    """Rows, and sums and sums of squares of the columns of both views."""
+    return np.concatenate([[len(views[0])], *[m for x in views for m in (x.sum(axis=0), (x * x).sum(axis=0))]])
+
+
+def sure_counts(rounds: list[Round], models: list[Logistic], views) -> np.ndarray:
+    """By view and label: rows without a label from that view, by bin of how sure it is of that label."""
+    given = given_labels(rounds, views)
+    out = np.zeros((2, 2, BINS))
+    for v in (0, 1):
+        logit = models[v].logit(views[v])[given[1 - v] < 0]
+        for label, sure in ((0, -logit), (1, logit)):
+            sure = sure[sure >= _LEAST]
+            out[v, label] = np.bincount(np.minimum((sure - _LEAST) / _BIN, BINS - 1).astype(np.int64), minlength=BINS)
+    return out.reshape(-1)
+
+
+def given_sums(rounds: list[Round], models: list[Logistic], views) -> np.ndarray:
+    """Newton sums of both views over the rows that have been given a label, which weigh one half."""
+    given = given_labels(rounds, views)
+    return np.concatenate([newton_sums(models[v], views[v][given[v] >= 0], given[v][given[v] >= 0], 0.5) for v in (0, 1)])
+
+
+class Rows:
+    """A pool of unlabelled documents in memory: the views' matrices."""
+
+    def __init__(self, content: np.ndarray, meta: np.ndarray):
+        self.views = (content, meta)
+
+    def sums(self, function) -> np.ndarray:
+        return function(self.views)
+
+
+class StagedRows:
+    """A pool in a staged table: each task reduces its rows to one vector, and Spark adds these up. They
+    are added as decimals, so that the order does not matter."""
+
+    def __init__(self, views: DataFrame):
+        self.views = views
+
+    def sums(self, function) -> np.ndarray:
+        def reduced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = None
+            for batch in batches:
+                if batch.num_rows:
+                    part = function(tuple(_matrix(pa.chunked_array([batch.column(c)])) for c in (0, 1)))
+                    total = part if total is None else total + part
+            if total is not None:
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total)), pa.int32()), pa.array(total)], names=["k", "v"])
+        got = (self.views.select("content", "meta").mapInArrow(reduced, "k int, v double")
+               .groupBy("k").agg(F.sum(F.col("v").cast("decimal(38,12)")).cast("double").alias("v")).toArrow().sort_by("k"))
+        return got.column("v").to_numpy()
+
+
+def _cut(counts: np.ndarray, most: int) -> float:
+    """The lowest bin from which on at most ``most`` rows lie; at least the surest bin that has any."""
+    above = np.cumsum(counts[::-1])[::-1]
+    fits = np.flatnonzero(above <= most)
+    filled = np.flatnonzero(counts)
+    if not len(filled):
+        return np.inf
+    return _LEAST + _BIN * min(fits[0] if len(fits) else BINS, filled[-1])
+
+
+def cotrain(content: np.ndarray, meta: np.ndarray, y: np.ndarray, aside: np.ndarray, pool, rounds: int = ROUNDS) -> Model:
+    """Co-training on labelled rows (``y``; those ``aside`` only calibrate) and all rows of a pool without
+    labels (``Rows`` or ``StagedRows``), which is only ever read through sums over it."""
+    views, seed = (content, meta), ~aside
+    rate = y[seed].mean()
+    own = moments(tuple(x[seed] for x in views))
+    pooled = pool.sums(moments) if pool is not None else np.zeros(0)
+    n_pool = int(pooled[0]) if len(pooled) else 0
+    total = own + pooled if n_pool else own
+    models, at = [], 1
+    for x in views:
+        d = x.shape[1]
+        shift = total[at:at + d] / total[0]
+        scale = np.sqrt(np.maximum(total[at + d:at + 2 * d] / total[0] - shift ** 2, 0))
+        models.append(fit_logistic(x[seed], y[seed], np.ones(seed.sum()), shift, scale))
+        at += 2 * d
+    done: list[Round] = []
+    told: list[tuple[int, int]] = []
+    for _ in range(rounds if n_pool else 0):
+        held = [replace(m) for m in models]
+        counts = pool.sums(partial(sure_counts, done, held)).reshape(2, 2, BINS)
+        cuts = [[_cut(counts[v, label], int(np.ceil(SHARE * share * n_pool))) for label, share in ((0, 1 - rate), (1, rate))] for v in (0, 1)]
+        taken = [int(sum(counts[v, label][_LEAST + _BIN * np.arange(BINS) >= cuts[v][label]].sum() for label in (0, 1))) for v in (0, 1)]
+        told.append((taken[0], taken[1]))
+        if not any(taken):
             break
+        done.append(Round(held, cuts))
+        for _ in range(STEPS):
+            sums = pool.sums(partial(given_sums, done, models))
+            edge = (content.shape[1] + 1) * (content.shape[1] + 2)
+            size = [newton_step(models[v], part + newton_sums(models[v], views[v][seed], y[seed], np.ones(seed.sum())))
+                    for v, part in ((0, sums[:edge]), (1, sums[edge:]))]
+            if max(size) < 1e-3:
+                break
     enough = min((y[aside] == 1).sum(), (y[aside] == 0).sum()) >= LEAST_ASIDE
     hold = aside if enough else np.ones(len(y), bool)
     logits = np.stack([m.logit(v[hold]) for m, v in zip(models, views)], axis=1)
@@ -174,7 +277,7 @@ def cotrain(content: np.ndarray, meta: np.ndarray, y: np.ndarray, aside: np.ndar
 def _sampled(df: DataFrame, column: str, rows: int) -> DataFrame:
     """About ``rows`` rows, by hash of a column; all if there are no more."""
     n = df.count()
-    return df if n <= rows else df.where(F.pmod(F.xxhash64(column, F.lit(11)), F.lit(1_000_000)) < int(1e6 * rows / n))
+    return df if n <= rows else df.where(F.pmod(F.xxhash64(column, F.lit(11)), F.lit(1 << 40)) < int((1 << 40) * rows / n))
 
 
 def _matrix(column: pa.ChunkedArray) -> np.ndarray:
@@ -183,24 +286,23 @@ def _matrix(column: pa.ChunkedArray) -> np.ndarray:
 
 
 def learn(views: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality",
-          fit_rows: int = FIT_ROWS, pool_rows: int = POOL_ROWS) -> Model | None:
-    """Fit on samples of the staged ``views``; None without labels of both kinds. Ids with
-    both labels count as good; null labels are no labels."""
-    marked = (labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y"))
-              .where(F.col("y").isin(0, 1) & F.col("id").isNotNull()).groupBy("id").agg(F.max("y").alias("y")))
+          fit_rows: int = FIT_ROWS) -> Model | None:
+    """Fit on a sample of the labelled rows of the staged ``views`` and on all rows without a label; None
+    without labels of both kinds. Ids with both labels count as good; null labels are no
+    labels; rows that repeat an unlabelled id count as often as they occur."""
+    marked = stage(labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y"))
+                   .where(F.col("y").isin(0, 1) & F.col("id").isNotNull()).groupBy("id").agg(F.max("y").alias("y")), "marked")
     chosen = stage(_sampled(marked, "id", fit_rows), "labelled")
-    got = (views.where("id is not null").join(F.broadcast(chosen), "id").dropDuplicates(["id"])  # about fit_rows rows
+    known = views.where("id is not null")
+    got = (known.join(F.broadcast(chosen), "id").dropDuplicates(["id"])  # about fit_rows rows
            .withColumn("aside", F.pmod(F.xxhash64("id", F.lit(5)), F.lit(ASIDE)) == 0).toArrow().sort_by("id"))
     y = np.array(got.column("y").to_pylist(), float)
-    if len(np.unique(y)) < 2:
+    aside = np.array(got.column("aside").to_pylist(), bool)
+    if len(np.unique(y)) < 2 or len(np.unique(y[~aside])) < 2:
         return None
-    # documents of the sample that have a label are no pool
-    pool = (_sampled(views.where("id is not null"), "id", pool_rows).join(marked.select("id"), "id", "left_anti")
-            .dropDuplicates(["id"]).toArrow().sort_by("id"))
-    content, meta = _matrix(got.column("content")), _matrix(got.column("meta"))
-    empty = (np.zeros((0, content.shape[1])), np.zeros((0, meta.shape[1])))
-    pools = (_matrix(pool.column("content")), _matrix(pool.column("meta"))) if pool.num_rows else empty
-    return cotrain(content, meta, y, np.array(got.column("aside").to_pylist(), bool), *pools)
+    pool = stage(drop_ids(known, marked.select(F.col("id").alias("__marked")), "id"), "pool")
+    return cotrain(_matrix(got.column("content")), _matrix(got.column("meta")), y, aside,
+                   None if pool.isEmpty() else StagedRows(pool))
 
 
 def _scored(model):
@@ -225,14 +327,14 @@ def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col
     Null texts count as empty, null metadata as a value of its own, null ids stay and are not
     learned from. Without labels of both kinds every score is 1. Repeated rows give equal
     rows; no rows give no rows. Other columns are not read. Texts are read once; the views
-    (about 180 bytes a document) are staged, sampled for the fit and scored, without a shuffle
-    of either."""
+    (about 180 bytes a document) are staged. Every round of the co-training reads those of all
+    documents without a label, as sums that each task makes of its rows."""
     spark = docs.sparkSession
     views = stage(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"),
                               F.col(lang_col).cast("string").alias("lang"), F.col(source_col).cast("string").alias("source"),
                               F.col(size_col).cast("long").alias("n_chars"))
                   .mapInArrow(_views, "id long, content array<float>, meta array<float>"), "views")
-    model = spark.sparkContext.broadcast(learn(views, labels, id_col))
+    model = Shared(spark, learn(views, labels, id_col))
     return (views.mapInArrow(_scored(model), "id long, content_score double, meta_score double, quality double, accepted boolean")
             .withColumnRenamed("id", id_col))
 

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ALPHANUMERIC, _BYTE, _P, SLICE_BYTES, Words, bounded, mix, runs_hash, stage, text_slices, words
+from .common import ALPHANUMERIC, _BYTE, _P, SLICE_BYTES, Shared, Words, bounded, mix, runs_hash, stage, text_slices, words
 
 #: Chain and calibration are fitted to this many labelled documents of each label at most (by
 #: hash of the id), of any length, and at most this many stretches of one document. Lexicon and scores read everything.
@@ -382,7 +382,7 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     each label, the first by hash of their id, whatever their length. Rows held out are never
     read. Ids with both labels count as toxic; null labels are no labels. Without texts of both
     labels, nothing is toxic."""
-    model, context = Model(), docs.sparkSession.sparkContext
+    model = Model()
     marked = stage(labels.select(F.col(id_col).alias("lid"), F.col(label_col).cast("int").alias("y"))
                    .where(F.col("y").isin(0, 1) & F.col("lid").isNotNull() & ~held_out("lid"))
                    .groupBy("lid").agg(F.max("y").alias("y")), "labelled")
@@ -401,12 +401,12 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         return model
     sample = source.join(F.broadcast(chosen), "lid").select("lid", "y", "text")
     if len(model.keys):
-        got = (sample.mapInArrow(_sampled(context.broadcast(model)), "lid long, at binary, label binary, exists binary")
+        got = (sample.mapInArrow(_sampled(Shared(docs.sparkSession, model)), "lid long, at binary, label binary, exists binary")
                .distinct().toArrow().sort_by([(c, "ascending") for c in ("lid", "at", "label", "exists")]))
         at, label, exists = (np.frombuffer(b"".join(got.column(c).to_pylist()), kind).reshape(got.num_rows, STRETCH, -1)
                              for c, kind in (("at", np.int32), ("label", bool), ("exists", bool)))
         _fit_chain(model, at, label[:, :, 0], exists[:, :, 0])
-    sums = (sample.mapInArrow(_summed(context.broadcast(model)), "lid long, y int, total double, most double")
+    sums = (sample.mapInArrow(_summed(Shared(docs.sparkSession, model)), "lid long, y int, total double, most double")
             .groupBy("lid", "y").agg(F.max(F.struct("total", "most")).alias("s"))
             .select("lid", "y", "s.total", "s.most").toArrow().sort_by("lid"))
     model.document = _logistic(evidence(sums.column("total").to_numpy(), sums.column("most").to_numpy()),
@@ -422,7 +422,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     toxic tokens. Null ids are not held out. Repeated rows give equal rows; no rows give no
     rows; without labels of both kinds nothing is predicted toxic. Other columns are not
     read. What the driver fits is bounded (see ``learn``); scoring is one pass without a shuffle."""
-    model = docs.sparkSession.sparkContext.broadcast(learn(docs, labels, id_col, text_col))
+    model = Shared(docs.sparkSession, learn(docs, labels, id_col, text_col))
     return (docs.select(F.col(id_col).cast("long").alias("id"), held_out(id_col).alias("held_out"),
                         F.col(text_col).cast("string").alias("text"))
             .mapInArrow(_score(model), "id long, held_out boolean, score double, predicted int, toxic_spans string")
