@@ -145,7 +145,7 @@ ORDERS_PER_FILE = 512
                  CAST(regexp_extract(rel_path, '([0-9]+)[.]py$', 1) AS BIGINT) AS o FROM corpus_files)
     WHERE NOT contains(parent, '/legacy/') GROUP BY parent, o // {ORDERS_PER_FILE})""", "corpus_files"))
 def q_scan_files(spark, d):
-    """Write the derived modules as a tree of files, scan it back; one directory is excluded."""
+    """Write the derived modules as a tree of files (each by the task that has it), scan it back; one directory is excluded."""
     from ..sources.files import scan_files
     root = new_stage_path(spark, "tree")
     o = F.regexp_extract("rel_path", r"([0-9]+)\.py$", 1).cast("long")

@@ -3,6 +3,9 @@ back, and return what was read (the oracle is the source rows themselves)."""
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import constants as K
@@ -11,6 +14,7 @@ from ..operators.joins import entities_for_session
 from ..operators.ordering import recent_chat, recent_removals
 from ..operators.rollups import project_summary
 from ..session import new_stage_path
+from ..sources import history as H
 from ..sources import io as IO
 from . import views as V
 from .corpus import corpus_files
@@ -95,38 +99,42 @@ def q_emit_results_json(spark, d):
     return back.select("j.session_id", "j.result.*").select("session_id", "entity_id", "file_name", "confidence_score", "reasons", "symbol.*")
 
 
-@query("append_chat", W(f"""SELECT query, response, context_file, "timestamp" FROM chat_history
-ORDER BY "timestamp" DESC LIMIT {K.RECENT_CHATS}""", "chat_history"))
-def q_append_chat(spark, d):
-    """Append all questions with their answers, then read the newest back through the history query."""
+def _append_chat(spark, d):
     root = new_stage_path(spark, "history")
-    IO.append_chat(V.chat_history(spark, d).drop("id"), root)
-    return recent_chat(spark.read.parquet(f"{root}/chat_history")).select("query", "response", "context_file", "timestamp")
+    IO.append_chat(V.chat_history(spark, d), root)
+    return spark.read.parquet(f"{root}/chat_history")
 
 
-@query("append_removals", W(f"""SELECT entity_id, file_name, removed_code, confidence_score, "timestamp" FROM removal_logs
-ORDER BY "timestamp" DESC, id DESC LIMIT {K.RECENT_REMOVALS}""", "removal_logs"))
-def q_append_removals(spark, d):
+def _append_removals(spark, d):
     root = new_stage_path(spark, "history")
     IO.append_removals(V.removal_logs(spark, d), root)
-    return recent_removals(spark.read.parquet(f"{root}/removal_logs")).select(
-        "entity_id", "file_name", "removed_code", "confidence_score", "timestamp")
+    return spark.read.parquet(f"{root}/removal_logs")
 
 
-@query("append_chat_rows", W('SELECT id, query, response, context_file, "timestamp" FROM chat_history', "chat_history"))
-def q_append_chat_rows(spark, d):
-    """Every appended row, with its id and time."""
-    root = new_stage_path(spark, "history")
-    IO.append_chat(V.chat_history(spark, d), root)
-    return spark.read.parquet(f"{root}/chat_history").select("id", "query", "response", "context_file", "timestamp")
+@query("append_chat", W('SELECT id, query, response, context_file, "timestamp" FROM chat_history', "chat_history"))
+def q_append_chat(spark, d):
+    """Append all questions with their answers: every row, with its id and time."""
+    return _append_chat(spark, d).select("id", "query", "response", "context_file", "timestamp")
 
 
-@query("append_removals_rows", W('SELECT id, entity_id, file_name, removed_code, confidence_score, "timestamp" FROM removal_logs',
-                                 "removal_logs"))
-def q_append_removals_rows(spark, d):
-    root = new_stage_path(spark, "history")
-    IO.append_removals(V.removal_logs(spark, d), root)
-    return spark.read.parquet(f"{root}/removal_logs").select("id", "entity_id", "file_name", "removed_code", "confidence_score", "timestamp")
+@query("append_removals", W('SELECT id, entity_id, file_name, removed_code, confidence_score, "timestamp" FROM removal_logs',
+                            "removal_logs"))
+def q_append_removals(spark, d):
+    return _append_removals(spark, d).select("id", "entity_id", "file_name", "removed_code", "confidence_score", "timestamp")
+
+
+@query("append_chat_recent", W(f"""SELECT query, response, context_file, "timestamp" FROM chat_history
+ORDER BY "timestamp" DESC, id DESC LIMIT {K.RECENT_CHATS}""", "chat_history"))
+def q_append_chat_recent(spark, d):
+    """The newest of the appended rows, through the history query."""
+    return recent_chat(_append_chat(spark, d)).select("query", "response", "context_file", "timestamp")
+
+
+@query("append_removals_recent", W(f"""SELECT entity_id, file_name, removed_code, confidence_score, "timestamp" FROM removal_logs
+ORDER BY "timestamp" DESC, id DESC LIMIT {K.RECENT_REMOVALS}""", "removal_logs"))
+def q_append_removals_recent(spark, d):
+    return recent_removals(_append_removals(spark, d)).select(
+        "entity_id", "file_name", "removed_code", "confidence_score", "timestamp")
 
 
 def _history(spark, d):
@@ -135,9 +143,8 @@ def _history(spark, d):
     from .q_corpus import _extracted
     results, _ = analyze_corpus(None, extracted=_extracted(spark, d))
     root = new_stage_path(spark, "history")
-    session = IO.append_analysis(results, root, project="corpus", total_files=corpus_files(spark, d))
-    return {n: spark.read.parquet(f"{root}/{n}") for n in
-            ("analysis_sessions", "code_entities", "feature_vectors", "explanations")}, session
+    session = H.append_analysis(results, root, project="corpus", total_files=corpus_files(spark, d))
+    return {n: H.history_table(spark, root, n) for n in H.TABLES}, session
 
 
 def _appended_sql(body: str) -> str:
@@ -171,6 +178,6 @@ def q_project_summary_of_run(spark, d):
     """Summaries of the project just persisted and of one without sessions (a row of zeros)."""
     h, _ = _history(spark, d)
     one = lambda p: project_summary(h["analysis_sessions"], h["code_entities"], project=p)
-    files = h["analysis_sessions"].agg(F.sum("total_files").cast("int").alias("total_files"))
-    return (one("corpus").crossJoin(files)
-            .unionByName(one("never analysed").withColumn("total_files", F.lit(0))))
+    files = lambda p: h["analysis_sessions"].where(F.col("project_path") == p).agg(
+        F.coalesce(F.sum("total_files"), F.lit(0)).cast("int").alias("total_files"))
+    return reduce(DataFrame.unionByName, [one(p).crossJoin(files(p)) for p in ("corpus", "never analysed")])  # one row each
