@@ -26,36 +26,20 @@ def _extracted(spark, d):
     return materialize(X.extract(corpus_files(spark, d)), "extract")
 
 
-def _analyze_sql() -> str:
+def _analyze_sql(part: str = "all") -> str:
+    """The flagship's rows in SQL: all columns, or the ``numbers`` or the ``texts`` with the entity's place."""
     from .q_catalogue import REASONS_ALIVE_SQL, REASONS_DEAD_SQL
-    from .q_model import _contrib_sql, _logit_sql, _stats_sql, _z_sql
+    from .q_model import _contrib_sql, _logit_sql, _stats_sql, _z_sql, summary_sql
     from .registry import snap_sql
     pct = "CAST(trunc(conf_raw * 100) AS INTEGER)"
     q = "''"  # an escaped quote inside SQL string literals
-    return W(f"""WITH feats AS (
-  SELECT e.path, e.name, e.entity_type, e.start_line, e.end_line, e.cyclomatic_complexity, e.dynamic_call_risk,
-    e.snippet, CAST(COALESCE(c.n, 0) AS BIGINT) AS call_count,
-    CASE WHEN t.callee IS NOT NULL THEN 1 ELSE 0 END AS used_in_tests,
-    CASE WHEN starts_with(e.name, '_') THEN 0 ELSE 1 END AS is_exported,
-    CAST(length(e.path) - length(replace(e.path, '/', '')) AS INTEGER) AS file_depth,
-    e.path || '#' || CAST(e.start_line AS VARCHAR) || '#' || e.name AS ekey
-  FROM corpus_entities e
-  LEFT JOIN (SELECT callee, count(*) AS n FROM corpus_calls GROUP BY callee) c ON c.callee = e.name
-  LEFT JOIN (SELECT DISTINCT callee FROM corpus_calls WHERE in_test_file) t ON t.callee = e.name),
-stats AS ({_stats_sql("feats")}), z AS ({_z_sql("feats")}),
-scored AS (SELECT *, 1.0 / (1.0 + exp(-{_logit_sql()})) AS conf_raw FROM z),
-contrib AS (SELECT ekey, string_agg(name || ':' || printf('%.4f', contribution), ';' ORDER BY rank) AS top_features
-  FROM (SELECT *, row_number() OVER (PARTITION BY ekey ORDER BY abs(contribution) DESC, idx) AS rank
-        FROM ({_contrib_sql("ekey")})) GROUP BY ekey)
-SELECT s.path, s.name, s.entity_type, s.start_line, s.end_line, s.call_count, s.is_exported, s.used_in_tests,
+    place = "s.path, s.name, s.entity_type, s.start_line, s.end_line"
+    numbers = f"""s.call_count, s.is_exported, s.used_in_tests,
   s.dynamic_call_risk, s.cyclomatic_complexity, s.file_depth, {snap_sql('conf_raw')} AS confidence,
   CASE WHEN conf_raw >= 0.75 THEN 'danger' WHEN conf_raw >= 0.55 THEN 'warning'
-       WHEN conf_raw >= 0.35 THEN 'review' ELSE 'safe' END AS severity,
-  {REASONS_DEAD_SQL} AS reasons_dead, {REASONS_ALIVE_SQL} AS reasons_alive,
-  CASE WHEN conf_raw >= 0.75 THEN printf('{q}%s{q} is %d%% likely unused: strong signals.', s.name, {pct})
-       WHEN conf_raw >= 0.55 THEN printf('{q}%s{q} shows unused-code signals (%d%%); check before removing.', s.name, {pct})
-       WHEN conf_raw >= 0.35 THEN printf('{q}%s{q} has mixed signals (%d%%); review it by hand.', s.name, {pct})
-       ELSE printf('{q}%s{q} looks in use (%d%% dead confidence).', s.name, {pct}) END AS summary,
+       WHEN conf_raw >= 0.35 THEN 'review' ELSE 'safe' END AS severity"""
+    texts = f"""{REASONS_DEAD_SQL} AS reasons_dead, {REASONS_ALIVE_SQL} AS reasons_alive,
+  {summary_sql('conf_raw', 's.name')} AS summary,
   concat_ws('; ',
     CASE WHEN call_count = 0 THEN printf('{q}%s{q} has no references', s.name)
          WHEN call_count = 1 THEN printf('{q}%s{q} has a single reference', s.name)
@@ -67,12 +51,28 @@ SELECT s.path, s.name, s.entity_type, s.start_line, s.end_line, s.call_count, s.
          WHEN cyclomatic_complexity >= 8 THEN printf('complex logic (complexity %d)', cyclomatic_complexity)
          ELSE printf('moderate complexity (%d)', cyclomatic_complexity) END)
     || printf(' [score %d of 100]', {pct}) AS explanation,
-  c.top_features, s.snippet
-FROM scored s JOIN contrib c ON c.ekey = s.ekey""", "corpus_entities", "corpus_calls")
+  c.top_features, s.snippet"""
+    contrib = f""",
+contrib AS MATERIALIZED (SELECT ekey, string_agg(name || ':' || printf('%.4f', contribution), ';' ORDER BY rank) AS top_features
+  FROM (SELECT *, row_number() OVER (PARTITION BY ekey ORDER BY abs(contribution) DESC, idx) AS rank
+        FROM ({_contrib_sql("ekey")})) GROUP BY ekey)"""
+    columns = {"all": [numbers, texts], "numbers": [numbers], "texts": [texts]}[part]
+    return W(f"""WITH used AS MATERIALIZED (SELECT callee, count(*) AS n, bool_or(in_test_file) AS tested FROM corpus_calls GROUP BY callee),
+feats AS MATERIALIZED (
+  SELECT e.path, e.name, e.entity_type, e.start_line, e.end_line, e.cyclomatic_complexity, e.dynamic_call_risk,
+    e.snippet, CAST(COALESCE(u.n, 0) AS BIGINT) AS call_count,
+    CASE WHEN u.tested THEN 1 ELSE 0 END AS used_in_tests,
+    CASE WHEN starts_with(e.name, '_') THEN 0 ELSE 1 END AS is_exported,
+    CAST(length(e.path) - length(replace(e.path, '/', '')) AS INTEGER) AS file_depth,
+    e.path || '#' || CAST(e.start_line AS VARCHAR) || '#' || e.name AS ekey
+  FROM corpus_entities e LEFT JOIN used u ON u.callee = e.name),
+stats AS MATERIALIZED ({_stats_sql("feats")}), z AS MATERIALIZED ({_z_sql("feats")}),
+scored AS MATERIALIZED (SELECT *, 1.0 / (1.0 + exp(-{_logit_sql()})) AS conf_raw FROM z){contrib if part != "numbers" else ""}
+SELECT {", ".join([place, *columns])}
+FROM scored s {"JOIN contrib c ON c.ekey = s.ekey" if part != "numbers" else ""}""", "corpus_entities", "corpus_calls")
 
 
-@query("analyze_corpus", _analyze_sql())
-def q_analyze_corpus(spark, d):
+def full_analysis(spark, d):
     """The flagship result, with the list columns flattened to text for comparison:
     reasons joined by ' | ', ranked contributions as 'name:0.1234;...'."""
     results, _errors = analyze_corpus(None, extracted=_extracted(spark, d))
@@ -84,6 +84,21 @@ def q_analyze_corpus(spark, d):
                                                    F.format_string("%.4f", x["contribution"]))), ";")))
 
 
+PLACE = ["path", "name", "entity_type", "start_line", "end_line"]
+TEXTS = ["reasons_dead", "reasons_alive", "summary", "explanation", "top_features", "snippet"]
+
+
+@query("analyze_corpus", _analyze_sql("numbers"))
+def q_analyze_corpus(spark, d):
+    """The flagship's features, scores and bands; its texts are checked by ``analyze_corpus_texts``."""
+    return full_analysis(spark, d).drop(*TEXTS)
+
+
+@query("analyze_corpus_texts", _analyze_sql("texts"))
+def q_analyze_corpus_texts(spark, d):
+    return full_analysis(spark, d).select(*PLACE, *TEXTS)
+
+
 @query("extract_entities", W("SELECT path, name, entity_type, start_line, end_line FROM corpus_entities", "corpus_entities"))
 def q_extract_entities(spark, d):
     return X.entities_of(_extracted(spark, d)).select("path", "name", "entity_type", "start_line", "end_line")

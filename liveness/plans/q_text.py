@@ -96,9 +96,10 @@ def _analysed_files(spark, d):
         F.max("end_line").cast("int").alias("duration_ms"))
 
 
-def _answers_sql() -> str:
+def _answers_sql(body: str) -> str:
+    """``body`` over heads (question, intent, header, list) and items (list_id, item_no, text)."""
     pr = "CAST(floor({c} * 100 + 0.5) AS INTEGER)"
-    body = f"""WITH q AS (SELECT question_id, file_name, text, {INTENT_SQL} AS intent
+    return W(f"""WITH q AS (SELECT question_id, file_name, text, {INTENT_SQL} AS intent
   FROM (SELECT *, lower(trim(text)) AS lq FROM ({Q_SQL}))),
 r AS (SELECT *, CASE WHEN start_line % 3 <> 0 THEN name || ' of ' || file_name END AS summary,
   CASE WHEN start_line % 5 <> 0 THEN 'lines ' || start_line || ' to ' || end_line ELSE '' END AS explanation FROM scored_results),
@@ -106,11 +107,14 @@ cnt AS (SELECT file_name, count(*) AS total_symbols, max(end_line) AS last_line,
   count(*) FILTER (confidence >= 0.75) AS danger_count, count(*) FILTER (confidence >= 0.55 AND confidence < 0.75) AS warning_count,
   count(*) FILTER (confidence >= 0.35 AND confidence < 0.55) AS review_count, count(*) FILTER (confidence < 0.35) AS safe_count
   FROM r GROUP BY file_name),
-m AS (SELECT question_id, r.* EXCLUDE (file_name) FROM q JOIN r ON r.file_name = q.file_name AND contains(lower(q.text), lower(r.name))
+m AS (SELECT question_id, r.* FROM q JOIN r ON r.file_name = q.file_name AND contains(lower(q.text), lower(r.name))
       WHERE q.intent = 'explain' QUALIFY row_number() OVER (PARTITION BY question_id ORDER BY start_line, entity_id) = 1),
-qc AS (SELECT q.*, cnt.* EXCLUDE (file_name), m.name AS sym_name, m.confidence AS sym_confidence
+qc AS (SELECT q.*, cnt.* EXCLUDE (file_name), m.entity_id AS sym_id, m.name AS sym_name, m.confidence AS sym_confidence,
+         CASE WHEN total_symbols IS NULL THEN NULL WHEN intent IN ('removable', 'summary') THEN intent
+              WHEN intent = 'explain' AND m.name IS NOT NULL THEN 'about' WHEN intent = 'explain' THEN 'symbols' END AS kind
        FROM q LEFT JOIN cnt ON cnt.file_name = q.file_name LEFT JOIN m ON m.question_id = q.question_id),
-heads AS (SELECT question_id, intent, 0 AS item_no, CASE
+heads AS (SELECT question_id, intent, kind, file_name,
+  CASE WHEN kind IS NOT NULL THEN concat_ws('|', kind, file_name, CASE WHEN kind = 'about' THEN CAST(sym_id AS VARCHAR) END) END AS list_id, CASE
   WHEN intent IN ('count', 'removable', 'explain', 'summary') AND total_symbols IS NULL THEN {_lit(QU.NO_RESULTS)}
   WHEN intent = 'count' THEN printf('%s: %d danger, %d warning, %d review, %d safe (%d symbols).',
        file_name, danger_count, warning_count, review_count, safe_count, total_symbols)
@@ -125,43 +129,60 @@ heads AS (SELECT question_id, intent, 0 AS item_no, CASE
   WHEN intent = 'help' THEN {_lit(QU.HELP_TEXT)}
   WHEN intent = 'definition' THEN {_lit(QU.DEFINITION_TEXT)}
   ELSE {_lit(QU.UNKNOWN_TEXT)} END AS text FROM qc),
-known AS (SELECT * FROM qc WHERE total_symbols IS NOT NULL),
-details AS (SELECT question_id, 'explain' AS intent, unnest(lines) AS text, unnest(range(1, len(lines) + 1)) AS item_no FROM (
-  SELECT question_id, list_filter([summary, explanation], lambda x: COALESCE(x, '') <> '')
+lists AS (SELECT DISTINCT kind, file_name, list_id FROM heads WHERE kind IS NOT NULL),
+about AS (SELECT DISTINCT concat_ws('|', 'about', file_name, CAST(entity_id AS VARCHAR)) AS list_id,
+    list_filter([summary, explanation], lambda x: COALESCE(x, '') <> '')
     || CASE WHEN confidence >= 0.5 THEN ['for removal: score is high', 'for removal: a ' || kind] ELSE [] END
     || CASE WHEN confidence < 0.5 THEN ['against: score is low'] ELSE [] END
     || [printf('Lines = %d (%s, %.4f)', end_line - start_line, CASE WHEN confidence >= 0.5 THEN 'dead' ELSE 'live' END,
-               round(confidence, 4))] AS lines FROM m)),
+               round(confidence, 4))] AS lines FROM m),
 top AS (SELECT file_name, name, confidence, row_number() OVER (PARTITION BY file_name ORDER BY confidence DESC, entity_id) AS rk
-        FROM r WHERE confidence > 0.5)
-SELECT * FROM heads
+        FROM r WHERE confidence > 0.5),
+items AS (
+SELECT list_id, CAST(row_number() OVER (PARTITION BY list_id ORDER BY start_line, entity_id) AS INTEGER) AS item_no,
+  printf('%s - %d%% dead (L%d-%d)', r.name, {pr.format(c='r.confidence')}, start_line, end_line) || COALESCE(': ' || summary, '') AS text
+FROM lists JOIN r ON r.file_name = lists.file_name WHERE lists.kind = 'removable' AND r.confidence >= 0.75
 UNION ALL
-SELECT question_id, intent, CAST(row_number() OVER (PARTITION BY question_id ORDER BY start_line, entity_id) AS INTEGER),
-  printf('%s - %d%% dead (L%d-%d)', r.name, {pr.format(c='r.confidence')}, start_line, end_line) || COALESCE(': ' || summary, '')
-FROM known JOIN r ON r.file_name = known.file_name WHERE intent = 'removable' AND r.confidence >= 0.75
+SELECT list_id, CAST(row_number() OVER (PARTITION BY list_id ORDER BY start_line, entity_id) AS INTEGER),
+  printf('%s - %d%%', r.name, {pr.format(c='r.confidence')}) FROM lists JOIN r ON r.file_name = lists.file_name WHERE lists.kind = 'symbols'
 UNION ALL
-SELECT question_id, intent, CAST(row_number() OVER (PARTITION BY question_id ORDER BY start_line, entity_id) AS INTEGER),
-  printf('%s - %d%%', r.name, {pr.format(c='r.confidence')})
-FROM known JOIN r ON r.file_name = known.file_name WHERE intent = 'explain' AND sym_name IS NULL
+SELECT list_id, CAST(unnest(range(1, len(lines) + 1)) AS INTEGER), unnest(lines) FROM about
 UNION ALL
-SELECT question_id, intent, CAST(item_no AS INTEGER), text FROM details
+SELECT list_id, unnest([1, 2, 3]), unnest(['language: python', 'analysed: run ' || total_symbols, printf('duration: %d ms', last_line)])
+FROM lists JOIN cnt USING (file_name) WHERE kind = 'summary'
 UNION ALL
-SELECT question_id, intent, unnest([1, 2, 3]), unnest(['language: python', 'analysed: run ' || total_symbols, printf('duration: %d ms', last_line)])
-FROM known WHERE intent = 'summary'
+SELECT list_id, CAST(rk + 3 AS INTEGER), printf('%s - %d%%', top.name, {pr.format(c='top.confidence')})
+FROM lists JOIN top USING (file_name) WHERE kind = 'summary' AND rk <= 5
 UNION ALL
-SELECT question_id, intent, CAST(rk + 3 AS INTEGER), printf('%s - %d%%', top.name, {pr.format(c='top.confidence')})
-FROM known JOIN top ON top.file_name = known.file_name WHERE intent = 'summary' AND rk <= 5
-UNION ALL
-SELECT question_id, intent, 4, {_lit(QU.NO_SUSPECTS)} FROM known
-WHERE intent = 'summary' AND file_name NOT IN (SELECT file_name FROM top)"""
-    return W(body, "scored_results")
+SELECT list_id, 4, {_lit(QU.NO_SUSPECTS)} FROM lists WHERE kind = 'summary' AND file_name NOT IN (SELECT file_name FROM top)),
+answers AS (SELECT question_id, intent, text, list_id, COALESCE(n_items, 0) AS n_items
+  FROM heads LEFT JOIN (SELECT list_id, count(*) AS n_items FROM items GROUP BY list_id) USING (list_id))
+{body}""", "scored_results")
 
 
-@query("answer_questions", _answers_sql())
-def q_answer_questions(spark, d):
+def _answers(spark, d):
     return QU.answer_questions(_questions(spark, d), _detailed_results(spark, d), files=_analysed_files(spark, d))
 
 
+@query("answer_questions", _answers_sql("""SELECT question_id, intent, 0 AS item_no, text, list_id, n_items FROM answers
+UNION ALL SELECT NULL, NULL, item_no, text, list_id, NULL FROM items"""))
+def q_answer_questions(spark, d):
+    """All answers (item 0, with the id and length of their list), and the items of all lists, once each."""
+    answers, items = _answers(spark, d)
+    return answers.select("question_id", "intent", F.lit(0).alias("item_no"), "text", "list_id", "n_items").unionByName(
+        items, allowMissingColumns=True)
+
+
+@query("expand_answer", _answers_sql(""", one AS (SELECT * FROM answers ORDER BY n_items DESC, question_id LIMIT 1)
+SELECT question_id, intent, 0 AS item_no, text FROM one
+UNION ALL SELECT question_id, intent, item_no, items.text FROM one JOIN items USING (list_id)"""))
+def q_expand_answer(spark, d):
+    """One question's answer in full: the one with the longest list."""
+    answers, items = _answers(spark, d)
+    one = answers.orderBy(F.col("n_items").desc(), "question_id").limit(1)
+    return QU.expand_answers(one, items)
+
+
 # --- cache and keys ------------------------------------------------------------------
 
 KEY_SQL = "SELECT doc_id, source, sha256('explain' || text || lang) AS content_key FROM documents"
@@ -307,7 +328,7 @@ def q_parse_second_opinions(spark, d):
   CASE WHEN parsed_ok THEN confidence ELSE 0.25 END AS confidence,
   CASE WHEN parsed_ok THEN confidence_explanation ELSE 'score-only confidence' END AS confidence_explanation,
   CASE WHEN parsed_ok THEN factor ELSE '' END AS factor,
-  CASE WHEN parsed_ok THEN recommendation ELSE 'Review manually.' END AS recommendation
+  CASE WHEN parsed_ok THEN recommendation ELSE {_lit(E.NO_REPLY_ADVICE)} END AS recommendation
 FROM ({PARSED_SQL}) p JOIN ({OPINIONS_SQL}) o ON o.reply_id = p.reply_id""")
 def q_fallback_explanations(spark, d):
     p = (_parsed(spark, d).withColumn("error", F.lit("reply was not JSON")).withColumn("score", F.lit(0.25))

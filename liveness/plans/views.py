@@ -74,7 +74,7 @@ def explanations(spark: SparkSession, d: str) -> DataFrame:
     base = li.select(
         eid.alias("entity_id"), summary.alias("summary"), risk.alias("risk_level"),
         F.lit("score-only confidence").alias("confidence_explanation"),
-        F.lit("").alias("llm_reasoning"), F.lit("Review manually.").alias("recommendation"),
+        F.lit("").alias("llm_reasoning"), F.lit("see its callers").alias("recommendation"),
         F.when(F.col("l_discount") >= 0.075, "remove").otherwise("review").alias("action"),
         xai.alias("xai_json"), F.col("l_shipdate").alias("timestamp"), F.col("l_returnflag").alias("_rf"))
     first = base.withColumn("id", F.col("entity_id") * 2)
@@ -219,7 +219,7 @@ VIEW_SQL = {
         'entity fn_' || CAST(l_partkey AS VARCHAR) || ' reviewed' AS summary,
         CASE WHEN l_linestatus = 'O' THEN 'High' ELSE 'Low' END AS risk_level,
         'score-only confidence' AS confidence_explanation, '' AS llm_reasoning,
-        'Review manually.' AS recommendation,
+        'see its callers' AS recommendation,
         CASE WHEN l_discount >= 0.075 THEN 'remove' ELSE 'review' END AS action,
         CASE WHEN l_returnflag = 'R' AND l_linenumber = 3 THEN '{not json'
              ELSE '{"summary": "entity fn_' || CAST(l_partkey AS VARCHAR) || ' reviewed", "risk_level": "'
@@ -304,7 +304,8 @@ def with_views(body: str, *names: str) -> str:
 
     for n in names:
         add(n)
-    ctes = ",\n".join(f"{n} AS ({VIEW_SQL[n]})" for n in ordered)
+    kept = lambda n: "MATERIALIZED " if n in CORPUS_SQL else ""  # noqa: E731  read several times each
+    ctes = ",\n".join(f"{n} AS {kept(n)}({VIEW_SQL[n]})" for n in ordered)
     stripped = body.lstrip()
     if stripped[:4].upper() == "WITH":
         return f"WITH {ctes},\n{stripped[4:]}"

@@ -8,9 +8,9 @@ from conftest import SMALL
 
 PYTHON_NODES = ("BatchEvalPython", "ArrowEvalPython", "MapInArrow", "PythonMapInArrow", "MapInPandas",
                 "FlatMapGroupsInPandas", "PythonUDF")
-# queries whose plan legitimately contains the Arrow extraction pass (or that only
-# read back a staged extraction / a written sink)
-USES_PARSER = {"analyze_corpus", "extract_entities", "extract_calls", "call_counts_corpus",
+# queries whose plan legitimately contains the Arrow extraction pass or the name automata (or that
+# only read back a staged extraction / a written sink)
+USES_PARSER = {"analyze_corpus", "analyze_corpus_texts", "symbol_named_in_text", "answer_questions", "expand_answer", "extract_entities", "extract_calls", "call_counts_corpus",
                "cyclomatic_complexity", "class_method_count", "dynamic_call_risk", "entity_snippet",
                "parse_errors", "stream_score_files", "append_analysis", "project_summary_of_run"}
 
