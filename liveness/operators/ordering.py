@@ -13,8 +13,14 @@ whole group inside one task when it only needs a few rows of it.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from bisect import bisect_left, bisect_right
+from dataclasses import dataclass
+from functools import reduce
+from itertools import accumulate
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
 from .. import constants as K
 
@@ -83,13 +89,64 @@ def recent_chat(chats: DataFrame, n: int = K.RECENT_CHATS) -> DataFrame:
     return newest(chats, n)
 
 
+#: Pages up to this row come from a top-n; deeper ones from an index.
+SHALLOW = 10_000
+
+
+@dataclass
+class PageIndex:
+    """A table written in order, in ranges, with the number of rows before each range."""
+    spark: SparkSession
+    path: str
+    schema: StructType
+    starts: list[int]  # rows before each range, and all rows last
+
+    def page(self, page: int, per_page: int = 10) -> DataFrame:
+        """The rows of one page, in order. Only the ranges that hold some of them are read."""
+        lo = max((page - 1) * per_page, 0)
+        hi = min(lo + per_page, self.starts[-1])
+        if lo >= hi:
+            return self.spark.createDataFrame([], self.schema)
+        first, last = bisect_right(self.starts, lo) - 1, bisect_left(self.starts, hi) - 1
+        held = [f"{self.path}/__pi_range={k}" for k in range(first, last + 1) if self.starts[k] < self.starts[k + 1]]
+        fields = [*self.schema.fields, StructField("__pi_row", LongType()), StructField("__pi_range", IntegerType())]
+        rows = self.spark.read.schema(StructType(fields)).option("basePath", self.path).parquet(*held)
+        at = F.element_at(F.array(*[F.lit(s).cast("long") for s in self.starts[first:last + 1]]), F.col("__pi_range") - first + 1)
+        # per range, so that the reader can skip its row groups
+        inside = reduce(lambda x, y: x | y, [(F.col("__pi_range") == k) & (F.col("__pi_row") >= lo - self.starts[k])
+                                             & (F.col("__pi_row") < hi - self.starts[k]) for k in range(first, last + 1)])
+        return rows.where(inside).orderBy(at + F.col("__pi_row")).select(*self.schema.names)
+
+
+def page_index(df: DataFrame, order: list, partitions: int | None = None) -> PageIndex:
+    """Sort a table once and write it in ranges of ``order`` (a total order, else rows that tie are in any
+    order), so that any page of it can be read alone. The driver holds one number per range."""
+    from ..session import new_stage_path
+    spark = df.sparkSession
+    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    path = new_stage_path(spark, "pages")
+    row = F.monotonically_increasing_id() - F.shiftleft(F.spark_partition_id().cast("long"), 33)
+    (df.repartitionByRange(n, *_order(order)).withColumn("__pi_range", F.spark_partition_id())
+     .sortWithinPartitions("__pi_range", *_order(order)).withColumn("__pi_row", row)
+     .write.partitionBy("__pi_range").parquet(path))
+    written = spark.read.schema(StructType([StructField("__pi_range", IntegerType())])).parquet(path)
+    sizes = {r["__pi_range"]: r["count"] for r in written.groupBy("__pi_range").count().collect()}
+    return PageIndex(spark, path, df.schema, [0, *accumulate(sizes.get(k, 0) for k in range(n))])
+
+
 def paginate(df: DataFrame, order: list, page: int, per_page: int = 10,
              group: str | None = None) -> DataFrame:
-    """Rows (page-1)*per_page ... of the ordered table (or of each group)."""
+    """Rows (page-1)*per_page ... of the ordered table (or of each group). For several pages of one
+    table, or deep ones, make a ``page_index`` once."""
     start = (page - 1) * per_page
     if group is None:
+        if start + per_page > SHALLOW:
+            return page_index(df, order).page(page, per_page)
         return df.orderBy(*_order(order)).offset(start).limit(per_page)
-    top = top_n_per_group(df, [group], order, start + per_page, rank_col="row_no")
+    if start + per_page > SHALLOW:
+        top = positions_within(df, group, _order(order), out="row_no").where(F.col("row_no") <= start + per_page)
+    else:
+        top = top_n_per_group(df, [group], order, start + per_page, rank_col="row_no")
     return top.where(F.col("row_no") > start)
 
 

@@ -1,11 +1,12 @@
 """Line-level operators on source text: regex symbol extraction and line-range removal.
 
 Both work per row on arrays (split -> filter/transform -> join): a file is never
-exploded into per-line rows that would have to be grouped back together."""
+exploded into per-line rows that would have to be grouped back together. Line ranges are
+merged by windows before they meet the text."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # FIXED VALUES: line-anchored symbol patterns per language (list order matters: the
@@ -60,25 +61,34 @@ def regex_symbols(files: DataFrame, path: str = "rel_path", content: str = "cont
     (pattern order, position). Patterns are applied line by line, so a ``\\s`` that
     would cross a line break in a whole-text match does not.
 
-    One pass per file: every line yields one struct per pattern slot (a CASE on the
-    language picks the literal pattern), the per-line arrays are flattened and empty
-    or too-short names filtered out inside the row before a single explode."""
+    One pass per file: a line is first tested against its language's patterns at once; only
+    those that match yield one struct per pattern slot (a CASE on the language picks the literal
+    pattern), and only the symbols that are left after that get their snippet."""
     n = max(len(v) for v in SYMBOL_PATTERNS.values())
     base = files.select(path, F.split(F.col(content), "\n", -1).alias("_lines"),
                         pattern_language(language).alias("_lang"))
 
-    def per_line(ln, i):
-        slots = []
-        for k in range(n):
-            name, kind = _slot_extract(ln, F.col("_lang"), k)
-            slots.append(F.struct(F.lit(k).alias("pattern_no"), F.coalesce(name, F.lit("")).alias("name"),
-                                  kind.alias("kind"), (i + 1).alias("start_line"), F.regexp_replace(ln, r"(?U)^\s+|\s+$", "").alias("snippet")))
-        return F.array(*slots)
+    def worth(x: Column) -> Column:
+        test = None
+        for lg, pats in SYMBOL_PATTERNS.items():
+            hit = x["line"].rlike("|".join(p for p, _ in pats))
+            test = F.when(F.col("_lang") == lg, hit) if test is None else test.when(F.col("_lang") == lg, hit)
+        return test
 
-    found = F.filter(F.flatten(F.transform("_lines", per_line)),
-                     lambda s: F.length(s["name"]) >= MIN_NAME_LENGTH)
+    def slots(x: Column) -> Column:
+        found = []
+        for k in range(n):
+            name, kind = _slot_extract(x["line"], F.col("_lang"), k)
+            found.append(F.struct(F.lit(k).alias("pattern_no"), F.coalesce(name, F.lit("")).alias("name"),
+                                  kind.alias("kind"), x["no"].alias("start_line"), x["line"].alias("line")))
+        return F.array(*found)
+
+    numbered = F.transform("_lines", lambda ln, i: F.struct(ln.alias("line"), (i + 1).alias("no")))
+    base = base.withColumn("_hits", F.filter(numbered, worth))
+    found = F.filter(F.flatten(F.transform("_hits", slots)), lambda s: F.length(s["name"]) >= MIN_NAME_LENGTH)
     out = base.select(path, F.explode(found).alias("_m")).select(
-        path, "_m.name", "_m.kind", "_m.pattern_no", "_m.start_line", "_m.snippet")
+        path, "_m.name", "_m.kind", "_m.pattern_no", "_m.start_line",
+        F.regexp_replace("_m.line", r"(?U)^\s+|\s+$", "").alias("snippet"))
     if dedupe:
         out = first_seen_symbols(out, path)
     return out
@@ -90,25 +100,33 @@ def first_seen_symbols(symbols: DataFrame, path: str = "rel_path") -> DataFrame:
     return first_seen(symbols, [path, "name"], ["pattern_no", "start_line"])
 
 
-def _merged(ranges: Column, n_lines: Column, extra: int) -> Column:
-    """Sorted, clipped, overlapping or adjacent (s, e) ranges folded into one sequence of
-    disjoint ones; linear after the sort."""
-    clipped = F.transform(ranges, lambda r: F.struct(F.greatest(r["s"], F.lit(1)).alias("s"),
-                                                     F.least(r["e"] + extra, n_lines).alias("e")))
-    sorted_ = F.array_sort(F.filter(clipped, lambda r: r["s"] <= r["e"]))
-    none = F.array().cast("array<struct<s:int,e:int>>")
+#: Start lines of one block, in which ranges are first merged.
+MERGE_BLOCK = 1 << 14
+
+
+def _islands(ranges: DataFrame, keys: list[str]) -> DataFrame:
+    """Overlapping or adjacent (s, e) of each group folded into one: a range begins an island if it starts
+    behind all ends before it (a running maximum)."""
+    before = Window.partitionBy(*keys).orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
+    upto = Window.partitionBy(*keys).orderBy("s").rowsBetween(Window.unboundedPreceding, 0)
+    begins = F.coalesce(F.col("s") > F.max("e").over(before) + 1, F.lit(True)).cast("int")
+    return (ranges.withColumn("_begins", begins).withColumn("_island", F.sum("_begins").over(upto))
+            .groupBy(*keys, "_island").agg(F.min("s").alias("s"), F.max("e").alias("e")).drop("_island"))
+
 
-    def fold(acc: Column, r: Column) -> Column:
-        open_ = acc["open"]
-        joins = r["s"] <= open_["e"] + 1
-        grown = F.struct(open_["s"].alias("s"), F.greatest(open_["e"], r["e"]).alias("e"))
-        return (F.when(open_.isNull(), F.struct(acc["done"].alias("done"), r.alias("open")))
-                .when(joins, F.struct(acc["done"].alias("done"), grown.alias("open")))
-                .otherwise(F.struct(F.array_append(acc["done"], open_).alias("done"), r.alias("open"))))
+def merged_ranges(ranges: DataFrame, path: str = "path", start: str = "start_line", end: str = "end_line",
+                  extra_lines: int = 0, block: int = MERGE_BLOCK) -> DataFrame:
+    """(path, s, e): the disjoint stretches that the 1-based inclusive ranges of each file cover, ``extra_lines`` after
+    each range included. A null start is line 1, a null end the last line; empty ranges cover nothing.
 
-    start = F.struct(none.alias("done"), F.lit(None).cast("struct<s:int,e:int>").alias("open"))
-    return F.aggregate(sorted_, start, fold, lambda acc: F.when(acc["open"].isNull(), acc["done"]).otherwise(
-        F.array_append(acc["done"], acc["open"])))
+    Ranges that start at one line become one where they lie (a partial aggregate), so a file has at
+    most as many rows as start lines; these are merged in blocks of start lines, and what is left in one more
+    pass over the file's islands."""
+    end_at = F.least(F.col(end).cast("long") + extra_lines, F.lit(1 << 40))
+    r = ranges.select(F.col(path).alias("_path"), F.greatest(F.col(start).cast("long"), F.lit(1)).alias("s"),
+                      F.coalesce(end_at, F.lit(1 << 40)).alias("e")).where("s <= e")
+    r = r.groupBy("_path", "s").agg(F.max("e").alias("e")).withColumn("_block", F.floor(F.col("s") / block))
+    return _islands(_islands(r, ["_path", "_block"]).drop("_block"), ["_path"]).withColumnRenamed("_path", path)
 
 
 def remove_line_ranges(files: DataFrame, ranges: DataFrame, path: str = "path",
@@ -119,19 +137,21 @@ def remove_line_ranges(files: DataFrame, ranges: DataFrame, path: str = "path",
     Returns (path, new_content, removed_lines). ``extra_lines=1`` reproduces the editor
     behaviour: the line after the range goes too, and when the deletion reaches the end
     of the text the newline before it stays (the text keeps a final line break).
-    A file's distinct ranges are merged inside its row and the text between them is sliced
+    Ranges are merged before they meet the text (``merged_ranges``); the disjoint ones, half as many as
+    the file has lines at most, are collected beside it and the text between them is sliced
     out, so the work is linear in lines plus ranges."""
-    rp = ranges.select(F.col(path).alias("_path"), F.col(start).cast("int").alias("s"), F.col(end).cast("int").alias("e")) \
-        .distinct().groupBy("_path").agg(F.collect_list(F.struct("s", "e")).alias("_ranges"))
-    j = files.join(rp, F.col(path) == F.col("_path"), "left")
+    cuts = (merged_ranges(ranges, path, start, end, extra_lines).withColumnRenamed(path, "_path").groupBy("_path")
+            .agg(F.array_sort(F.collect_list(F.struct("s", "e"))).alias("_ranges")))
+    j = files.join(cuts, F.col(path) == F.col("_path"), "left")
     j = j.withColumn("_lines", F.split(F.col(content), "\n", -1)).withColumn("_n", F.size("_lines"))
-    given = F.coalesce(F.col("_ranges"), F.array().cast("array<struct<s:int,e:int>>"))
-    j = j.withColumn("_cut", _merged(given, F.col("_n"), extra_lines))
+    given = F.coalesce(F.col("_ranges"), F.array().cast("array<struct<s:bigint,e:bigint>>"))
+    j = j.withColumn("_cut", F.transform(F.filter(given, lambda r: r["s"] <= F.col("_n")), lambda r: F.struct(
+        r["s"].cast("int").alias("s"), F.least(r["e"], F.col("_n").cast("long")).cast("int").alias("e"))))
     # kept stretches: before the first cut, between cuts, after the last
     froms = F.concat(F.array(F.lit(1)), F.transform("_cut", lambda r: r["e"] + 1))
     tos = F.concat(F.transform("_cut", lambda r: r["s"] - 1), F.array(F.col("_n")))
-    kept = F.flatten(F.zip_with(froms, tos, lambda a, b: F.slice(F.col("_lines"), a, F.greatest(b - a + 1, F.lit(0)))))
-    j = j.withColumn("_kept", kept)
+    j = j.withColumn("_stretches", F.filter(F.arrays_zip(froms.alias("a"), tos.alias("b")), lambda x: x["a"] <= x["b"]))
+    j = j.withColumn("_kept", F.flatten(F.transform("_stretches", lambda x: F.slice(F.col("_lines"), x["a"], x["b"] - x["a"] + 1))))
     out = F.col("_kept")
     if extra_lines > 0:
         last_removed = F.coalesce(F.try_element_at(F.col("_cut"), F.lit(-1))["e"] >= F.col("_n"), F.lit(False))

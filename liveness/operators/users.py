@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions.text import short_hash_id
@@ -23,15 +23,23 @@ def migrate_columns(df: DataFrame) -> DataFrame:
     return df.withColumnsRenamed(mapping) if mapping else df
 
 
-def import_users(existing: DataFrame, legacy: DataFrame, order: str) -> tuple[DataFrame, DataFrame]:
+def import_users(existing: DataFrame, legacy: DataFrame, order: str) -> tuple[DataFrame, Observation]:
     """Upsert legacy (name, email) rows into ``existing`` keyed by the short hash of the
     e-mail; later rows win (legacy over existing, then by ``order``). Returns
-    (users, imported_count) where imported_count counts legacy rows before de-dup."""
-    new = legacy.select(short_hash_id("email").alias("user_id"), "name", "email",
-                        F.lit(True).alias("active"), F.lit(1).alias("_src"), F.col(order).alias("_ord"))
+    (users, observation): once the users have been written, ``imported(observation)`` is the number of
+    legacy rows before de-dup, counted in the same pass."""
+    seen = Observation("legacy")
+    new = legacy.observe(seen, F.count(F.lit(1)).alias("rows")).select(
+        short_hash_id("email").alias("user_id"), "name", "email",
+        F.lit(True).alias("active"), F.lit(1).alias("_src"), F.col(order).alias("_ord"))
     old = existing.select("user_id", "name", "email", "active", F.lit(0).alias("_src"),
                           F.lit(None).cast(new.schema["_ord"].dataType).alias("_ord"))
     from .ordering import latest_per_key
     # max over (source, order): legacy rows beat existing ones, later lines beat earlier
     users = latest_per_key(old.unionByName(new), ["user_id"], ["_src", "_ord"]).drop("_src", "_ord")
-    return users, legacy.agg(F.count(F.lit(1)).alias("imported"))
+    return users, seen
+
+
+def imported(seen: Observation) -> int:
+    """The number of legacy rows; waits for the first action on the users."""
+    return seen.get.get("rows", 0)

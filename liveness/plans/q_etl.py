@@ -9,7 +9,7 @@ from ..functions import clean as C
 from ..functions import text as T
 from ..operators import ordering, rollups
 from ..operators import users as U
-from ..session import table
+from ..session import materialize, table
 from . import views as V
 from .registry import query, snap_sql
 
@@ -108,6 +108,12 @@ def q_paginate(spark, d):
         .withColumn("row_no", F.col("row_no").cast("long"))
 
 
+@query("paginate_deep", W("""SELECT * FROM code_entities ORDER BY id LIMIT 10 OFFSET 4990""", "code_entities"))
+def q_paginate_deep(spark, d):
+    """Page 500 of all entities by id, from a seek index: only the range that holds it is read."""
+    return ordering.page_index(V.code_entities(spark, d), ["id"]).page(500, 10)
+
+
 @query("mask_email", W("""SELECT user_id, CASE WHEN NOT contains(email, '@') THEN '***'
   ELSE substr(split_part(email, '@', 1), 1, 2) || '***@' || substr(email, strpos(email, '@') + 1) END AS masked
 FROM users""", "users"))
@@ -178,5 +184,6 @@ def q_import_users(spark, d):
     existing = u.where(F.col("nation") < 12).select(T.short_hash_id("email").alias("user_id"), "name", "email",
                                                     "active")
     legacy = U.parse_legacy_csv(_legacy_lines(spark, d), order="line_no")
-    users, imported = U.import_users(existing, legacy, "line_no")
-    return users.crossJoin(imported)  # one row
+    users, seen = U.import_users(existing, legacy, "line_no")
+    users = materialize(users, "users")
+    return users.withColumn("imported", F.lit(U.imported(seen)).cast("long"))

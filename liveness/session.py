@@ -119,6 +119,31 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(p)
 
 
+def replace_path(spark: SparkSession, path: str, target: str) -> None:
+    """Move a folder to ``target``, in place of what is there."""
+    p, fs = file_system(spark, path)
+    t, _ = file_system(spark, target)
+    fs.delete(t, True)
+    if not fs.rename(p, t):
+        raise OSError(f"could not rename {path} to {target}")
+
+
+def names_in(spark: SparkSession, folder: str) -> list[str]:
+    """Names inside a folder of any Hadoop file system; none if it does not exist."""
+    p, fs = file_system(spark, folder)
+    return [st.getPath().getName() for st in fs.listStatus(p)] if fs.exists(p) else []
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    """A small file."""
+    p, fs = file_system(spark, path)
+    stream = fs.open(p)
+    try:
+        return spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
 def put_if_absent(spark: SparkSession, path: str, text: str) -> bool:
     """Create a small file with ``text``; False, and nothing changed, if there is one already. The
     file system refuses the second of two writers."""

@@ -40,7 +40,7 @@ def test_reasons_and_texts(spark):
                   T.explanation_text("name", "confidence").alias("e")).first()
     assert len(r.d) == 8 and r.a == []
     assert "'old'" in r.d[6]          # first marker in list order, not position
-    assert "80%" in r.s and r.e.endswith("[score 80 of 100]")
+    assert r.s == "danger 80/100 _old_temp -> remove" and r.e.endswith("[score 80 of 100]")
 
 
 def test_reference_etl_cases(spark):
@@ -157,3 +157,30 @@ def test_stage_folder_is_required_on_a_cluster():
 
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         S.stage_root(Session())
+
+
+def test_a_million_ranges_of_one_file_merge_like_the_definition(spark):
+    from liveness.operators import source_text as ST
+    import random
+    rnd = random.Random(9)
+    n = 3000
+    ranges = [("f", s, s + rnd.choice([0, 0, 1, 2, 40, -1])) for s in (rnd.randint(-3, n + 5) for _ in range(1500))] + [("g", None, 2), ("g", 5, None)]
+    files = spark.createDataFrame([("f", "\n".join(f"l{i}" for i in range(1, n + 1))), ("g", "a\nb\nc\nd\ne\nf"), ("h", None)], "path string, content string")
+    df = spark.createDataFrame(ranges, "path string, start_line int, end_line int")
+    for extra in (0, 1):
+        gone = {x for _, s, e in ranges[:1500] for x in range(max(s, 1), min(e + extra, n) + 1)}
+        stretches = ST.merged_ranges(df.where("path = 'f'"), extra_lines=extra, block=64).orderBy("s").collect()
+        assert {x for r in stretches for x in range(r.s, min(r.e, n) + 1) if x <= n} == gone
+        assert all(a.e + 1 < b.s for a, b in zip(stretches, stretches[1:]))
+        got = {r.path: r for r in ST.remove_line_ranges(files, df, extra_lines=extra).collect()}
+        assert got["f"].new_content.rstrip("\n").split("\n") == [f"l{i}" for i in range(1, n + 1) if i not in gone]
+        assert got["f"].removed_lines == len(gone)
+    assert ST.remove_line_ranges(files, df).where("path = 'g'").first().new_content == "c\nd"
+    # a million ranges: every second line of two million
+    import time
+    big = spark.createDataFrame([("f", "\n".join(map(str, range(2_000_000))))], "path string, content string")
+    many = spark.range(1_000_000).select(F.lit("f").alias("path"), (F.col("id") * 2 + 1).alias("start_line"), (F.col("id") * 2 + 1).alias("end_line"))
+    began = time.time()
+    row = ST.remove_line_ranges(big, many).select("removed_lines", F.substring("new_content", 1, 7).alias("head")).first()
+    assert row.removed_lines == 1_000_000 and row.head == "1\n3\n5\n7"
+    assert time.time() - began < 60

@@ -3,6 +3,7 @@ holding a third of all rows."""
 
 import random
 
+import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -74,33 +75,53 @@ def test_running_sums_equal_window(spark):
     assert sorted(map(tuple, got)) == sorted(map(tuple, exp))
 
 
-def test_hot_name_is_split_in_the_feature_join(spark):
-    """A third of all entities under one name: no partition of the join is above twice the median."""
-    from liveness.operators.joins import attach_usage
-    from liveness.operators.rollups import callee_usage
+def _attach(kind, entities, calls):
+    from liveness.operators import joins, rollups
+    if kind == "attach_usage":
+        return joins.attach_usage(entities, rollups.callee_usage(calls))
+    if kind == "attach_call_count":
+        return joins.attach_call_count(entities, rollups.call_counts(calls))
+    return joins.attach_test_usage(entities, rollups.test_called_names(calls))
+
+
+@pytest.mark.parametrize("kind", ["attach_usage", "attach_call_count", "attach_test_usage"])
+def test_hot_name_is_split_in_the_feature_joins(spark, kind):
+    """A third of all entities under one name: no partition of the join is above twice the median. AQE's own
+    splitting is off, so that the joins are judged as they are written."""
     from liveness.session import materialize
-    keep = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.advisoryPartitionSizeInBytes",
-                                           "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes",
-                                           "spark.sql.adaptive.skewJoin.skewedPartitionFactor", "spark.sql.shuffle.partitions")}
+    keep = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.skewJoin.enabled",
+                                           "spark.sql.adaptive.coalescePartitions.enabled", "spark.sql.shuffle.partitions")}
     try:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
         spark.conf.set("spark.sql.shuffle.partitions", "16")
-        spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "1m")
-        spark.conf.set("spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes", "1m")
-        spark.conf.set("spark.sql.adaptive.skewJoin.skewedPartitionFactor", "1.5")
+        spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "false")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
         ids = spark.range(0, 900_000, 1, 16)
         name = F.when(F.col("id") % 3 == 0, F.lit("__init__")).otherwise(F.concat(F.lit("f"), (F.col("id") % 5000).cast("string")))
         entities = materialize(ids.select("id", name.alias("name"), F.sha2(F.col("id").cast("string"), 256).alias("snippet")), "hot")
         calls = ids.limit(200_000).select(name.alias("callee"), (F.col("id") % 2 == 0).alias("in_test_file"))
-        out = attach_usage(entities, callee_usage(calls))
+        out = _attach(kind, entities, calls)
         rows = sorted(r["count"] for r in out.groupBy(F.spark_partition_id()).count().collect())
         assert sum(rows) == 900_000
         assert rows[-1] <= 2 * rows[len(rows) // 2]
+        plain = entities.join(_attach(kind, entities.select("name").distinct(), calls), "name")
+        assert out.select("id", *plain.columns[3:]).exceptAll(plain.select("id", *plain.columns[3:])).isEmpty()
     finally:
         for k, v in keep.items():
             spark.conf.set(k, v)
 
 
+def test_heavy_keys_and_null_keys(spark):
+    from liveness.operators.skew import heavy_keys, split_join
+    left = spark.range(60_000).select("id", F.when(F.col("id") % 3 == 0, "hot").when(F.col("id") % 3 == 1, None)
+                                      .otherwise(F.concat(F.lit("k"), F.col("id").cast("string"))).alias("k"))
+    assert heavy_keys(left, "k", 0.1) == ["hot"]
+    right = spark.createDataFrame([("hot", 1), ("k2", 2), ("k5", 3), (None, 4)], "r string, v int")
+    got = {r.v: r.n for r in split_join(left, right, "k", "r").groupBy("v").agg(F.count(F.lit(1)).alias("n")).collect()}
+    assert got == {1: 20_000, 2: 1, 3: 1, None: 39_998}
+    assert split_join(left.limit(0), right, "k", "r").count() == 0
+
+
 def test_a_repeated_name_meets_a_question_once(spark):
     """100,000 symbols of one file share eight names; the look-up's join gives at most eight rows a question."""
     from liveness.operators.joins import symbol_named_in_text
@@ -111,3 +132,56 @@ def test_a_repeated_name_meets_a_question_once(spark):
     got = {r.question_id: r.sym_entity_id for r in symbol_named_in_text(q, symbols).collect()}
     # the first by start line: the largest id with name3 or name5
     assert got == {1: 99_997, 2: None}
+
+
+def test_names_and_questions_of_a_hot_file_are_dealt_over_blocks(spark):
+    """Any dealing gives the definition: the first symbol whose lower-cased name is in the lower-cased text."""
+    from liveness.operators.joins import symbol_named_in_text
+    rnd = random.Random(6)
+    word = lambda: "".join(rnd.choices("abÄé_0", k=rnd.randint(1, 4)))
+    symbols = [("hot" if i % 3 else f"f{i % 5}", i, rnd.randrange(50), word() if i % 40 else rnd.choice(["", None]), [f"r{i}"]) for i in range(300)]
+    texts = [(i, "hot" if i % 3 else f"f{i % 7}", rnd.choice(["", None, " ".join(word() for _ in range(rnd.randint(0, 6))).upper()]))
+             for i in range(200)]
+    sym = spark.createDataFrame(symbols, "file_name string, entity_id long, start_line int, name string, reasons array<string>")
+    asked = spark.createDataFrame(texts, "question_id long, file_name string, text string")
+    want = {}
+    for i, file, text in texts:
+        found = sorted((line, e) for f, e, line, n, _ in symbols if n and f == file and text is not None and n.lower() in text.lower())
+        want[i] = found[0][1] if found else None
+    for block, chunk in ((100_000, 20_000), (7, 11)):
+        got = symbol_named_in_text(asked, sym, names_per_block=block, questions_per_chunk=chunk).collect()
+        assert {r.question_id: r.sym_entity_id for r in got} == want
+        assert all(r.sym_reasons == (None if r.sym_entity_id is None else [f"r{r.sym_entity_id}"]) for r in got)
+
+
+def test_a_text_is_read_once_whatever_the_names(spark):
+    """One text of two million characters and 20,000 names: linear, and no row but the answer."""
+    import time
+
+    from liveness.operators.joins import symbol_named_in_text
+    symbols = spark.range(20_000).select(F.lit("f").alias("file_name"), F.col("id").alias("entity_id"), F.lit(1).alias("start_line"),
+                                         F.concat(F.lit("name_"), F.lpad(F.col("id").cast("string"), 6, "0")).alias("name"))
+    text = "x" * 1_000_000 + " " + "name_00" * 140_000 + "name_001234 name_000777"
+    q = spark.createDataFrame([(1, "f", text)], "question_id long, file_name string, text string")
+    symbol_named_in_text(q.limit(0), symbols).collect()
+    began = time.time()
+    assert symbol_named_in_text(q, symbols).first().sym_entity_id == 777
+    assert time.time() - began < 30
+
+
+def test_lists_are_written_once_for_all_questions(spark):
+    """2,000 questions on one file of 3,000 symbols: rows are their sum, not their product."""
+    from liveness.operators.questions import answer_questions, expand_answers
+    results = spark.range(3000).select(F.lit("f").alias("file_name"), F.col("id").alias("entity_id"), F.concat(F.lit("fn_"), "id").alias("name"),
+                                       F.col("id").cast("int").alias("start_line"), (F.col("id") + 1).cast("int").alias("end_line"),
+                                       (F.col("id") / 3000).alias("confidence"))
+    kinds = ["is it safe to remove?", "why?", "summary", "explain fn_7 please", "how many dead?"]
+    asked = spark.createDataFrame([(i, "f" if i % 10 else "g", kinds[i % 5]) for i in range(2000)], "question_id long, file_name string, text string")
+    answers, items = answer_questions(asked, results)
+    sizes = {r.list_id: r.n for r in items.groupBy("list_id").agg(F.count(F.lit(1)).alias("n")).collect()}
+    assert {k.split("|")[0]: n for k, n in sizes.items() if not k.startswith("about")} == {"removable": 750, "symbols": 3000, "summary": 5}
+    got = {r.question_id: r for r in answers.collect()}
+    assert len(got) == 2000 and all(r.n_items == sizes.get(r.list_id, 0) for r in got.values())
+    assert got[10].list_id is None  # no results for that file
+    one = expand_answers(answers.where("question_id = 11"), items).orderBy("item_no").collect()
+    assert len(one) == 3001 and one[0].text.startswith("That symbol was not found") and one[1].text.startswith("fn_0 - 0%")
