@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -97,16 +98,65 @@ def _role(tag: str, attributes: str, inside: bool) -> tuple[str, str]:
     return "article" if article else "", called if tag not in ("body", "html", "main") else ""
 
 
-def lines(page: str) -> list[tuple[str, int, bool, int, tuple[str, ...]]]:
-    """(text, characters inside links, boilerplate, number of the outermost article or 0, words of
-    NAMES that the blocks around are called by) of every block with text, in page order. White
-    space is one blank; character references are decoded."""
-    out: list[tuple[str, int, bool, int, tuple[str, ...]]] = []
-    stack: list[tuple[str, str, str]] = []   # open elements, their roles and names
-    skip = article = link = part = 0
+#: A line: text, characters inside links, boilerplate, number of the outermost article or 0, and the innermost
+#: block around it that is called by a word of NAMES, as a place in the chain (0: none).
+Line = tuple[str, int, bool, int, int]
+
+
+class _Open:
+    """The open elements. What the parser asks of them is kept in counts and short lists, so that no question
+    walks the stack."""
+
+    def __init__(self):
+        self.stack: list[tuple[str, str, int]] = []   # name, role, place in the chain
+        self.chain: list[tuple[int, str]] = [(0, "")]  # named blocks: the one around, the word
+        self.count: Counter[str] = Counter()
+        self.skip = self.article = self.aside = 0      # skipped elements, articles, skipped ones of BOILERPLATE
+        self.flagged: list[int] = []                   # places in the stack of skipped or named elements
+
+    def push(self, tag: str, role: str, called: str) -> None:
+        around = self.stack[-1][2] if self.stack else 0
+        if role == "skip" or called:
+            self.flagged.append(len(self.stack))
+        if called:
+            self.chain.append((around, called))
+            around = len(self.chain) - 1
+        self.stack.append((tag, role, around))
+        self.count[tag] += 1
+        self.skip += role == "skip"
+        self.aside += role == "skip" and tag in BOILERPLATE
+        self.article += role == "article"
+
+    def close(self, i: int) -> None:
+        """Close the elements from place ``i`` on."""
+        while len(self.stack) > i:
+            tag, role, _ = self.stack.pop()
+            self.count[tag] -= 1
+            self.skip -= role == "skip"
+            self.aside -= role == "skip" and tag in BOILERPLATE
+            self.article -= role == "article"
+            if self.flagged and self.flagged[-1] == len(self.stack):
+                self.flagged.pop()
+
+    def close_tag(self, tag: str) -> None:
+        if self.count[tag]:  # a stray end tag closes nothing
+            i = len(self.stack) - 1
+            while self.stack[i][0] != tag:
+                i -= 1
+            self.close(i)
+
+
+def lines(page: str) -> tuple[list[Line], list[tuple[int, str]]]:
+    """The blocks with text, in page order, and the chain of named blocks: (place of the one around, word). White
+    space is one blank; character references are decoded. Linear in the page: each tag is read once, and
+    what is known not to follow is not looked for again."""
+    out: list[Line] = []
+    open_ = _Open()
+    part = linked = at = 0
     words: list[str] = []
-    linked = at = 0
-    state = (False, 0, ())
+    state = (False, 0, 0)
+    n, last_end = len(page), page.rfind(">")
+    unclosed: set[str] = set()  # skipped elements of which no end tag follows
 
     def flush() -> None:
         nonlocal linked
@@ -116,33 +166,36 @@ def lines(page: str) -> list[tuple[str, int, bool, int, tuple[str, ...]]]:
         words.clear()
         linked = 0
 
-    def close(i: int) -> None:
-        nonlocal skip, article, link
-        for name, role, _ in stack[i:]:
-            skip -= role == "skip"
-            article -= role == "article"
-            link -= name == "a"
-        del stack[i:]
-
     def say(raw: str) -> None:
         nonlocal linked, state
-        if raw and not any(n in SKIPPED for n, *_ in stack[-1:]):
-            state = (skip > 0, part if article else 0, tuple(c for *_, c in stack if c))
+        stack = open_.stack
+        if raw and not (stack and stack[-1][0] in SKIPPED):
+            state = (open_.skip > 0, part if open_.article else 0, stack[-1][2] if stack else 0)
             text = html.unescape(raw)
             words.append(text)
-            if link:
+            if open_.count["a"]:
                 linked += len(text.strip())
 
-    n = len(page)
+    def end_of(tag: str, stop: str = "") -> int | None:
+        """Where the next end tag of ``tag`` ends."""
+        if tag in unclosed:
+            return None
+        m = re.compile(rf"</{tag}\b[^>]*>{stop}", re.I).search(page, at, last_end + 1)
+        if m is None:
+            unclosed.add(tag)
+        return m and m.end()
+
     while at < n:
         lt = page.find("<", at)
         if lt < 0:
             say(page[at:])
             break
-        m = _TAG.match(page, lt) or _LOOSE.match(page, lt)
-        if m is None:  # a bare "<" is text
-            say(page[at:lt + 1])
-            at = lt + 1
+        m = _TAG.match(page, lt) or _LOOSE.match(page, lt) if lt < last_end or page.startswith("<!--", lt) else None
+        if m is None:  # a bare "<" is text, and so is all of what follows the last ">"
+            later = -1 if lt < last_end else page.find("<!--", lt)  # an unclosed comment may still follow
+            to = lt + 1 if lt < last_end else later if later >= 0 else n
+            say(page[at:to])
+            at = to
             continue
         say(page[at:lt])
         at = m.end()
@@ -154,29 +207,21 @@ def lines(page: str) -> list[tuple[str, int, bool, int, tuple[str, ...]]]:
         elif tag == "br":
             words.append(" ")
         if m.group(1):
-            i = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), None)
-            if i is not None:
-                close(i)
+            open_.close_tag(tag)
         elif tag in RAW:
-            end = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at)
-            at = end.end() if end else n
+            at = end_of(tag) or n
         elif tag in SKIPPED:
-            end = re.compile(rf"</{tag}\b[^>]*>" + ("|(?=<body\\b)" if tag == "head" else ""), re.I).search(page, at)
-            at = end.end() if end else at
+            at = end_of(tag, "|(?=<body\\b)" if tag == "head" else "") or at
         elif tag not in VOID and not m.group(3).rstrip().endswith("/"):
-            role, called = _role(tag, m.group(3), article > 0)
-            if tag == "p" and stack and stack[-1][0] == "p":
-                close(len(stack) - 1)
-            if role == "article" and not called and not any(r == "skip" and t in BOILERPLATE for t, r, _ in stack):
-                # an unclosed notice does not swallow the article that follows it
-                close(next((i for i, (_, r, c) in enumerate(stack) if r == "skip" or c), len(stack)))
-            stack.append((tag, role, called))
-            skip += role == "skip"
-            part += role == "article" and not article
-            article += role == "article"
-            link += tag == "a"
+            role, called = _role(tag, m.group(3), open_.article > 0)
+            if tag == "p" and open_.stack and open_.stack[-1][0] == "p":
+                open_.close(len(open_.stack) - 1)
+            if role == "article" and not called and not open_.aside and open_.flagged:
+                open_.close(open_.flagged[0])  # an unclosed notice does not swallow the article that follows it
+            part += role == "article" and not open_.article
+            open_.push(tag, role, called)
     flush()
-    return out
+    return out, open_.chain
 
 
 def _reach(weights: np.ndarray, window: int, least: int) -> np.ndarray:
@@ -198,12 +243,12 @@ def surges(weights: np.ndarray, window: int, least: int) -> np.ndarray:
 
 def main_text(page: str, window: int = WINDOW, least: int = SURGE) -> str:
     """The main text of a page: kept blocks joined by line feeds."""
-    found = lines(page)
+    found, chain = lines(page)
     if not found:
         return ""
     weight = np.array([0 if skip else (len(text) - linked) * (BONUS if article else 1)
                        for text, linked, skip, article, _ in found], np.int64)
-    skipped = _skipped(found, weight, window, least)
+    skipped = _skipped(found, chain, weight, window, least)
     part = np.array([0 if skip else article for (*_, article, _), skip in zip(found, skipped)])
     size = np.where(skipped, 0, weight)
     keep = surges(size, window, least)
@@ -220,25 +265,31 @@ def main_text(page: str, window: int = WINDOW, least: int = SURGE) -> str:
     return "\n".join(t for (t, *_), k in zip(found, keep) if k)
 
 
-def _skipped(found: list[tuple[str, int, bool, int, tuple[str, ...]]], weight: np.ndarray, window: int, least: int) -> np.ndarray:
+def _skipped(found: list[Line], chain: list[tuple[int, str]], weight: np.ndarray, window: int, least: int) -> np.ndarray:
     """Flags of boilerplate lines. A name is let go if the text of the blocks called by it surges and
     outweighs the surges of the rest; for NEVER ones, if nothing else surges."""
     skipped = np.array([skip for _, _, skip, _, _ in found])
-    names = [called for *_, called in found]
-    if not any(names):
+    place = np.array([at for *_, at in found])
+    if not place.any():
         return skipped
-    free = np.array([not called for called in names])
+    free = place == 0
     text_of = lambda lines: np.where(lines & ~skipped, weight, 0)
     surging = lambda size: int(size[surges(size, window, least)].sum())
     rest = surging(text_of(free))
-    own = {c: surging(text_of(np.array([x[-1:] == (c,) for x in names]))) for c in sorted({x[-1] for x in names if x})}
+    called = np.array([word for _, word in chain])[place]
+    own = {c: surging(text_of(called == c)) for c in sorted(set(called[~free].tolist()))}
     none = not text_of(free).any()  # then short texts count too
     gone = set()
     for c in sorted(own, key=lambda c: (c in NEVER, -own[c])):
         if own[c] and (rest == 0 if c in NEVER else own[c] > rest) or none and not rest and c not in NEVER:
             gone.add(c)
             rest += own[c]
-    return skipped | np.array([not gone.issuperset(called) for called in names])
+    # a block counts if it and all named ones around it are let go; the chain lists outer ones first
+    counts = [True] * len(chain)
+    for i in range(1, len(chain)):
+        around, word = chain[i]
+        counts[i] = word in gone and counts[around]
+    return skipped | ~np.array(counts)[place]
 
 
 def _dives(weights: np.ndarray, window: int) -> np.ndarray:

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -48,14 +49,24 @@ DIGITS = {"zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four":
 AT_WORDS = ("at", "arroba", "arobase", "ät")
 DOT_WORDS = ("dot", "punkt", "punto", "point")
 
+#: Last labels of domains before which a bare "at" may be that of an address.
+DOMAINS = frozenset("com org net edu gov info biz io dev app ai co uk de fr es it nl eu ch at be pl se us ca au in jp br".split())
+#: Words that announce an address.
+_CUE = re.compile(r"(?:e-?mail|mail|contact|write|reach|address|adresse|correo|kontakt)[\w ]{0,6}[\s:=]+$", re.I)
+
 _AT, _DOT, _DIGIT = "|".join(AT_WORDS), "|".join(DOT_WORDS), "|".join(DIGITS)
 _BRACKET_AT = re.compile(rf"\s*(?:[\[({{<]\s*(?:{_AT}|@)\s*[\])}}>]|&#0*64;|&#x0*40;|&commat;|%40)\s*", re.I)
 _BRACKET_DOT = re.compile(rf"\s*(?:[\[({{<]\s*(?:{_DOT}|\.)\s*[\])}}>]|&#0*46;|&#x0*2e;|&period;)\s*", re.I)
 _WORD_AT = re.compile(rf"\s+(?:{_AT})\s+|@", re.I)
 _WORD_DOT = re.compile(rf"\s+(?:{_DOT})\s+", re.I)
 _DOMAIN = re.compile(rf"[A-Za-z0-9-]+(?:(?:\s+(?:{_DOT})\s+|\.)[A-Za-z0-9-]+)+", re.I)
-_SPELLED = re.compile(rf"(?<![A-Za-z0-9])(?:plus[\s-]+)?(?:{_DIGIT})(?:[\s,-]+(?:{_DIGIT}|{_DOT}))*[\s,-]+(?:{_DIGIT})(?![A-Za-z0-9])", re.I)
-_TOKEN = re.compile(r"[a-z]+", re.I)
+#: A number of spelled and written digits, with spelled dots between them.
+_SPELLED = re.compile(rf"(?<![A-Za-z0-9])(?:plus[\s-]+)?(?:{_DIGIT}|[0-9]++)(?:[\s,-]+(?:{_DIGIT}|{_DOT}|[0-9]++))*[\s,-]+(?:{_DIGIT}|[0-9]++)(?![A-Za-z0-9])", re.I)
+_TOKEN = re.compile(r"[a-z]+|[0-9]+", re.I)
+#: Spelled digits that make a number one that is rewritten; or three spelled dots, as an address has.
+_LEAST_SPELLED, _LEAST_DOTS = 2, 3
+#: A bare "at" before something like a domain.
+_MAYBE_AT = re.compile(rf"[A-Za-z0-9._%+-]\s+(?:{_AT})\s+[A-Za-z0-9-]+\.[A-Za-z]".encode(), re.I)
 #: Cheap signs (lower-case) that words above may occur. "one" and "oh" alone spell no identifier.
 _HINTS = [w.encode() for w in (*DOT_WORDS, "two", "three", "four", "five", "six", "seven", "eight", "nine", "zero")]
 
@@ -148,12 +159,19 @@ def _brackets(r: Rewritten) -> None:
 def _digits(r: Rewritten) -> None:
     edits = []
     for m in _SPELLED.finditer(r.text):
-        at = m.start()
-        for t in _TOKEN.finditer(r.text, m.start(), m.end()):
-            word = t.group().lower()
-            # a digit takes the separators before it along, so that neighbours stand together
-            edits.append((at, t.end(), "+" if word == "plus" else DIGITS.get(word, ".")))
-            at = t.end()
+        tokens = [(t.start(), t.end(), t.group().lower()) for t in _TOKEN.finditer(r.text, m.start(), m.end())]
+        if (sum(w in DIGITS for *_, w in tokens) < _LEAST_SPELLED) and sum(w in DOT_WORDS for *_, w in tokens) < _LEAST_DOTS:
+            continue
+        at, before = m.start(), ""
+        for start, end, word in tokens:
+            if word.isdigit():
+                # written digits keep what is between them; after a word they follow at once
+                if before and not before.isdigit() and at < start:
+                    edits.append((at, start, ""))
+            else:
+                # a digit takes the separators before it along, so that neighbours stand together
+                edits.append((at, end, "+" if word == "plus" else DIGITS.get(word, ".")))
+            at, before = end, word
     r.edit(edits)
 
 
@@ -180,9 +198,21 @@ def _local_dots(text: str, at: int) -> list[tuple[int, int]]:
         at = before
 
 
+def _plain_at(text: str, at: int, host: re.Match) -> bool:
+    """Is the bare "at" at ``at`` that of an address: before a known domain, and after a name of several
+    parts or with a digit, or after a word that announces an address?"""
+    if host.group().rpartition(".")[2].lower() not in DOMAINS:
+        return False
+    left = at
+    while left and text[left - 1] in _LOCAL:
+        left -= 1
+    name = text[left:at]
+    return bool(re.search(r"[A-Za-z0-9][._+-][A-Za-z0-9]|[0-9]", name)) or bool(_CUE.search(text, max(0, left - 24), left))
+
+
 def _words(r: Rewritten) -> None:
-    """"name at host dot tld": a bare "at" counts only before a domain with a spelled dot,
-    or after a name with one."""
+    """"name at host dot tld": a bare "at" counts before a domain with a spelled dot, after a name with
+    one, or between a name and a domain that look like an address (``_plain_at``)."""
     edits, done = [], 0
     for m in _WORD_AT.finditer(r.text):
         if m.start() <= done or r.text[m.start() - 1] not in _LOCAL:
@@ -192,7 +222,7 @@ def _words(r: Rewritten) -> None:
             continue
         right = [d.span() for d in _WORD_DOT.finditer(r.text, host.start(), host.end())]
         left = [d for d in _local_dots(r.text, m.start()) if d[0] >= done]
-        if right or left:
+        if right or left or m.group() != "@" and _plain_at(r.text, m.start(), host):
             edits += [(*d, ".") for d in left] + [(*m.span(), "@")] + [(*d, ".") for d in right]
             done = host.end()
     r.edit(edits)
@@ -212,7 +242,10 @@ def disguised(text: str, plain: list[tuple[str, int, int]], looks: bool, signs:
     if r.text == text:
         return []
     found = {(k, r.start[s], r.end[e - 1]) for k, s, e in identifiers(r.text)}
-    return [(k, s, e) for k, s, e in found if not any(k == p and a <= s and e <= b for p, a, b in plain)]
+    # the plain ones of a kind are apart and in sequence, so one of them alone can hold a span
+    begins = {k: [s for p, s, _ in plain if p == k] for k in KINDS}
+    ends = {k: [e for p, _, e in plain if p == k] for k in KINDS}
+    return [(k, s, e) for k, s, e in found if not ((i := bisect_right(begins[k], s)) and e <= ends[k][i - 1])]
 
 
 # ------------------------------------------------------------------ over a table
@@ -232,11 +265,11 @@ def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         full = np.flatnonzero(np.diff(off))
         if len(full):
             marks[full] = np.bitwise_or.reduceat(_MARK[data], off[full])
-        plain, every, counts = [], [], np.zeros((n, 4), np.int64)
+        plain, every, total, counts = [], [], [], np.zeros((n, 4), np.int64)
         for i in range(n):
             raw = data[off[i]:off[i + 1]].tobytes()
             low = raw.lower()
-            hints = any(h in low for h in _HINTS)
+            hints = any(h in low for h in _HINTS) or _MAYBE_AT.search(raw) is not None
             base, more = [], []
             if marks[i] or hints:
                 text = raw.decode()
@@ -248,14 +281,16 @@ def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             plain.append(",".join(f"{k}:{s}:{e}" for k, s, e in base))
             both = sorted({*base, *more}, key=lambda x: (KINDS.index(x[0]), x[1], x[2]))
             every.append(",".join(f"{k}:{s}:{e}" for k, s, e in both))
+            total.append(len(both))
         yield pa.RecordBatch.from_arrays(
-            [piece.column(0), *(pa.array(counts[:, k]) for k in range(4)), pa.array(plain, pa.string()), pa.array(every, pa.string())],
-            names=["id", "n_email", "n_ip", "n_card", "n_phone", "base", "spans"])
+            [piece.column(0), *(pa.array(counts[:, k]) for k in range(4)), pa.array(plain, pa.string()), pa.array(every, pa.string()),
+             pa.array(total, pa.int64())],
+            names=["id", "n_email", "n_ip", "n_card", "n_phone", "base", "spans", "n_all"])
 
 
 def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: ``<id_col>``, counts of plain identifiers (n_email, n_ip, n_card,
-    n_phone), ``base`` (their spans), ``spans`` (all spans, disguised ones too).
+    n_phone), ``base`` (their spans), ``spans`` (all spans, disguised ones too), ``n_all`` (how many those are).
 
     Spans are ``kind:start:end`` in code points of the source text, end exclusive, by kind as
     listed, then start, comma-joined. A null or empty text has none; null ids stay; repeated
@@ -263,5 +298,5 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     whole, one pass, no shuffle."""
     return (docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
             .withColumn("id", F.col("id").cast("long"))
-            .mapInArrow(_find, "id long, n_email long, n_ip long, n_card long, n_phone long, base string, spans string")
+            .mapInArrow(_find, "id long, n_email long, n_ip long, n_card long, n_phone long, base string, spans string, n_all long")
             .withColumnRenamed("id", id_col))

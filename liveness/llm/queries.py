@@ -115,7 +115,7 @@ def op7(spark, d):
 @query("op8_personal_data")
 def op8(spark, d):
     found = personal_data(table(spark, d, "documents"))
-    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base", 256).alias("base_sha256"), "spans")
+    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base", 256).alias("base_sha256"), "spans", "n_all")
 
 
 def _matches_sql(pattern: str, kind: str, group: int = 0, keep: str = "true") -> str:
@@ -143,24 +143,27 @@ base AS ({_matches_sql(_ASSIGN, 'assign', 2, 'len(v[i]) >= 12')} UNION ALL {_mat
 bare AS ({_matches_sql('[A-Za-z0-9+/_.=-]{20,}', 'bare', 0, "regexp_full_match(m[i], '[A-Za-z0-9+/_-]+')")}),
 cand AS (SELECT DISTINCT rid, "from", "end", value, owner, repository
   FROM (SELECT * FROM base UNION ALL SELECT * FROM bare WHERE regexp_matches(value, '[0-9]') AND regexp_matches(value, '[A-Za-z]')) JOIN d USING (rid)),
-held AS (SELECT value, count(DISTINCT owner) AS owners FROM cand GROUP BY value),
-more AS (SELECT rid, CASE WHEN owners >= 3 THEN 'copied' ELSE 'live' END AS kind, "from" AS "start", "end" FROM cand JOIN held USING (value)
-  WHERE owners >= 3 OR owners = 1 AND len(value) >= 12 AND len(list_distinct(string_split(value, ''))) >= 8 AND regexp_matches(value, '[0-9]')
+held AS (SELECT value, count(DISTINCT owner) AS owners, count(DISTINCT repository) AS repositories FROM cand GROUP BY value),
+more AS (SELECT rid, CASE WHEN owners >= 3 THEN 'copied' ELSE 'live' END AS kind, "from" AS "start", "end", owners, repositories
+  FROM cand JOIN held USING (value)
+  WHERE owners >= 3 OR owners = 1 AND repositories <= 2 AND len(value) >= 12 AND len(list_distinct(string_split(value, ''))) >= 8 AND regexp_matches(value, '[0-9]')
     AND regexp_matches(value, '[A-Za-z]') AND NOT regexp_matches(value, '{PLACEHOLDER}')),
-every AS (SELECT rid, kind, "start", "end" FROM base UNION ALL SELECT * FROM more),
+every AS (SELECT rid, kind, "start", "end" FROM base UNION ALL SELECT rid, kind, "start", "end" FROM more),
+told AS (SELECT rid, string_agg(kind || ':' || "start" || ':' || "end" || ':' || owners || ':' || repositories, ',' ORDER BY "start", kind, "end") AS held
+  FROM more GROUP BY rid),
 spans AS (SELECT rid, {_TEXT_OF.format("")} AS spans, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access,
   count(*) FILTER (kind = 'hex') AS n_hex, count(*) FILTER (kind = 'copied') AS n_copied, count(*) FILTER (kind = 'live') AS n_live FROM every GROUP BY rid),
 plain AS (SELECT rid, {_TEXT_OF.format("")} AS base FROM base GROUP BY rid)
 SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
-  sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_copied, 0) AS n_copied, coalesce(n_live, 0) AS n_live
-FROM d LEFT JOIN spans USING (rid) LEFT JOIN plain USING (rid)"""
+  sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_copied, 0) AS n_copied, coalesce(n_live, 0) AS n_live,
+  coalesce(held, '') AS held FROM d LEFT JOIN spans USING (rid) LEFT JOIN plain USING (rid) LEFT JOIN told USING (rid)"""
 
 
 @query("op1_secret_scan", _OP1)
 def op1(spark, d):
     repository = F.concat_ws("/", F.coalesce("source", F.lit("")), F.coalesce("lang", F.lit("")))
     found = secret_scan(table(spark, d, "documents"), owner="source", repository=repository)
-    return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base", 256).alias("base_sha256"), "spans", "n_copied", "n_live")
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base", 256).alias("base_sha256"), "spans", "n_copied", "n_live", "held")
 
 
 @query("op3_html_main_text")

@@ -1,3 +1,5 @@
+import time
+
 import numpy as np
 import pytest
 
@@ -96,3 +98,13 @@ def test_names_are_compared_whole():
 def test_a_name_holds_beside_a_larger_story():
     page = f"<div>{STORY}</div><div class=sidebar><p>{LONG}?</p></div><section class=comment-list>{STORY * 3}</section>"
     assert H.main_text(page) == "\n".join([LONG] * 4)
+
+
+@pytest.mark.parametrize("page,kept", [
+    ("<p>x</p>" + "<a " * 1_600_000, "x"), ("<div>" * 100_000 + "x", "x"), ("<div>" * 50_000 + "</span>" * 100_000 + "x", "x"),
+    ("<div class=sidebar>y" * 100_000, "y"), ("<article>y" * 100_000, "y"), ("<button>" * 200_000 + "x", ""), ("<a '" * 500_000 + ">x", ""),
+])
+def test_odd_pages_of_megabytes_take_seconds(page, kept):
+    began = time.time()
+    assert H.main_text(page).startswith(kept)
+    assert time.time() - began < 15

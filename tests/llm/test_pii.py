@@ -1,5 +1,6 @@
 import random
 import re
+import time
 
 import pytest
 from hypothesis import given, settings
@@ -56,13 +57,21 @@ def spans(text):
     ("card four one one one one one one one one one one one one one one one", "card",
      "four one one one one one one one one one one one one one one one"),
     ("card ４１１１ １１１１ １１１１ １１１１", "card", "４１１１ １１１１ １１１１ １１１１"),
+    ("write to jane.doe at example.com.", "email", "jane.doe at example.com"),
+    ("contact jane at mail.example.org, please", "email", "jane at mail.example.org"),
+    ("server 192 dot 168 dot 1 dot 1 is up", "ip", "192 dot 168 dot 1 dot 1"),
+    ("host 10 dot zero dot 0 dot seven end", "ip", "10 dot zero dot 0 dot seven"),
+    ("pay four one one one 1111 1111 1111 with it", "card", "four one one one 1111 1111 1111"),
+    ("pay 4111 one one one one, 1111 1111 with it", "card", "4111 one one one one, 1111 1111"),
+    ("call +49 three 0 one 234567 now", "phone", "+49 three 0 one 234567"),
 ])
 def test_disguises_map_back_to_source(text, kind, source):
     assert (kind, source) in spans(text)
 
 
 @pytest.mark.parametrize("text", ["meet me at noon dot", "look at example.com", "one two three", "five at six (at) seven", "plain a@b.c text",
-                                  "the dot at the end", "für Größe und Ärger at point", "[dot] (at)"])
+                                  "the dot at the end", "see v at example.com", "it is 3 dot 5 at best",
+                                  "pick one 12 or 3", "in 2019 one at 5", "für Größe und Ärger at point", "[dot] (at)"])
 def test_nothing_is_added(text):
     assert spans(text) == set()
 
@@ -86,6 +95,14 @@ def test_table(spark):
     assert P.personal_data(docs(spark, [])).count() == 0
 
 
+def test_many_addresses_take_linear_time():
+    text = "jane.doe@example.com x1 at example.org, " * 50_000
+    began = time.time()
+    plain = P.identifiers(text)
+    assert len(plain) == 50_000 and len(P.disguised(text, plain, True, True, True)) == 50_000
+    assert time.time() - began < 20
+
+
 def test_long_runs_take_linear_time():
     text = "a" * 300_000 + "@" + "1" * 300_000 + " one" * 50_000
     P.disguised(text, P.identifiers(text), True, True, True)

@@ -1,7 +1,9 @@
 import random
 import re
+import time
 
 import pytest
+from pyspark.sql import functions as F
 
 from liveness.llm import secrets as S
 
@@ -44,7 +46,7 @@ def test_ownership_separates_copied_from_live(spark):
     data = [(1, f"token={LIVE}", "en", "a", 1), (2, f"secret: {LIVE}", "en", "a", 1)]
     data += [(10 + i, f"token={COPIED} and token={SHARED if i < 2 else 'short-and-plain-word'}", "en", f"s{i}", 1) for i in range(4)]
     got = {r.doc_id: r for r in S.secret_scan(docs(spark, data)).collect()}
-    assert got[1].spans == "assign:0:22,live:6:22" and got[2].n_live == 1
+    assert got[1].spans == "assign:0:22,live:6:22" and got[2].n_live == 1 and got[1].held == "live:6:22:1:1"
     assert got[10].n_copied == 1 and got[10].n_live == 0          # two owners: neither copied nor live
     assert "copied:6:22" in got[13].spans and got[13].n_live == 0  # a plain word is no credential
 
@@ -63,6 +65,24 @@ def test_hot_value_and_counts(spark):
     assert S.secret_scan(df).where("n_copied = 1").count() == 600
 
 
+def test_repositories_decide_too(spark):
+    """One owner's value in many of its repositories is no stray key; in two it may be."""
+    data = [(i, f"token={LIVE}", f"l{i % 2}", "a", 1) for i in range(4)] + [(10 + i, f"token={COPIED}", f"l{i}", "a", 1) for i in range(3)]
+    got = {r.doc_id: r for r in S.secret_scan(docs(spark, data), repository=F.concat("source", "lang")).collect()}
+    assert all(got[i].n_live == 1 and got[i].held == "live:6:22:1:2" for i in range(4))
+    assert all(got[10 + i].n_live == 0 and got[10 + i].spans == got[10 + i].base for i in range(3))
+
+
+def test_a_long_text_of_many_matches(spark):
+    """5 MB with 200,000 matches: offsets right, in time that grows with the text."""
+    value = "0123456789abcdef"
+    texts = [(n, f"{value} x-yz q " * n, "en", "a", 1) for n in (255, 256, 257, 200_000)]
+    began = time.time()
+    for r in S.secret_scan(docs(spark, texts)).collect():
+        assert r.n_hex == r.doc_id and r.base == ",".join(f"hex:{24 * i}:{24 * i + 16}" for i in range(r.doc_id))
+    assert time.time() - began < 60
+
+
 def test_empty(spark):
     assert S.secret_scan(docs(spark, [])).count() == 0
 
