@@ -57,6 +57,9 @@ def _lowest(owner: int, owners: int) -> int:
     return -(-(owner << FINGERPRINT_BITS) // owners)
 
 
+#: Fingerprints that an owner holds at once, about (8 bytes each, and a few arrays of them).
+OWNER_ROWS = 1 << 22
+
 # ------------------------------------------------------------------ the three sides of the exchange
 
 _SENT = pa.schema([("row_id", pa.int64()), ("id", pa.int64()), ("digest", pa.binary()), ("block", pa.int64()),
@@ -131,14 +134,14 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     rows that repeat an id and text exactly one stays. An empty table gives no rows. Other
     columns, whatever their names, are not read.
 
-    ``owners``: fingerprint ranges, as many as shuffle partitions by default; an owner
-    receives at most (rows / owners) fingerprints of distinct texts per sender, however
-    often one text is copied, as senders send each fingerprint once. The only step that
+    ``owners``: fingerprint ranges, by default one for each ``OWNER_ROWS`` rows, and as many as shuffle
+    partitions at least; so what one of them holds at once does not grow with the table. However often one text
+    is copied, a sender sends its fingerprint once. The only step that
     moves texts is the verification, after a partial aggregation that leaves one copy of a
     text per task."""
     spark = docs.sparkSession
-    owners = owners or shuffle_partitions(spark)
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    owners = owners or max(shuffle_partitions(spark), -(-source.count() // OWNER_ROWS))
     schema = "row_id long, id long, digest binary, block long, owner int, ord int, twice boolean, k int, code binary"
     binary = source.select("id", F.col("text").cast("binary").alias("text"))
     sent = stage(binary.mapInArrow(_send(owners), schema), "fingerprints")
