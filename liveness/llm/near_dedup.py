@@ -274,7 +274,7 @@ def _confirm(pairs: DataFrame, classes: DataFrame, source: DataFrame, width: int
     close = (pairs.join(a, "a").join(b, "b")
              .where((F.col("na") * 100 >= F.col("nb") * percent) & (F.col("nb") * 100 >= F.col("na") * percent))
              .select("a", "b", "sa", "sb").mapInArrow(_near, "a long, b long"))
-    close = stage(close, "close", n)
+    close = stage(close, "close")  # compared in as many tasks as there are partitions
     both = close.select(F.col("a").alias("cid")).unionByName(close.select(F.col("b").alias("cid"))).distinct()
     sets = _sets_of(both, classes, source, width, 2 * n)
     met = (close.join(sets.select(F.col("cid").alias("a"), F.col("shingles").alias("x")), "a")
@@ -318,7 +318,7 @@ def _components_of(shared: DataFrame, classes: DataFrame, source: DataFrame, wid
                      .join(classes.select("cid", "sig"), "cid")
                      .select(*_PART, "sig"))
             part = stage(dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-                         .mapInArrow(_taking_part(percent), _PART_SQL), "part", n)
+                         .mapInArrow(_taking_part(percent), _PART_SQL), "part")
             sets = _sets_of(part.select("cid").distinct(), classes, source, width, part.count())
             late = (part.join(classes.select("cid", "sig"), "cid").join(sets, "cid").repartition("key", "i", "j")
                     .sortWithinPartitions("key", "i", "j").mapInArrow(_linked_in_groups(percent), "a long, b long"))
@@ -335,7 +335,7 @@ def _components_of(shared: DataFrame, classes: DataFrame, source: DataFrame, wid
                  .select(F.greatest("cid", "other").alias("a"), F.least("cid", "other").alias("b")))
         pairs = stage(pairs.distinct().join(tested, ["a", "b"], "left_anti"), "pairs", n)
         n_pairs = pairs.count()
-        links = stage(_confirm(pairs, classes, source, width, percent), "links", _WIDE * n_pairs)
+        links = stage(_confirm(pairs, classes, source, width, percent), "links")
         n_links = links.count()
         if n_links:
             stars = found.select(F.col("node").alias("a"), F.col("root").alias("b"))
