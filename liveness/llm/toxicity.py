@@ -16,7 +16,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ALPHANUMERIC, _BYTE, _P, SLICE_BYTES, Shared, Words, bounded, mix, runs_hash, stage, text_slices, words
+from .common import (ALPHANUMERIC, _BYTE, _P, SLICE_BYTES, Shared, Words, bounded, join_by_count, mix, runs_hash, stage, text_slices,
+                     words)
 
 #: Chain and calibration are fitted to this many labelled documents of each label at most (by
 #: hash of the id), of any length, and at most this many stretches of one document. Lexicon and scores read everything.
@@ -30,6 +31,8 @@ RATIO, WEAK_RATIO = 30.0, 5.0
 STRETCH = 24
 #: Words in sequence that tell the copies of a text.
 RUN = 5
+#: Strong features of the model at most, and weak ones at most: those that set most documents apart.
+LEXICON = 1 << 16
 #: Features a task counts before it hands them on.
 COUNTED = 1 << 20
 #: Text bytes whose chains are run side by side in a task.
@@ -157,26 +160,51 @@ def _groups(w: Words) -> np.ndarray:
 def _copies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for piece in text_slices(batches, "text"):
         group = _groups(words(piece.column(2), ALPHANUMERIC))
-        yield pa.RecordBatch.from_arrays([piece.column(1), pa.array(group.view(np.int64))], names=["y", "group"])
+        yield pa.RecordBatch.from_arrays([piece.column(0), piece.column(1), pa.array(group.view(np.int64))], names=["lid", "y", "group"])
 
 
-def _counted(copied, known=None, strong=None):
-    """(feature, documents with it) of the texts of a task; a text with c copies counts 1 / c.
-    ``known``: only these features; ``strong``: only texts without two tokens that have one of those."""
+def weighted(texts: DataFrame) -> DataFrame:
+    """(lid, weight): a text with c copies of its label counts 1 / c, so that copies count once together. An id on
+    several rows has the mean of their weights. Copies are counted and joined by Spark, a hot group apart."""
+    rows = stage(texts.mapInArrow(_copies, "lid long, y int, group long")
+                 .withColumn("copy", F.xxhash64("y", "group")), "copies")
+    counts = stage(rows.groupBy("copy").agg(F.count(F.lit(1)).alias("n"), F.count(F.lit(1)).cast("double").alias("c")), "copy-counts")
+    return stage(join_by_count(rows, counts, "copy", "n").groupBy(F.col("lid").alias("wid")).agg(F.avg(1 / F.col("c")).alias("weight")), "weights")
+
+
+class Filter:
+    """Bits of features, by 27 bits of their hash: passes all that were put in and few others. 16 MB whatever
+    the number of features; what passes wrongly is left out by a join later."""
+
+    BITS = 27
+
+    def __init__(self, features: DataFrame):
+        place = F.shiftrightunsigned("feature", 64 - self.BITS)
+        bits = features.select(F.bitmap_bucket_number(place).alias("bucket"), F.bitmap_bit_position(place).alias("bit")) \
+            .groupBy("bucket").agg(F.bitmap_construct_agg("bit").alias("bits"))
+        self.bits = np.zeros(1 << (self.BITS - 3), np.uint8)
+        for bucket, raw in zip(*(c.to_pylist() for c in bits.toArrow().columns)):  # 4,097 rows of 4 KB at most
+            # bucket k holds the values 32768 * (k - 1) + 1 to 32768 * k, by position from 0
+            at = (32768 * (bucket - 1) + 1 + np.flatnonzero(np.unpackbits(np.frombuffer(raw, np.uint8), bitorder="little"))) if bucket else np.zeros(1, np.int64)
+            np.bitwise_or.at(self.bits, at >> 3, (1 << (at & 7)).astype(np.uint8))
+
+    def passes(self, f: np.ndarray) -> np.ndarray:
+        place = (f >> np.uint64(64 - self.BITS)).astype(np.int64)
+        return (self.bits[place >> 3] >> (place & 7).astype(np.uint8)) & 1 == 1
+
+
+def _counted(known=None, strong=None):
+    """(feature, weight of the documents with it) of the texts of a task. ``known``: a filter of features; ``strong``:
+    only texts without two tokens that have one of those."""
     def merged(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         k, at = np.unique(np.concatenate(keys), return_inverse=True)
         return k, np.bincount(at, np.concatenate(counts), minlength=len(k))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, times = copied.value
         keys, counts, size = [], [], 0
         for piece in text_slices(batches, "text"):
             w = words(piece.column(2), ALPHANUMERIC)
-            f, owner, weight = features(w), w.owner, np.ones(piece.num_rows)
-            if len(group):
-                g = _groups(w)
-                at = np.searchsorted(group, g).clip(max=len(group) - 1)
-                weight = np.where(group[at] == g, 1 / times[at], weight)
+            f, owner, weight = features(w), w.owner, piece.column(3).to_numpy(zero_copy_only=False)
             if strong is not None:
                 held = Model(strong.value).index(f).min(axis=1, initial=len(strong.value)) < len(strong.value)
                 left = np.bincount(owner[held], minlength=piece.num_rows) < 2
@@ -184,7 +212,7 @@ def _counted(copied, known=None, strong=None):
             for column in f.T:  # the word, then each beginning: their hashes differ
                 ok = column != 0
                 if known is not None:
-                    ok &= Model(known.value).index(column) < len(known.value)
+                    ok &= known.value.passes(column)
                 _, one = np.unique(mix(column[ok]) ^ mix(owner[ok].astype(np.uint64) + np.uint64(1)), return_index=True)
                 if len(one):
                     k, n = merged([column[ok][one]], [weight[owner[ok][one]]])
@@ -206,40 +234,37 @@ def _pairs(keys: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(counts)], names=["feature", "n"])
 
 
-def _lexicon(texts: DataFrame) -> np.ndarray:
+def _lexicon(texts: DataFrame, size: int) -> np.ndarray:
     """Features that toxic documents share and clean ones lack, counted by Spark over all of
-    ``texts`` (lid, y, text)."""
-    context = texts.sparkSession.sparkContext
-    kinds = stage(texts.mapInArrow(_copies, "y int, group long").groupBy("y", "group").agg(F.count(F.lit(1)).alias("n")), "copies")
-    sizes = {r.y: r.n for r in kinds.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
+    ``texts`` (lid, y, text): of those, the ``size`` that set most documents apart. The counts stay in Spark; the
+    driver sees a filter of fixed size and the features it returns."""
+    spark = texts.sparkSession
+    weights = weighted(texts)
+    sizes = {r.y: r.n for r in texts.select("lid", "y").join(bounded(weights), F.col("lid") == F.col("wid"))
+             .groupBy("y").agg(F.sum("weight").alias("n")).collect()}
     none = np.zeros(0, np.uint64)
     if not sizes.get(0) or not sizes.get(1):
         return none
-    copied = {}
-    for y in (0, 1):
-        t = kinds.where((F.col("y") == y) & (F.col("n") > 1)).select("group", "n").toArrow()
-        g = _unsigned(t.column("group"))
-        copied[y] = context.broadcast((np.sort(g), t.column("n").to_numpy()[np.argsort(g)].astype(float)))
+    rows = texts.join(bounded(weights), F.col("lid") == F.col("wid")).select("lid", "y", "text", "weight")
 
     def counts(y: int, **only) -> DataFrame:
-        return (texts.where(F.col("y") == y).mapInArrow(_counted(copied[y], **only), "feature long, n double")
+        return (rows.where(F.col("y") == y).mapInArrow(_counted(**only), "feature long, n double")
                 .groupBy("feature").agg(F.sum("n").alias("n")))
 
     often = F.col("n") > SUPPORT - 1e-6  # the shares of copies do not add up to the last digit
     toxic = stage(counts(1).where(often), "toxic-features")
-    known = context.broadcast(np.sort(_unsigned(toxic.select("feature").toArrow().column(0))))
     ratio = (F.col("n") / sizes[1]) / ((F.coalesce("m", F.lit(0.0)) + 0.5) / sizes[0])
-    clean = counts(0, known=known).withColumnRenamed("n", "m")
-    found = (toxic.join(clean, "feature", "left").withColumn("ratio", ratio).where(F.col("ratio") >= WEAK_RATIO)
-             .select("feature", "ratio").toArrow())
-    weak, high = _unsigned(found.column("feature")), found.column("ratio").to_numpy() >= RATIO
-    keys = np.sort(weak[high])
+    clean = counts(0, known=Shared(spark, Filter(toxic))).withColumnRenamed("n", "m")
+    apart = (F.round(F.col("n") * F.log("ratio"), 6).desc(), "feature")
+    found = stage(toxic.join(clean, "feature", "left").withColumn("ratio", ratio).where(F.col("ratio") >= WEAK_RATIO), "lexicon")
+    keys = np.sort(_unsigned(found.where(F.col("ratio") >= RATIO).orderBy(*apart).limit(size).select("feature").toArrow().column(0)))
     # weaker features only for toxic texts that have no two tokens with a strong one
-    rest = context.broadcast(np.sort(weak[~high]))
-    if not len(rest.value):
+    rest = found.where(F.col("ratio") < RATIO)
+    if rest.isEmpty():
         return keys
-    more = counts(1, known=rest, strong=context.broadcast(keys)).where(often).select("feature").toArrow()
-    return np.union1d(keys, _unsigned(more.column(0)))
+    more = counts(1, known=Shared(spark, Filter(rest)), strong=Shared(spark, keys)).where(often).select("feature")
+    weak = rest.join(more, "feature", "left_semi").orderBy(*apart).limit(size).select("feature")
+    return np.union1d(keys, _unsigned(weak.toArrow().column(0)))
 
 
 def _stretches(w: Words, at: np.ndarray, tagged: np.ndarray, toxic: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -378,8 +403,8 @@ def _score(model):
 
 def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
           fit_rows: int = FIT_ROWS) -> Model:
-    """The lexicon from all labelled documents; chain and calibration from at most ``fit_rows`` of
-    each label, the first by hash of their id, whatever their length. Rows held out are never
+    """The lexicon from all labelled documents; chain and calibration from at most ``fit_rows`` texts of
+    each label, the first by hash of id and text, whatever their length. Rows held out are never
     read. Ids with both labels count as toxic; null labels are no labels. Without texts of both
     labels, nothing is toxic."""
     model = Model()
@@ -390,16 +415,18 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         return model
     source = docs.select(F.col(id_col).alias("lid"), F.col(text_col).cast("string").alias("text"))
     texts = source.join(bounded(marked), "lid").select("lid", "y", "text")
-    model.keys = _lexicon(texts)
-    present = stage(texts.select("lid", "y").distinct(), "labelled-documents")
+    model.keys = _lexicon(texts, LEXICON)
+    # rows, not ids: an id may be on any number of texts
+    present = stage(texts.select(F.col("lid").alias("cid"), "y", F.xxhash64("text").alias("text_hash")).distinct(), "labelled-documents")
     chosen = None
     for y in (0, 1):
-        part = present.where(F.col("y") == y).orderBy(F.xxhash64("lid"), "lid").limit(fit_rows)
+        part = present.where(F.col("y") == y).orderBy(F.xxhash64("cid", "text_hash"), "cid", "text_hash").limit(fit_rows)
         chosen = part if chosen is None else chosen.unionByName(part)
     chosen = stage(chosen, "sample")  # 2 * fit_rows rows at most
     if chosen.select("y").distinct().count() < 2:
         return model
-    sample = source.join(F.broadcast(chosen), "lid").select("lid", "y", "text")
+    sample = (source.join(F.broadcast(chosen), (F.col("lid") == F.col("cid")) & (F.xxhash64("text") == F.col("text_hash")))
+              .select("lid", "y", "text"))
     if len(model.keys):
         got = (sample.mapInArrow(_sampled(Shared(docs.sparkSession, model)), "lid long, at binary, label binary, exists binary")
                .distinct().toArrow().sort_by([(c, "ascending") for c in ("lid", "at", "label", "exists")]))

@@ -115,3 +115,40 @@ def test_rare_toxic_words_of_a_large_corpus(spark):
     labels = [(i, 1, int("scumbag" in t or "grumfel" in t)) for i, t, *_ in data]
     got = T.toxicity(docs(spark, data + [(20000, "plain text number 7 grumfel grumfel", "en", "a", 1)]), spark.createDataFrame(labels, LABELS))
     assert got.where("doc_id = 20000").first().predicted == 1
+
+
+def test_copies_count_once_together(spark):
+    copies = [(i, "the same toxic text of many copies here", "en", "a", 1) for i in range(40)]
+    other = [(100 + i, f"some text of its own number {i} indeed", "en", "a", 1) for i in range(3)]
+    texts = docs(spark, copies + other + [(200, None, "en", "a", 0)]).selectExpr("doc_id AS lid", "1 AS y", "text")
+    got = {r.wid: r.weight for r in T.weighted(texts).collect()}
+    assert all(got[i] == pytest.approx(1 / 40) for i in range(40)) and all(got[100 + i] == 1 for i in range(3))
+
+
+def test_filter_passes_what_was_put_in_and_little_else(spark):
+    r = np.random.default_rng(3)
+    put = np.concatenate([r.integers(0, 1 << 63, 5000, dtype=np.uint64) * np.uint64(2) + np.uint64(1), [np.uint64(0), np.uint64((1 << 64) - 1)]])
+    frame = spark.createDataFrame([(int(v),) for v in put.view(np.int64)], "feature long")
+    f = T.Filter(frame)
+    assert f.passes(put).all()
+    other = r.integers(0, 1 << 63, 200_000, dtype=np.uint64)
+    assert f.passes(other).mean() < 0.001
+
+
+def test_the_lexicon_is_bounded_by_a_parameter(spark):
+    data, labels = corpus()
+    y = {i: t for i, _, t in labels}
+    texts = spark.createDataFrame([(d[0], y[d[0]], d[1]) for d in data if d[0] in y], "lid long, y int, text string")
+    whole, few = T._lexicon(texts, 1000), T._lexicon(texts, 2)
+    assert 2 <= len(few) <= 4 and set(few) <= set(whole) and len(whole) > 4
+
+
+def test_an_id_on_many_texts_does_not_widen_the_sample(spark, monkeypatch):
+    """An id on 500 toxic texts: the fit sees no more than ``fit_rows`` texts of each label."""
+    data, labels = corpus()
+    many = [(7, f"{data[15][1]} grumfel n{i}", "en", "a", 1) for i in range(500)]
+    sizes = []
+    fit = T._logistic
+    monkeypatch.setattr(T, "_logistic", lambda x, y, **k: sizes.append(len(x)) or fit(x, y, **k))
+    T.learn(docs(spark, data + many), spark.createDataFrame(labels + [(7, 1, 1)], LABELS), fit_rows=50)
+    assert sizes[0] <= 100
