@@ -21,6 +21,6 @@ def test_appended_rows_all_come_back(spark):
     from liveness.plans.registry import QUERIES, load_all
     load_all()
     large = SMALL.replace("sf0.001", "sf0.01")
-    for name, source in (("append_chat_rows", V.chat_history), ("append_removals_rows", V.removal_logs)):
+    for name, source in (("append_chat", V.chat_history), ("append_removals", V.removal_logs)):
         back, want = QUERIES[name](spark, large), source(spark, large).count()
         assert want > 50 and back.count() == want and {"id", "timestamp"} <= set(back.columns)
