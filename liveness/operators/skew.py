@@ -15,14 +15,14 @@ SKETCH = 1 << 13
 
 
 def heavy_keys(rows: DataFrame, key: str, share: float | None = None) -> list:
-    """The keys that hold more than ``share`` of all rows (about; none above twice that is missed), nulls left
-    out. The default is half a shuffle partition's part. Frequent-items sketches of the tasks
+    """The keys that hold more than ``share`` of all rows (about; none above twice that is missed), None for
+    nulls. The default is half a shuffle partition's part. Frequent-items sketches of the tasks
     are merged: a bounded number of counters whatever the number of keys, and at most 2 / share keys come back."""
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     share = max(share or 1 / (2 * parts), 4 / SKETCH)
     top = rows.agg(F.expr(f"approx_top_k(`{key}`, {min(int(2 / share), SKETCH // 2)}, {SKETCH})").alias("top"),
                    F.count(F.lit(1)).alias("n")).first()
-    return [t["item"] for t in top["top"] or [] if t["item"] is not None and t["count"] > share * top["n"]]
+    return [t["item"] for t in top["top"] or [] if t["count"] > share * top["n"]]
 
 
 def split_join(left: DataFrame, right: DataFrame, left_key: str, right_key: str, heavy: list | None = None) -> DataFrame:
@@ -37,7 +37,9 @@ def split_join(left: DataFrame, right: DataFrame, left_key: str, right_key: str,
     if not heavy:
         return left.join(right, F.col(left_key) == F.col(right_key), "left")
     right = materialize(right, "right")
-    apart = F.coalesce(F.col(left_key).isin(heavy), F.lit(True))
-    hot = left.where(apart).join(F.broadcast(right.where(F.col(right_key).isin(heavy))), F.col(left_key) == F.col(right_key), "left")
-    cold = left.where(~apart).join(right.where(~F.col(right_key).isin(heavy)), F.col(left_key) == F.col(right_key), "left")
+    among = lambda c: F.col(c).isin([k for k in heavy if k is not None] or [None])  # noqa: E731  null for a null key, or if there is none
+    apart = F.col(left_key).isNull() | F.coalesce(among(left_key), F.lit(False))
+    same = F.col(left_key) == F.col(right_key)
+    hot = left.where(apart).join(F.broadcast(right.where(among(right_key))), same, "left")
+    cold = left.where(~apart).join(right.where(~F.coalesce(among(right_key), F.lit(False))), same, "left")
     return hot.unionByName(cold)

@@ -7,6 +7,9 @@ import os
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
@@ -86,8 +89,29 @@ def stage_root(spark: SparkSession) -> str:
     return _LOCAL_STAGE_ROOT
 
 
+_scratch: ContextVar[list[str] | None] = ContextVar("scratch", default=None)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Deletes, at its end, the stage folders that were made inside the block: for a job that has written its
+    results by then (``with scratch(spark): analyze_corpus(...)[0].write.parquet(...)``). What other
+    jobs of the session have staged stays."""
+    own: list[str] = []
+    token = _scratch.set(own)
+    try:
+        yield
+    finally:
+        _scratch.reset(token)
+        for path in own:
+            delete_path(spark, path)
+
+
 def new_stage_path(spark: SparkSession, name: str) -> str:
-    return f"{stage_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+    path = f"{stage_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+    if (own := _scratch.get()) is not None:
+        own.append(path)
+    return path
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:

@@ -128,3 +128,15 @@ def test_the_cache_is_filtered_where_it_is_read(spark):
     assert explanation_cache_miss(requests, cache).count() == 2000 - 200
     assert explanation_cache_miss(requests.limit(0), cache).count() == 0
     assert explanation_cache_miss(requests, cache.limit(0)).count() == 2000
+
+
+def test_a_job_deletes_what_it_has_staged(spark, tmp_path):
+    from liveness.session import materialize, scratch
+    other = materialize(spark.range(3), "other")
+    with scratch(spark):
+        inside = materialize(spark.range(5), "inside")
+        folder = inside.inputFiles()[0].removeprefix("file:").replace("//", "/").rsplit("/", 1)[0]
+        inside.write.parquet(str(tmp_path / "out"))
+        assert os.path.isdir(folder)
+    assert not os.path.exists(folder)
+    assert other.count() == 3 and spark.read.parquet(str(tmp_path / "out")).count() == 5

@@ -115,11 +115,16 @@ def test_heavy_keys_and_null_keys(spark):
     from liveness.operators.skew import heavy_keys, split_join
     left = spark.range(60_000).select("id", F.when(F.col("id") % 3 == 0, "hot").when(F.col("id") % 3 == 1, None)
                                       .otherwise(F.concat(F.lit("k"), F.col("id").cast("string"))).alias("k"))
-    assert heavy_keys(left, "k", 0.1) == ["hot"]
+    assert set(heavy_keys(left, "k", 0.1)) == {"hot", None}
     right = spark.createDataFrame([("hot", 1), ("k2", 2), ("k5", 3), (None, 4)], "r string, v int")
     got = {r.v: r.n for r in split_join(left, right, "k", "r").groupBy("v").agg(F.count(F.lit(1)).alias("n")).collect()}
     assert got == {1: 20_000, 2: 1, 3: 1, None: 39_998}
     assert split_join(left.limit(0), right, "k", "r").count() == 0
+    # nulls alone are hot: they meet nothing, and need no partition of their own
+    rest = left.where("k is null or k <> 'hot'")
+    assert heavy_keys(rest, "k", 0.1) == [None]
+    got = {r.v: r.n for r in split_join(rest, right, "k", "r", heavy=[None]).groupBy("v").agg(F.count(F.lit(1)).alias("n")).collect()}
+    assert got == {2: 1, 3: 1, None: 39_998}
 
 
 def test_a_repeated_name_meets_a_question_once(spark):
