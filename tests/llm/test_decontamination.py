@@ -3,8 +3,10 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from liveness.llm import decontamination as D
+from liveness.llm.common import stage
 
 from .cases import ROWS, clashing, docs, lower, rows
 
@@ -67,6 +69,47 @@ def test_many_candidates_are_compared_in_chunks(spark, monkeypatch):
     assert rows(got, *COLUMNS) == brute(data, items)
 
 
+def test_large_benchmark_with_hot_words_and_copies(spark):
+    """By shuffle: items of one frequent word, one window in every third document, and as many copies without an id."""
+    data, items = corpus(7)
+    passage = " ".join(f"p{i}" for i in range(14))
+    items = items + [(100, "the"), (101, "the the"), (102, passage), (103, passage), (104, f"{passage} never seen")]
+    data = data + [(1000 + i, f"the {passage} w{i % 7}", "en", "a", 1) for i in range(60)]
+    data = data + [(None, f"the the {passage}", "en", "a", 1)] * 60
+    got = D.contamination(docs(spark, data), spark.createDataFrame(items, ITEMS), block_words=1)
+    assert rows(got, *COLUMNS) == brute(data, items)
+
+
+def test_both_ways_give_the_same_spans(spark):
+    data, items = corpus(8)
+    few, many = (rows(D.contamination(docs(spark, data), spark.createDataFrame(items, ITEMS), block_words=n),
+                      "doc_id", "hit_starts", "hit_ends") for n in (1 << 18, 1))
+    assert few == many
+
+
+def test_a_hot_key_is_dealt_over_tasks(spark):
+    """Two thirds of all rows under one key: none is lost, and no part holds more than its share."""
+    left = stage(spark.range(9000).selectExpr("IF(id % 3 = 0, id, -1) AS k", "id AS row"), "left")
+    right = spark.createDataFrame([(-1, "a"), (-1, "b"), (3, "c"), (7, "d")], "k long, v string")
+    got = D.dealt_join(left, right, "k", F.col("row"), "left")
+    assert got.where("k = -1").groupBy("v").count().orderBy("v").collect() == [("a", 6000), ("b", 6000)]
+    assert got.where("k >= 0").count() == 3000 and got.where("v IN ('c', 'd')").count() == 1
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        sizes = [r.n for r in D.dealt_join(left, right, "k", F.col("row"), "left").groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert len(sizes) > 2 and max(sizes) < 12000
+
+
+def test_empty_tables_of_a_large_benchmark(spark):
+    item = spark.createDataFrame([(1, "some words that make one item")], ITEMS)
+    assert D.contamination(docs(spark, []), item, block_words=0).count() == 0
+    assert rows(D.contamination(docs(spark), item, block_words=0), *COLUMNS) == brute(ROWS, [(1, "some words that make one item")])
+
+
 def test_spans_are_word_offsets(spark):
     items = spark.createDataFrame([(1, "a b c d e f g h i j k")], ITEMS)
     got = D.contamination(docs(spark, [(1, "x A b C d e f g h i j k y", "en", "a", 1)]), items).first()
