@@ -2,7 +2,9 @@
 
 Token labels come from the document labels: words, or beginnings of words, that toxic
 documents share and clean ones lack mark the toxic tokens. A two-state chain (clean, toxic)
-is fitted to labelled stretches of tokens; over every whole text, forward-backward gives
+is fitted to labelled stretches of tokens; its features are a token's own and, for one that has any, the words
+beside it, so that a word may be toxic in one context and harmless in another. Marks that the fitted chain
+denies are taken back, all but the surest of a document, and the chain is fitted again. Over every whole text, forward-backward gives
 each token's probability of being toxic. Sum and maximum of these make the document's
 score, tokens of one half or more its offending spans."""
 
@@ -29,6 +31,11 @@ SUPPORT = 4
 #: ... and this many times as frequent there as in clean ones; less for texts without strong features.
 RATIO, WEAK_RATIO = 30.0, 5.0
 STRETCH = 24
+#: Values of the word before a marked token, and of the word after it (by hash); what they weigh costs this much more
+#: than other weights, so that a neighbour must be met often to count.
+CONTEXT, CONTEXT_PENALTY = 1 << 12, 0.5
+#: Times the chain is fitted at most; it ends when no mark is taken back.
+FITS = 3
 #: Words in sequence that tell the copies of a text.
 RUN = 5
 #: Strong features of the model at most, and weak ones at most: those that set most documents apart.
@@ -55,11 +62,23 @@ def features(w: Words) -> np.ndarray:
     return out
 
 
+def neighbours(w: Words, at: np.ndarray) -> np.ndarray:
+    """(len(at), 2) values of the words before and after the words ``at``; 2 * CONTEXT at an end of the text."""
+    out = np.full((len(at), 2), 2 * CONTEXT, np.int32)
+    if len(at):
+        value, own = (w.hash >> np.uint64(64 - CONTEXT.bit_length() + 1)).astype(np.int32), w.owner[at]
+        before, after = at > w.first[own], at + 1 < w.first[own + 1]
+        out[before, 0] = value[at[before] - 1]
+        out[after, 1] = value[at[after] + 1] + CONTEXT
+    return out
+
+
 @dataclass
 class Model:
-    """Toxic features (sorted hashes) with their weights, chain potentials, document calibration."""
+    """Toxic features (sorted hashes) with their weights, those of neighbours, chain potentials, document calibration."""
     keys: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))
     weights: np.ndarray = field(default_factory=lambda: np.zeros(0))
+    context: np.ndarray = field(default_factory=lambda: np.zeros(2 * CONTEXT))
     bias: float = -8.0
     moves: np.ndarray = field(default_factory=lambda: np.zeros((2, 2)))  # log potentials, from and to
     document: np.ndarray = field(default_factory=lambda: np.array([-6.0, 0, 0, 0, 0]))  # of ``evidence``
@@ -81,7 +100,11 @@ class Model:
         """Log odds of "toxic" of each token by itself."""
         if not len(w.hash):
             return np.zeros(0)
-        return self.bias + np.append(self.weights, 0.0)[self.index(features(w))].sum(axis=1)
+        at = self.index(features(w))
+        out = self.bias + np.append(self.weights, 0.0)[at].sum(axis=1)
+        marked = np.flatnonzero((at < len(self.keys)).any(axis=1))
+        out[marked] += np.append(self.context, 0.0)[neighbours(w, marked)].sum(axis=1)
+        return out
 
     def score(self, total: np.ndarray, most: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-(evidence(total, most) @ self.document)))
@@ -267,10 +290,10 @@ def _lexicon(texts: DataFrame, size: int) -> np.ndarray:
     return np.union1d(keys, _unsigned(weak.toArrow().column(0)))
 
 
-def _stretches(w: Words, at: np.ndarray, tagged: np.ndarray, toxic: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _stretches(w: Words, at: np.ndarray, tagged: np.ndarray, toxic: np.ndarray) -> tuple[np.ndarray, ...]:
     """Labelled stretches of ``STRETCH`` tokens: around tokens with a toxic feature (spread over
-    the text if there are many), and one from the middle of every text. Features (n, STRETCH, k),
-    labels, which tokens exist, and the text of each."""
+    the text if there are many), and one from the middle of every text. Features (n, STRETCH, k), neighbours
+    (n, STRETCH, 2), labels, which tokens exist, and the text of each."""
     middle = w.first[:-1] + w.count // 2
     owner = w.owner
     centre = np.unique(np.flatnonzero(tagged) // (STRETCH // 2) * (STRETCH // 2) + STRETCH // 4)
@@ -283,11 +306,12 @@ def _stretches(w: Words, at: np.ndarray, tagged: np.ndarray, toxic: np.ndarray)
     pos = centre[:, None] - STRETCH // 2 + np.arange(STRETCH)
     exists = (pos >= w.first[owner[centre]][:, None]) & (pos < w.first[owner[centre] + 1][:, None])
     pos = pos.clip(0, len(w.hash) - 1)
-    return at[pos], tagged[pos] & toxic[owner[pos]] & exists, exists, owner[centre]
+    near = neighbours(w, pos.reshape(-1)).reshape(*pos.shape, 2)
+    return at[pos], near, tagged[pos] & toxic[owner[pos]] & exists, exists, owner[centre]
 
 
 def _sampled(model):
-    """The stretches of each text: features, labels and existing tokens as bytes."""
+    """The stretches of each text: features, neighbours, labels and existing tokens as bytes."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.value
         for piece in text_slices(batches, "text"):
@@ -296,9 +320,10 @@ def _sampled(model):
                 continue
             at = m.index(features(w))
             y = piece.column(1).to_numpy(zero_copy_only=False) == 1
-            got, label, exists, own = _stretches(w, at, (at < len(m.keys)).any(axis=1), y)
-            raw = [pa.array([x.tobytes() for x in v], pa.binary()) for v in (got.astype(np.int32), label, exists)]
-            yield pa.RecordBatch.from_arrays([piece.column(0).take(pa.array(own)), *raw], names=["lid", "at", "label", "exists"])
+            got, near, label, exists, own = _stretches(w, at, (at < len(m.keys)).any(axis=1), y)
+            raw = [pa.array([x.tobytes() for x in v], pa.binary())
+                   for v in (got.astype(np.int32), near.astype(np.uint16), label, exists)]
+            yield pa.RecordBatch.from_arrays([piece.column(0).take(pa.array(own)), *raw], names=["lid", "at", "near", "label", "exists"])
     return run
 
 
@@ -314,36 +339,59 @@ def _summed(model):
     return run
 
 
-def _fit_chain(model: Model, at: np.ndarray, label: np.ndarray, exists: np.ndarray, rounds: int = 120) -> None:
-    """Maximum likelihood with a small penalty: gradients by forward-backward over all
-    stretches, steps by Adam. Stretches are packed to their existing tokens."""
-    n, k = len(model.keys), at.shape[2]
+def _fit_chain(model: Model, at: np.ndarray, near: np.ndarray, label: np.ndarray, exists: np.ndarray, document: np.ndarray) -> None:
+    """Fit, take back the marks that the chain denies, fit again. A toxic document keeps the mark that is surest,
+    as its label says that something in it is toxic. Stretches are packed to their existing tokens."""
     sizes = exists.sum(axis=1)
     first = np.concatenate([[0], np.cumsum(sizes)])
-    at, y = at[exists], label[exists].astype(float)
+    at, near, y = at[exists], near[exists], label[exists].astype(float)
+    _, own = np.unique(np.repeat(document, sizes), return_inverse=True)
+    for _ in range(FITS):
+        p = _likeliest(model, at, near, y, first)
+        surest = np.zeros(own.max(initial=-1) + 1)
+        np.maximum.at(surest, own, p * y)
+        denied = (y > 0) & (p < 0.5) & (p < surest[own])
+        if not denied.any():
+            break
+        y[denied] = 0
+
+
+def _likeliest(model: Model, at: np.ndarray, near: np.ndarray, y: np.ndarray, first: np.ndarray, rounds: int = 120) -> np.ndarray:
+    """Maximum likelihood with a small penalty: gradients by forward-backward over all
+    stretches, steps by Adam. Gives the marginals of all tokens."""
+    n, c, k = len(model.keys), 2 * CONTEXT, at.shape[1]
+    marked = np.flatnonzero((at < n).any(axis=1))
+    near = near[marked]
     follows = np.ones(len(y), bool)
-    follows[first[:-1][sizes > 0]] = False
+    follows[first[:-1][np.diff(first) > 0]] = False
     later = np.flatnonzero(follows)
-    par = np.concatenate([np.full(n, 2.0), [-3.0], np.zeros(4)])  # weights, bias, moves
+    par = np.concatenate([np.full(n, 2.0), np.zeros(c), [-3.0], np.zeros(4)])  # weights, context, bias, moves
+    penalty = np.full(len(par), 0.02)
+    penalty[n:n + c] = CONTEXT_PENALTY
     m, v = np.zeros_like(par), np.zeros_like(par)
     for r in range(1, rounds + 1):
-        moves = par[n + 1:].reshape(2, 2)
-        e = par[n] + np.append(par[:n], 0.0)[at].sum(axis=1)
+        moves = par[n + c + 1:].reshape(2, 2)
+        e = par[n + c] + np.append(par[:n], 0.0)[at].sum(axis=1)
+        e[marked] += np.append(par[n:n + c], 0.0)[near].sum(axis=1)
         forward, backward = messages(e, first, moves)
         both = forward * backward
-        gap = y - both / (1 + both)
+        p = both / (1 + both)
+        gap = y - p
         g = np.zeros_like(par)
         g[:n] = np.bincount(at.reshape(-1), np.repeat(gap, k), minlength=n + 1)[:n]
-        g[n] = gap.sum()
+        g[n:n + c] = np.bincount(near.reshape(-1), np.repeat(gap[marked], 2), minlength=c + 1)[:c]
+        g[n + c] = gap.sum()
         # expected moves between neighbours, from the same messages
         ahead = np.exp(np.clip(e[later], -40, 40)) * backward[later]
         pair = np.exp(moves).reshape(-1)[:, None] * np.stack([np.ones(len(later)), ahead, forward[later - 1], forward[later - 1] * ahead])
         expected = (pair / pair.sum(axis=0)).sum(axis=1)
-        g[n + 1:] = np.bincount((2 * y[later - 1] + y[later]).astype(np.int64), minlength=4) - expected
-        g = g - 0.02 * par
+        g[n + c + 1:] = np.bincount((2 * y[later - 1] + y[later]).astype(np.int64), minlength=4) - expected
+        g = g - penalty * par
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         par = par + 0.1 * (m / (1 - 0.9 ** r)) / (np.sqrt(v / (1 - 0.99 ** r)) + 1e-8)
-    model.weights, model.bias, model.moves = par[:n], float(par[n]), par[n + 1:].reshape(2, 2)
+    model.weights, model.context = par[:n], par[n:n + c]
+    model.bias, model.moves = float(par[n + c]), par[n + c + 1:].reshape(2, 2)
+    return p
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, penalty: float = 1e-2) -> np.ndarray:
@@ -428,11 +476,11 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     sample = (source.join(F.broadcast(chosen), (F.col("lid") == F.col("cid")) & (F.xxhash64("text") == F.col("text_hash")))
               .select("lid", "y", "text"))
     if len(model.keys):
-        got = (sample.mapInArrow(_sampled(Shared(docs.sparkSession, model)), "lid long, at binary, label binary, exists binary")
-               .distinct().toArrow().sort_by([(c, "ascending") for c in ("lid", "at", "label", "exists")]))
-        at, label, exists = (np.frombuffer(b"".join(got.column(c).to_pylist()), kind).reshape(got.num_rows, STRETCH, -1)
-                             for c, kind in (("at", np.int32), ("label", bool), ("exists", bool)))
-        _fit_chain(model, at, label[:, :, 0], exists[:, :, 0])
+        got = (sample.mapInArrow(_sampled(Shared(docs.sparkSession, model)), "lid long, at binary, near binary, label binary, exists binary")
+               .distinct().toArrow().sort_by([(c, "ascending") for c in ("lid", "at", "near", "label", "exists")]))
+        at, near, label, exists = (np.frombuffer(b"".join(got.column(c).to_pylist()), kind).reshape(got.num_rows, STRETCH, -1)
+                                   for c, kind in (("at", np.int32), ("near", np.uint16), ("label", bool), ("exists", bool)))
+        _fit_chain(model, at, near, label[:, :, 0], exists[:, :, 0], got.column("lid").to_numpy())
     sums = (sample.mapInArrow(_summed(Shared(docs.sparkSession, model)), "lid long, y int, total double, most double")
             .groupBy("lid", "y").agg(F.max(F.struct("total", "most")).alias("s"))
             .select("lid", "y", "s.total", "s.most").toArrow().sort_by("lid"))

@@ -152,3 +152,40 @@ def test_an_id_on_many_texts_does_not_widen_the_sample(spark, monkeypatch):
     monkeypatch.setattr(T, "_logistic", lambda x, y, **k: sizes.append(len(x)) or fit(x, y, **k))
     T.learn(docs(spark, data + many), spark.createDataFrame(labels + [(7, 1, 1)], LABELS), fit_rows=50)
     assert sizes[0] <= 100
+
+
+def test_a_word_is_toxic_in_one_context_and_harmless_in_another(spark):
+    """"word1 strike word2" stands in toxic documents only, "word3 strike word4" as often in clean as in toxic ones; the neighbours
+    are common everywhere. The lexicon marks both uses, the chain one."""
+    r = np.random.default_rng(11)
+    plain = [f"word{i}" for i in range(300)]
+    data, labels = [], []
+    for i in range(1500):
+        text = list(r.choice(plain, r.integers(10, 60)))
+        toxic = i % 5 == 0
+        uses = (["word1 strike word2"] if toxic else []) + (["word3 strike word4"] if i % 12 == 1 else [])
+        for use in uses:
+            text.insert(int(r.integers(len(text))), use)
+        data.append((i, " ".join(text), "en", "a", 1))
+        labels.append((i, 1, int(toxic)))
+    data += [(5000, "word7 word8 word1 strike word2 word9", "en", "a", 1), (5001, "word7 word8 word3 strike word4 word9", "en", "a", 1)]
+    frame = docs(spark, data)
+    model = T.learn(frame, spark.createDataFrame(labels, LABELS))
+    w = words(pa.array([data[-2][1], data[-1][1]]), ALPHANUMERIC)
+    p = T.marginals(model.emissions(w), w.first, model.moves)
+    strike = words(pa.array(["strike"]), ALPHANUMERIC).hash[0]
+    assert strike in model.keys  # the lexicon cannot tell the uses apart
+    hit, harmless = p[np.flatnonzero(w.hash == strike)]
+    assert hit > 0.5 > harmless
+    got = {r.doc_id: r for r in T.toxicity(frame, spark.createDataFrame(labels, LABELS)).collect()}
+    assert (got[5000].predicted, got[5001].predicted) == (1, 0) and got[5001].toxic_spans == ""
+    wrong = [i for i in range(1500) if got[i].held_out and got[i].predicted != (i % 5 == 0)]
+    assert not wrong
+
+
+def test_neighbours_stay_inside_their_text():
+    w = words(pa.array(["a b", "", "c", "b a"]), ALPHANUMERIC)
+    got = T.neighbours(w, np.arange(5))
+    none = 2 * T.CONTEXT
+    assert got[0, 0] == got[1, 1] == got[2, 0] == got[2, 1] == got[3, 0] == got[4, 1] == none
+    assert got[0, 1] - T.CONTEXT == got[4, 0] and got[1, 0] == got[3, 1] - T.CONTEXT  # b after a, b before a; a likewise
