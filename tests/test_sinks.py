@@ -140,3 +140,26 @@ def test_a_job_deletes_what_it_has_staged(spark, tmp_path):
         assert os.path.isdir(folder)
     assert not os.path.exists(folder)
     assert other.count() == 3 and spark.read.parquet(str(tmp_path / "out")).count() == 5
+
+
+def test_an_appended_log_has_files_by_days_and_tasks_not_by_their_product(spark, tmp_path):
+    days, tasks = 200, 8
+    rows = spark.range(0, 24 * days, 1, tasks).select(  # every task has rows of every day
+        F.pmod(F.col("id") * 7919, F.lit(24 * days)).alias("id"), F.lit("q").alias("query"), F.lit("a").alias("response"),
+        F.lit("f").alias("context_file"))
+    rows = rows.withColumn("timestamp", F.expr("timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(0, int(id), 0, 0)"))
+    root = str(tmp_path / "log")
+    IO.append_chat(rows, root)
+    files = [f for _, _, names in os.walk(f"{root}/chat_history") for f in names if f.endswith(".parquet")]
+    assert days <= len(files) <= days + tasks
+    back = spark.read.parquet(f"{root}/chat_history")
+    assert sorted(back.drop("day").collect()) == sorted(rows.collect())
+    assert back.where("day <> to_date(timestamp)").count() == 0
+
+
+def test_rows_of_one_time_are_not_written_by_one_task(spark, tmp_path):
+    rows = spark.range(0, 40_000, 1, 4).select("id", F.sha2(F.col("id").cast("string"), 512).alias("query"), F.lit("a").alias("response"),
+                                                F.lit("f").alias("context_file"), F.expr("timestamp_ntz'2024-01-01'").alias("timestamp"))
+    IO.append_chat(rows, str(tmp_path))
+    files = [f for _, _, names in os.walk(f"{tmp_path}/chat_history") for f in names if f.endswith(".parquet")]
+    assert len(files) > 1 and spark.read.parquet(f"{tmp_path}/chat_history").count() == 40_000
