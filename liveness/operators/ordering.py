@@ -153,7 +153,25 @@ def paginate(df: DataFrame, order: list, page: int, per_page: int = 10,
 def positions_within(df: DataFrame, group: str, order: list[Column], out: str = "pos",
                      partitions: int | None = None) -> DataFrame:
     """1-based position of each row within its group by ``order`` (which must be a
-    total order inside the group), without ranking a whole group in one task.
+    total order inside the group), without ranking a large group in one task.
+
+    Groups that hold a large share of the rows (``skew.heavy_keys``) are numbered by ranges; the others by a
+    window, which moves a row once and writes none, and not at all where the rows lie by their group already.
+    ``df`` is read once more for the sketch, of its group alone."""
+    from .skew import heavy_keys
+    window = Window.partitionBy(group).orderBy(*order)
+    numbered = lambda rows: rows.withColumn(out, F.row_number().over(window))
+    heavy = heavy_keys(df, group)
+    if not heavy:
+        return numbered(df)
+    among = F.coalesce(F.col(group).isin([k for k in heavy if k is not None] or [None]), F.lit(False))
+    if None in heavy:
+        among = among | F.col(group).isNull()
+    return numbered(df.where(~among)).unionByName(_positions_by_ranges(df.where(among), group, order, out, partitions))
+
+
+def _positions_by_ranges(df: DataFrame, group: str, order: list[Column], out: str, partitions: int | None) -> DataFrame:
+    """``positions_within`` for groups too large for a task.
 
     Rows are range-partitioned on (group, order) - a hot group is spread over several
     ordered partitions - and sorted within partitions; the row's index inside its
@@ -171,12 +189,14 @@ def positions_within(df: DataFrame, group: str, order: list[Column], out: str =
     x = materialize(ranged.withColumn("__pw_pid", F.spark_partition_id())
                     .withColumn("__pw_li", F.monotonically_increasing_id()
                                 - F.shiftleft(F.spark_partition_id().cast("long"), 33)), "positions")
-    stats = x.groupBy("__pw_pid", group).agg(F.min("__pw_li").alias("__pw_first"), F.count(F.lit(1)).alias("__pw_n"))
-    before = Window.partitionBy(group).orderBy("__pw_pid").rowsBetween(Window.unboundedPreceding, -1)
+    stats = x.groupBy(F.col("__pw_pid").alias("__pw_of"), F.col(group).alias("__pw_group")).agg(
+        F.min("__pw_li").alias("__pw_first"), F.count(F.lit(1)).alias("__pw_n"))
+    before = Window.partitionBy("__pw_group").orderBy("__pw_of").rowsBetween(Window.unboundedPreceding, -1)
     stats = stats.withColumn("__pw_off", F.coalesce(F.sum("__pw_n").over(before), F.lit(0)))
-    return (x.join(stats, ["__pw_pid", group])
+    # heavy groups are few: at most as many rows as groups and partitions
+    return (x.join(F.broadcast(stats), (F.col("__pw_pid") == F.col("__pw_of")) & F.col(group).eqNullSafe(F.col("__pw_group")))
             .withColumn(out, (F.col("__pw_off") + F.col("__pw_li") - F.col("__pw_first") + 1).cast("int"))
-            .drop("__pw_pid", "__pw_li", "__pw_first", "__pw_n", "__pw_off"))
+            .drop("__pw_pid", "__pw_li", "__pw_of", "__pw_group", "__pw_first", "__pw_n", "__pw_off"))
 
 
 def running_sums(df: DataFrame, order: list[Column], cols: list[str], partitions: int | None = None) -> DataFrame:
