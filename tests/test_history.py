@@ -126,3 +126,29 @@ def test_a_failing_task_leaves_no_tree(spark, tmp_path):
     write_tree(_files(spark, ("a.py", "x")), root)
     with pytest.raises(FileExistsError):
         write_tree(_files(spark, ("b.py", "x")), root)
+
+
+def test_a_run_over_the_corpus_derives_it_once_and_writes_no_copy_of_its_rows(spark, monkeypatch):
+    from liveness.plans import q_corpus, q_io
+    small, made, copies, files, copy = "/root/testdata/sf0.001", [], [], q_io.corpus_files, H.materialize
+    for module in (q_io, q_corpus):
+        monkeypatch.setattr(module, "corpus_files", lambda s, d: made.append(d) or files(s, d))
+    monkeypatch.setattr(H, "materialize", lambda df, name: copies.append(name) or copy(df, name))
+    tables, session = q_io._history(spark, small)
+    assert (len(made), copies) == (1, [])
+    row = tables["analysis_sessions"].first()
+    assert row.id == session and row.total_files == files(spark, small).count()  # files that do not parse count
+    ids = [sorted(r[0] for r in tables[n].select(c).collect())
+           for n, c in (("code_entities", "id"), ("feature_vectors", "entity_id"), ("explanations", "entity_id"))]
+    assert ids[0] == ids[1] == ids[2] and len(set(ids[0])) == len(ids[0]) > 0
+
+
+def test_staged_results_are_stored_as_others_and_stay(spark, tmp_path):
+    from liveness.session import materialize
+    rows = materialize(_results(spark), "given")
+    for root, staged in (("a", False), ("b", True)):
+        H.append_analysis(rows, str(tmp_path / root), "p", run_time=AT, staged=staged)
+    for name in H.TABLES:
+        a, b = (sorted(map(str, H.history_table(spark, str(tmp_path / root), name).collect())) for root in "ab")
+        assert a == b and a
+    assert rows.count() == 6
